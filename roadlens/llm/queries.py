@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadlens.llm.common import table
 from roadlens.llm.decontaminate import contamination
+from roadlens.llm.simhash import near_duplicates
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLES = {
