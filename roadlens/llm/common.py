@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,46 @@ def let(value: Column, body) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` is faster and equal where every character is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def whole_keys(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Of batches sorted by ``key``: frames in which no key is cut off, with the start and end of each key's rows.
+
+    Holds one batch and the rows of one key, so the rows of a key must be bounded.
+    """
+    held: list[pd.DataFrame] = []
+
+    def told(frame: pd.DataFrame):
+        k = frame[key].to_numpy()
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        return frame, starts, np.r_[starts[1:], len(k)]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[key].to_numpy()
+        if held and held[-1][key].iloc[-1] != k[0]:
+            yield told(pd.concat(held, ignore_index=True))
+            held = []
+        other = np.flatnonzero(k != k[-1])
+        if len(other):
+            cut = other[-1] + 1
+            yield told(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+            held, batch = [], batch.iloc[cut:]
+        held.append(batch)
+    if held:
+        yield told(pd.concat(held, ignore_index=True))
+
+
+def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index that each of ``n`` nodes can reach through the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

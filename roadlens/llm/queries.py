@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadlens.llm.common import table
 from roadlens.llm.decontaminate import contamination
+from roadlens.llm.embeddings import embedding_duplicates
 from roadlens.llm.simhash import near_duplicates
 
 
@@ -17,9 +18,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_simhash": op5_simhash,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES = {

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from roadlens.llm.common import LOWER, UPPER, written
+from roadlens.llm.common import LOWER, UPPER, roots_of, whole_keys, written
 from roadlens.llm.components import components
 
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -98,20 +98,6 @@ def gray_links(prints: np.ndarray, radius: int, fan: int = 8, block: int = 2048)
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index that each of ``n`` nodes can reach through the links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def similar_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` (long) that connect just what differing in ``radius`` bits or fewer connects."""
     nodes = []
@@ -122,39 +108,16 @@ def similar_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
     dealt = prints.select("fp", F.explode(F.array(*nodes)).alias("node")).select(F.xxhash64("node").alias("node"), "fp")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pd.DataFrame:
-            node, fp = (np.concatenate(x) for x in zip(*held))
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            ends = np.r_[starts[1:], len(node)]
-            out_a, out_b = [], []
+        for frame, starts, ends in whole_keys(batches, "node"):
+            fp = frame["fp"].to_numpy()
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
                 own = fp[s:e]
-                i, j = gray_links(own.view(np.uint64), radius)
-                root = roots_of(len(own), i, j)
+                root = roots_of(len(own), *gray_links(own.view(np.uint64), radius))
                 moved = np.flatnonzero(root != np.arange(len(own)))
-                out_a.append(own[moved])
-                out_b.append(own[root[moved]])
-            none = np.empty(0, np.int64)
-            return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-        for batch in batches:  # sorted by node: a node may go on in the next batch
-            if not len(batch):
-                continue
-            node, fp = batch["node"].to_numpy(), batch["fp"].to_numpy()
-            cut = np.flatnonzero(node != node[-1])
-            cut = cut[-1] + 1 if len(cut) else 0
-            if cut:
-                held.append((node[:cut], fp[:cut]))
-                yield flush()
-                held = []
-            elif held and held[-1][0][-1] != node[-1]:
-                yield flush()
-                held = []
-            held.append((node[cut:], fp[cut:]))
-        if held:
-            yield flush()
+                a.append(own[moved])
+                b.append(own[root[moved]])
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return dealt.repartition("node").sortWithinPartitions("node", "fp").mapInPandas(search, "a long, b long").distinct()
 
