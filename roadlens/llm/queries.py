@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from roadlens.llm.common import table
 from roadlens.llm.decontaminate import contamination
 from roadlens.llm.embeddings import embedding_duplicates
+from roadlens.llm.langid import identify_languages
 from roadlens.llm.pii import personal_data
 from roadlens.llm.simhash import near_duplicates
+from roadlens.llm.toxicity import toxicity
 from roadlens.llm.warc import archived_pages
 
 
@@ -32,11 +34,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op5_simhash": op5_simhash,
     "op4_warc": op4_warc,
+    "op6_langid": op6_langid,
     "op8_pii": op8_pii,
+    "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
 }
 
