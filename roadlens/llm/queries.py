@@ -8,8 +8,10 @@ from roadlens.llm.common import table
 from roadlens.llm.decontaminate import contamination
 from roadlens.llm.embeddings import embedding_duplicates
 from roadlens.llm.langid import identify_languages
+from roadlens.llm.mixing import mixed
 from roadlens.llm.pii import personal_data
 from roadlens.llm.simhash import near_duplicates
+from roadlens.llm.substrings import removed_units
 from roadlens.llm.toxicity import toxicity
 from roadlens.llm.warc import archived_pages
 
@@ -42,10 +44,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_units(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"), targets={"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}})
+    return out.select("doc_id", "n_tokens", "weight", "probability", "kept")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
-    "op5_simhash": op5_simhash,
+    "op2_substrings": op2_substrings,
+    "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_simhash": op5_simhash,
     "op6_langid": op6_langid,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
@@ -97,5 +110,21 @@ r(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id) c
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) n USING (vec_id)
+""",
+    "op2_substrings": r"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         string_split(regexp_replace(coalesce(text, ''), '([^.!?\x20\x09-\x0D][.!?])\x20', '\1' || chr(10), 'g'), chr(10)) AS us
+  FROM documents),
+p AS (SELECT rid, doc_id, unnest(us) AS un, unnest(range(1, len(us) + 1)) AS k FROM u),
+o AS (SELECT doc_id, un, k, sum(length(un) + 1) OVER (PARTITION BY rid ORDER BY k) - length(un) - 1 AS s FROM p),
+w AS (SELECT doc_id, s, s + length(un) AS e, regexp_extract_all(un, '[^\x20\x09-\x0D]+') AS ws FROM o),
+f AS (SELECT doc_id, s, e, len(ws) AS n,
+             translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form
+      FROM w WHERE len(ws) >= 8),
+r AS (SELECT *, first_value(doc_id) OVER q AS kd, first_value(s) OVER q AS ks FROM f WINDOW q AS (PARTITION BY form ORDER BY doc_id NULLS LAST, s))
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(n AS INTEGER) AS n_words,
+       kd AS kept_doc_id, CAST(ks AS INTEGER) AS kept_start
+FROM r WHERE doc_id IS DISTINCT FROM kd OR s <> ks
 """,
 }
