@@ -9,6 +9,7 @@ from roadlens.llm.decontaminate import contamination
 from roadlens.llm.embeddings import embedding_duplicates
 from roadlens.llm.langid import identify_languages
 from roadlens.llm.mixing import mixed
+from roadlens.llm.pages import extracted
 from roadlens.llm.pii import personal_data
 from roadlens.llm.simhash import near_duplicates
 from roadlens.llm.substrings import removed_units
@@ -32,6 +33,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages")).drop("error")
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("found")
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_langid": op6_langid,
+    "op7_pages": op7_pages,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
