@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import ascii_lower, let
+from roadlens.llm.common import ascii_lower, let, written
 
 #: What lies between words, in a text whose A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,29 +58,9 @@ def item_windows(benchmark: DataFrame, span: int, item_col: str, text_col: str)
     return each.groupBy("size", "window").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def contamination(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    *,
-    doc_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    span: int = 10,
-    k: int = 5,
-    broadcast_rows: int = 500_000,
-) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and ``items``, the sorted item ids.
-
-    Null and empty texts have no words; an item without words matches nothing; an item of fewer than
-    ``span`` words is one window. Rows that repeat a document, and rows that share an id, each get
-    their own row; a null id is kept. An empty benchmark leaves every document clean. Other columns
-    of either table are ignored. The items' fingerprints and windows are broadcast when there are at
-    most ``broadcast_rows`` of them (some 100 bytes each), and joined by shuffle beyond that.
-    """
-    docs = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
-    windows = item_windows(benchmark, span, item_col, item_text_col)
+def _window_hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, span: int, k: int, broadcast_rows: int) -> DataFrame | None:
+    """(doc_id, th, run, items) for each window of an item that occurs in a row of ``docs`` (doc_id, text, th); run is where it stands. None if no item has words."""
+    windows = item_windows(benchmark, span, item_col, text_col)
     sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # span rows at most
     small = sum(sizes.values()) <= broadcast_rows
     side = F.broadcast if small else lambda df: df
@@ -106,7 +86,32 @@ def contamination(
         near = near.select("doc_id", "th", (F.col("first") + F.col("o")).alias("at"), F.array_join(F.slice("w", F.col("s"), size), " ").alias("window"))
         part = near.join(side(own), "window").select("doc_id", "th", F.struct(F.col("at"), (F.col("at") + size).alias("end")).alias("run"), "items")
         hits = part if hits is None else hits.unionByName(part)
+    return hits
+
+
+def contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    *,
+    doc_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    span: int = 10,
+    k: int = 5,
+    broadcast_rows: int = 500_000,
+) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and ``items``, the sorted item ids.
 
+    Null and empty texts have no words; an item without words matches nothing; an item of fewer than
+    ``span`` words is one window. Rows that repeat a document, and rows that share an id, each get
+    their own row; a null id is kept. An empty benchmark leaves every document clean. Other columns
+    of either table are ignored. The items' fingerprints and windows are broadcast when there are at
+    most ``broadcast_rows`` of them (some 100 bytes each), and joined by shuffle beyond that.
+    """
+    docs = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_rows)
     counted = docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
         joined = counted.withColumn("n_hit", F.lit(None).cast("long")).withColumn("items", F.lit(None).cast("array<string>"))
@@ -133,3 +138,14 @@ def contamination(
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         items.alias("items"),
     )
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+    """``documents`` without those that share a window with an item; see ``contamination``. Their keys are broadcast up to ``broadcast_rows``."""
+    docs = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_rows)
+    if hits is None:
+        return documents
+    keys = written(hits.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "contaminated")
+    side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    return documents.join(side, F.col(doc_col).eqNullSafe(F.col("_d")) & F.xxhash64(text_col).eqNullSafe(F.col("_t")), "left_anti")

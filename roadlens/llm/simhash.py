@@ -122,6 +122,17 @@ def similar_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.repartition("node").sortWithinPartitions("node", "fp").mapInPandas(search, "a long, b long").distinct()
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    text = F.col(text_col)
+    return written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), fingerprint(text, shingle).alias("fp")), "simhash")
+
+
+def _with_roots(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes``, a row per ``fp``, with ``root``, a fingerprint that names the component."""
+    roots = components(similar_fingerprints(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """Per row: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable by links.
 
@@ -130,10 +141,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names a component unless the whole component has none. Other columns are ignored. Equal
     fingerprints are folded into one before the search, so copies cost nothing more.
     """
-    prints = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(similar_fingerprints(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = _prints(docs, id_col, text_col, shingle)
+    linked = _with_roots(written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes"), radius)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(of, prints.fp == F.col("f"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: that of the smallest id, then of the smallest hash of its text.
+
+    Null ids come last. Of rows that repeat the kept id and text one stays. The keys to remove are
+    broadcast up to ``broadcast_rows`` (16 bytes each) and joined by shuffle beyond.
+    """
+    prints = _prints(docs, id_col, text_col, shingle)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    linked = _with_roots(written(prints.groupBy("fp").agg(F.min(rank).alias("least")), "simhash-classes"), radius)
+    best = linked.groupBy("root").agg(F.min("least").alias("best"))
+    of = linked.join(best, "root").select(F.col("fp").alias("f"), "best")
+    keys = prints.join(of, prints.fp == F.col("f")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("th").eqNullSafe(F.col("best.th")))
+    keys = keys.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    keys = written(keys.where("not stays or n > 1"), "simhash-keys")
+    side = F.broadcast if keys.count() <= broadcast_rows else lambda df: df
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(text_col).eqNullSafe(F.col("_t"))
+    once = docs.join(side(keys), same, "left_anti")
+    repeated = keys.where("stays")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(side(repeated), same, "left_semi").withColumn("_t", F.xxhash64(text_col)).dropDuplicates([id_col, "_t"]).drop("_t")
+    return once.unionByName(again)

@@ -96,8 +96,10 @@ class Toxicity:
         pooled = (att[..., None] * states).sum(axis=1)
         return pooled @ self.w["out"][:, 0] + self.w["bias"][0], att, pooled
 
-    def fit_windows(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int, batch: int = 256, seed: int = 3) -> None:
+    def fit_windows(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, epochs: int, batch: int = 256, least_steps: int = 150, seed: int = 3) -> None:
         rng, adam = np.random.default_rng(seed), Adam(0.01)
+        batch = min(batch, max(32, len(x) // 8))
+        epochs = max(epochs, -(-least_steps * batch // max(len(x), 1)))
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(order), batch):
