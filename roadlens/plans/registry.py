@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+MODULES = ("continuity", "rules")
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(oracle: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its own name, with the SQL that gives the same rows."""
+
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = function
+        if oracle is not None:
+            ORACLES[function.__name__] = oracle
+        return function
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"roadlens.plans.{name}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
