@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("trip_id", "segment_id", "row_in_segment")
-SEGMENT = Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
+
+
+def segment_window() -> Window:
+    return Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
 
 
 def block_window(block: str = "block") -> Window:
@@ -33,10 +36,10 @@ def local_blocks(df: DataFrame, valid: Column, block: str = "block") -> DataFram
     """
     ok, before = f"{block}_ok", f"{block}_before"
     df = df.withColumn(ok, F.coalesce(valid, F.lit(False)))
-    df = df.withColumn(before, F.lag(F.struct("row_in_segment", "t", ok)).over(SEGMENT))
+    df = df.withColumn(before, F.lag(F.struct("row_in_segment", "t", ok)).over(segment_window()))
     goes_on = F.col(ok) & F.col(before)[ok] & (F.col("row_in_segment") - F.col(before)["row_in_segment"] == 1) & (F.col("t") - F.col(before)["t"] == 1)
     starts = (F.col(ok) & ~F.coalesce(goes_on, F.lit(False))).cast("int")
-    return df.withColumn(block, F.when(F.col(ok), F.sum(starts).over(SEGMENT))).drop(ok, before)
+    return df.withColumn(block, F.when(F.col(ok), F.sum(starts).over(segment_window()))).drop(ok, before)
 
 
 def continuity(df: DataFrame, valid: Column) -> DataFrame:
@@ -45,12 +48,12 @@ def continuity(df: DataFrame, valid: Column) -> DataFrame:
     The order of segments comes from a table of one row a segment, the only one that is sorted whole.
     """
     df = df.select(*KEYS, "t", F.coalesce(valid, F.lit(False)).alias("valid"))
-    before = F.lag(F.struct("row_in_segment", "t", "valid")).over(SEGMENT)
+    before = F.lag(F.struct("row_in_segment", "t", "valid")).over(segment_window())
     df = df.withColumn("b", before)
     rows_on, time_on = F.col("row_in_segment") - F.col("b.row_in_segment") == 1, F.col("t") - F.col("b.t") == 1
     df = df.withColumn("continues", F.coalesce(F.col("valid") & F.col("b.valid") & rows_on & time_on, F.lit(False)))
     starts = (F.col("valid") & ~F.col("continues")).cast("int")
-    df = df.withColumn("local", F.sum(starts).over(SEGMENT))
+    df = df.withColumn("local", F.sum(starts).over(segment_window()))
     whole = Window.orderBy("first_t", "trip_id", "segment_id")
     segments = df.groupBy("trip_id", "segment_id").agg(F.min("t").alias("first_t"), F.max("local").alias("n"))
     segments = segments.select(
@@ -117,7 +120,7 @@ def segment_by_gap(df: DataFrame, seconds: float, order: tuple[str, ...] = ("us"
 def longest_runs(df: DataFrame, condition: Column) -> DataFrame:
     """Per trip and segment: the longest run of true over the rows given, in order; rows left out before do not break a run."""
     held = F.coalesce(condition, F.lit(False))
-    df = df.withColumn("held", held).withColumn("other", F.sum((~held).cast("int")).over(SEGMENT))
+    df = df.withColumn("held", held).withColumn("other", F.sum((~held).cast("int")).over(segment_window()))
     runs = df.where("held").groupBy("trip_id", "segment_id", "other").agg(F.count("*").alias("n"))
     best = runs.groupBy("trip_id", "segment_id").agg(F.max("n").alias("longest"))
     return df.select("trip_id", "segment_id").distinct().join(best, ["trip_id", "segment_id"], "left").select("trip_id", "segment_id", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.operators.continuity import SEGMENT, block_window
+from roadlens.operators.continuity import segment_window, block_window
 
 
 def _full(n: int, block: str, value: Column) -> Column:
@@ -43,32 +43,32 @@ def span_rate(col: str, seconds: int = 180, block: str = "block") -> Column:
 
 
 def centred_mean(col: str, reach: int = 1) -> Column:
-    return F.avg(col).over(SEGMENT.rowsBetween(-reach, reach))
+    return F.avg(col).over(segment_window().rowsBetween(-reach, reach))
 
 
 def step_seconds(most: int = 5) -> Column:
     """Seconds since the row before; 1 where that is none or not within (0, most]."""
-    d = F.col("t") - F.lag("t").over(SEGMENT)
+    d = F.col("t") - F.lag("t").over(segment_window())
     return F.when((d > 0) & (d <= most), d).otherwise(1).cast("double")
 
 
 def running_sum(value: Column) -> Column:
-    return F.sum(F.coalesce(value, F.lit(0.0))).over(SEGMENT.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(F.coalesce(value, F.lit(0.0))).over(segment_window().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def latch(condition: Column) -> Column:
     """Once true, true to the end of the segment."""
-    return F.max(F.coalesce(condition, F.lit(False))).over(SEGMENT.rowsBetween(Window.unboundedPreceding, 0))
+    return F.max(F.coalesce(condition, F.lit(False))).over(segment_window().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def forward_fill(col: str) -> Column:
-    return F.last(col, ignorenulls=True).over(SEGMENT.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col, ignorenulls=True).over(segment_window().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def interpolate_both(col: str) -> Column:
     """Linear by position between the values about a null; the nearest value at both ends of a segment."""
     row = F.when(F.col(col).isNotNull(), F.col("row_in_segment"))
-    back, on = SEGMENT.rowsBetween(Window.unboundedPreceding, 0), SEGMENT.rowsBetween(0, Window.unboundedFollowing)
+    back, on = segment_window().rowsBetween(Window.unboundedPreceding, 0), segment_window().rowsBetween(0, Window.unboundedFollowing)
     v0, r0 = F.last(col, ignorenulls=True).over(back), F.last(row, ignorenulls=True).over(back)
     v1, r1 = F.first(col, ignorenulls=True).over(on), F.first(row, ignorenulls=True).over(on)
     between = v0 + (v1 - v0) * (F.col("row_in_segment") - r0) / (r1 - r0)
@@ -85,14 +85,14 @@ def segment_gaps(df: DataFrame) -> DataFrame:
 
 def null_runs(df: DataFrame, col: str) -> DataFrame:
     """Per trip and segment: number of runs of nulls and the longest."""
-    seen = F.count(col).over(SEGMENT.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.count(col).over(segment_window().rowsBetween(Window.unboundedPreceding, 0))
     runs = df.withColumn("seen", seen).where(F.col(col).isNull()).groupBy("trip_id", "segment_id", "seen").agg(F.count("*").alias("n"))
     return runs.groupBy("trip_id", "segment_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
 
 
 def tumble_rows(df: DataFrame, rows: int = 608) -> DataFrame:
     """``df`` with ``window_no`` and ``step``: whole windows of so many rows of a segment, the rest dropped."""
-    at = F.row_number().over(SEGMENT) - 1
+    at = F.row_number().over(segment_window()) - 1
     df = df.withColumn("window_no", F.floor(at / rows).cast("int")).withColumn("step", (at % rows).cast("int"))
     n = F.count("*").over(Window.partitionBy("trip_id", "segment_id", "window_no"))
     return df.withColumn("rows_in_window", n).where(F.col("rows_in_window") == rows).drop("rows_in_window")
@@ -100,8 +100,8 @@ def tumble_rows(df: DataFrame, rows: int = 608) -> DataFrame:
 
 def slide_rows(df: DataFrame, length: int, stride: int, values: str) -> DataFrame:
     """Per segment and start (0, stride, ...): the ``values`` of ``length`` rows, and how many are not null."""
-    at = F.row_number().over(SEGMENT) - 1
-    w = SEGMENT.rowsBetween(0, length - 1)
+    at = F.row_number().over(segment_window()) - 1
+    w = segment_window().rowsBetween(0, length - 1)
     df = df.select("trip_id", "segment_id", at.alias("start"), F.count("*").over(w).alias("n"), F.count(values).over(w).alias("observed"), F.avg(values).over(w).alias("mean"))
     return df.where((F.col("n") == length) & (F.col("start") % stride == 0)).drop("n")
 

@@ -119,7 +119,7 @@ def w16_rising_edge(spark, sf_dir):
 )
 def w18_to_w22_segment_windows(spark, sf_dir):
     df = ticks(spark, sf_dir).withColumn("dt", r.step_seconds())
-    accel = (F.col("speed") - F.lag("speed").over(c.SEGMENT)) / 3.6 / F.col("dt")
+    accel = (F.col("speed") - F.lag("speed").over(c.segment_window())) / 3.6 / F.col("dt")
     return df.select(
         *c.KEYS,
         "dt",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("continuity", "rules")
+MODULES = ("continuity", "rules", "cleaning")
 
 
 def query(oracle: str | None = None):
