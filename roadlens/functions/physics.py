@@ -46,6 +46,7 @@ def norm_cdf(z: Column) -> Column:
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of the Wilson interval; null without trials."""
+    n = F.when(n > 0, n)
     p = hits / n
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     d = 1 + z * z / n

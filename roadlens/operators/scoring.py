@@ -104,12 +104,12 @@ def project(trips: DataFrame, group: str, threshold: float = k.RISK_HIGH, least:
         F.avg(x).alias("mx"), F.max_by("risk", "cycle").alias("last"), F.max("cycle").alias("lx"),
     )
     c = F.col
-    sse = F.greatest(c("syy") - c("sxy") * c("sxy") / c("sxx"), F.lit(0.0))
+    sse = F.greatest(c("syy") - F.try_divide(c("sxy") * c("sxy"), c("sxx")), F.lit(0.0))
     fx = c("lx") + horizon
     mean = c("intercept") + c("slope") * fx
-    se = F.sqrt(sse / (c("n") - 2)) * F.sqrt(1 + 1 / c("n") + (fx - c("mx")) * (fx - c("mx")) / c("sxx"))
-    p = F.when(se < 1e-12, (mean >= threshold).cast("double")).otherwise(1 - norm_cdf((threshold - mean) / se))
-    cycles = F.ceil((threshold - c("last")) / c("slope") - 1e-12)
+    se = F.sqrt(F.try_divide(sse, c("n") - 2)) * F.sqrt(1 + 1 / c("n") + F.try_divide((fx - c("mx")) * (fx - c("mx")), c("sxx")))
+    p = F.when(se < 1e-12, (mean >= threshold).cast("double")).otherwise(1 - norm_cdf(F.try_divide(threshold - mean, se)))
+    cycles = F.ceil(F.try_divide(threshold - c("last"), c("slope")) - 1e-12)
     enough, there = c("n") >= least, c("last") >= threshold
     return a.select(
         group, c("n").alias("trips"), F.when(enough, F.round("slope", 8)).alias("slope"), F.when(enough, F.round("intercept", 8)).alias("intercept"),

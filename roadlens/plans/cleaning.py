@@ -185,7 +185,7 @@ def a26_a27_quality_matrix(spark, sf_dir):
     df = ticks(spark, sf_dir)
     g = df.agg(F.avg("rpm").alias("m"), F.stddev_samp("rpm").alias("s"))  # one row
     return df.crossJoin(F.broadcast(g)).groupBy("trip_id").agg(
-        F.min("rpm").alias("lo"), F.max("rpm").alias("hi"), F.round(F.count_if(F.col("rpm").isNull()) / F.count("*"), 9).alias("missing"), F.count_if(F.abs(F.col("rpm") - F.col("m")) / F.col("s") > 2).alias("outliers")
+        F.min("rpm").alias("lo"), F.max("rpm").alias("hi"), F.round(F.count_if(F.col("rpm").isNull()) / F.count("*"), 9).alias("missing"), F.count_if(F.abs(F.try_divide(F.col("rpm") - F.col("m"), F.col("s"))) > 2).alias("outliers")
     )
 
 
