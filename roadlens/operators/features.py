@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.functions.physics import maf_residual, pedal_residual
-from roadlens.operators.continuity import KEYS, local_blocks, quality_valid
+from roadlens.operators.continuity import KEYS, local_blocks, ok, with_quality
 from roadlens.operators.rolling import rolling_range, rolling_std, slope, span_rate, trapezoid
 
 
 def atomic(df: DataFrame) -> DataFrame:
     """``df`` with engine_on_flag, temperature and pedal differences and slopes; each is null where a signal of it is not quality valid."""
-    pedal = quality_valid(["accel_pedal_d", "accel_pedal_e"])
+    df = df if "rpm_ok" in df.columns else with_quality(df)
+    pedal = ok(["accel_pedal_d", "accel_pedal_e"])
     df = df.withColumns(
         {
-            "engine_on_flag": F.when(quality_valid(["rpm"]), F.col("rpm") >= k.ENGINE_ON_RPM),
-            "coolant_ambient_delta": F.when(quality_valid(["coolant_temp", "ambient_temp"]), F.col("coolant_temp") - F.col("ambient_temp")),
-            "intake_ambient_delta": F.when(quality_valid(["intake_temp", "ambient_temp"]), F.col("intake_temp") - F.col("ambient_temp")),
+            "engine_on_flag": F.when(ok(["rpm"]), F.col("rpm") >= k.ENGINE_ON_RPM),
+            "coolant_ambient_delta": F.when(ok(["coolant_temp", "ambient_temp"]), F.col("coolant_temp") - F.col("ambient_temp")),
+            "intake_ambient_delta": F.when(ok(["intake_temp", "ambient_temp"]), F.col("intake_temp") - F.col("ambient_temp")),
             "accel_pedal_mean": F.when(pedal, (F.col("accel_pedal_d") + F.col("accel_pedal_e")) / 2),
             "accel_pedal_channel_delta": F.when(pedal, F.abs(F.col("accel_pedal_d") - F.col("accel_pedal_e"))),
         }
     )
-    df = local_blocks(local_blocks(df, F.col("accel_pedal_mean").isNotNull(), "pedal_block"), quality_valid(["rpm"]), "rpm_block")
+    df = local_blocks(local_blocks(df, F.col("accel_pedal_mean").isNotNull(), "pedal_block"), ok(["rpm"]), "rpm_block")
     return df.withColumns({"pedal_slope": slope("accel_pedal_mean", "pedal_block"), "rpm_slope": slope("rpm", "rpm_block")})
 
 
 def calibrated(df: DataFrame) -> DataFrame:
     """``df`` with speed_density_maf_residual and pedal_mapping_residual."""
-    air = quality_valid(["maf", "map", "rpm", "intake_temp"])
+    air = ok(["maf", "map", "rpm", "intake_temp"])
     c = F.col
     return df.withColumns(
         {
             "speed_density_maf_residual": F.when(air, maf_residual(c("maf"), c("map"), c("rpm"), c("intake_temp"))),
-            "pedal_mapping_residual": F.when(quality_valid(["accel_pedal_d", "accel_pedal_e"]), pedal_residual(c("accel_pedal_d"), c("accel_pedal_e"))),
+            "pedal_mapping_residual": F.when(ok(["accel_pedal_d", "accel_pedal_e"]), pedal_residual(c("accel_pedal_d"), c("accel_pedal_e"))),
         }
     )
 
@@ -42,7 +43,7 @@ def calibrated(df: DataFrame) -> DataFrame:
 def window_features(df: DataFrame, *, span: int = 180, long: int = 120, short: int = 60) -> DataFrame:
     """``df`` (of ``atomic``) with the strict-window features, each on blocks of its own signal; lengths are parameters."""
     for s in ("maf", "coolant_temp", "intake_temp", "speed", "map"):
-        df = local_blocks(df, quality_valid([s]), f"{s}_block")
+        df = local_blocks(df, ok([s]), f"{s}_block")
     return df.withColumns(
         {
             "maf_integral": trapezoid("maf", span, "maf_block"),

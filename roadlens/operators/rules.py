@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.operators.continuity import KEYS, local_blocks, persistence, quality_valid
+from roadlens.operators.continuity import KEYS, local_blocks, ok, persistence
 
 
 def cond_where(eligible: Column, condition: Column) -> Column:
@@ -21,7 +21,7 @@ def rule_state(df: DataFrame, limits: dict | None = None) -> DataFrame:
 
     Rule 1-S2 asks for the ambient limit on every sample, as it is computed, not only where a window starts.
     """
-    m, c, q = k.LIMITS | (limits or {}), F.col, quality_valid
+    m, c, q = k.LIMITS | (limits or {}), F.col, ok
     df = local_blocks(df, F.lit(True), "block")
     engine_on = F.coalesce(c("engine_on_flag"), F.lit(False))
     post, high = c("thermal_state") == "post_warmup", c("condition_confidence") == "high"
@@ -198,8 +198,7 @@ def pedal_events(df: DataFrame, steps: dict | None = None, no_response: dict | N
     look = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c("child_state"))
     df = local_blocks(df, F.lit(True), "block")
     w = Window.partitionBy("trip_id", "segment_id", "block").orderBy("row_in_segment")
-    ok = quality_valid(["map"])
-    press = F.when(ok, c("map"))
+    press = F.when(ok(["map"]), c("map"))
     base = F.lag(press).over(w)
     response = F.greatest(*[F.abs((press if o == 0 else F.lead(press, o).over(w)) - base) for o in range(3)])
     df = df.withColumns({"complete": F.lag("t").over(w).isNotNull() & F.lead("t", 2).over(w).isNotNull(), "baseline_map": base, "response": response, "step": look(steps)})
