@@ -144,3 +144,41 @@ def stability(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("report", "dimension")
     s = scores.withColumn("original", F.max(F.when(F.col("variant") == "original", F.col("score"))).over(w)).where("variant <> 'original'")
     return s.groupBy("variant").agg(F.avg((F.col("score") == F.col("original")).cast("double")).alias("unchanged"), F.count("*").alias("n"))
+
+
+ACTION_VERBS = ("check", "inspect", "replace", "visit", "monitor", "schedule", "clean", "have")
+UNSAFE = ("ignore", "keep driving", "disconnect the battery", "bypass")
+
+
+def clean_actions(actions: Column, most: int = 4) -> Column:
+    """Action items trimmed, opened with a capital, closed with one full stop; empty and repeated ones left out, at most ``most``."""
+    tidy = F.transform(actions, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s\-*0-9.)]+", ""), r"[\s.!]+$", ""))
+    shaped = F.transform(F.array_remove(F.array_compact(tidy), ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100_000), F.lit(".")))
+    return F.slice(F.array_distinct(shaped), 1, most)
+
+
+def check_actions(actions: Column, level: Column, wanted: int = 4) -> Column:
+    """Struct of a score and warnings: number of items, items that open with no known verb, urgency that does not fit the level."""
+    starts = rf"^({'|'.join(ACTION_VERBS)})\b"
+    urgent = F.exists(actions, lambda x: F.lower(x).rlike(rf"\b({'|'.join(URGENT)})\b"))
+    tests = [
+        ("count", F.size(actions) != wanted, 0.3),
+        ("prefix", F.exists(actions, lambda x: ~F.lower(x).rlike(starts)), 0.2),
+        ("panic", urgent & (level == "Low"), 0.3),
+        ("not_urgent", ~urgent & (level == "High"), 0.2),
+    ]
+    yes = lambda t: F.coalesce(t, F.lit(False))
+    lost = sum((F.when(yes(t), w).otherwise(0.0) for _, t, w in tests), F.lit(0.0))
+    return F.struct(F.round(F.greatest(F.lit(0.0), 1 - lost), 4).alias("score"), F.array_join(F.array_compact(F.array(*[F.when(yes(t), n) for n, t, _ in tests])), ",").alias("warnings"))
+
+
+def auto_audit(text: Column, context: Column) -> Column:
+    """Findings of a report, joined: numbers without support, raw field names, unsafe advice that is not negated."""
+    found = F.array_compact(
+        F.array(
+            F.when(F.size(unsupported_numbers(text, context)) > 0, "unsupported_number"),
+            F.when(text.rlike(r"\b[a-z]+_[a-z_]+\b"), "raw_field"),
+            *[F.when(has_unnegated(text, p), F.concat(F.lit("unsafe:"), F.lit(p))) for p in UNSAFE],
+        )
+    )
+    return F.array_join(found, ",")

@@ -160,3 +160,40 @@ def r15_compare_retrieval(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     j = top.join(e.select(F.col("vec_id").alias("q_id"), F.col("label").alias("a")), "q_id").join(e.select(F.col("vec_id").alias("d_id"), F.col("label").alias("b")), "d_id")
     return j.agg(F.count("*").alias("queries"), F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("accuracy"))
+
+
+_ACT = """ac AS (SELECT conv_id, turn, report, context, list_filter(list_transform(string_split_regex(report, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS acts, CASE conv_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS level FROM rep)"""
+
+
+def _actions(spark, sf_dir):
+    level = F.element_at(F.array(*[F.lit(x) for x in ("High", "Medium", "Low")]), (F.col("conv_id") % 3 + 1).cast("int"))
+    return _reports(spark, sf_dir).withColumns({"acts": a.sentences(F.col("report")), "level": level})
+
+
+@query(
+    f"""WITH {_REP}, {_ACT}, t AS (SELECT conv_id, turn, list_transform(list_filter(list_transform(acts, lambda x: regexp_replace(regexp_replace(x, '^[\\s\\-*0-9.)]+', ''), '[\\s.!]+$', '')), lambda x: x <> ''), lambda x: upper(substr(x, 1, 1)) || substr(x, 2) || '.') AS s FROM ac),
+u AS (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS i FROM t), d AS (SELECT conv_id, turn, s[i] AS x, min(i) AS i FROM u GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM d),
+g AS (SELECT conv_id, turn, string_agg(x, '|' ORDER BY i) FILTER (n <= 4) AS actions FROM k GROUP BY ALL)
+SELECT conv_id, turn, coalesce(actions, '') AS actions FROM rep LEFT JOIN g USING (conv_id, turn)"""
+)
+def r12_clean_actions(spark, sf_dir):
+    return _actions(spark, sf_dir).select("conv_id", "turn", F.array_join(a.clean_actions(F.col("acts")), "|").alias("actions"))
+
+
+@query(
+    f"""WITH {_REP}, {_ACT}, c AS (SELECT conv_id, turn, len(acts) <> 4 AS a, len(list_filter(acts, lambda x: NOT regexp_matches(lower(x), '^({'|'.join(a.ACTION_VERBS)})\\b'))) > 0 AS b,
+ len(list_filter(acts, lambda x: regexp_matches(lower(x), '\\b({'|'.join(a.URGENT)})\\b'))) > 0 AS u, level FROM ac)
+SELECT conv_id, turn, round(greatest(0, 1 - (CASE WHEN a THEN 0.3 ELSE 0.0 END + CASE WHEN b THEN 0.2 ELSE 0.0 END + CASE WHEN u AND level = 'Low' THEN 0.3 ELSE 0.0 END + CASE WHEN NOT u AND level = 'High' THEN 0.2 ELSE 0.0 END)), 4)::DOUBLE AS score,
+ concat_ws(',', CASE WHEN a THEN 'count' END, CASE WHEN b THEN 'prefix' END, CASE WHEN u AND level = 'Low' THEN 'panic' END, CASE WHEN NOT u AND level = 'High' THEN 'not_urgent' END) AS warnings FROM c"""
+)
+def r05_check_actions(spark, sf_dir):
+    return _actions(spark, sf_dir).select("conv_id", "turn", a.check_actions(F.col("acts"), F.col("level")).alias("c")).select("conv_id", "turn", "c.score", "c.warnings")
+
+
+@query(
+    f"WITH {_REP} SELECT conv_id, turn, concat_ws(',', CASE WHEN {_UNSUP} > 0 THEN 'unsupported_number' END, CASE WHEN regexp_matches(report, '\\b[a-z]+_[a-z_]+\\b') THEN 'raw_field' END, "
+    + ", ".join(f"CASE WHEN {_unneg_sql(p)} THEN 'unsafe:{p}' END" for p in a.UNSAFE)
+    + ") AS findings FROM rep"
+)
+def r09_auto_audit(spark, sf_dir):
+    return _reports(spark, sf_dir).select("conv_id", "turn", a.auto_audit(F.col("report"), F.col("context")).alias("findings"))
