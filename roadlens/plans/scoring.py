@@ -320,3 +320,38 @@ def x17_x18_rounding(spark, sf_dir):
 def x16_norm_cdf(spark, sf_dir):
     z = (F.col("o_orderkey") % 8001) / 1000 - 4
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(norm_cdf(z), 4).alias("cdf"))
+
+
+@query(
+    with_irregular(
+        _HIST, _TRIP, "rg AS (SELECT component, count(*) AS n, regr_slope(risk, cycle) AS slope, arg_max(risk, cycle) AS last FROM tc GROUP BY component)",
+        "es AS (SELECT component, n, CASE WHEN last >= 0.9 THEN 0 WHEN slope > 0 AND ceil((0.9 - last) / slope - 1e-12) <= 50 THEN ceil((0.9 - last) / slope - 1e-12) END AS cycles FROM rg)",
+    )
+    + """SELECT h.component, h.trip_id, h.t, CAST(cycles AS INTEGER) AS cycles, concat_ws('; ', CASE WHEN risk_score >= 0.9 THEN 'current window is High' END, CASE WHEN n < 5 THEN 'too few trips' WHEN cycles IS NULL THEN 'no crossing projected' END) AS notes
+FROM h JOIN es USING (component)"""
+)
+def m09_annotated_records(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    est = s.project(s.trip_risk(h, "component"), "component").select("component", "trips", "cycles")  # a row a component
+    j = h.join(est, "component")
+    late = F.when(F.col("trips") < 5, "too few trips").when(F.col("cycles").isNull(), "no crossing projected")
+    notes = F.array_union(F.array_compact(F.array(F.when(F.col("risk_score") >= 0.9, "current window is High"))), F.array_compact(F.array(late)))
+    return j.select("component", "trip_id", "t", "cycles", F.array_join(notes, "; ").alias("notes"))
+
+
+@query(
+    with_ticks(f"n AS (SELECT *, row_number() OVER ({SEG}) AS r, count(*) OVER (PARTITION BY trip_id, segment_id) AS n FROM ticks)")
+    + "SELECT CASE WHEN ('0x' || substr(md5(concat_ws(':', 'part', trip_id)), 1, 8))::BIGINT % 4 = 0 THEN 'validation' ELSE 'train' END AS part, count(DISTINCT trip_id) AS trips, count(DISTINCT segment_id) AS segments, count(*) AS rows, count(*) FILTER (r % 32 = 1 AND r + 127 <= n) AS windows FROM n GROUP BY ALL"
+)
+def m15_split_summary(spark, sf_dir):
+    df = ticks(spark, sf_dir)
+    part = F.when(draw(F.lit("part"), F.col("trip_id")) % 4 == 0, "validation").otherwise("train")
+    r, n = F.row_number().over(segment_window()), F.count("*").over(Window.partitionBy("trip_id", "segment_id"))
+    df = df.select(part.alias("part"), "trip_id", "segment_id", ((r % 32 == 1) & (r + 127 <= n)).alias("starts"))
+    return df.groupBy("part").agg(F.count_distinct("trip_id").alias("trips"), F.count_distinct("segment_id").alias("segments"), F.count("*").alias("rows"), F.count_if("starts").alias("windows"))
+
+
+@query(with_irregular(_HIST, _TRIP) + "SELECT component, printf('%s#%03d', trip_id, cycle) AS label, round(risk, 6) AS risk, CASE WHEN risk >= 0.9 THEN 'High' WHEN risk >= 0.4129 THEN 'Medium' ELSE 'Low' END AS level FROM tc")
+def m17_upload_history(spark, sf_dir):
+    t = s.trip_risk(_history(spark, sf_dir), "component")
+    return t.select("component", F.format_string("%s#%03d", "trip_id", "cycle").alias("label"), F.round("risk", 6).alias("risk"), risk_level(F.col("risk")).alias("level"))
