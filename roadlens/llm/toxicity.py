@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,12 +17,13 @@ from pyspark.sql.functions import pandas_udf
 from roadlens.llm.recurrent import Adam, bidirectional, bidirectional_back, init_cell, run, sigmoid, softmax
 
 _WORD = re.compile(r"[^\W\d_]+")
-WINDOW, STRIDE, HIDDEN, INPUTS = 64, 48, 8, 6
+WINDOW, STRIDE, HIDDEN, INPUTS = 64, 56, 8, 6
 
 
-def _grams(word: str) -> set[str]:
+def _grams(word: str) -> tuple[str, ...]:
+    """Distinct n-grams; interned, since many words share them."""
     w = f"^{word}$"
-    return {w[i : i + n] for n in (4, 5, 6) for i in range(max(1, len(w) - n + 1))}
+    return tuple({sys.intern(w[i : i + n]) for n in (4, 5, 6) for i in range(max(1, len(w) - n + 1))})
 
 
 def _log_odds(toxic: Counter, clean: Counter, n1: int, n0: int, most: float = 6.0) -> dict[str, float]:
@@ -43,16 +45,22 @@ class Lexicon:
         self.words, self.grams = words, grams
 
     def inputs(self, word: str) -> list[float]:
-        get = self.grams.get
-        got = [get(g, 0.0) for g in _grams(word)]
-        first = max(get(f"^{word}$"[:n], 0.0) for n in (4, 5, 6))
+        get, w = self.grams.get, f"^{word}$"
+        n = len(w)
+        if n < 4:
+            got = [get(w, 0.0)]
+        else:
+            got = [get(w[i : i + 4], 0.0) for i in range(n - 3)]
+            got += [get(w[i : i + 5], 0.0) for i in range(n - 4)]
+            got += [get(w[i : i + 6], 0.0) for i in range(n - 5)]
+        first = max(get(w[:4], 0.0), get(w[:5], 0.0), get(w[:6], 0.0))
         return [self.words.get(word, 0.0), max(got), sum(got) / len(got), first, min(got), min(len(word), 20) / 10 - 0.5]
 
 
 Counts = tuple[tuple[Counter, Counter], tuple[Counter, Counter], int, int]
 
 
-def count_terms(docs: list[list[str]], labels: np.ndarray, grams_of: dict[str, set[str]]) -> Counts:
+def count_terms(docs: list[list[str]], labels: np.ndarray, grams_of: dict[str, tuple[str, ...]]) -> Counts:
     """Documents that hold each word, and each n-gram, clean and toxic; and how many are toxic and clean."""
     words, grams = (Counter(), Counter()), (Counter(), Counter())
     for ws, y in zip(docs, labels):
@@ -116,7 +124,7 @@ class Toxicity:
                 g |= {"out": (pooled * d[:, None]).sum(axis=0)[:, None], "bias": d.sum(keepdims=True), "att": (states * dscore[..., None]).sum(axis=(0, 1))[:, None]}
                 adam.update(self.w, g)
 
-    def logits(self, table: np.ndarray, windows: np.ndarray, block: int = 4096) -> np.ndarray:
+    def logits(self, table: np.ndarray, windows: np.ndarray, block: int = 2048) -> np.ndarray:
         """Logit of each window of row numbers of ``table``, the inputs by word; row 0 is filling."""
         forward, reverse = table @ self.w["fx"] + self.w["fb"], table @ self.w["rx"] + self.w["rb"]
         out = np.empty(len(windows), np.float32)
@@ -157,7 +165,7 @@ class Toxicity:
         at = rng.permutation(len(x))[:most_windows]
         self.fit_windows(x[at], mask[at], labels[of[at]].astype(np.float32), epochs)
         order = np.argsort(of, kind="stable")
-        states = [self._pool(bidirectional("gru", self.w, x[o], mask[o]), mask[o])[0] for o in np.array_split(order, max(1, len(order) // 4096))]
+        states = [self._pool(bidirectional("gru", self.w, x[o], mask[o]), mask[o])[0] for o in np.array_split(order, max(1, len(order) // 1024))]
         starts = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])
         features, y = self.summary(np.concatenate(states), starts), labels[of[order][starts]]
         weight = np.where(y == 1, positive / max(y.mean(), 1e-9), (1 - positive) / max(1 - y.mean(), 1e-9))
@@ -185,7 +193,7 @@ class Toxicity:
 class Reader(dict):
     """Row numbers of words in a growing table of inputs, from 1; started anew when it holds ``most`` words."""
 
-    def __init__(self, source: Lexicon, most: int = 300_000):
+    def __init__(self, source: Lexicon, most: int = 200_000):
         super().__init__()
         self.source, self.most, self.rows, self.n = source, most, np.zeros((1024, INPUTS), np.float32), 1
 
@@ -239,7 +247,7 @@ def toxicity_score(model: Toxicity, docs: DataFrame, text: Column) -> Column:
             values = texts.tolist()
             for i, t in enumerate(values):  # a few MB of text at a time
                 size += len(t or "")
-                if size > 2_000_000 or i == len(values) - 1:
+                if size > 1_000_000 or i == len(values) - 1:
                     out.append(held.value.scores(values[lo : i + 1], reader))
                     reader.trim()
                     lo, size = i + 1, 0
