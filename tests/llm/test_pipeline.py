@@ -81,3 +81,27 @@ def test_stages(spark, tmp_path):
     mixture = mix(spark, d, sf)
     assert mixture.columns == [*COLUMNS, "n_tokens", "weight", "probability"] and 0 < mixture.count() < 206
     assert 0 < corpus_pipeline.run(spark, sf).count() < 180
+
+
+def test_edited_copies_leave(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(2000)]
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    alike = lambda s, t: len(sets(s) & sets(t)) / len(sets(s) | sets(t))
+    docs, near, far = [], set(), set()
+    for i in range(150):
+        w = rng.choices(vocab, k=rng.randint(60, 300))
+        e = list(w)
+        for _ in range(rng.randint(1, 2 + len(w) // 30)):
+            at = rng.randrange(len(e))
+            e[at : at + rng.randint(0, 1)] = [rng.choice(vocab)]
+        docs += [(i, " ".join(w)), (1000 + i, " ".join(e))]
+        (near if alike(docs[-2][1], docs[-1][1]) >= 0.8 else far).add(1000 + i)
+    assert len(near) > 60 and len(far) > 15
+    base = rng.choices(vocab, k=150)
+    for i in range(100):  # a chain: each differs by a word from the one before
+        base[rng.randrange(150)] = rng.choice(vocab)
+        docs.append((2000 + i, " ".join(base)))
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert got >= set(range(150)) | far and len(got & near) <= 0.02 * len(near) and {i for i in got if i >= 2000} == {2000}
