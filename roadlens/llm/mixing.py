@@ -63,16 +63,36 @@ def rates(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1.0, factor[at] * need)
 
 
-def _raked_in_spark(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """As ``rake``, for a table of cells too large to collect."""
-    w = cells.withColumn("w", F.col("tokens").cast("double"))
+def _raked_in_spark(cells: DataFrame, keys: list[str], targets: dict[str, DataFrame], rounds: int, tolerance: float) -> DataFrame:
+    """As ``rake``, for a table of cells too large to collect: the same rounds, stop and norming."""
+
+    def normed(t: DataFrame) -> DataFrame:
+        return written(t.crossJoin(t.agg(F.sum("w").alias("_all"))).withColumn("w", F.col("w") / F.col("_all")).drop("_all"), "cells")
+
+    w = normed(cells.withColumn("w", F.col("tokens").cast("double")))
     for _ in range(rounds):
+        off = 0.0
         for c in keys:
-            have = w.groupBy(c).agg(F.sum("w").alias("have")).join(targets[c], c, "left")
-            factor = have.select(F.col(c).alias("_k"), F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
+            have = w.groupBy(c).agg(F.sum("w").alias("have")).join(targets[c], c, "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
+            have = written(have, "margin")
+            off = max(off, have.agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0] or 0.0)
+            factor = have.select(F.col(c).alias("_k"), F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("f"))
             w = w.join(factor, F.col(c) == F.col("_k")).withColumn("w", F.col("w") * F.col("f")).drop("_k", "f")
         w = written(w, "cells")
-    return w
+        if off < tolerance:
+            break
+    return normed(w)
+
+
+def _shares(own: DataFrame, key: str, given: dict | None) -> DataFrame:
+    """(key, goal), summing to 1: ``own`` (key, goal) normed; named values share what the others leave, in proportion to ``given``."""
+    named = F.lit(None).cast("double")
+    if given:
+        named = F.create_map(*[F.lit(x) for k, v in given.items() for x in ("\x00" if k is None else k, float(v))])[F.col(key)]
+    g = own.select(key, F.col("goal").alias("own"), named.alias("named"))
+    sums = g.agg(F.sum("own").alias("all"), F.coalesce(F.sum(F.when(F.col("named").isNull(), F.col("own"))), F.lit(0.0)).alias("rest"), F.sum("named").alias("given"))
+    scaled = F.when(F.col("given") > 0, F.col("named") / F.col("given") * (1 - F.col("rest") / F.col("all"))).otherwise(0.0)
+    return g.crossJoin(sums).select(key, F.when(F.col("named").isNull(), F.col("own") / F.col("all")).otherwise(scaled).alias("goal"))
 
 
 def mixed(
@@ -86,17 +106,19 @@ def mixed(
     budget_share: float = 0.5,
     seed: str = "mix",
     collect_rows: int = 100_000,
-    rounds: int = 20,
+    rounds: int = 100,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """``docs`` with ``n_tokens``, ``weight`` (of the document's tokens in the mixture), ``probability`` and ``kept``, in the place of columns of these names.
 
     ``keys`` are the marginals: by default source, language and the topic told from the text. Shares
-    that ``targets`` does not give are the corpus's own, raised to ``smoothing`` and normed. Null values
-    of a key are a value of their own; null and empty texts have no tokens, no weight and are not kept.
+    that ``targets`` does not give are the corpus's own, raised to ``smoothing`` and normed; also those of
+    single values that it does not name, for which the named shares are scaled down. Null values of a key
+    are a value of their own, named None; null and empty texts have no tokens, no weight and are not kept.
     ``budget_share`` of all tokens are expected in the sample. Whether a row is kept follows from the
     MD5 of its id (a null one: of its text) and ``seed``; rows that repeat an id are kept or left together.
     Cells are pre-aggregated sums. Up to ``collect_rows`` of them are raked in numpy on the driver; more
-    are raked by joins, ``rounds`` times.
+    are raked by joins. Both go on until no margin is off by ``tolerance``, ``rounds`` times at most.
     """
     keys = keys or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col(text_col))}
     names = [f"_{k}" for k in keys]
@@ -106,22 +128,18 @@ def mixed(
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     goals = {}
     for k in keys:
-        given = (targets or {}).get(k)
         own = cells.groupBy(f"_{k}").agg(F.sum("tokens").alias("t"))
-        goal = F.pow(F.col("t") / F.lit(float(max(total, 1))), smoothing)
-        if given is not None:
-            goal = F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(f"_{k}")], F.lit(0.0)).cast("double")
-        goals[f"_{k}"] = own.select(f"_{k}", goal.alias("goal"))
+        own = own.select(f"_{k}", F.pow(F.col("t") / F.lit(float(max(total, 1))), smoothing).alias("goal"))
+        goals[f"_{k}"] = _shares(own, f"_{k}", (targets or {}).get(k))
     if cells.count() <= collect_rows:
         frame = cells.orderBy(*names).toPandas()
         shares = {n: dict(goals[n].toPandas().itertuples(index=False, name=None)) for n in names}
-        w = rake(frame, shares) if len(frame) else np.empty(0)
+        w = rake(frame, shares, rounds, tolerance) if len(frame) else np.empty(0)
         frame["w"], frame["rate"] = w, rates(frame["tokens"].to_numpy(dtype=float), w, budget_share * total)
         rated = docs.sparkSession.createDataFrame(frame.astype({"tokens": "int64"}), ", ".join(f"{n} string" for n in names) + ", tokens long, w double, rate double")
         rated = F.broadcast(rated)
     else:
-        normed = {n: g.crossJoin(g.agg(F.sum("goal").alias("all"))).select(n, (F.col("goal") / F.col("all")).alias("goal")) for n, g in goals.items()}
-        raked = _raked_in_spark(cells, names, normed, rounds)
+        raked = _raked_in_spark(cells, names, goals, rounds, tolerance)
         low, high = 0.0, float(total) * 2.0**60
         for _ in range(80):  # bisect the factor at which the expected tokens meet the budget
             mid = (low + high) / 2 if low else high / 2**20

@@ -70,3 +70,25 @@ def test_mixed(spark):
     by_join = mixed(df, targets={"lang": {"en": 0.8, "de": 0.2}}, collect_rows=0, rounds=12).collect()
     assert np.allclose(sorted(r["probability"] for r in got), sorted(r["probability"] for r in by_join), atol=1e-4)
     assert mixed(df.limit(0)).count() == 0
+
+
+def test_mixed_on_sparse_cells_by_both_paths(spark):
+    rng = random.Random(9)
+    langs = ["en", "de", "fr", "es"]
+    rows = [(i, "word " * rng.randint(20, 60), f"s{i % 12}", langs[i % 12 % 4] if rng.random() < 0.985 else rng.choice(langs)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    ask = dict(rounds=12, keys={"source": F.col("source"), "lang": F.col("lang")}, targets={"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}})
+    one, other = ({r["doc_id"]: (r["weight"], r["probability"]) for r in mixed(df, collect_rows=n, **ask).collect()} for n in (100_000, 0))
+    assert all(np.allclose(one[i], other[i], rtol=1e-5, atol=1e-9) for i in one) and abs(sum(w for w, _ in other.values()) - 1) < 1e-6
+
+
+def test_values_without_a_target_keep_their_smoothed_share(spark):
+    langs = ["en"] * 5 + ["de"] * 3 + ["it", None]
+    df = spark.createDataFrame([(i, "word " * 10, "s", langs[i % 10]) for i in range(1000)], "doc_id long, text string, source string, lang string")
+    own = {k: (langs.count(k) / 10) ** 0.7 for k in set(langs)}
+    rest = {k: own[k] / sum(own.values()) for k in ("it", None)}
+    want = rest | {"en": 0.8 * (1 - sum(rest.values())), "de": 0.2 * (1 - sum(rest.values()))}
+    for limit in (100_000, 0):
+        got = mixed(df, targets={"lang": {"en": 0.8, "de": 0.2}}, collect_rows=limit).collect()
+        for k, share in want.items():
+            assert abs(sum(r["weight"] for r in got if r["lang"] == k) - share) < 1e-6 and any(r["kept"] for r in got if r["lang"] == k)
