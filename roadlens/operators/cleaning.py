@@ -99,11 +99,11 @@ def fill_short(df: DataFrame, col: str, longest: int = 2, strategy: str = "inter
 
     Interpolation in time needs a value on both sides; forward fill one before; ``retain`` fills nothing.
     """
-    w = Window.partitionBy(*keys).orderBy(at)
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # the next value is the last one in backward order: a growing frame, where one that shrinks would be read anew for each row
+    back, on = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(at), F.desc(at)))
     v = F.col(col)
     where = F.when(v.isNotNull(), F.col(at))
-    df = df.withColumns({"_v0": F.last(v, True).over(back), "_t0": F.last(where, True).over(back), "_v1": F.first(v, True).over(on), "_t1": F.first(where, True).over(on), "_no": F.count(v).over(back)})
+    df = df.withColumns({"_v0": F.last(v, True).over(back), "_t0": F.last(where, True).over(back), "_v1": F.last(v, True).over(on), "_t1": F.last(where, True).over(on), "_no": F.count(v).over(back)})
     run = F.sum(F.when(v.isNull(), 1).otherwise(0)).over(Window.partitionBy(*keys, "_no"))
     short = v.isNull() & (run <= longest)
     if strategy == "interpolation":

@@ -14,11 +14,6 @@ def segment_window() -> Window:
     return Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
 
 
-def block_window(block: str = "block") -> Window:
-    """Rows of a block in order. Leads with trip and segment, so one exchange by trip serves all blocks."""
-    return Window.partitionBy("trip_id", "segment_id", block).orderBy("row_in_segment")
-
-
 def quality_valid(signals: Iterable[str]) -> Column:
     """A value is there and its three flags are explicitly false; a null flag is invalid."""
     valid = F.lit(True)
@@ -47,17 +42,44 @@ def ok(signals: Iterable[str]) -> Column:
     return out
 
 
-def local_blocks(df: DataFrame, valid: Column, block: str = "block") -> DataFrame:
-    """``df`` with ``block``, the number of the continuity block inside its segment; null on invalid rows.
+def blocks_of(df: DataFrame, valid: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each named condition, ``<name>``, the number of the continuity block inside its segment, and ``<name>_start``, the row that begins it.
 
-    A row goes on with its predecessor if both are valid, rows differ by one and times by one second.
+    Both are null on rows where the condition is not true. A row goes on with its predecessor if both
+    hold, rows differ by one and times by one second. Blocks are unbroken runs of a segment's rows, so
+    every window over a block is a window over the segment that looks back no further than the block's
+    start: one exchange and one sort serve all blocks of all signals.
     """
-    ok, before = f"{block}_ok", f"{block}_before"
-    df = df.withColumn(ok, F.coalesce(valid, F.lit(False)))
-    df = df.withColumn(before, F.lag(F.struct("row_in_segment", "t", ok)).over(segment_window()))
-    goes_on = F.col(ok) & F.col(before)[ok] & (F.col("row_in_segment") - F.col(before)["row_in_segment"] == 1) & (F.col("t") - F.col(before)["t"] == 1)
-    starts = (F.col(ok) & ~F.coalesce(goes_on, F.lit(False))).cast("int")
-    return df.withColumn(block, F.when(F.col(ok), F.sum(starts).over(segment_window()))).drop(ok, before)
+    w, row, old = segment_window(), F.col("row_in_segment"), df.columns
+    held = {n: f"_{n}_held" for n in valid}
+    df = df.select(*[c for c in old if c not in valid and c not in {f"{n}_start" for n in valid}], *[F.coalesce(v, F.lit(False)).alias(held[n]) for n, v in valid.items()])
+    df = df.withColumn("_before", F.lag(F.struct("row_in_segment", "t", *held.values())).over(w))
+    step = (row - F.col("_before.row_in_segment") == 1) & (F.col("t") - F.col("_before.t") == 1)
+    df = df.withColumns({f"_{n}_begins": F.col(h) & ~F.coalesce(F.col(f"_before.{h}") & step, F.lit(False)) for n, h in held.items()})
+    marks = {f"_{n}_no": F.sum(F.col(f"_{n}_begins").cast("int")).over(w) for n in valid} | {f"_{n}_from": F.max(F.when(F.col(f"_{n}_begins"), row)).over(w) for n in valid}
+    df = df.withColumns(marks)
+    made = [F.when(F.col(held[n]), F.col(f"_{n}_{x}")).alias(out) for n in valid for x, out in (("no", n), ("from", f"{n}_start"))]
+    return df.select(*[c for c in df.columns if not c.startswith("_") or c in old], *made)
+
+
+def local_blocks(df: DataFrame, valid: Column, block: str = "block") -> DataFrame:
+    """``blocks_of`` one condition."""
+    return blocks_of(df, {block: valid})
+
+
+def depth(block: str = "block") -> Column:
+    """Rows of the block before this one; null outside blocks."""
+    return F.col("row_in_segment") - F.col(f"{block}_start")
+
+
+def back(value: Column | str, n: int = 1, block: str = "block") -> Column:
+    """``value`` of the block's row n before; null where the block does not reach so far."""
+    return F.when(depth(block) >= n, F.lag(value, n).over(segment_window()))
+
+
+def ahead(value: Column | str, n: int = 1, block: str = "block") -> Column:
+    """``value`` of the block's row n after; null where the block does not reach so far."""
+    return F.when(F.lead(f"{block}_start", n).over(segment_window()) == F.col(f"{block}_start"), F.lead(value, n).over(segment_window()))
 
 
 def continuity(df: DataFrame, valid: Column) -> DataFrame:
@@ -93,38 +115,53 @@ def continuity(df: DataFrame, valid: Column) -> DataFrame:
 
 def strict_window(n: int, block: str = "block") -> Column:
     """The row is the n-th of its block, or later."""
-    return F.col(block).isNotNull() & (F.row_number().over(block_window(block)) >= n)
+    return F.coalesce(depth(block) >= n - 1, F.lit(False))
 
 
 def strict_span(n: int, block: str = "block") -> Column:
     """The block holds the row n seconds before: n + 1 end points."""
-    return F.col(block).isNotNull() & F.coalesce(F.col("t") - F.lag("t", n).over(block_window(block)) == n, F.lit(False))
+    return F.coalesce(depth(block) >= n, F.lit(False))
 
 
 def neighbourhood(before: int, after: int, block: str = "block") -> Column:
     """The block holds so many rows before and after the row."""
-    w = block_window(block)
-    return F.col(block).isNotNull() & F.lag("t", before).over(w).isNotNull() & F.lead("t", after).over(w).isNotNull()
+    return F.coalesce((depth(block) >= before) & (F.lead(f"{block}_start", after).over(segment_window()) == F.col(f"{block}_start")), F.lit(False))
+
+
+def runs_of(df: DataFrame, conditions: dict[str, Column], block: str = "block") -> DataFrame:
+    """``df`` with, for each named condition, ``<name>_start`` and ``<name>_start_t``: row and time at which the run of true that the row is in began; null elsewhere.
+
+    A run never leaves its block. Runs of all conditions come from one lag and one window.
+    """
+    w, row, old = segment_window(), F.col("row_in_segment"), df.columns
+    held = {n: f"_{n}_held" for n in conditions}
+    df = df.withColumns({held[n]: F.col(block).isNotNull() & F.coalesce(c, F.lit(False)) for n, c in conditions.items()})
+    df = df.withColumn("_before", F.when(depth(block) >= 1, F.lag(F.struct(*held.values())).over(w)))
+    df = df.withColumns({f"_{n}_from": F.max(F.when(F.col(h) & ~F.coalesce(F.col(f"_before.{h}"), F.lit(False)), F.struct(row.alias("row"), F.col("t").alias("t")))).over(w) for n, h in held.items()})
+    made = [F.when(F.col(held[n]), F.col(f"_{n}_from.{x}")).alias(f"{n}_{out}") for n in conditions for x, out in (("row", "start"), ("t", "start_t"))]
+    return df.select(*old, *made)
 
 
 def true_runs(df: DataFrame, condition: Column, run: str = "run", block: str = "block") -> DataFrame:
-    """``df`` with ``run``, the number within the block of the unbroken run of true ``condition``; null elsewhere."""
-    held, w = f"{run}_held", block_window(block)
-    df = df.withColumn(held, F.col(block).isNotNull() & F.coalesce(condition, F.lit(False)))
-    starts = (F.col(held) & ~F.coalesce(F.lag(held).over(w), F.lit(False))).cast("int")
-    return df.withColumn(run, F.when(F.col(held), F.sum(starts).over(w))).drop(held)
+    """``df`` with ``run``, the number within the block of the unbroken run of true ``condition``, and ``run_start``, its first row; null elsewhere."""
+    w, old, start = segment_window(), [c for c in df.columns if c not in (run, f"{run}_start")], F.col(f"{run}_start")
+    df = runs_of(df.select(*old), {run: condition}, block)
+    begins = F.coalesce(start == F.col("row_in_segment"), F.lit(False)).cast("int")
+    df = df.withColumn("_all", F.sum(begins).over(w))
+    df = df.withColumn("_earlier", F.max(F.when(depth(block) == 0, F.col("_all") - begins)).over(w))
+    return df.select(*old, F.when(start.isNotNull(), F.col("_all") - F.col("_earlier")).alias(run), f"{run}_start")
 
 
 def persistence(df: DataFrame, condition: Column, n: int, out: str = "persists", block: str = "block") -> DataFrame:
     """``df`` with ``out``: the condition has held for n samples of the block by now."""
-    df = true_runs(df, condition, "persist_run", block)
-    w = Window.partitionBy("trip_id", "segment_id", block, "persist_run").orderBy("row_in_segment")
-    return df.withColumn(out, F.col("persist_run").isNotNull() & (F.row_number().over(w) >= n)).drop("persist_run")
+    old = [c for c in df.columns if c != out]
+    df = runs_of(df.select(*old), {"_lasting": condition}, block)
+    return df.select(*old, F.coalesce(F.col("row_in_segment") - F.col("_lasting_start") >= n - 1, F.lit(False)).alias(out))
 
 
 def rising_edge(condition: Column, block: str = "block") -> Column:
     """True where the condition turns from false to true inside a block."""
-    return F.col(block).isNotNull() & condition & (F.lag(condition).over(block_window(block)) == F.lit(False))
+    return F.coalesce(F.col(block).isNotNull() & condition & (back(condition, 1, block) == F.lit(False)), F.lit(False))
 
 
 def segment_by_gap(df: DataFrame, seconds: float, order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.functions.physics import maf_residual, pedal_residual
-from roadlens.operators.continuity import KEYS, local_blocks, ok, with_quality
+from roadlens.operators.continuity import KEYS, blocks_of, ok, with_quality
 from roadlens.operators.rolling import rolling_range, rolling_std, slope, span_rate, trapezoid
 
 
@@ -24,7 +24,7 @@ def atomic(df: DataFrame) -> DataFrame:
             "accel_pedal_channel_delta": F.when(pedal, F.abs(F.col("accel_pedal_d") - F.col("accel_pedal_e"))),
         }
     )
-    df = local_blocks(local_blocks(df, F.col("accel_pedal_mean").isNotNull(), "pedal_block"), ok(["rpm"]), "rpm_block")
+    df = blocks_of(df, {"pedal_block": F.col("accel_pedal_mean").isNotNull()} | {f"{s}_block": ok([s]) for s in ("rpm", "maf", "coolant_temp", "intake_temp", "speed", "map")})
     return df.withColumns({"pedal_slope": slope("accel_pedal_mean", "pedal_block"), "rpm_slope": slope("rpm", "rpm_block")})
 
 
@@ -42,8 +42,6 @@ def calibrated(df: DataFrame) -> DataFrame:
 
 def window_features(df: DataFrame, *, span: int = 180, long: int = 120, short: int = 60) -> DataFrame:
     """``df`` (of ``atomic``) with the strict-window features, each on blocks of its own signal; lengths are parameters."""
-    for s in ("maf", "coolant_temp", "intake_temp", "speed", "map"):
-        df = local_blocks(df, ok([s]), f"{s}_block")
     return df.withColumns(
         {
             "maf_integral": trapezoid("maf", span, "maf_block"),

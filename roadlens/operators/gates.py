@@ -34,9 +34,10 @@ def key_differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFr
 
 
 def fingerprint(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Order-free identity of a table's keys: count, sum and exclusive or of a hash per row."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("rows"), F.sum(h).alias("sum"), F.bit_xor(h).alias("xor"))
+    """Order-free identity of a table's keys: count, and sum and exclusive or of two independent 60-bit hashes per row. A null key hashes as the text \\N."""
+    text = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys]))
+    h = [F.conv(F.substring(text, at, 15), 16, 10).cast("long") for at in (1, 17)]
+    return df.agg(F.count("*").alias("rows"), *[F.sum(x.cast("decimal(38,0)")).cast("string").alias(f"sum{i}") for i, x in enumerate(h)], *[F.bit_xor(x).alias(f"xor{i}") for i, x in enumerate(h)])
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -48,14 +49,13 @@ def join_one_to_one(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFr
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, tolerance: int) -> DataFrame:
     """``left`` (by, id, t) with the row of ``right`` (by, r_id, r_t) nearest in time within ``tolerance``; the earlier one on a tie.
 
-    A union in time order finds both neighbours in one window, so no pair is made that is not kept.
+    A union in time order finds both neighbours, so no pair is made that is not kept. The one after comes
+    from backward order: its frame grows by a row, where one that shrinks would be read anew for each row.
     """
     u = left.select(by, "t", "id", F.lit(None).cast("long").alias("r_id")).unionByName(right.select(by, F.col("r_t").alias("t"), F.lit(None).cast("long").alias("id"), "r_id"))
-    w = Window.partitionBy(by).orderBy("t")
+    past, to_come = (Window.partitionBy(by).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("t"), F.desc("t")))
     seen = F.when(F.col("r_id").isNotNull(), F.struct("t", "r_id"))
-    before = F.last(seen, True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(seen, True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    u = u.withColumns({"b": before, "a": after}).where("id is not null")
+    u = u.withColumns({"b": F.last(seen, True).over(past), "a": F.last(seen, True).over(to_come)}).where("id is not null")
     u = u.withColumns({"db": F.col("t") - F.col("b.t"), "da": F.col("a.t") - F.col("t")})
     first = F.col("db").isNotNull() & (F.col("da").isNull() | (F.col("db") <= F.col("da")))
     d = F.when(first, F.col("db")).otherwise(F.col("da"))

@@ -5,41 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.operators.continuity import segment_window, block_window
+from roadlens.operators.continuity import back, depth, segment_window
 
 
 def _full(n: int, block: str, value: Column) -> Column:
-    """``value`` from the block's n-th row on: a rank, which costs less than a count over each frame."""
-    return F.when(F.col(block).isNotNull() & (F.row_number().over(block_window(block)) >= n), value)
+    """``value`` over the last n rows of the segment, which are the block's own from its n-th row on."""
+    return F.when(depth(block) >= n - 1, value)
 
 
 def rolling_std(col: str, n: int, block: str = "block") -> Column:
     """Sample standard deviation of the last n samples of the block; null before the n-th."""
-    return _full(n, block, F.stddev_samp(col).over(block_window(block).rowsBetween(-(n - 1), 0)))
+    return _full(n, block, F.stddev_samp(col).over(segment_window().rowsBetween(-(n - 1), 0)))
 
 
 def rolling_range(col: str, n: int, block: str = "block") -> Column:
-    w = block_window(block).rowsBetween(-(n - 1), 0)
+    w = segment_window().rowsBetween(-(n - 1), 0)
     return _full(n, block, F.max(col).over(w) - F.min(col).over(w))
 
 
 def slope(col: str, block: str = "block") -> Column:
     """First difference over elapsed seconds inside the block."""
-    w = block_window(block)
-    return F.when(F.col(block).isNotNull(), (F.col(col) - F.lag(col).over(w)) / (F.col("t") - F.lag("t").over(w)))
+    return (F.col(col) - back(col, 1, block)) / (F.col("t") - back("t", 1, block))
 
 
 def trapezoid(col: str, seconds: int = 180, block: str = "block") -> Column:
     """Integral over the last ``seconds``, of seconds + 1 end points of one block."""
-    w = block_window(block)
-    whole = F.sum(col).over(w.rowsBetween(-seconds, 0)) - (F.col(col) + F.lag(col, seconds).over(w)) / 2
-    return F.when(F.col(block).isNotNull() & (F.col("t") - F.lag("t", seconds).over(w) == seconds), whole)
+    return _full(seconds + 1, block, F.sum(col).over(segment_window().rowsBetween(-seconds, 0)) - (F.col(col) + F.lag(col, seconds).over(segment_window())) / 2)
 
 
 def span_rate(col: str, seconds: int = 180, block: str = "block") -> Column:
     """Change over the last ``seconds``, per minute."""
-    w = block_window(block)
-    return F.when(F.col(block).isNotNull() & (F.col("t") - F.lag("t", seconds).over(w) == seconds), (F.col(col) - F.lag(col, seconds).over(w)) / (seconds / 60))
+    return (F.col(col) - back(col, seconds, block)) / (seconds / 60)
 
 
 def centred_mean(col: str, reach: int = 1) -> Column:
@@ -68,9 +64,9 @@ def forward_fill(col: str) -> Column:
 def interpolate_both(col: str) -> Column:
     """Linear by position between the values about a null; the nearest value at both ends of a segment."""
     row = F.when(F.col(col).isNotNull(), F.col("row_in_segment"))
-    back, on = segment_window().rowsBetween(Window.unboundedPreceding, 0), segment_window().rowsBetween(0, Window.unboundedFollowing)
-    v0, r0 = F.last(col, ignorenulls=True).over(back), F.last(row, ignorenulls=True).over(back)
-    v1, r1 = F.first(col, ignorenulls=True).over(on), F.first(row, ignorenulls=True).over(on)
+    # the next value is the last one in backward order: a growing frame, where one that shrinks would be read anew for each row
+    past, to_come = segment_window(), Window.partitionBy("trip_id", "segment_id").orderBy(F.desc("row_in_segment"))
+    v0, r0, v1, r1 = (F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (past, to_come) for x in (col, row))
     between = v0 + (v1 - v0) * (F.col("row_in_segment") - r0) / (r1 - r0)
     return F.coalesce(col, between, v0, v1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.operators.continuity import KEYS, local_blocks, ok, persistence
+from roadlens.operators.continuity import KEYS, ahead, back, depth, local_blocks, ok, persistence, runs_of, segment_window
 
 
 def cond_where(eligible: Column, condition: Column) -> Column:
@@ -17,7 +17,7 @@ def cond_where(eligible: Column, condition: Column) -> Column:
 
 
 def rule_state(df: DataFrame, limits: dict | None = None) -> DataFrame:
-    """Keys, ``t``, ``block`` and, for each rule, eligibility and conditions as nullable booleans; ``df`` has all features and states.
+    """Keys, ``t``, ``block`` with its start, ``intake_temp`` and, for each rule, eligibility and conditions as nullable booleans; ``df`` has all features and states.
 
     Rule 1-S2 asks for the ambient limit on every sample, as it is computed, not only where a window starts.
     """
@@ -65,7 +65,7 @@ def rule_state(df: DataFrame, limits: dict | None = None) -> DataFrame:
         cond_where(q(["intake_temp"]), c("intake_temp") > m["s4s3_high"]).alias("s4s3_above"),
         yes(post & high & q(["map", "accel_pedal_d", "accel_pedal_e"])).alias("s5s1_domain"),
     ]
-    return df.select(*KEYS, "t", "block", *out)
+    return df.select(*KEYS, "t", "block", "block_start", "intake_temp", *out)
 
 
 def column(rule: str, kind: str) -> str:
@@ -73,27 +73,34 @@ def column(rule: str, kind: str) -> str:
 
 
 def episodes(state: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Runs of each rule's eligible, context and condition columns, by (rule_id, kind): one islands pass over the true cells only.
+    """Runs of each rule's eligible, context and condition columns, by (rule_id, kind), a row each.
 
-    Duration is the number of samples, the elapsed span one less. A run never leaves its block.
+    Duration is the number of samples, the elapsed span one less. A run never leaves its block. Each
+    sample knows where its runs began, and the last sample of a run gives the row: no cell is dealt out
+    or sorted again.
     """
     rules = rules or k.DURATION_RULES
-    cells = []
+    held, kinds_of = {}, {}
     for rule, (kinds, opportunity, *_ ) in rules.items():
         specs = [("eligible", None), *(((kind, seconds)) for kind, _, seconds in kinds)] + ([("context", None)] if opportunity.endswith("context") else [])
         for kind, seconds in specs:
-            held = F.coalesce(F.col(column(rule, kind)), F.lit(False))
-            if kind not in ("eligible", "context"):
-                held = held & F.coalesce(F.col(column(rule, "eligible")), F.lit(False))
-            cells.append(F.when(held, F.struct(F.lit(rule).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(seconds).cast("double").alias("required_s"))))
-    long = state.where("block is not null").select(*KEYS, "t", "block", F.explode(F.array_compact(F.array(*cells))).alias("s")).select(*KEYS, "t", "block", "s.*")
-    w = Window.partitionBy("trip_id", "segment_id", "block", "rule_id", "kind").orderBy("row_in_segment")
-    long = long.withColumn("island", F.col("row_in_segment") - F.row_number().over(w))
-    out = long.groupBy("trip_id", "segment_id", "block", "rule_id", "kind", "required_s", "island").agg(
-        F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min("row_in_segment").alias("start_row"), F.max("row_in_segment").alias("end_row"), F.count("*").alias("samples")
-    )
-    n = F.col("samples").cast("double")
-    return out.drop("island").withColumns({"duration_s": n, "span_s": n - 1, "meets": n >= F.col("required_s"), "margin_s": n - F.col("required_s")})
+            name, flag = f"_e{len(held)}", F.coalesce(F.col(column(rule, kind)), F.lit(False))
+            held[name] = flag if kind in ("eligible", "context") else flag & F.coalesce(F.col(column(rule, "eligible")), F.lit(False))
+            kinds_of[name] = (rule, kind, seconds)
+    df = runs_of(state, held).select(*KEYS, "t", "block", *[f"{n}_{x}" for n in held for x in ("start", "start_t")])
+    df = df.withColumn("_next", F.lead(F.struct(*[f"{n}_start" for n in held])).over(segment_window()))
+    cells = []
+    for n, (rule, kind, seconds) in kinds_of.items():
+        start = F.col(f"{n}_start")
+        last = start.isNotNull() & ~start.eqNullSafe(F.col(f"_next.{n}_start"))
+        cells.append(F.when(last, F.struct(F.lit(rule).alias("rule_id"), F.lit(kind).alias("kind"), F.lit(seconds).cast("double").alias("required_s"), F.col(f"{n}_start_t").alias("start_t"), start.alias("start_row"))))
+    out = df.select("trip_id", "segment_id", "block", F.col("t").alias("end_t"), F.col("row_in_segment").alias("end_row"), F.explode(F.array_compact(F.array(*cells))).alias("s"))
+    samples = F.col("end_row") - F.col("s.start_row") + 1
+    n = samples.cast("double")
+    return out.select(
+        "trip_id", "segment_id", "block", "s.rule_id", "s.kind", "s.required_s", "s.start_t", "end_t", "s.start_row", "end_row", samples.cast("long").alias("samples"),
+        n.alias("duration_s"), (n - 1).alias("span_s"), (n >= F.col("s.required_s")).alias("meets"), (n - F.col("s.required_s")).alias("margin_s"),
+    )
 
 
 def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = None) -> DataFrame:
@@ -170,12 +177,11 @@ def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = No
     )
 
 
-def range_decisions(state: DataFrame, samples: DataFrame, limits: dict | None = None) -> DataFrame:
+def range_decisions(state: DataFrame, limits: dict | None = None) -> DataFrame:
     """4-S3: one row a trip; below the range goes before above; the margin is the worst excess."""
     m = k.LIMITS | (limits or {})
-    df = state.select(*KEYS, "s4s3_below", "s4s3_above").join(samples.select(*KEYS, "intake_temp"), list(KEYS))
     low, high = F.coalesce("s4s3_below", F.lit(False)), F.coalesce("s4s3_above", F.lit(False))
-    a = df.groupBy("trip_id").agg(
+    a = state.groupBy("trip_id").agg(
         F.max(F.when(low, m["s4s3_low"] - F.col("intake_temp"))).alias("low"),
         F.max(F.when(high, F.col("intake_temp") - m["s4s3_high"])).alias("high"),
         F.count("s4s3_below").alias("n"),
@@ -197,11 +203,10 @@ def pedal_events(df: DataFrame, steps: dict | None = None, no_response: dict | N
     c = F.col
     look = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c("child_state"))
     df = local_blocks(df, F.lit(True), "block")
-    w = Window.partitionBy("trip_id", "segment_id", "block").orderBy("row_in_segment")
     press = F.when(ok(["map"]), c("map"))
-    base = F.lag(press).over(w)
-    response = F.greatest(*[F.abs((press if o == 0 else F.lead(press, o).over(w)) - base) for o in range(3)])
-    df = df.withColumns({"complete": F.lag("t").over(w).isNotNull() & F.lead("t", 2).over(w).isNotNull(), "baseline_map": base, "response": response, "step": look(steps)})
+    base = back(press)
+    response = F.greatest(*[F.abs((press if o == 0 else ahead(press, o)) - base) for o in range(3)])
+    df = df.withColumns({"complete": (depth() >= 1) & ahead("t", 2).isNotNull(), "baseline_map": base, "response": response, "step": look(steps)})
     df = df.where("child_state is not null and step is not null").where(F.abs(c("pedal_slope")) >= c("step"))
     df = df.withColumn("bin", F.when(F.abs(c("pedal_slope")) >= (look(split) if split else F.lit(None).cast("double")), "hi").otherwise("lo"))
     limit = F.when(c("bin") == "lo", look({s: float("nan") if a is None else a for s, (a, _) in no_response.items()})).otherwise(look({s: b for s, (_, b) in no_response.items()}))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.operators.continuity import KEYS, local_blocks, quality_valid, segment_window
+from roadlens.operators.continuity import KEYS, back, local_blocks, quality_valid, segment_window, true_runs
 from roadlens.operators.rolling import segment_gaps
 
 
@@ -20,10 +20,7 @@ def start_episodes(df: DataFrame) -> DataFrame:
     """
     valid = quality_valid(["rpm"])
     df = local_blocks(df, valid, "block").withColumn("on", F.col("block").isNotNull() & (F.col("rpm") >= k.ENGINE_ON_RPM))
-    w = Window.partitionBy("trip_id", "segment_id", "block").orderBy("row_in_segment")
-    df = df.withColumn("edge", F.col("on") & (F.lag("on").over(w) == F.lit(False)))
-    starts = (F.col("on") & ~F.coalesce(F.lag("on").over(w), F.lit(False))).cast("int")
-    df = df.withColumn("run", F.when(F.col("on"), F.sum(starts).over(w)))
+    df = true_runs(df.withColumn("edge", F.col("on") & (back("on") == F.lit(False))), F.col("on"))
     df = df.withColumn("next", F.lead(F.struct("block", F.col("block").isNotNull().alias("ok"))).over(segment_window()))
     first = F.min_by(F.col("block").isNotNull(), "row_in_segment").alias("first_ok")
     order = Window.orderBy("start", "trip_id", "segment_id")  # a row a segment
@@ -68,12 +65,11 @@ def cold_start(df: DataFrame, gap_s: float = 21_600.0, iat_limit: float = 7.0, e
     """
     gaps = segment_gaps(df)
     df = local_blocks(df, F.lit(True), "block")
-    w = Window.partitionBy("trip_id", "segment_id", "block").orderBy("row_in_segment")
-    edge = (F.col("rpm") >= k.ENGINE_ON_RPM) & (F.lag("rpm").over(w) < k.ENGINE_ON_RPM)
-    whole = Window.partitionBy("trip_id", "segment_id", "block")
+    edge = (F.col("rpm") >= k.ENGINE_ON_RPM) & (back("rpm") < k.ENGINE_ON_RPM)
+    whole = Window.partitionBy("trip_id", "segment_id")
     ok = quality_valid(["coolant_temp", "ambient_temp", "intake_temp"])
     df = df.withColumn("edge", edge)
-    df = df.withColumns({"later_start": F.min(F.when(F.col("edge"), F.col("row_in_segment"))).over(whole), "ok": ok, "first": F.min("row_in_segment").over(Window.partitionBy("trip_id", "segment_id"))})
+    df = df.withColumns({"later_start": F.min(F.when(F.col("edge") & (F.col("block") == 1), F.col("row_in_segment"))).over(whole), "ok": ok, "first": F.min("row_in_segment").over(whole)})
     df = df.where("row_in_segment = first").join(gaps, ["trip_id", "segment_id"])
     ect, iat = F.col("coolant_temp") - F.col("ambient_temp"), F.col("intake_temp") - F.col("ambient_temp")
     reason = (

@@ -108,7 +108,7 @@ STATE = _state_sql()
 
 @query(with_ticks(STATE) + "SELECT * EXCLUDE (intake_temp) FROM rs")
 def d10_d20_rule_state(spark, sf_dir):
-    return state(spark, sf_dir)
+    return state(spark, sf_dir).drop("block_start", "intake_temp")
 
 
 def _episodes_sql() -> str:
@@ -188,7 +188,7 @@ _RANGE = """rd AS (SELECT trip_id, '4-S3' AS sub_check_id, CASE WHEN count(*) FI
 
 @query(with_ticks(STATE, _RANGE) + "SELECT * FROM rd")
 def d25_range_decision(spark, sf_dir):
-    return r.range_decisions(state(spark, sf_dir), ticks(spark, sf_dir), LIMITS)
+    return r.range_decisions(state(spark, sf_dir), LIMITS)
 
 
 _EVENTS = f"""{named_blocks({"block": "TRUE"}, "prod", "sb")},
@@ -236,7 +236,7 @@ _ALL = """alld AS (SELECT trip_id, sub_check_id, result_state, decision_role, dt
 
 def all_decisions(spark, sf_dir):
     extra = lambda df, code: df.select("trip_id", "sub_check_id", "result_state").withColumns({"decision_role": F.lit("verdict"), "dtc_candidate": F.lit(code)})
-    ranges = r.range_decisions(state(spark, sf_dir), ticks(spark, sf_dir), LIMITS)
+    ranges = r.range_decisions(state(spark, sf_dir), LIMITS)
     main = decisions(spark, sf_dir).select("trip_id", "sub_check_id", "result_state", "decision_role", "dtc_candidate")
     return r.stack([main, extra(ranges, "P0112"), extra(step_decisions(spark, sf_dir), "P0106")])
 
