@@ -181,7 +181,7 @@ class Labeller:
                 kept: dict = {}
                 logit, states = self._logits(x, mask, kept)
                 d = ((sigmoid(logit) - y) * mask / mask.sum()).astype(np.float32)
-                grads = bidirectional_back("lstm", self.w, d[..., None] * self.w["out"][:, 0], x, mask, kept)
+                grads, _ = bidirectional_back("lstm", self.w, d[..., None] * self.w["out"][:, 0], x, mask, kept)
                 flat = d.reshape(-1)
                 grads |= {"out": (states.reshape(len(flat), -1).T @ flat)[:, None], "direct": (x.reshape(len(flat), -1).T @ flat)[:, None], "bias": flat.sum(keepdims=True)}
                 adam.update(self.w, grads)

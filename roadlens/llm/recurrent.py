@@ -56,8 +56,8 @@ def run(kind: str, ax: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list
     return out
 
 
-def back(kind: str, dout: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, mask: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients of (wx, wh, bias) for ``dout``, the gradient of the states."""
+def back(kind: str, dout: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, mask: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of (wx, wh, bias, x) for ``dout``, the gradient of the states."""
     n, t, hidden = dout.shape
     da = np.zeros((n, t, wh.shape[1]), np.float32)
     dwh = np.zeros_like(wh)
@@ -84,7 +84,7 @@ def back(kind: str, dout: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndar
             dc = dc * (1 - m) + dcell * f
             dh = stay + du @ wh.T
     flat = da.reshape(n * t, -1)
-    return x.reshape(n * t, -1).T @ flat, dwh, flat.sum(axis=0)
+    return x.reshape(n * t, -1).T @ flat, dwh, flat.sum(axis=0), da @ wx.T
 
 
 def bidirectional(kind: str, w: dict, x: np.ndarray, mask: np.ndarray, kept: dict | None = None) -> np.ndarray:
@@ -94,12 +94,13 @@ def bidirectional(kind: str, w: dict, x: np.ndarray, mask: np.ndarray, kept: dic
     return np.concatenate([f, r[:, ::-1]], axis=2)
 
 
-def bidirectional_back(kind: str, w: dict, dout: np.ndarray, x: np.ndarray, mask: np.ndarray, kept: dict) -> dict:
+def bidirectional_back(kind: str, w: dict, dout: np.ndarray, x: np.ndarray, mask: np.ndarray, kept: dict) -> tuple[dict, np.ndarray]:
+    """Gradients by name of weight, and that of the inputs."""
     hidden = w["fh"].shape[0]
     g = {}
-    g["fx"], g["fh"], g["fb"] = back(kind, dout[:, :, :hidden], x, w["fx"], w["fh"], mask, kept["f"])
-    g["rx"], g["rh"], g["rb"] = back(kind, dout[:, ::-1, hidden:], x[:, ::-1], w["rx"], w["rh"], mask[:, ::-1], kept["r"])
-    return g
+    g["fx"], g["fh"], g["fb"], forward = back(kind, dout[:, :, :hidden], x, w["fx"], w["fh"], mask, kept["f"])
+    g["rx"], g["rh"], g["rb"], reverse = back(kind, dout[:, ::-1, hidden:], x[:, ::-1], w["rx"], w["rh"], mask[:, ::-1], kept["r"])
+    return g, forward + reverse[:, ::-1]
 
 
 class Adam:

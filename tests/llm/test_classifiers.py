@@ -23,11 +23,13 @@ def test_gradients_like_differences():
         mask[1, 3:] = 0
         kept = {}
         bidirectional(kind, w, x, mask, kept)
-        g = bidirectional_back(kind, w, weight.astype(np.float32), x, mask, kept)
+        g, dx = bidirectional_back(kind, w, weight.astype(np.float32), x, mask, kept)
         for name, value in w.items():
             at = tuple(rng.integers(s) for s in value.shape)
             up, down = (bidirectional(kind, w | {name: value + e * (np.indices(value.shape) == np.array(at).reshape(-1, *[1] * value.ndim)).all(axis=0)}, x, mask) for e in (1e-2, -1e-2))
             assert abs(((up - down) * weight).sum() / 2e-2 - g[name][at]) < 0.02 * (1 + abs(g[name][at])), (kind, name)
+        up, down = (bidirectional(kind, w, x + e * (np.arange(x.size).reshape(x.shape) == 17), mask) for e in (1e-2, -1e-2))
+        assert abs(((up - down) * weight).sum() / 2e-2 - dx.ravel()[17]) < 0.02 * (1 + abs(dx.ravel()[17]))
 
 
 def test_windows_cover_every_word():
