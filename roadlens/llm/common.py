@@ -16,20 +16,36 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-roadlens-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def bytes_of(df: DataFrame, *columns: str) -> int:
+    """Bytes of the text of ``columns`` over all of ``df``: what a broadcast of it would hold, besides some 50 bytes a row."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in columns), F.lit(50).cast("long"))
+    return int(df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

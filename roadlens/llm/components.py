@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import written
+from roadlens.llm.common import discard, written
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b), root being the smallest node it can reach.
 
     Links may repeat, run either way or join a node with itself; null ends are ignored. An empty
-    table gives none. Each round writes its links to the shared folder, and the driver sees only
+    table gives none. Each round writes its links to the shared folder in the place of the last ones, and the driver sees only
     a count and a checksum; a node of many links is never collected: minima are pre-aggregated
     and the joins can be split.
     """
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = _nearest(large)
         small = large.join(near, large.u == F.col("n")).select(F.col("v").alias("x"), F.col("m").alias("y"))
         small = small.where("x <> y").unionByName(near.where("n <> m").select(F.col("n").alias("x"), F.col("m").alias("y")))
-        e = written(small.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links")
+        last, e = e, written(small.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links")
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -1,22 +1,22 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through a Gray-order hierarchical index.
 
-The index's uppermost nodes are masked bit patterns. The 64 bits fall into 8 bytes; fingerprints
-that differ in ``radius`` bits agree in at least ``8 - radius`` whole bytes, so the nodes are the
-patterns of each choice of ``8 - radius`` bytes. All fingerprints below such a node share its
-masked bits, and so differ by nothing there: there are at most ``2 ** (8 * radius)`` of them,
-whatever the corpus. Spark deals the nodes out; inside each, fingerprints are sorted by Gray rank,
-runs of neighbours are folded into upper nodes that hold the bits their members share, and a search
-leaves out each group whose accumulated differences exceed the radius.
+Fingerprints are sorted by Gray rank, so that neighbours in the order share long runs of bits, and dealt
+out by ranges of it. Each range is a node of the index: the masked bit pattern that all below it share.
+Runs of ranges are folded into upper nodes, and inside a range runs of fingerprints into lower ones. A
+search goes down from the top, adds up the bits in which the fingerprint differs from what a node's
+members share, and leaves out each group whose accumulated differences exceed the radius. The upper
+nodes, one for some 65,536 fingerprints, are known to every task; a fingerprint goes to its own range and
+to those later ones that the upper nodes do not rule out.
 
 Texts of a given shingle similarity, which differ in too many of 64 bits, are found by ``deduplicated``:
-longer fingerprints, more and finer masked blocks, and an exact comparison of shingles.
+longer fingerprints, many narrow masked blocks as uppermost nodes, and an exact comparison of shingles.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from roadlens.llm.common import LOWER, UPPER, roots_of, whole_keys, written
+from roadlens.llm.common import LOWER, UPPER, bytes_of, roots_of, whole_keys, written
 from roadlens.llm.components import components
 
 _TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -71,62 +71,121 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gray_links(prints: np.ndarray, radius: int, fan: int = 8, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of the distinct ``prints`` (uint64) that differ in 1 to ``radius`` bits, found by a tree over their Gray order."""
-    order = np.argsort(gray_rank(prints), kind="stable")
-    leaves = prints[order]
-    levels = [(leaves, np.full(len(leaves), ~np.uint64(0)))]  # (pattern, mask of the bits that all members share)
-    while len(levels[-1][0]) > fan:
-        pattern, mask = levels[-1]
-        starts = np.arange(0, len(pattern), fan)
-        ones = np.bitwise_and.reduceat(pattern & mask, starts)
-        zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
-        levels.append((ones, ones | zeros))
-    a, b = [], []
-    for lo in range(0, len(leaves), block):
-        q = np.arange(lo, min(lo + block, len(leaves)))
-        at = np.tile(np.arange(len(levels[-1][0])), len(q))
-        q = np.repeat(q, len(levels[-1][0]))
-        for depth in range(len(levels) - 1, -1, -1):
-            pattern, mask = levels[depth]
-            reach = ((at + 1) * fan**depth) > q  # only partners that come later
-            q, at = q[reach], at[reach]
-            near = np.bitwise_count((leaves[q] ^ pattern[at]) & mask[at]) <= radius
-            q, at = q[near], at[near]
-            if depth:
-                below = len(levels[depth - 1][0])
-                q = np.repeat(q, fan)
-                at = (at[:, None] * fan + np.arange(fan)).ravel()
-                q, at = q[at < below], at[at < below]
-        later = at > q
-        a.append(order[q[later]])
-        b.append(order[at[later]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def similar_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of column ``fp`` (long) that connect just what differing in ``radius`` bits or fewer connects."""
-    nodes = []
-    for kept in combinations(range(8), 8 - radius):
-        mask = sum(0xFF << (8 * i) for i in kept)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        nodes.append(F.struct(F.lit(len(nodes)).alias("table"), F.col("fp").bitwiseAND(F.lit(mask)).alias("pattern")))
-    dealt = prints.select("fp", F.explode(F.array(*nodes)).alias("node")).select(F.xxhash64("node").alias("node"), "fp")
+class GrayTree:
+    """Nodes (pattern, mask of the bits that all below share), in Gray order, under upper nodes of ``fan`` each."""
+
+    def __init__(self, pattern: np.ndarray, mask: np.ndarray, fan: int = 8):
+        self.levels, self.fan = [(pattern, mask)], fan
+        while len(self.levels[-1][0]) > fan:
+            pattern, mask = self.levels[-1]
+            starts = np.arange(0, len(pattern), fan)
+            ones = np.bitwise_and.reduceat(pattern & mask, starts)
+            zeros = np.bitwise_and.reduceat(~pattern & mask, starts)
+            self.levels.append((ones, ones | zeros))
+
+    def search(self, prints: np.ndarray, radius: int, after: np.ndarray | None = None, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(index of a print, leaf) for each leaf whose members can be within ``radius`` of it; of leaves past ``after`` only, where that is given."""
+        a, b, fan = [np.empty(0, np.int64)], [np.empty(0, np.int64)], self.fan
+        for lo in range(0, len(prints), block):
+            q = np.arange(lo, min(lo + block, len(prints)))
+            at = np.tile(np.arange(len(self.levels[-1][0])), len(q))
+            q = np.repeat(q, len(self.levels[-1][0]))
+            for depth in range(len(self.levels) - 1, -1, -1):
+                pattern, mask = self.levels[depth]
+                if after is not None:
+                    reach = (at + 1) * fan**depth - 1 > after[q]
+                    q, at = q[reach], at[reach]
+                near = np.bitwise_count((prints[q] ^ pattern[at]) & mask[at]) <= radius
+                q, at = q[near], at[near]
+                if depth:
+                    below = len(self.levels[depth - 1][0])
+                    q = np.repeat(q, fan)
+                    at = (at[:, None] * fan + np.arange(fan)).ravel()
+                    q, at = q[at < below], at[at < below]
+            a.append(q)
+            b.append(at)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def gray_leaves(prints: np.ndarray) -> GrayTree:
+    """The tree over single ``prints`` (uint64); its leaves are in Gray order."""
+    leaves = prints[np.argsort(gray_rank(prints), kind="stable")]
+    return GrayTree(leaves, np.full(len(leaves), ~np.uint64(0)))
+
+
+def gray_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the distinct ``prints`` (uint64) that differ in 1 to ``radius`` bits."""
+    tree = gray_leaves(prints)
+    leaves = tree.levels[0][0]
+    i, j = tree.search(leaves, radius, after=np.arange(len(leaves)))
+    return leaves[i], leaves[j]
+
+
+def _gray_order(fp: Column) -> Column:
+    """A signed long that sorts as the Gray rank of ``fp`` does unsigned."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts, ends in whole_keys(batches, "node"):
-            fp = frame["fp"].to_numpy()
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                own = fp[s:e]
-                root = roots_of(len(own), *gray_links(own.view(np.uint64), radius))
-                moved = np.flatnonzero(root != np.arange(len(own)))
-                a.append(own[moved])
-                b.append(own[root[moved]])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.repartition("node").sortWithinPartitions("node", "fp").mapInPandas(search, "a long, b long").distinct()
+def _spanning_links(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """A spanning set of the links between places a and b of ``names``."""
+    root = roots_of(len(names), a, b)
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"a": names[moved].view(np.int64), "b": names[root[moved]].view(np.int64)})
+
+
+def similar_fingerprints(prints: DataFrame, radius: int = 2, members: int = 65_536, least: int = 1024) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of column ``fp`` (long) that connect just what differing in ``radius`` bits or fewer connects.
+
+    A range of the Gray order holds about ``members`` fingerprints, and fewer, down to ``least``, where that
+    gives each task a range. The driver sees a range's node only: 24 bytes for all of its members. A task
+    holds the fingerprints of one range; those that visit it pass by in batches.
+    """
+    spark, n = prints.sparkSession, prints.count()
+    ranges = max(1, -(-n // members), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // least))
+    ranged = prints.select("fp", _gray_order(F.col("fp")).alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().alias("range"))
+    ranged = written(ranged, "gray-order")
+    nodes = ranged.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("range").toPandas()
+    numbers = nodes["range"].to_numpy(dtype=np.int64)
+    ones, some = (nodes[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("ones", "any"))
+    upper = spark.sparkContext.broadcast((numbers, GrayTree(ones, ~(ones ^ some))))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, tree = upper.value
+        for batch in batches:
+            fp, own = batch["fp"].to_numpy(), batch["range"].to_numpy()
+            q, at = tree.search(fp.view(np.uint64), radius, after=np.searchsorted(numbers, own))
+            yield pd.DataFrame({"range": np.r_[own, numbers[at]], "away": np.r_[np.zeros(len(fp), bool), np.ones(len(q), bool)], "fp": np.r_[fp, fp[q]]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, tree = None, [], None
+        for batch in batches:
+            key, away, fp = batch["range"].to_numpy(), batch["away"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (away[1:] != away[:-1])]) if len(key) else []
+            for s, e in zip(starts, [*starts[1:], len(key)]):
+                if key[s] != now:
+                    if held and tree is None:
+                        yield _own_links(gray_leaves(np.concatenate(held)), radius)
+                    now, held, tree = key[s], [], None
+                if not away[s]:
+                    held.append(fp[s:e])
+                    continue
+                if tree is None:
+                    tree = gray_leaves(np.concatenate(held))
+                    yield _own_links(tree, radius)
+                q, at = tree.search(fp[s:e], radius)
+                yield _spanning_links(np.r_[fp[s:e], tree.levels[0][0]], q, at + (e - s))
+        if held and tree is None:
+            yield _own_links(gray_leaves(np.concatenate(held)), radius)
+
+    dealt = ranged.mapInPandas(deal, "range int, away boolean, fp long").repartition(ranges, "range").sortWithinPartitions("range", "away")
+    return dealt.mapInPandas(search, "a long, b long").distinct()
+
+
+def _own_links(tree: GrayTree, radius: int) -> pd.DataFrame:
+    leaves = tree.levels[0][0]
+    return _spanning_links(leaves, *tree.search(leaves, radius, after=np.arange(len(leaves))))
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -177,20 +236,52 @@ def long_print(hashes: np.ndarray, block: int = 20_000) -> np.ndarray:
 
 
 def set_print(text: Column, shingle: int) -> Column:
-    """(sh, bits): a hash of the text's shingle set, zero where it is empty, and its ``long_print``."""
+    """(sh, w0, w1, ...): a hash of the text's shingle set, zero where it is empty, and the words of its ``long_print``."""
 
-    @pandas_udf("sh long, bits binary")
+    @pandas_udf("sh long, " + ", ".join(f"w{i} long" for i in range(PRINT_WORDS)))
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            sets = [shingle_set(t, shingle) for t in s]
-            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in sets], dtype=np.uint64)
-            yield pd.DataFrame({"sh": keys.view(np.int64), "bits": [long_print(x).tobytes() for x in sets]})
+            keys, words = np.zeros(len(s), np.uint64), np.zeros((len(s), PRINT_WORDS), np.uint64)
+            for i, t in enumerate(s):
+                own = shingle_set(t, shingle)
+                if len(own):
+                    keys[i], words[i] = xxhash.xxh64_intdigest(own.tobytes(), 42), long_print(own)
+            yield pd.DataFrame({"sh": keys.view(np.int64)} | {f"w{i}": words[:, i].view(np.int64) for i in range(PRINT_WORDS)})
 
     return of(text)
 
 
-def close_pairs(words: np.ndarray, ends: np.ndarray, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j < ``ends[i]`` whose ``words`` differ in ``radius`` bits or fewer, and in ``first_radius`` within the first word; with their distance."""
+def nodes(classes: DataFrame, tables: range, *more: str) -> DataFrame:
+    """(node, sh, x0, ..., x3 and ``more``) for each of ``tables``: the masked pattern, 14 bits of one 16-bit block of the long fingerprint, and a third of it that changes with the block."""
+    third = PRINT_WORDS // 3
+    cells = []
+    for t in tables:
+        block = F.shiftrightunsigned(F.col(f"w{t // 4}"), 16 * (t % 4)).bitwiseAND(F.lit(0x3FFF))
+        cells.append(F.struct((block + F.lit(t << 14)).alias("node"), *[F.col(f"w{t % 3 * third + i}").alias(f"x{i}") for i in range(third)]))
+    return classes.select("sh", *more, F.explode(F.array(*cells)).alias("c")).select("c.node", "sh", *[f"c.x{i}" for i in range(third)], *more)
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}x{i}").bitwiseXOR(F.col(f"{b}x{i}"))) for i in range(PRINT_WORDS // 3)), F.lit(0))
+
+
+def star_pairs(classes: DataFrame, radius: int, dense: int = 32, tables: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
+    """(a, b): in each node of at least ``dense`` members the one of the smallest key, its leader, with each member near it.
+
+    Leaders come from a pre-aggregated minimum, so a node that holds a third of all rows costs no more than
+    its rows. Leaders are broadcast up to ``broadcast_rows`` (48 bytes each) and joined by shuffle beyond.
+    """
+    narrow = nodes(classes, range(tables))
+    words = [f"x{i}" for i in range(PRINT_WORDS // 3)]
+    leaders = narrow.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("sh", *words)).alias("l")).where(F.col("n") >= dense)
+    leaders = written(leaders.select("node", F.col("l.sh").alias("leader"), *[F.col(f"l.{w}").alias(f"l{w}") for w in words]), "simhash-leaders")
+    side = F.broadcast(leaders) if leaders.count() <= broadcast_rows else leaders
+    near = narrow.join(side, "node").where((F.col("sh") != F.col("leader")) & (_distance("", "l") <= radius))
+    return near.select(F.col("leader").alias("a"), F.col("sh").alias("b")).distinct()
+
+
+def close_pairs(words: np.ndarray, ends: np.ndarray, group: np.ndarray, radius: int, first_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j < ``ends[i]`` of other groups whose ``words`` differ in ``radius`` bits or fewer, and in ``first_radius`` within the first word; with their distance."""
     at = np.arange(len(words))
     a, b, far, step = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     first = np.ascontiguousarray(words[:, 0])
@@ -200,6 +291,7 @@ def close_pairs(words: np.ndarray, ends: np.ndarray, radius: int, first_radius:
         if not len(at):
             break
         i = at[np.bitwise_count(first[at] ^ first[at + step]) <= first_radius]
+        i = i[group[i] != group[i + step]]
         d = np.bitwise_count(words[i] ^ words[i + step]).sum(axis=1, dtype=np.int64)
         near = d <= radius
         a.append(i[near])
@@ -224,43 +316,93 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarra
         root = roots_of(n, a[chosen], b[chosen])
 
 
-def candidate_pairs(classes: DataFrame, radius: int = 64, first_radius: int = 22) -> DataFrame:
-    """(a, b): pairs of ``sh`` whose long fingerprints are near, from ``classes`` (sh, bits).
+def nearest_forest(words: np.ndarray, group: np.ndarray, radius: int, cells: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``radius`` that span all groups of one node, least ones first, without a list of pairs.
+
+    In each round every row outside the largest group looks for the nearest row of another group; of each
+    group the nearest such link is taken, and groups that meet become one.
+    """
+    group = np.unique(group, return_inverse=True)[1]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    idle = np.zeros(len(words), bool)  # rows with no other group in reach: nor will there be one when groups grow
+    while True:
+        asking = np.flatnonzero((group != np.bincount(group).argmax()) & ~idle)
+        if not len(asking):
+            break
+        to, far = np.empty(len(asking), np.int64), np.empty(len(asking), np.int64)
+        step = max(1, cells // len(words))
+        for lo in range(0, len(asking), step):
+            q = asking[lo : lo + step]
+            d = np.zeros((len(q), len(words)), np.int16)
+            for w in range(words.shape[1]):
+                d += np.bitwise_count(words[q, w][:, None] ^ words[:, w])
+            d[group[q][:, None] == group] = 9999
+            to[lo : lo + step] = d.argmin(axis=1)
+            far[lo : lo + step] = d[np.arange(len(q)), to[lo : lo + step]]
+        idle[asking[far > radius]] = True
+        asking, to, far = (x[far <= radius] for x in (asking, to, far))
+        if not len(asking):
+            break
+        order = np.lexsort((to, asking, far))
+        first = order[np.unique(group[asking[order]], return_index=True)[1]]
+        a.append(asking[first])
+        b.append(to[first])
+        group = roots_of(group.max() + 1, group[asking[first]], group[to[first]])[group]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidate_pairs(classes: DataFrame, radius: int = 64, first_radius: int = 22, small: int = 256, members: int = 32_768) -> DataFrame:
+    """(a, b): pairs of ``sh`` of different groups whose long fingerprints are near, from ``classes`` (sh, g, w0, w1, ...), ``g`` being what is linked already.
 
     The nodes are masked patterns: 14 bits of each of the 48 16-bit blocks. Texts of similarity 0.8 differ
     in some 15 % of bits and meet in a node with a chance of 0.99; those that meet are compared over 256
-    bits, a third of the fingerprint that changes with the node. Of a node's pairs a least spanning forest
-    leaves it, so a large group of near copies gives no more links than it has members.
+    bits. Of a node's pairs a least spanning forest leaves it, so a large group gives no more links than it
+    has members. Where members of a group of over ``members`` fill a node, they are dealt to several units
+    of it, and the node's other rows to each.
     """
-    third = PRINT_WORDS // 3
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.iloc[lo : lo + 2000]
-                bits = np.frombuffer(b"".join(part["bits"]), "<u8").reshape(-1, PRINT_WORDS)
-                blocks = bits.view("<u2").astype(np.int64) & 0x3FFF
-                n = blocks.shape[1]
-                node = (np.arange(n) << 14 | blocks).ravel()
-                words = bits.reshape(-1, 3, third)[:, np.arange(n) % 3].reshape(-1, third).view(np.int64)
-                yield pd.DataFrame({"node": node, "sh": np.repeat(part["sh"].to_numpy(), n)} | {f"w{i}": words[:, i] for i in range(third)})
+    third = [f"x{i}" for i in range(PRINT_WORDS // 3)]
+    rows = nodes(classes, range(4 * PRINT_WORDS), "g")
+    large = written(classes.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > members).select(F.col("g").alias("lg")), "simhash-large")  # a row for so many
+    unit = F.col("node").cast("long")
+    if not large.isEmpty():
+        rows = rows.join(F.broadcast(large), F.col("g") == F.col("lg"), "left")
+        split = rows.where("lg is not null").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > members)
+        split = split.select(F.col("node").alias("hot"), F.ceil(F.col("n") / members).cast("int").alias("units"))
+        rows = rows.join(F.broadcast(split), F.col("node") == F.col("hot"), "left")  # at most 48 for each ``members`` rows
+        own = F.array(F.pmod(F.hash("sh"), F.col("units")))
+        rows = rows.withColumn("u", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).when(F.col("lg").isNotNull(), own).otherwise(F.sequence(F.lit(0), F.col("units") - 1))))
+        unit = F.col("node") + F.col("u").cast("long") * (1 << 32)
+    dealt = rows.select(unit.alias("unit"), "sh", "g", *third)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts, ends in whole_keys(batches, "node"):
-            words = frame[[f"w{i}" for i in range(third)]].to_numpy().view(np.uint64)
-            a, b, far = close_pairs(words, np.repeat(ends, ends - starts), radius, first_radius)
-            kept = spanning(len(frame), a, b, far)
-            sh = frame["sh"].to_numpy()
-            a, b = sh[a[kept]], sh[b[kept]]
+        for frame, starts, ends in whole_keys(batches, "unit"):
+            words, sh, g = frame[third].to_numpy().view(np.uint64), frame["sh"].to_numpy(), frame["g"].to_numpy()
+            size = ends - starts
+            few = np.repeat((size > 1) & (size <= small), size)
+            at = np.flatnonzero(few)
+            place = np.cumsum(few) - 1
+            last = place[np.repeat(ends, size)[at] - 1] + 1
+            i, j, far = close_pairs(words[at], last, g[at], radius, first_radius)
+            groups = np.unique(np.stack([last, g[at]]), axis=1, return_inverse=True)[1].ravel() if len(at) else np.empty(0, np.int64)  # of each node
+            kept = spanning(len(at), groups[i], groups[j], far)
+            a, b = [at[i[kept]]], [at[j[kept]]]
+            for s, e in zip(starts[size > small], ends[size > small]):
+                i, j = nearest_forest(words[s:e], g[s:e], radius)
+                a.append(i + s)
+                b.append(j + s)
+            a, b = sh[np.concatenate(a)], sh[np.concatenate(b)]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = classes.mapInPandas(deal, "node long, sh long, " + ", ".join(f"w{i} long" for i in range(third)))
-    return dealt.repartition("node").sortWithinPartitions("node", "sh").mapInPandas(search, "a long, b long").distinct()
+    return dealt.repartition("unit").sortWithinPartitions("unit", "sh").mapInPandas(search, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): candidate pairs of ``classes`` (sh, bits, least) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    pairs = written(candidate_pairs(classes.where("sh <> 0").select("sh", "bits")), "simhash-pairs")
+def alike_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float, often: int = 256, broadcast_bytes: int = 64_000_000) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more, from one text of each of ``classes`` (sh, least).
+
+    The left side may hold a key that a third of all pairs share. Texts of keys with over ``often`` pairs are
+    few, and broadcast where they hold at most ``broadcast_bytes``; beyond that they are salted.
+    """
+    pairs = written(pairs, "simhash-pairs")
     named = pairs.select(F.col("a").alias("sh")).unionByName(pairs.select(F.col("b").alias("sh"))).distinct()
     wanted = classes.select("sh", F.col("least.th").alias("th")).join(named, "sh")
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t")).join(wanted, "th")
@@ -268,15 +410,46 @@ def similar_texts(docs: DataFrame, classes: DataFrame, text_col: str, shingle: i
 
     @pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        of = lru_cache(256)(lambda t: shingle_set(t, shingle))
+
         def one(s, t):
-            x, y = shingle_set(s, shingle), shingle_set(t, shingle)
+            x, y = of(s), of(t)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
         return pd.Series([one(s, t) for s, t in zip(left, right)], dtype=bool)
 
-    side = lambda k: texts.select(F.col("sh").alias(k), F.col("t").alias(f"t_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike("t_a", "t_b")).select("a", "b")
+    left, right = (texts.select(F.col("sh").alias(k), F.col("t").alias(f"t_{k}")) for k in "ab")
+    hot = written(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > often).select("a"), "simhash-often")  # a row for so many pairs
+    told = pairs.join(right, "b")
+    rare = told.join(F.broadcast(hot), "a", "left_anti").join(left, "a")
+    if hot.isEmpty():
+        both = rare
+    else:
+        own, much = left.join(F.broadcast(hot), "a", "left_semi"), told.join(F.broadcast(hot), "a", "left_semi")
+        if bytes_of(own, "t_a") <= broadcast_bytes:
+            frequent = much.join(F.broadcast(own), "a")
+        else:
+            salted = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+            frequent = much.withColumn("salt", F.pmod(F.hash("b"), F.lit(64))).join(salted, ["a", "salt"]).drop("salt")
+        both = rare.unionByName(frequent)
+    return both.where(alike("t_a", "t_b")).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float, radius: int = 64) -> DataFrame:
+    """(a, b): links that connect texts of ``classes`` (sh, least, w0, ...) of a Jaccard similarity of ``similarity`` or more.
+
+    Dense nodes first give stars: their members against one leader each, compared exactly. What they
+    link is one group from then on, and the search proper looks for links between groups only.
+    """
+    worded = classes.where("sh <> 0")
+    stars = written(alike_pairs(star_pairs(worded, radius), docs, classes, text_col, shingle, similarity), "simhash-stars")
+    grouped = worded.withColumn("g", F.col("sh"))
+    if not stars.isEmpty():
+        grouped = worded.join(components(stars), F.col("sh") == F.col("node"), "left").withColumn("g", F.coalesce("root", "sh")).drop("node", "root")
+        grouped = written(grouped, "simhash-grouped")
+    found = alike_pairs(candidate_pairs(grouped, radius), docs, classes, text_col, shingle, similarity)
+    return stars.unionByName(found)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -289,21 +462,23 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col)
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), set_print(text, shingle).alias("p"))
-    prints = written(prints.select("doc_id", "th", F.col("p.sh").alias("sh"), F.col("p.bits").alias("bits")), "simhash")
+    words = [f"w{i}" for i in range(PRINT_WORDS)]
+    prints = written(prints.select("doc_id", "th", "p.*"), "simhash")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    classes = written(prints.groupBy("sh").agg(F.min(rank).alias("least"), F.min("bits").alias("bits")), "simhash-classes")
+    classes = written(prints.groupBy("sh").agg(F.min(rank).alias("least"), *[F.min(w).alias(w) for w in words]), "simhash-classes")
     roots = components(similar_texts(docs, classes, text_col, shingle, similarity)).withColumnRenamed("node", "sh")
-    linked = classes.drop("bits").join(roots, "sh", "left").withColumn("root", F.coalesce("root", "sh"))
+    linked = classes.drop(*words).join(roots, "sh", "left").withColumn("root", F.coalesce("root", "sh"))
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
     of = linked.join(best, "root").select(F.col("sh").alias("f"), "best")
-    keys = prints.drop("bits").join(of, F.col("sh") == F.col("f")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("th").eqNullSafe(F.col("best.th")))
-    keys = keys.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    keys = prints.drop(*words).join(of, F.col("sh") == F.col("f")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("th").eqNullSafe(F.col("best.th")))
+    keys = keys.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     keys = written(keys.where("not stays or n > 1"), "simhash-keys")
     side = F.broadcast if keys.count() <= broadcast_rows else lambda df: df
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(text_col).eqNullSafe(F.col("_t"))
-    once = docs.join(side(keys), same, "left_anti")
+    here = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("d_"), F.xxhash64(text_col).alias("t_"))
+    same = F.col("d_").eqNullSafe(F.col("d")) & F.col("t_").eqNullSafe(F.col("t"))
+    once = here.join(side(keys), same, "left_anti").select("row.*")
     repeated = keys.where("stays")
     if repeated.isEmpty():
         return once
-    again = docs.join(side(repeated), same, "left_semi").withColumn("_t", F.xxhash64(text_col)).dropDuplicates([id_col, "_t"]).drop("_t")
+    again = here.join(side(repeated), same, "left_semi").groupBy("d_", "t_").agg(F.first("row").alias("row")).select("row.*")
     return once.unionByName(again)

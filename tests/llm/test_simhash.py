@@ -4,7 +4,8 @@ import re
 import numpy as np
 import xxhash
 
-from roadlens.llm.simhash import gray_links, near_duplicates, simhash
+from roadlens.llm.common import roots_of
+from roadlens.llm.simhash import deduplicated, gray_links, near_duplicates, nearest_forest, similar_fingerprints, simhash
 
 
 def brute_print(text):
@@ -37,9 +38,22 @@ def test_gray_links_finds_each_close_pair():
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flips = [b ^ (np.uint64(1) << np.uint64(rng.integers(64))) ^ (np.uint64(1) << np.uint64(rng.integers(64))) for b in base for _ in range(9)]
     x = np.unique(np.r_[base, np.array(flips, dtype=np.uint64)])
-    a, b = gray_links(x, 2, block=64)
-    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(x[i] ^ x[j]).bit_count() <= 2}
-    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
+    a, b = gray_links(x, 2)
+    want = {frozenset((int(p), int(q))) for i, p in enumerate(x) for q in x[i + 1 :] if int(p ^ q).bit_count() <= 2}
+    assert len(a) == len(want) and set(map(frozenset, zip(a.tolist(), b.tolist()))) == want
+
+
+def test_ranges_of_the_gray_order(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    flips = [b ^ (np.uint64(1) << np.uint64(rng.integers(64))) ^ (np.uint64(1) << np.uint64(rng.integers(64))) for b in base for _ in range(3)]
+    x = np.unique(np.r_[base, np.array(flips, dtype=np.uint64), np.uint64(0), ~np.uint64(0)])
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    want = roots_of(len(x), *(np.searchsorted(x, v) for v in gray_links(x, 2)))
+    for members, least in ((65_536, 100_000), (300, 100), (65_536, 50)):
+        got = [(r["a"], r["b"]) for r in similar_fingerprints(df, 2, members, least).collect()]
+        ends = np.array(got, dtype=np.int64).view(np.uint64)
+        assert (roots_of(len(x), np.searchsorted(x, ends[:, 0]), np.searchsorted(x, ends[:, 1])) == want).all()
 
 
 def test_near_duplicates_like_brute_force(spark):
@@ -57,5 +71,32 @@ def test_near_duplicates_like_brute_force(spark):
     assert simhash("x " * 30000) == brute_print("x " * 30000)
 
 
+def test_forest_without_a_list_of_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (6, 4), dtype=np.uint64)
+    words = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (80, 4), dtype=np.uint64)) for b in base])
+    group = np.repeat(np.arange(240), 2)
+    a, b = nearest_forest(words, group, 10, cells=5000)
+    d = np.bitwise_count(words[:, None] ^ words).sum(axis=2)
+    i, j = np.nonzero(d <= 10)
+    want = roots_of(len(words), np.r_[i, np.arange(0, 480, 2)], np.r_[j, np.arange(1, 480, 2)])
+    assert (roots_of(len(words), np.r_[a, np.arange(0, 480, 2)], np.r_[b, np.arange(1, 480, 2)]) == want).all() and (d[a, b] <= 10).all() and len(a) < 2 * 240
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(vocab, k=150), []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(150)] = rng.choice(vocab)
+        rows.append((i, " ".join(w), 1, 2))
+    rows += [(1000 + i, " ".join(rng.choices(vocab, k=120)), 1, 2) for i in range(200)]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _d int, _t int"))
+    assert got.columns == ["doc_id", "text", "_d", "_t"] and {r["doc_id"] for r in got.collect()} == {0} | set(range(1000, 1200))
+
+
 def test_empty_table(spark):
+    assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
