@@ -135,15 +135,15 @@ def _spanning_links(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataF
     return pd.DataFrame({"a": names[moved].view(np.int64), "b": names[root[moved]].view(np.int64)})
 
 
-def similar_fingerprints(prints: DataFrame, radius: int = 2, members: int = 65_536, least: int = 1024) -> DataFrame:
+def similar_fingerprints(prints: DataFrame, radius: int = 2, members: int = 65_536, ranges: int = 64, least: int = 256) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` (long) that connect just what differing in ``radius`` bits or fewer connects.
 
-    A range of the Gray order holds about ``members`` fingerprints, and fewer, down to ``least``, where that
-    gives each task a range. The driver sees a range's node only: 24 bytes for all of its members. A task
+    The Gray order is cut into ``ranges`` of about ``least`` fingerprints or more, and into as many more as keep
+    them at ``members``: the rows that a fingerprint is dealt to grow with the square of the logarithm of their number. The driver sees a range's node only: 24 bytes for all of its members. A task
     holds the fingerprints of one range; those that visit it pass by in batches.
     """
     spark, n = prints.sparkSession, prints.count()
-    ranges = max(1, -(-n // members), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // least))
+    ranges = max(1, -(-n // members), min(ranges, n // least))
     ranged = prints.select("fp", _gray_order(F.col("fp")).alias("rank")).repartitionByRange(ranges, "rank").select("fp", F.spark_partition_id().alias("range"))
     ranged = written(ranged, "gray-order")
     nodes = ranged.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("range").toPandas()

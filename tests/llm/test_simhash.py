@@ -50,8 +50,8 @@ def test_ranges_of_the_gray_order(spark):
     x = np.unique(np.r_[base, np.array(flips, dtype=np.uint64), np.uint64(0), ~np.uint64(0)])
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
     want = roots_of(len(x), *(np.searchsorted(x, v) for v in gray_links(x, 2)))
-    for members, least in ((65_536, 100_000), (300, 100), (65_536, 50)):
-        got = [(r["a"], r["b"]) for r in similar_fingerprints(df, 2, members, least).collect()]
+    for members, ranges in ((65_536, 1), (300, 1), (65_536, 64)):
+        got = [(r["a"], r["b"]) for r in similar_fingerprints(df, 2, members, ranges, 50).collect()]
         ends = np.array(got, dtype=np.int64).view(np.uint64)
         assert (roots_of(len(x), np.searchsorted(x, ends[:, 0]), np.searchsorted(x, ends[:, 1])) == want).all()
 
