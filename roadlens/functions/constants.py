@@ -38,3 +38,25 @@ BOUNDS = {
     "speed": (0.0, 255.0, 0.0, 200.0, "interpolation"), "intake_temp": (-40.0, 215.0, -20.0, 80.0, "interpolation"), "maf": (0.0, 655.35, 0.0, 300.0, "interpolation"),
     "tps": (0.0, 100.0, 0.0, 100.0, "interpolation"), "ambient_temp": (-40.0, 215.0, -30.0, 50.0, "retain"),
 }
+# Healthy range and unit of each signal that a window-risk record can name.
+REFERENCE_RANGES = {
+    "coolant_temp": (90.0, 95.0), "map": (36.0, 237.0), "maf": (0.0, 123.0), "tps": (0.0, 89.0), "rpm": (0.0, 3682.0), "speed": (0.0, 218.0),
+    "accel_pedal_d": (0.0, 100.0), "accel_pedal_e": (0.0, 100.0), "accel_pedal_channel_delta": (0.0, 10.0), "ect_rate_180s": (0.0, 2.0),
+    "intake_temp": (-3.0, 41.0), "ambient_temp": (-7.0, 25.0), "intake_ambient_delta": (0.0, 20.0), "speed_density_maf_residual": (-20.0, 20.0),
+    "rpm_slope": (-120.0, 135.0), "pedal_mapping_residual": (-10.0, 10.0), "maf_integral_180s": (0.0, 2500.0), "intake_temp_stability": (0.0, 5.0),
+    "map_range_60s": (0.0, 80.0), "pedal_slope": (-2.4, 2.4),
+}
+UNITS = {
+    "coolant_temp": "°C", "map": "kPa", "maf": "g/s", "tps": "%", "rpm": "RPM", "speed": "km/h", "accel_pedal_d": "%", "accel_pedal_e": "%",
+    "accel_pedal_channel_delta": "pp", "ect_rate_180s": "°C/min", "intake_temp": "°C", "ambient_temp": "°C", "intake_ambient_delta": "°C",
+    "speed_density_maf_residual": "g/s", "rpm_slope": "RPM/s", "pedal_mapping_residual": "pp", "maf_integral_180s": "g", "intake_temp_stability": "°C",
+    "map_range_60s": "kPa", "pedal_slope": "pp/s",
+}
+#: Signals that a record of each anomaly type names first.
+PRIORITY_SIGNALS = {
+    "cooling_degradation": ("coolant_temp", "ect_rate_180s", "maf_integral_180s"),
+    "air_intake_maf_anomaly": ("maf", "map", "speed_density_maf_residual"),
+    "accelerator_pedal_sensor": ("accel_pedal_d", "accel_pedal_e", "accel_pedal_channel_delta", "pedal_mapping_residual"),
+    "intake_air_temperature_sensor_fault": ("intake_temp", "intake_temp_stability", "intake_ambient_delta", "ambient_temp", "coolant_temp"),
+    "map_load_signal_plausibility_fault": ("map", "pedal_slope", "speed_density_maf_residual", "map_range_60s", "rpm_slope"),
+}

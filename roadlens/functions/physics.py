@@ -77,3 +77,14 @@ def parse_bool(x: Column) -> Column:
 def draw(*parts: Column) -> Column:
     """A repeatable number in 0 .. 2**32 - 1 from a hash."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
+def steady_mean(x: Column, digits: int = 9) -> Column:
+    """Mean of ``x`` rounded to ``digits``, from an exact sum: the same to the last bit however rows are dealt out and ordered."""
+    scaled = F.round(x * 10.0**digits).cast("decimal(38,0)")
+    return F.sum(scaled).cast("double") / (F.count(scaled) * 10.0**digits)
+
+
+def tidy(x: Column, digits: int) -> Column:
+    """``x`` rounded half up to ``digits``, from its value to nine digits, so that noise in the last bits decides no tie."""
+    return F.round(F.round(x, 9), digits)

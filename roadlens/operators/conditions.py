@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from roadlens.functions import constants as k
 from roadlens.functions.physics import vsp
 from roadlens.operators.continuity import KEYS, segment_window
+from roadlens.operators.ranks import exact_quantiles
 from roadlens.operators.rolling import centred_mean, forward_fill, latch, running_sum, step_seconds
 
 
@@ -116,10 +117,11 @@ def signal_summary(df: DataFrame, state: str, signals: tuple[str, ...]) -> DataF
     """Per state and signal: n, nulls, mean, deviation, extremes and exact quantiles."""
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in signals]))
     long = df.select(F.col(state).alias("state"), cells.alias("s")).select("state", "s.*")
-    q = F.percentile("v", F.array(*[F.lit(x) for x in (0.01, 0.05, 0.5, 0.95, 0.99)]))
     out = long.groupBy("state", "signal").agg(
-        F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("nulls"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), q.alias("q")
+        F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("nulls"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )
+    q = exact_quantiles(long, ("state", "signal"), "v", (0.01, 0.05, 0.5, 0.95, 0.99)).select(F.col("state").alias("s_"), F.col("signal").alias("g_"), "q")
+    out = out.join(q, F.col("state").eqNullSafe(F.col("s_")) & (F.col("signal") == F.col("g_")), "left")
     return out.select("state", "signal", "n", "nulls", "mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p5", "p50", "p95", "p99"))])
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions.physics import clip, draw
+from roadlens.operators.ranks import exact_quantiles, numbered, running_total
+from roadlens.sources.scratch import written
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -34,16 +36,12 @@ def threshold_sweep(records: DataFrame, thresholds: DataFrame, types: tuple[str,
 
 
 def weighted_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """Quantile in which each trip weighs the same: cumulative weight over sorted values, linear between neighbours.
-
-    Values are folded before they are ordered, so that the one ordered window sees distinct values only.
-    """
+    """Quantile in which each trip weighs the same: cumulative weight over sorted values, linear between neighbours. Values are folded first and ranked by ranges."""
     df = df.where(F.col(value).isNotNull())
     n = df.groupBy("trip_id").agg(F.count("*").alias("n"))
     trips = n.agg(F.count("*").alias("trips"))
     w = df.join(n, "trip_id").crossJoin(F.broadcast(trips)).groupBy(F.col(value).alias("v")).agg(F.sum(1 / (F.col("n") * F.col("trips"))).alias("w"))
-    cum = w.withColumn("c", F.sum("w").over(Window.orderBy("v")))
-    near = cum.agg(
+    near = running_total(w, ("v",), F.col("w"), "c").agg(
         F.max_by(F.struct("v", "c"), F.when(F.col("c") <= q, F.col("c"))).alias("lo"), F.min_by(F.struct("v", "c"), F.when(F.col("c") >= q, F.col("c"))).alias("hi"), F.max("v").alias("top")
     )
     lo, hi = F.col("lo"), F.col("hi")
@@ -54,15 +52,18 @@ def weighted_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
 def leave_one_out_median(df: DataFrame, value: str, frozen: float, tolerance: float) -> DataFrame:
     """Median of the trips' medians without each trip in turn, against the frozen value.
 
-    Needs the ordered table of one median a trip only: leaving out rank r moves the middle by one place.
+    Leaving out rank r moves the middle by one place, so the three values about the middle tell all medians.
     """
-    m = df.groupBy("trip_id").agg(F.percentile(value, F.lit(0.5)).alias("m")).where("m is not null")
-    m = m.withColumn("r", F.row_number().over(Window.orderBy("m", "trip_id")))
-    n = m.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("r", "m"))).alias("all"))  # a value a trip
-    at = lambda i: F.element_at("all", (i + F.when(F.col("r") <= i, 1).otherwise(0)).cast("int"))["m"]
-    k = F.col("n") - 1
-    middle = F.when(k % 2 == 1, at((k + 1) / 2)).otherwise((at(k / 2) + at(k / 2 + 1)) / 2)
-    out = m.crossJoin(F.broadcast(n)).where("n > 1").select(F.col("trip_id").alias("left_out_trip"), middle.alias("recalculated"))
+    m = exact_quantiles(df, ("trip_id",), value, (0.5,)).select("trip_id", F.col("q")[0].alias("m"))
+    m = written(numbered(m, ("m", "trip_id"), "r"), "medians")
+    n = F.col("n")
+    at = lambda place: F.max(F.when(F.col("r") == place, F.col("m")))
+    half = F.floor(n / 2)  # of n - 1 values left, those at (n - 1) / 2 or about it
+    middle = m.crossJoin(F.broadcast(m.agg(F.count("*").alias("n")))).groupBy("n").agg(at(half).alias("low"), at(half + 1).alias("mid"), at(half + 2).alias("high"))
+    out = m.crossJoin(F.broadcast(middle)).where("n > 1")
+    even = F.when(F.col("r") <= half, F.col("mid")).otherwise(F.col("low"))  # n even: an odd number is left
+    odd = F.when(F.col("r") <= half, (F.col("mid") + F.col("high")) / 2).when(F.col("r") == half + 1, (F.col("low") + F.col("high")) / 2).otherwise((F.col("low") + F.col("mid")) / 2)
+    out = out.select(F.col("trip_id").alias("left_out_trip"), F.when(n % 2 == 0, even).otherwise(odd).alias("recalculated"))
     d = F.col("recalculated") - frozen
     return out.withColumns({"deviation": d, "deviation_pct": d / frozen * 100 if frozen else F.lit(0.0), "passes": F.abs(d) <= tolerance})
 
@@ -70,7 +71,7 @@ def leave_one_out_median(df: DataFrame, value: str, frozen: float, tolerance: fl
 def bootstrap_mean(df: DataFrame, value: str, iterations: int, seed: str = "boot") -> DataFrame:
     """Mean, deviation and 95 % interval of the mean over trips drawn with replacement; draws come from hashes, so they repeat."""
     per = df.groupBy("trip_id").agg(F.avg(value).alias("m")).where("m is not null")
-    per = per.withColumn("i", F.row_number().over(Window.orderBy("trip_id")) - 1)  # a row a trip
+    per = written(numbered(per, ("trip_id",), "i").withColumn("i", F.col("i") - 1), "trips")
     n = per.agg(F.count("*").alias("n"))
     draws = per.crossJoin(F.broadcast(n)).select(F.col("i").alias("k"), "n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("it"))
     draws = draws.withColumn("pick", draw(F.lit(seed), F.col("it"), F.col("k")) % F.col("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,29 +120,57 @@ def projection_text(probability: Column, cycles: Column, level: Column) -> Colum
     return F.concat_ws(" ", p, c, F.when(level == "High", "Have the car checked soon."))
 
 
-def lookup_docs(queries: DataFrame, docs: DataFrame, fallback: str) -> DataFrame:
-    """Exact lookup by (type, section, level lower-cased), else by type and section without a level, else the fallback."""
+def lookup_docs(queries: DataFrame, docs: DataFrame, fallback: str, broadcast_rows: int = 10_000) -> DataFrame:
+    """Exact lookup by (type, section, level lower-cased), else by type and section without a level, else the fallback. ``docs`` hold a key once; up to ``broadcast_rows`` of them are broadcast."""
+    side = F.broadcast if docs.count() <= broadcast_rows else lambda df: df
     exact = docs.select(F.col("type").alias("_t"), F.col("section").alias("_s"), F.lower("level").alias("_l"), F.col("content").alias("exact"))
     loose = docs.where("level is null").select(F.col("type").alias("_t2"), F.col("section").alias("_s2"), F.col("content").alias("loose"))
-    q = queries.join(exact, (F.col("type") == F.col("_t")) & (F.col("section") == F.col("_s")) & (F.lower("level") == F.col("_l")), "left")
-    q = q.join(loose, (F.col("type") == F.col("_t2")) & (F.col("section") == F.col("_s2")), "left")
+    q = queries.join(side(exact), (F.col("type") == F.col("_t")) & (F.col("section") == F.col("_s")) & (F.lower("level") == F.col("_l")), "left")
+    q = q.join(side(loose), (F.col("type") == F.col("_t2")) & (F.col("section") == F.col("_s2")), "left")
     return q.select(*queries.columns, F.coalesce("exact", "loose", F.lit(fallback)).alias("content"))
 
 
-def semantic_top1(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def semantic_top1(queries: DataFrame, docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """For each query vector (q_id, q_v), the most similar document (d_id, d_v) by cosine; the smaller id on a tie.
 
-    ``queries`` is a stated set, broadcast; the winner of each is a pre-aggregated maximum, so no list of
-    candidates is ever gathered.
+    ``queries`` is a stated set, sent to all tasks in blocks of at most ``broadcast_rows``. A task multiplies a batch of
+    documents with the queries, norms taken once, and keeps one winner a query; winners are pre-aggregated
+    maxima, so no list of candidates is ever gathered. Vectors without a direction match nothing.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = docs.crossJoin(F.broadcast(queries))
-    cos = dot(F.col("q_v"), F.col("d_v")) / F.sqrt(dot(F.col("q_v"), F.col("q_v")) * dot(F.col("d_v"), F.col("d_v")))
-    j = j.withColumn("cos", cos).where("cos is not null and q_id <> d_id")
-    best = j.groupBy("q_id").agg(F.max(F.struct(F.round("cos", 9).alias("cos"), (-F.col("d_id")).alias("d"))).alias("b"))
+    q = queries.where("q_v is not null").select("q_id", F.col("q_v").cast("array<double>").alias("q_v"))
+    blocks = max(1, -(-q.count() // broadcast_rows))
+    out = None
+    for part in range(blocks):
+        rows = q.where(F.pmod(F.hash("q_id"), F.lit(blocks)) == part).toPandas()
+        ids = rows["q_id"].to_numpy(dtype=np.int64)
+        unit = _units(rows["q_v"])
+
+        def search(batches: Iterator[pd.DataFrame], ids=ids, unit=unit) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                d_ids = batch["d_id"].to_numpy(dtype=np.int64)
+                cos = np.round(unit @ _units(batch["d_v"], unit.shape[1]).T, 9)
+                cos[(ids[:, None] == d_ids) | np.isnan(cos)] = -9
+                order = np.argsort(d_ids, kind="stable")
+                at = order[cos[:, order].argmax(axis=1)]
+                best = cos[np.arange(len(ids)), at]
+                yield pd.DataFrame({"q_id": ids, "d_id": d_ids[at], "cos": best})[best > -9]
+
+        found = docs.where("d_v is not null").select("d_id", F.col("d_v").cast("array<double>").alias("d_v")).mapInPandas(search, "q_id long, d_id long, cos double")
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy("q_id").agg(F.max(F.struct("cos", (-F.col("d_id")).alias("d"))).alias("b"))
     return best.select("q_id", (-F.col("b.d")).alias("d_id"), F.round("b.cos", 6).alias("cos"))
 
 
+def _units(vectors: pd.Series, size: int | None = None) -> np.ndarray:
+    """Unit rows; those of another length than ``size``, or the first one's, and without a direction are not numbers."""
+    size = size or (len(vectors.iloc[0]) if len(vectors) else 0)
+    x = np.array([v if len(v) == size else [np.nan] * size for v in vectors], dtype=np.float64).reshape(len(vectors), size)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def stability(scores: DataFrame) -> DataFrame:
     """Share of (report, variant, dimension) whose score is that of the original, per variant."""
     w = Window.partitionBy("report", "dimension")

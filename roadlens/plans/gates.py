@@ -14,7 +14,7 @@ from roadlens.sources.adapters import table, ticks
 
 _RULES = {
     "dt_is_one": ("t - lag(t) OVER s = 1 OR lag(t) OVER s IS NULL", lambda: (F.col("t") - F.lag("t").over(segment_window()) == 1) | F.lag("t").over(segment_window()).isNull()),
-    "known_state": ("child_state IN ('idle', 'steady_driving', 'acceleration')", lambda: F.col("child_state").isin("idle", "steady_driving", "acceleration")),
+    "known_state": ("child_state IN ('idle', 'steady_driving', 'acceleration', 'deceleration', 'high_load', 'inactive_engine_off')", lambda: F.col("child_state").isin("idle", "steady_driving", "acceleration", "deceleration", "high_load", "inactive_engine_off")),
     "maf_not_null": ("maf IS NOT NULL", lambda: F.col("maf").isNotNull()),
     "rows_from_one": ("row_in_segment >= 1", lambda: F.col("row_in_segment") >= 1),
     "segment_of_trip": ("starts_with(segment_id, trip_id)", lambda: F.startswith("segment_id", "trip_id")),
@@ -45,12 +45,12 @@ def v08_u02_j02_key_differences(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN strptime(d, '%Y-%m-%d') IS NOT NULL THEN TRUE ELSE FALSE END AS iso, TRY_CAST(n AS DOUBLE) IS NULL AS not_a_number, CASE WHEN b IN ('true', '1', 'yes') THEN TRUE WHEN b IN ('false', '0', 'no') THEN FALSE END AS flag
-FROM (SELECT doc_id, '2020-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS d, CASE WHEN doc_id % 5 = 0 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS n, (['true', '1', 'Yes ', 'false', '0', 'no', 'maybe'])[1 + doc_id % 7] AS b0, lower(trim(b0)) AS b FROM documents)"""
+    """SELECT doc_id, try_strptime(d, '%Y-%m-%d') IS NOT NULL AS iso, TRY_CAST(n AS DOUBLE) IS NULL AS not_a_number, CASE WHEN b IN ('true', '1', 'yes') THEN TRUE WHEN b IN ('false', '0', 'no') THEN FALSE END AS flag
+FROM (SELECT doc_id, '2020-' || CASE WHEN doc_id % 3 = 0 THEN '02' ELSE '01' END || '-' || lpad(CAST(doc_id % 35 AS VARCHAR), 2, '0') AS d, CASE WHEN doc_id % 5 = 0 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS n, (['true', '1', 'Yes ', 'false', '0', 'no', 'maybe'])[1 + doc_id % 7] AS b0, lower(trim(b0)) AS b FROM documents)"""
 )
 def v03_v04_x10_coercion(spark, sf_dir):
     k = F.col("doc_id")
-    date = F.concat(F.lit("2020-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
+    date = F.concat(F.when(k % 3 == 0, "2020-02-").otherwise("2020-01-"), F.lpad((k % 35).cast("string"), 2, "0"))
     number = F.when(k % 5 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
     text = F.element_at(F.array(*[F.lit(x) for x in ("true", "1", "Yes ", "false", "0", "no", "maybe")]), (k % 7 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.try_to_date(date).isNotNull().alias("iso"), number.try_cast("double").isNull().alias("not_a_number"), parse_bool(text).alias("flag"))
@@ -103,7 +103,8 @@ def v16_history_gate(spark, sf_dir):
 
 
 @query(
-    "WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey)), 1, 8)) AS BIGINT) AS h FROM orders) SELECT count(*) AS rows, CAST(sum(h) AS BIGINT) AS sum, bit_xor(h) AS xor FROM h"
+    "WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey)), 1, 15)) AS BIGINT) AS h0, CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey)), 17, 15)) AS BIGINT) AS h1 FROM orders)"
+    " SELECT count(*) AS rows, CAST(sum(h0) AS VARCHAR) AS sum0, CAST(sum(h1) AS VARCHAR) AS sum1, bit_xor(h0) AS xor0, bit_xor(h1) AS xor1 FROM h"
 )
 def s10_key_fingerprint(spark, sf_dir):
     return g.fingerprint(table(spark, sf_dir, "orders"), ("o_orderkey", "o_custkey"))

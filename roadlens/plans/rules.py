@@ -10,6 +10,7 @@ from roadlens.operators import rules as r
 from roadlens.plans.registry import query
 from roadlens.plans.sql import KEYS, by, named_blocks, production_sql, runs, valid_sql, with_ticks
 from roadlens.sources.adapters import ticks
+from roadlens.sources.scratch import written
 
 #: The driver's tables have short blocks: windows and persistence are shortened for them; production keeps the defaults.
 LENGTHS = {"span": 18, "long": 12, "short": 6}
@@ -180,18 +181,18 @@ def d24_duration_decision(spark, sf_dir):
     return decisions(spark, sf_dir)
 
 
-_RANGE = """rd AS (SELECT trip_id, '4-S3' AS sub_check_id, CASE WHEN count(*) FILTER (s4s3_below) > 0 THEN 'low' WHEN count(*) FILTER (s4s3_above) > 0 THEN 'high' END AS direction,
+RANGE = """rd AS (SELECT trip_id, '4-S3' AS sub_check_id, CASE WHEN count(*) FILTER (s4s3_below) > 0 THEN 'low' WHEN count(*) FILTER (s4s3_above) > 0 THEN 'high' END AS direction,
  CASE WHEN count(*) FILTER (s4s3_below OR s4s3_above) > 0 THEN 'triggered' WHEN count(s4s3_below) = 0 THEN 'not_evaluable' ELSE 'pass' END AS result_state,
  coalesce(max(-40.0 - intake_temp) FILTER (s4s3_below), max(intake_temp - 215.0) FILTER (s4s3_above)) AS decision_margin,
  count(*) FILTER (s4s3_below OR s4s3_above) AS evidence_count FROM rs GROUP BY trip_id)"""
 
 
-@query(with_ticks(STATE, _RANGE) + "SELECT * FROM rd")
+@query(with_ticks(STATE, RANGE) + "SELECT * FROM rd")
 def d25_range_decision(spark, sf_dir):
     return r.range_decisions(state(spark, sf_dir), LIMITS)
 
 
-_EVENTS = f"""{named_blocks({"block": "TRUE"}, "prod", "sb")},
+EVENTS = f"""{named_blocks({"block": "TRUE"}, "prod", "sb")},
 pv AS (SELECT *, CASE WHEN {valid_sql("map")} THEN map END AS press, CASE child_state WHEN 'idle' THEN 9.2 WHEN 'steady_driving' THEN 11.4 WHEN 'acceleration' THEN 18.6 WHEN 'high_load' THEN 26.5 END AS step FROM sb),
 lk AS (SELECT *, lag(t) OVER {by("block")} IS NOT NULL AND lead(t, 2) OVER {by("block")} IS NOT NULL AS complete, lag(press) OVER {by("block")} AS base,
  lead(press) OVER {by("block")} AS p1, lead(press, 2) OVER {by("block")} AS p2 FROM pv),
@@ -205,52 +206,54 @@ pe AS (SELECT {KEYS}, child_state, bin, complete, event_result, CAST(event_index
  CASE WHEN complete THEN CAST(miss AS BIGINT) END AS no_response_recent, CASE WHEN complete THEN n = 4 AND miss >= 3 END AS m_of_n_triggered FROM ew)"""
 
 
-@query(with_ticks(PROD, _EVENTS) + "SELECT * FROM pe")
+@query(with_ticks(PROD, EVENTS) + "SELECT * FROM pe")
 def d23_pedal_events(spark, sf_dir):
     return r.pedal_events(prod(spark, sf_dir))
 
 
-_STEP = """sd AS (SELECT tr.trip_id, '5-S1' AS sub_check_id, CASE WHEN coalesce(bool_or(m_of_n_triggered), FALSE) THEN 'triggered' WHEN count(*) FILTER (event_result <> 'not_evaluable') >= 4 THEN 'pass' ELSE 'not_evaluable' END AS result_state,
+STEP = """sd AS (SELECT tr.trip_id, '5-S1' AS sub_check_id, CASE WHEN coalesce(bool_or(m_of_n_triggered), FALSE) THEN 'triggered' WHEN count(*) FILTER (event_result <> 'not_evaluable') >= 4 THEN 'pass' ELSE 'not_evaluable' END AS result_state,
  CAST(max(no_response_recent) - 3 AS DOUBLE) AS decision_margin, count(pe.trip_id) AS evidence_count FROM tr LEFT JOIN pe ON pe.trip_id = tr.trip_id GROUP BY tr.trip_id)"""
 
 
-def step_decisions(spark, sf_dir):
-    e = r.pedal_events(prod(spark, sf_dir))
+def step_decisions(samples):
+    e = r.pedal_events(samples)
     a = e.groupBy("trip_id").agg(
         F.coalesce(F.bool_or("m_of_n_triggered"), F.lit(False)).alias("fired"), F.count(F.when(F.col("event_result") != "not_evaluable", 1)).alias("n"),
         (F.max("no_response_recent") - 3).cast("double").alias("decision_margin"), F.count("*").alias("evidence_count"),
     )
     result = F.when(F.col("fired"), "triggered").when(F.col("n") >= 4, "pass").otherwise("not_evaluable")
-    a = trips(spark, sf_dir).select("trip_id").join(a, "trip_id", "left")
+    a = samples.select("trip_id").distinct().join(a, "trip_id", "left")
     return a.select("trip_id", F.lit("5-S1").alias("sub_check_id"), result.alias("result_state"), "decision_margin", F.coalesce("evidence_count", F.lit(0)).cast("long").alias("evidence_count"))
 
 
-@query(with_ticks(PROD, _EVENTS, "tr AS (SELECT DISTINCT trip_id FROM ticks)", _STEP) + "SELECT * FROM sd")
+@query(with_ticks(PROD, EVENTS, "tr AS (SELECT DISTINCT trip_id FROM ticks)", STEP) + "SELECT * FROM sd")
 def d26_step_decision(spark, sf_dir):
-    return step_decisions(spark, sf_dir)
+    return step_decisions(written(prod(spark, sf_dir), "samples"))
 
 
-_ALL = """alld AS (SELECT trip_id, sub_check_id, result_state, decision_role, dtc_candidate FROM dec
+ALL = """alld AS (SELECT trip_id, sub_check_id, result_state, decision_role, dtc_candidate FROM dec
  UNION ALL SELECT trip_id, sub_check_id, result_state, 'verdict', 'P0112' FROM rd UNION ALL SELECT trip_id, sub_check_id, result_state, 'verdict', 'P0106' FROM sd)"""
 
 
-def all_decisions(spark, sf_dir):
+def all_decisions(samples):
+    """Decisions of every scope, stacked, from the written table of samples with features: the features and the rule state are worked out once."""
     extra = lambda df, code: df.select("trip_id", "sub_check_id", "result_state").withColumns({"decision_role": F.lit("verdict"), "dtc_candidate": F.lit(code)})
-    ranges = r.range_decisions(state(spark, sf_dir), LIMITS)
-    main = decisions(spark, sf_dir).select("trip_id", "sub_check_id", "result_state", "decision_role", "dtc_candidate")
-    return r.stack([main, extra(ranges, "P0112"), extra(step_decisions(spark, sf_dir), "P0106")])
+    st = written(r.rule_state(samples, LIMITS), "rule-state")
+    whole = samples.groupBy("trip_id").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
+    main = r.duration_decisions(r.episodes(st, RULES), whole, RULES).select("trip_id", "sub_check_id", "result_state", "decision_role", "dtc_candidate")
+    return r.stack([main, extra(r.range_decisions(st, LIMITS), "P0112"), extra(step_decisions(samples), "P0106")])
 
 
-_ROUTE = """wit AS (SELECT trip_id, max(result_state) FILTER (sub_check_id = '5-S3' AND result_state IN ('pass', 'triggered')) AS a, max(result_state) FILTER (sub_check_id = '5-S1' AND result_state IN ('pass', 'triggered')) AS b FROM alld GROUP BY trip_id),
+ROUTE = """wit AS (SELECT trip_id, max(result_state) FILTER (sub_check_id = '5-S3' AND result_state IN ('pass', 'triggered')) AS a, max(result_state) FILTER (sub_check_id = '5-S1' AND result_state IN ('pass', 'triggered')) AS b FROM alld GROUP BY trip_id),
 rt AS (SELECT trip_id, sub_check_id, result_state, decision_role, CASE WHEN result_state <> 'triggered' THEN NULL WHEN sub_check_id = '2-S3b' THEN 'P0102'
  WHEN sub_check_id IN ('2-S2', '5-S2') THEN CASE WHEN a = 'triggered' OR b = 'triggered' THEN 'P0106' WHEN a IS NOT NULL OR b IS NOT NULL THEN 'P0101' ELSE 'P006A' END ELSE dtc_candidate END AS routed_dtc FROM alld JOIN wit USING (trip_id))"""
 
 
-@query(with_ticks(DECISIONS, _RANGE, _EVENTS, _STEP, _ALL, _ROUTE) + "SELECT *, result_state = 'triggered' AND decision_role = 'verdict' AND routed_dtc IS NOT NULL AS dtc_emitted FROM rt")
+@query(with_ticks(DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE) + "SELECT *, result_state = 'triggered' AND decision_role = 'verdict' AND routed_dtc IS NOT NULL AS dtc_emitted FROM rt")
 def d29_d30_routed_decisions(spark, sf_dir):
-    return r.route(all_decisions(spark, sf_dir))
+    return r.route(written(all_decisions(written(prod(spark, sf_dir), "samples")), "decisions"))
 
 
-@query(with_ticks(DECISIONS, _RANGE, _EVENTS, _STEP, _ALL) + "SELECT sub_check_id, result_state, count(*) AS n FROM alld GROUP BY ALL")
+@query(with_ticks(DECISIONS, RANGE, EVENTS, STEP, ALL) + "SELECT sub_check_id, result_state, count(*) AS n FROM alld GROUP BY ALL")
 def a24_decision_states(spark, sf_dir):
-    return all_decisions(spark, sf_dir).groupBy("sub_check_id", "result_state").agg(F.count("*").alias("n"))
+    return all_decisions(written(prod(spark, sf_dir), "samples")).groupBy("sub_check_id", "result_state").agg(F.count("*").alias("n"))

@@ -84,3 +84,7 @@ prod AS (SELECT *, {sloped("accel_pedal_mean", "pedal_block")} AS pedal_slope, {
  {std("maf", long, "maf_block")} AS maf_std, {std("rpm", long, "rpm_block")} AS rpm_std,
  {_roll(f"max(map) OVER {by('map_block', short)} - min(map) OVER {by('map_block', short)}", short, "map_block")} AS map_range,
  {std("accel_pedal_mean", long, "pedal_block")} AS accel_pedal_mean_std FROM fb)"""
+
+
+def tidy_sql(x: str, digits: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(32, 9)), {digits}) AS DOUBLE)"

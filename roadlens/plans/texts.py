@@ -10,10 +10,10 @@ from roadlens.sources.adapters import table
 
 
 def _reports(spark, sf_dir):
-    """Short reports made from conversations: the first 200 characters of a turn, with phrases of the checks."""
+    """Reports made from conversations: the whole text of a turn, with phrases of the checks after it."""
     add = F.element_at(F.array(*[F.lit(x) for x in ADDED]), (F.col("conv_id") % len(ADDED) + 1).cast("int"))
-    body = F.regexp_replace(F.substring("text", 1, 200), r"[^\x20-\x7E]", " ")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", body, add).alias("report"), F.concat(F.lit("Mean 12.5 and 3 of 40 at 95 "), body).alias("context"))
+    context = F.concat(F.lit("Mean 12.5 and 3 of 40 at 95 "), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", add).alias("report"), context.alias("context"))
 
 
 ADDED = (
@@ -22,7 +22,7 @@ ADDED = (
 )
 _REP = (
     "rep AS (SELECT conv_id, turn, concat_ws(' ', body, ([" + ", ".join("'" + x.replace("'", "''") + "'" for x in ADDED) + f"])[1 + conv_id % {len(ADDED)}]) AS report, 'Mean 12.5 and 3 of 40 at 95 ' || body AS context"
-    " FROM (SELECT conv_id, turn, regexp_replace(substr(text, 1, 200), '[^\\x20-\\x7E]', ' ', 'g') AS body FROM conversations))"
+    " FROM (SELECT conv_id, turn, text AS body FROM conversations))"
 )
 
 
@@ -123,7 +123,7 @@ def r17_projection_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", a.projection_text(F.when(k % 6 != 0, k % 101 / 100.0), F.when(k % 4 != 0, k % 9), level).alias("text"))
 
 
-_DOCS = "kd AS (SELECT item_id, 'type' || (item_id % 4) AS type, 'section' || (item_id % 3) AS section, CASE WHEN item_id < 12 THEN CASE item_id % 2 WHEN 0 THEN 'High' ELSE 'Low' END END AS level, substr(text, 1, 40) AS content FROM benchmark WHERE item_id < 24)"
+_DOCS = "kd AS (SELECT item_id, 'type' || (item_id % 4) AS type, 'section' || (item_id % 3) AS section, CASE item_id % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' END AS level, text AS content FROM benchmark)"
 _DOCU = "ku AS (SELECT type, section, level, min(content) AS content FROM kd GROUP BY ALL)"
 
 
@@ -134,13 +134,12 @@ SELECT q.o_orderkey, coalesce(e.content, l.content, 'no entry') AS content FROM
 def j14_s15_lookup_docs(spark, sf_dir):
     i = F.col("item_id")
     tag = lambda name, x: F.concat(F.lit(name), x.cast("string"))
-    docs = table(spark, sf_dir, "benchmark").where("item_id < 24").select(
-        tag("type", i % 4).alias("type"), tag("section", i % 3).alias("section"), F.when(i < 12, F.when(i % 2 == 0, "High").otherwise("Low")).alias("level"), F.substring("text", 1, 40).alias("content")
-    )
+    level = F.when(i % 5 == 0, "High").when(i % 5 == 1, "Low").when(i % 5 == 2, "Medium")
+    docs = table(spark, sf_dir, "benchmark").select(tag("type", i % 4).alias("type"), tag("section", i % 3).alias("section"), level.alias("level"), F.col("text").alias("content"))
     docs = docs.groupBy("type", "section", "level").agg(F.min("content").alias("content"))
     k = F.col("o_orderkey")
     q = table(spark, sf_dir, "orders").select("o_orderkey", tag("type", k % 5).alias("type"), tag("section", F.col("o_custkey") % 3).alias("section"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "LOW").otherwise("Medium").alias("level"))
-    return a.lookup_docs(q, F.broadcast(docs), "no entry").select("o_orderkey", "content")
+    return a.lookup_docs(q, docs, "no entry").select("o_orderkey", "content")
 
 
 _TOP = """q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT q_id, vec_id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 9) AS cos FROM q, embeddings WHERE vec_id <> q_id),
