@@ -10,7 +10,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from roadlens.llm.recurrent import Adam, bidirectional, bidirectional_back, init_cell, sigmoid
+from roadlens.llm.recurrent import Adam, bidirectional, bidirectional_back, init_cell, run, sigmoid
 
 # Names of HTML.
 BREAKING = frozenset(
@@ -34,7 +36,9 @@ CLOSES = {
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPES = frozenset("table td th ul ol dl article section aside main nav header footer form body html div".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>", re.S)
+_NAMED = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+#: The rest of a tag, up to a ``>`` that stands in no quotes.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|[0-9]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -51,102 +55,190 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+# Names that tell parts beside the text, for pages whose own sectioning labels their blocks.
+_OUT = frozenset("nav header footer aside form button select menu dialog label fieldset".split())
+_OUT_NAMES = frozenset("ad ads advert advertisement sponsored promo cookie consent comment comments sidebar nav navigation menu footer header share social related notice newsletter subscribe".split())
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A run of text: ``path``, its hashed tag path; how deep it stands; characters that are links; and whether it is in an article and beside none of its parts."""
+
+    __slots__ = ("path", "depth", "text", "linked", "within", "inside")
 
-    def __init__(self, path: list[tuple[str, tuple[str, ...]]], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: np.ndarray, depth: int, text: str, linked: int, within: bool, inside: bool):
+        self.path, self.depth, self.text, self.linked, self.within, self.inside = path, depth, text, linked, within, inside
+
+
+@lru_cache(1 << 16)
+def _slot(token: str, size: int) -> tuple[int, int]:
+    h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    return h % size, 1 if h >> 31 else -1
+
+
+class _Open:
+    """The elements that are open, with the hashed sum of the distinct tags and names on the path, kept up as they open and close."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...], bool]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # where elements of a tag stand in the stack
+        self.held: Counter[str] = Counter()
+        self.sum, self.known = np.zeros(PATH, np.int16), {}
+        self.articles = self.beside = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        tokens, out = (tag, *{f".{n}" for n in names}), tag in _OUT or not _OUT_NAMES.isdisjoint(names)
+        self.at[tag].append(len(self.stack))
+        self.stack.append((tag, tokens, out))
+        self.articles += tag in ("article", "main")
+        self.beside += out
+        for t in tokens:
+            if not self.held[t]:
+                slot, sign = _slot(t, PATH)
+                self.sum[slot] += sign
+            self.held[t] += 1
+
+    def cut(self, place: int) -> None:
+        """Closes all elements from ``place`` on."""
+        while len(self.stack) > place:
+            tag, tokens, out = self.stack.pop()
+            self.at[tag].pop()
+            self.articles -= tag in ("article", "main")
+            self.beside -= out
+            for t in tokens:
+                self.held[t] -= 1
+                if not self.held[t]:
+                    slot, sign = _slot(t, PATH)
+                    self.sum[slot] -= sign
+
+    def last(self, tags) -> int:
+        place, at = -1, self.at
+        for t in tags:
+            if t in at and at[t] and at[t][-1] > place:
+                place = at[t][-1]
+        return place
+
+    def close(self, tags, within=()) -> None:
+        """Closes the last element of ``tags``, and what it holds, unless one of ``within`` stands between."""
+        place = self.last(tags)
+        if place >= 0 and place > self.last(within):
+            self.cut(place)
+
+    def path(self) -> np.ndarray:
+        out = self.sum.copy()
+        if self.stack:
+            slot, sign = _slot(f"leaf:{self.stack[-1][0]}", PATH)
+            out[slot] += sign
+        return self.known.setdefault(out.tobytes(), out)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order: runs of text between block tags, with references decoded and white space folded. Scripts, styles and the like are left out."""
+    """The page's leaf blocks in order: runs of text between block tags, with references decoded and white space folded. Scripts, styles and the like are left out.
+
+    Takes time in proportion to the page, however malformed. A tag without an end is text. Where quotes
+    in tags stay open, 16 times in a page, they count for nothing in the rest of it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    links: list[str] = []
-    page, at = page or "", 0
+    now, parts, links = _Open(), [], []
+    page, at, look, broken, endless = page or "", 0, 0, 0, set()
+    closed = page.rfind(">")
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(stack.copy(), text, len(" ".join(html.unescape("".join(links)).split()))))
+                linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
+                out.append(Block(now.path(), len(now.stack), text, linked, now.articles > 0, now.articles > 0 and not now.beside))
             parts.clear()
             links.clear()
 
-    def close(names: set[str] | frozenset[str], within: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
-
-    while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+    def say(piece: str) -> None:
         if piece:
             parts.append(piece)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if now.at["a"] and now.at["a"][-1] >= len(now.stack) - 4:
                 links.append(piece)
-        if not m:
+
+    while True:
+        start = page.find("<", look)
+        if start < 0:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        kind, tag, ends, attributes = page[start + 1 : start + 2], "", False, ""
+        if kind in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            end = page.find("-->", start + 4) + 3 if comment else page.find(">", start) + 1
+            end = end if end > start else len(page)
+            if comment and end == 2:
+                end = len(page)
+        else:
+            m = _NAMED.match(page, start + 1)
+            if not m or m.end() > closed:
+                look = start + 1
+                continue
+            rest = _REST.match(page, m.end()) if broken < 16 else None
+            if not rest:
+                broken += 1
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            tag, ends, attributes = m[2].lower(), m[1] == "/", page[m.end() : end - 1]
+        say(page[at:start])
+        at = look = end
         if not tag:
             continue
-        ends, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if tag in UNSEEN and not ends:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page) if tag in ("script", "style") else at
+                found = None if tag in endless else _end_of(tag).search(page, at)
+                if found:
+                    at = look = found.end()
+                else:
+                    endless.add(tag)
+                    at = look = len(page) if tag in ("script", "style") else at
             continue
         if tag in BREAKING:
             flush()
         elif tag == "br":
             parts.append(" ")
         if ends:
-            close({tag}, frozenset(("table", "body", "html")) - {tag})
+            now.close((tag,), {"table", "body", "html"} - {tag})
         else:
             if tag in CLOSE_P:
-                close({"p"}, SCOPES)
+                now.close(("p",), SCOPES)
             if tag in CLOSES:
-                close(CLOSES[tag], SCOPES - CLOSES[tag])
+                now.close(CLOSES[tag], SCOPES - CLOSES[tag])
             if tag not in VOID and not attributes.rstrip().endswith("/"):
-                stack.append((tag, _names(attributes)))
+                now.push(tag, _names(attributes) if attributes else ())
+    say(page[at:])
     flush()
     return out
 
 
-def _slot(token: str, size: int) -> tuple[int, float]:
-    h = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-    return h % size, 1.0 if h >> 31 else -1.0
+@lru_cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """Inputs (blocks, INPUTS): hashed tag path, hashed words, and sizes."""
-    x = np.zeros((len(found), INPUTS), np.float32)
-    paths: dict[tuple, np.ndarray] = {}
+def vectors(found: list[Block], first: int = 0, count: int | None = None) -> np.ndarray:
+    """Inputs (blocks, INPUTS): hashed tag path, hashed words, all of them, and sizes. ``found`` stands at ``first`` of the page's ``count`` blocks."""
+    x, total = np.zeros((len(found), INPUTS), np.float32), count or len(found)
+    slots, signs, sizes, numbers = [], [], [], []
     for i, b in enumerate(found):
-        key = tuple(b.path)
-        if key not in paths:
-            v = np.zeros(PATH, np.float32)
-            tokens = {t for t, _ in b.path} | {f".{n}" for _, ns in b.path for n in ns} | {f"leaf:{t}" for t, _ in b.path[-1:]}
-            for t in tokens:
-                s, sign = _slot(t, PATH)
-                v[s] += sign
-            paths[key] = v
-        x[i, :PATH] = paths[key]
+        x[i, :PATH] = b.path
         w = _WORD.findall(b.text.lower())
-        for t in w[:40] + w[-10:]:
-            s, sign = _slot(t, WORDS)
-            x[i, PATH + s] += sign
-        x[i, PATH : PATH + WORDS] /= 1 + np.sqrt((x[i, PATH : PATH + WORDS] ** 2).sum())
-        n = len(b.text)
-        x[i, PATH + WORDS :] = (
-            np.log1p(len(w)) / 3, b.linked / n, sum(b.text.count(c) for c in ".,;:!?") / (1 + len(w)), float(b.text[-1] in ".!?…\"»”"),
-            i / len(found), (len(found) - i) / len(found), min(len(b.path), 12) / 12, float("©" in b.text),
+        for t in w:
+            slot, sign = _slot(t, WORDS)
+            slots.append(slot)
+            signs.append(sign)
+        n, count_of = len(b.text), b.text.count
+        sizes.append(len(w))
+        numbers.append(
+            (
+                len(w), b.linked / n, (count_of(".") + count_of(",") + count_of(";") + count_of(":") + count_of("!") + count_of("?")) / (1 + len(w)), b.text[-1] in ".!?…\"»”",
+                (first + i) / total, (total - first - i) / total, min(b.depth, 12) / 12, "©" in b.text,
+            )
         )
+    if found:
+        at = np.repeat(np.arange(len(found)), sizes) * WORDS + np.array(slots, dtype=np.int64)
+        hashed = np.bincount(at, weights=signs, minlength=len(found) * WORDS).reshape(len(found), WORDS)
+        x[:, PATH : PATH + WORDS] = hashed / (1 + np.sqrt((hashed**2).sum(axis=1, keepdims=True)))
+        x[:, PATH + WORDS :] = numbers
+        x[:, PATH + WORDS] = np.log1p(x[:, PATH + WORDS]) / 3
     return x
 
 
@@ -187,24 +279,38 @@ class Labeller:
                 adam.update(self.w, grads)
         return self
 
-    def content(self, rows: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """Which blocks of each page are main text."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(rows)
-        order = sorted((i for i in range(len(rows)) if len(rows[i])), key=lambda i: len(rows[i]))
-        for s in range(0, len(order), batch):
-            own = order[s : s + batch]
-            x, mask = self.pad([rows[i] for i in own])
-            logit = self._logits(x, mask)[0]
-            for i, row in zip(own, logit):
-                out[i] = row[: len(rows[i])] > 0
+    def _given(self, found: list[Block], chunk: int = 4096) -> np.ndarray:
+        """What the blocks add to the gates of both directions and to the logit: 4 HIDDEN, 4 HIDDEN and 1 numbers each. Inputs are made for some blocks at a time."""
+        w, b = np.concatenate([self.w["fx"], self.w["rx"], self.w["direct"]], axis=1), np.concatenate([self.w["fb"], self.w["rb"], self.w["bias"]])
+        return np.concatenate([np.empty((0, len(b)), np.float32), *(vectors(found[i : i + chunk], i, len(found)) @ w + b for i in range(0, len(found), chunk))])
+
+    def content(self, pages: list[list[Block]], cells: int = 16_384) -> list[np.ndarray]:
+        """Which blocks of each page are main text. Pages of like length run together, up to ``cells`` blocks with filling; a longer page runs alone."""
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+        given, gates = {i: self._given(pages[i]) for i in order}, 4 * HIDDEN
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * len(pages[order[n]]) <= cells:
+                n += 1
+            own, order = order[:n], order[n:]
+            x, mask = self.pad([given.pop(i) for i in own])
+            f = run("lstm", x[..., :gates], self.w["fh"], mask) @ self.w["out"][:HIDDEN, 0]
+            r = run("lstm", x[:, ::-1, gates : 2 * gates], self.w["rh"], mask[:, ::-1])[:, ::-1] @ self.w["out"][HIDDEN:, 0]
+            for i, row in zip(own, f + r + x[..., -1]):
+                out[i] = row[: len(pages[i])] > 0
         return out
 
-    def extract(self, pages: list[str | None], chunk: int = 256) -> list[str]:
+    def extract(self, pages: list[str | None], count: int = 256, chars: int = 4_000_000) -> list[str]:
         out: list[str] = []
-        for s in range(0, len(pages), chunk):
-            found = [blocks(p) for p in pages[s : s + chunk]]
-            for bs, keep in zip(found, self.content([vectors(b) for b in found])):
-                out.append("\n\n".join(b.text for b, k in zip(bs, keep) if k))
+        while len(out) < len(pages):
+            lo, size = len(out), 0
+            own = []
+            while lo + len(own) < len(pages) and len(own) < count and (not own or size < chars):
+                own.append(pages[lo + len(own)])
+                size += len(own[-1] or "")
+            found = [blocks(p) for p in own]
+            out += ["\n\n".join(b.text for b, k in zip(bs, keep) if k) for bs, keep in zip(found, self.content(found))]
         return out
 
 
@@ -247,6 +353,8 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
             out.append(f'<li><a href="/{pick(words)[:9]}">{text}</a></li>')
         elif tag == "td":
             out.append(f"<table><tr><td>{text}</td></tr></table>")
+        elif tag == "li" and label and chance(0.7):
+            out.append(f"<ul><li>{text}</li></ul>")
         else:
             inner = f"<a href='/x'>{text}</a>" if label == 0 and chance(0.3) else f"<b>{text}</b>" if chance(0.1) else text
             out.append(f"<{tag}>{inner}" + ("" if tag == "p" and chance(0.4) else f"</{tag}>"))
@@ -275,7 +383,7 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
             leaf(pick(["h1", "h1", "h2"]), say(int(rng.integers(2, 12))), 1)
         for _ in range(int(rng.integers(1, 14))):
             leaf(pick(_LEAVES["main"].split()), say(int(rng.integers(1, 90))), 1)
-            if depth and chance(0.06):
+            if depth and chance(0.1):
                 beside(pick(["ad", "share", "aside", "notice", "form"]))
         if depth and chance(0.25):
             beside("comments")
@@ -293,16 +401,9 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
     return head + "".join(out) + "</body></html>", labels
 
 
-_OUT = frozenset("nav header footer aside form button select menu dialog label fieldset".split())
-_OUT_NAMES = frozenset("ad ads advert advertisement sponsored promo cookie consent comment comments sidebar nav navigation menu footer header share social related notice newsletter subscribe".split())
-
-
 def sectioned_labels(found: list[Block]) -> np.ndarray | None:
     """Labels by the page's own sectioning, where it has an article or main element; else None."""
-    if not any(t in ("article", "main") for b in found for t, _ in b.path):
-        return None
-    inside = [any(t in ("article", "main") for t, _ in b.path) and not any(t in _OUT or _OUT_NAMES & set(ns) for t, ns in b.path) for b in found]
-    return np.array(inside, dtype=np.float32)
+    return np.array([b.inside for b in found], dtype=np.float32) if any(b.within for b in found) else None
 
 
 def train_labeller(pages: list[str], made: int = 600, seed: int = 4) -> Labeller:
@@ -319,7 +420,7 @@ def train_labeller(pages: list[str], made: int = 600, seed: int = 4) -> Labeller
     for p in pages:
         found = blocks(p)
         y = sectioned_labels(found)
-        if y is not None and len(found) <= 400:
+        if y is not None:
             rows.append(vectors(found))
             labels.append(y)
     return Labeller().fit(rows, labels)
@@ -329,7 +430,7 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """Per row: page_id, url, text (blocks of main text, joined by two line ends) and n_chars, its code points.
 
     Null and empty pages, and those without main text, give an empty text. Every block of a page of any
-    length is labelled; nothing is cut. The labeller is fitted on up to ``sample`` pages of smallest hash
+    length is labelled from all of its words; nothing is cut. The labeller is fitted on up to ``sample`` pages of smallest hash
     and at most ``longest`` characters, besides made ones. One pass without a shuffle; repeated rows each
     get a row and other columns are ignored.
     """
