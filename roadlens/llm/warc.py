@@ -151,8 +151,9 @@ def parse_record(data: bytes) -> dict:
 
 
 def write_archives(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 200, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 200_000
-) -> str:
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 200, longest: int = 100_000, archive_bytes: int = 256_000_000, date: str = "1970-01-01T00:00:00Z",
+    broadcast_rows: int = 200_000,
+) -> str:
     """Writes a record per row of ``pages`` and returns the folder, below the shared one.
 
     Equal payloads of at least 1000 bytes: the row of the largest id is a response, and so is any row
@@ -160,7 +161,9 @@ def write_archives(
     payload is empty, a null url leaves the header out, other columns are ignored. Payloads held by
     several rows are found from hashes, pre-aggregated; they are broadcast up to ``broadcast_rows``
     (some 60 bytes each) and joined by shuffle beyond. The dictionary is trained on the ``sample``
-    rows of smallest hash.
+    rows of smallest hash among payloads of up to ``longest`` bytes. A task's archive holds about
+    ``archive_bytes`` of payload at most, or else one record: where the table's partitions hold more,
+    rows are dealt out anew.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
@@ -171,7 +174,7 @@ def write_archives(
     few = repeated.count() <= broadcast_rows
     typed = rows.join(F.broadcast(repeated) if few else repeated, F.col("key") == F.col("k"), "left")
     typed = typed.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-    taken = rows.orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample).select("url", "payload").collect()
+    taken = rows.where(F.octet_length("payload") <= longest).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(sample).select("url", "payload").collect()
     data = train_dictionary([record(0, r["url"], bytes(r["payload"]), None, False, date) for r in taken])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,6 +188,9 @@ def write_archives(
                 frames.append(encoder.compress(record(page_id, url, payload, refers, refers is not None, date)))
             yield pd.DataFrame({"frame": frames})
 
+    needed = -(-(rows.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]) // archive_bytes)
+    if needed > rows.rdd.getNumPartitions():
+        typed = typed.repartition(2 * needed)
     as_text = typed.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # ids stay exact beside nulls
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     frames = as_text.mapInPandas(pack, "frame binary").select(F.col("frame").cast("string").alias("value"))
@@ -228,6 +234,7 @@ def _frame(found: list[dict], names: list[str]) -> pd.DataFrame:
 
 
 def archived_pages(pages: DataFrame, **options) -> DataFrame:
-    """``pages`` written as WARC archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    folder = write_archives(pages, **options)
-    return read_archives(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    """``pages`` written as WARC archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to. A record that fails a check ends the job."""
+    found = read_archives(pages.sparkSession, write_archives(pages, **options))
+    sound = F.assert_true(F.col("error").isNull(), F.concat_ws(": ", "archive", "record_id", "error")).isNull()
+    return found.where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

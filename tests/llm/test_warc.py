@@ -15,7 +15,7 @@ def test_round_trip(spark):
     pages += [(100 + i, f"http://c/{i}", f"<html>{i}" + "x y " * 300) for i in range(40)] + [(9007199254740993, "u", big + "!")]
     df = spark.createDataFrame([(*p, "k", 0) for p in pages], SCHEMA)
     got = archived_pages(df).collect()
-    assert len(got) == len(pages) and not any(r["error"] for r in got)
+    assert len(got) == len(pages)
     want = []
     for i, _, html in pages:
         data = (html or "").encode()
@@ -24,6 +24,19 @@ def test_round_trip(spark):
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
     assert archived_pages(df, broadcast_rows=0).count() == len(pages)
     assert archived_pages(df.limit(0)).count() == 0
+    assert len(archived_pages(df, archive_bytes=5000, longest=10).collect()) == len(pages)
+    folder = write_archives(df, archive_bytes=5000)
+    assert 10 < spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).count() and read_archives(spark, folder).where("error is not null").count() == 0
+
+
+def test_a_broken_archive_ends_the_job(spark, tmp_path, monkeypatch):
+    from roadlens.llm import warc
+
+    data = record(1, "u", b"payload", None, False, "1970-01-01T00:00:00Z").replace(b"payload", b"pAyload")
+    (tmp_path / "part-0").write_bytes(zstandard.ZstdCompressor().compress(data))
+    monkeypatch.setattr(warc, "write_archives", lambda pages: str(tmp_path))
+    with pytest.raises(Exception, match="payload digest differs"):
+        archived_pages(spark.createDataFrame([], SCHEMA)).collect()
 
 
 def test_archive_is_plain_zstandard(spark):
