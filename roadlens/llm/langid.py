@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -48,7 +48,7 @@ def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class LanguageModel:
     def __init__(self, languages: list[str], idf: np.ndarray):
         self.languages, self.idf = languages, idf
-        self.weights, self.bias, self.temperature = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0
+        self.weights, self.bias, self.temperature = np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages)), 1.0
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, value) of unit length: (1 + log tf) * idf."""
@@ -61,7 +61,7 @@ class LanguageModel:
         rows = [self.features(t) for t in texts]
         order = rng.permutation(len(rows))
         cut = int(len(rows) * (1 - left_out)) if len(rows) >= 10 else len(rows)
-        z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
+        z, n = np.zeros((BUCKETS + 1, k), np.float32), np.zeros((BUCKETS + 1, k), np.float32)
 
         def leader(at: np.ndarray, penalty: float) -> np.ndarray:
             own = z[at]
@@ -118,23 +118,30 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 800, longest: int = 20_000) -> LanguageModel:
+def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 800, most: int = 40_000, longest: int = 20_000) -> LanguageModel:
     """A model of about ``each`` documents of each language, those of smallest hash, of up to ``longest`` characters; document frequencies are of all.
 
-    Only documents whose crc32 of the id as text leaves another remainder than 1 by 3, with a text and a
-    language, are learned from. A null id is not held out.
+    Where there are so many languages that these would be more than ``most``, each gives fewer, but one at least. Only documents
+    whose crc32 of the id as text leaves another remainder than 1 by 3, with a text and a language, are
+    learned from. A null id is not held out. Rows that repeat an id and a text count once in the sample.
+    Every language is learned; the model takes some 0.8 MB for each.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.where("text is not null and lang is not null").where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return LanguageModel([], np.zeros(BUCKETS))
     df, n = document_frequencies(d.select("text"))
     rank = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
-    share = F.element_at(F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, each / c))]), F.col("lang"))
-    taken = d.where(F.length("text").between(1, longest)).where(rank <= share).select("lang", "text").orderBy("lang", "text").collect()
+    quota = max(1, min(each, most // len(counts)))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(1.0, 1.5 * quota / c))]), F.col("lang"))
+    fit = d.where(F.length("text").between(1, longest)).withColumn("rank", rank).where(F.col("rank") <= share)
+    fit = fit.groupBy("lang", "rank").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))  # over the sample, some ``quota`` rows a language
+    taken = fit.withColumn("place", place).where(F.col("place") <= quota).select("lang", "text").orderBy("lang", "text").collect()
     languages = sorted(counts)
-    rows = [(s, languages.index(r["lang"])) for r in taken if (s := letters(r["text"]))]
+    number = {k: i for i, k in enumerate(languages)}
+    rows = [(s, number[r["lang"]]) for r in taken if (s := letters(r["text"]))]
     model = LanguageModel(languages, np.log((1 + n) / (1 + df)) + 1)
     return model.fit([s for s, _ in rows], np.array([y for _, y in rows], dtype=int)) if rows else LanguageModel([], np.zeros(BUCKETS))
 
