@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import ascii_lower, let, written
+from roadlens.llm.common import ascii_lower, bytes_of, let, written
 
 #: What lies between words, in a text whose A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,35 +58,44 @@ def item_windows(benchmark: DataFrame, span: int, item_col: str, text_col: str)
     return each.groupBy("size", "window").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def _window_hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, span: int, k: int, broadcast_rows: int) -> DataFrame | None:
-    """(doc_id, th, run, items) for each window of an item that occurs in a row of ``docs`` (doc_id, text, th); run is where it stands. None if no item has words."""
-    windows = item_windows(benchmark, span, item_col, text_col)
-    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # span rows at most
-    small = sum(sizes.values()) <= broadcast_rows
+def _window_hits(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, span: int, k: int, broadcast_bytes: int) -> DataFrame | None:
+    """(doc_id, th, run, items) for each window of an item that occurs in a row of ``docs`` (doc_id, text, th); run is where it stands. None if no item has words.
+
+    Windows of all sizes are looked for in one pass: those of ``span`` words by winnowed k-grams, shorter
+    items by a hash of the whole of them.
+    """
+    windows = written(item_windows(benchmark, span, item_col, text_col), "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # span rows at most
+    if not sizes:
+        return None
+    small = bytes_of(windows, "window", "items") <= broadcast_bytes
     side = F.broadcast if small else lambda df: df
 
-    hits = None
-    for size in sorted(sizes):
-        k_here = k if size == span else size
-        own = windows.where(F.col("size") == size)
-        prints = own.withColumn("w", F.split("window", " ")).select(F.explode_outer(fingerprints(F.col("w"), size, k_here)).alias("f")).select(F.col("f.h").alias("h")).distinct()
-        tokens = docs.select("doc_id", "th", words(F.col("text")).alias("w"))
-        found = tokens.withColumn("f", fingerprints(F.col("w"), size, k_here))
-        if small:
-            found = found.select("doc_id", "th", "w", F.explode_outer("f").alias("f")).select("doc_id", "th", "w", F.col("f.h").alias("h"), F.col("f.pos").alias("pos"))
-            found = found.join(F.broadcast(prints), "h")
-        else:  # the words stay behind; only documents with a hit are read again
-            found = found.select("doc_id", "th", F.explode_outer("f").alias("f")).select("doc_id", "th", F.col("f.h").alias("h"), F.col("f.pos").alias("pos")).join(prints, "h")
-            found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "pos").distinct()
-            found = tokens.dropDuplicates(["doc_id", "th"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")))
-        first = F.greatest(F.col("pos") - (size - k_here), F.lit(1))
-        last = F.least(F.col("pos"), F.size("w") - (size - 1))
-        near = found.select("doc_id", "th", first.alias("first"), F.slice("w", first, last - first + size).alias("w"))
-        near = near.select("doc_id", "th", "first", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("o", "s"))
-        near = near.select("doc_id", "th", (F.col("first") + F.col("o")).alias("at"), F.array_join(F.slice("w", F.col("s"), size), " ").alias("window"))
-        part = near.join(side(own), "window").select("doc_id", "th", F.struct(F.col("at"), (F.col("at") + size).alias("end")).alias("run"), "items")
-        hits = part if hits is None else hits.unionByName(part)
-    return hits
+    def marks(w: Column) -> Column:
+        """Array of (size, h, pos) of all sizes."""
+
+        def of(n: int) -> Column:
+            return F.transform(fingerprints(w, n, k if n == span else n), lambda f: F.struct(F.lit(n).alias("size"), f["h"].alias("h"), f["pos"].alias("pos")))
+
+        return F.flatten(F.array(*map(of, sizes)))
+
+    own = windows.withColumn("w", F.split("window", " ")).withColumn("f", F.explode(marks(F.col("w")))).where(F.col("f.size") == F.col("size"))
+    prints = own.select("size", F.col("f.h").alias("h")).distinct()
+    tokens = docs.select("doc_id", "th", words(F.col("text")).alias("w"))
+    found = tokens.withColumn("f", marks(F.col("w")))
+    if small:
+        found = found.select("doc_id", "th", "w", F.explode_outer("f").alias("f")).select("doc_id", "th", "w", "f.size", "f.h", "f.pos").join(F.broadcast(prints), ["size", "h"])
+    else:  # the words stay behind; only documents with a hit are read again
+        found = found.select("doc_id", "th", F.explode_outer("f").alias("f")).select("doc_id", "th", "f.size", "f.h", "f.pos").join(prints, ["size", "h"])
+        found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "size", "pos").distinct()
+        found = tokens.dropDuplicates(["doc_id", "th"]).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")))
+    reach = F.when(F.col("size") == span, span - k).otherwise(0)
+    first = F.greatest(F.col("pos") - reach, F.lit(1))
+    last = F.least(F.col("pos"), F.size("w") - (F.col("size") - 1))
+    near = found.select("doc_id", "th", "size", first.alias("first"), F.slice("w", first, last - first + F.col("size")).alias("w"))
+    near = near.select("doc_id", "th", "size", "first", "w", F.posexplode(F.sequence(F.lit(1), F.size("w") - (F.col("size") - 1))).alias("o", "s"))
+    near = near.select("doc_id", "th", "size", (F.col("first") + F.col("o")).alias("at"), F.array_join(F.slice("w", F.col("s"), F.col("size")), " ").alias("window"))
+    return near.join(side(windows), ["size", "window"]).select("doc_id", "th", F.struct(F.col("at"), (F.col("at") + F.col("size")).alias("end")).alias("run"), "items")
 
 
 def contamination(
@@ -99,19 +108,19 @@ def contamination(
     item_text_col: str = "text",
     span: int = 10,
     k: int = 5,
-    broadcast_rows: int = 500_000,
+    broadcast_bytes: int = 64_000_000,
 ) -> DataFrame:
     """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and ``items``, the sorted item ids.
 
     Null and empty texts have no words; an item without words matches nothing; an item of fewer than
     ``span`` words is one window. Rows that repeat a document, and rows that share an id, each get
     their own row; a null id is kept. An empty benchmark leaves every document clean. Other columns
-    of either table are ignored. The items' fingerprints and windows are broadcast when there are at
-    most ``broadcast_rows`` of them (some 100 bytes each), and joined by shuffle beyond that.
+    of either table are ignored. The items' fingerprints and windows are broadcast where the windows, with
+    the ids of all items that hold them, have at most ``broadcast_bytes``, and joined by shuffle beyond that.
     """
     docs = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
-    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_rows)
+    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_bytes)
     counted = docs.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
         joined = counted.withColumn("n_hit", F.lit(None).cast("long")).withColumn("items", F.lit(None).cast("array<string>"))
@@ -125,7 +134,10 @@ def contamination(
                 (a["n"] + F.greatest(x["end"] - F.greatest(a["end"], x["at"]), F.lit(0))).alias("n"),
             ),
         )["n"]
-        per = hits.groupBy("doc_id", "th").agg(covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        hits = written(hits.distinct(), "hits")  # a passage that a document repeats, or that many windows share, counts once from here on
+        runs = hits.groupBy("doc_id", "th").agg(covered.alias("n_hit"))
+        items = hits.select("doc_id", "th", F.explode("items").alias("item")).distinct().groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        per = runs.join(items.select(F.col("doc_id").alias("i_"), F.col("th").alias("t_"), "items"), F.col("doc_id").eqNullSafe(F.col("i_")) & F.col("th").eqNullSafe(F.col("t_")))
         per = per.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_hit", "items")
         joined = counted.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -140,12 +152,16 @@ def contamination(
     )
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def decontaminated(
+    documents: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5,
+    broadcast_bytes: int = 64_000_000, broadcast_rows: int = 500_000,
+) -> DataFrame:
     """``documents`` without those that share a window with an item; see ``contamination``. Their keys are broadcast up to ``broadcast_rows``."""
     docs = documents.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_rows)
+    hits = _window_hits(docs, benchmark, item_col, item_text_col, span, k, broadcast_bytes)
     if hits is None:
         return documents
-    keys = written(hits.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "contaminated")
+    keys = written(hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "contaminated")
     side = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-    return documents.join(side, F.col(doc_col).eqNullSafe(F.col("_d")) & F.xxhash64(text_col).eqNullSafe(F.col("_t")), "left_anti")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col(doc_col).alias("doc_id"), F.xxhash64(text_col).alias("th"))
+    return rows.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")), "left_anti").select("row.*")

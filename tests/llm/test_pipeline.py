@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from roadlens.llm.decontaminate import contamination
+from roadlens.llm.decontaminate import contamination, decontaminated
 from roadlens.llm.pii import mask_text
 from roadlens.llm.simhash import near_duplicates
 
@@ -41,10 +41,14 @@ def test_contamination_like_brute_force(spark):
     b = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, size int")
     want = brute_contamination(docs, items)
     assert sum(x[2] > 0 for x in want) > 20
-    for limit in (500_000, 0):
-        got = contamination(d, b, broadcast_rows=limit).collect()
+    for limit in (64_000_000, 0):
+        got = contamination(d, b, broadcast_bytes=limit).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) for r in got), key=repr) == want
         assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
+    clashing = d.withColumnsRenamed({"th": "d", "window": "row"})
+    for limit in (64_000_000, 0):
+        left = decontaminated(clashing, b, broadcast_bytes=limit)
+        assert left.columns == clashing.columns and left.count() == sum(not x[2] for x in want)
     assert contamination(d.limit(0), b).count() == 0 and contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
