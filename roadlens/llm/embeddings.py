@@ -72,6 +72,7 @@ def embedding_duplicates(
     tables: int = 6,
     sample: int = 8192,
     block: int = 1024,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per row: ``vec_id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -81,7 +82,8 @@ def embedding_duplicates(
     by a 64-bit hash; rows that repeat an id keep a row each; a null id never names a component
     unless all of it has none. Other columns are ignored. The rotation is fitted on the ``sample``
     vectors of smallest hash; every vector is indexed. A bucket of over ``block`` vectors is dealt
-    out as pairs of blocks, so that none lands in one task.
+    out as pairs of blocks, so that none lands in one task; the buckets of that size are broadcast up to
+    ``broadcast_rows`` (12 bytes each) and joined by a salted shuffle beyond.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -116,8 +118,14 @@ def embedding_duplicates(
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64("l", "d", k).alias("node")) for t, k in enumerate(keys)])
     coded = written(coded.select("c", "copies", "code", "v", keys.alias("keys")), "codes")
     narrow = coded.select("c", F.explode("keys").alias("k")).select("c", "k.t", "k.node")
-    counts = narrow.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    placed = narrow.join(counts, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    hot = narrow.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = written(hot.select(F.col("node").alias("hot"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
+    if hot.count() <= broadcast_rows:  # ``tables`` rows for each ``block`` of all vectors at most
+        placed = narrow.join(F.broadcast(hot), F.col("node") == F.col("hot"), "left")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(63)))
+        placed = narrow.withColumn("salt", F.pmod(F.hash("c"), F.lit(64))).join(hot.select("*", salt.alias("salt_")), (F.col("node") == F.col("hot")) & (F.col("salt") == F.col("salt_")), "left")
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.hash("c"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("c", "t", "node", own.alias("own"), other.alias("other"))

@@ -46,11 +46,13 @@ def test_hot_group_in_blocks_and_odd_rows(spark):
     rows = planted(5, 1, 300, 0.01)
     rows += [(500, rows[0][1], 0), (501, None, 0), (502, [0.0] * 64, 0), (503, [float("nan")] + [1.0] * 63, 0), (504, [None] + [1.0] * 63, 0)]
     rows += [(505, rows[0][1], None), (506, [], 0), (507, rows[0][1][:10], 0), (508, [2 * x for x in rows[0][1]], 0), (509, rows[0][1], 7)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_duplicates(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), block=32).collect()}
     want = brute(rows)
-    for i, r in enumerate(rows):
-        n = len(want.get(i, ()))
-        assert got[r[0]] == (n, 0 if n else r[0], not n or r[0] == 0), r[0]
+    for most in (1_000_000, 0):
+        found = embedding_duplicates(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), block=32, broadcast_rows=most).collect()
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found}
+        for i, r in enumerate(rows):
+            n = len(want.get(i, ()))
+            assert got[r[0]] == (n, 0 if n else r[0], not n or r[0] == 0), r[0]
 
 
 def test_empty_table(spark):
