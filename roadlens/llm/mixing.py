@@ -19,6 +19,7 @@ TOPICS = (
 
 
 def topic(text: Column) -> Column:
+    """The first of ``TOPICS`` whose pattern the whole text holds; ``prose`` for any other text, null and empty ones too."""
     out = F.lit("prose")
     for name, pattern in reversed(TOPICS):
         out = F.when(text.rlike(pattern), name).otherwise(out)
@@ -148,10 +149,10 @@ def mixed(
             if abs(got - budget_share * total) < 1e-9 * total:
                 break
         rated = raked.withColumn("rate", F.least(F.lit(1.0), F.col("w") * high / F.col("tokens")))
-    rated = rated.select(*[F.col(n).alias(f"{n}_") for n in names], F.round(F.col("w") / F.col("tokens"), 15).alias("per_token"), F.round("rate", 9).alias("rate"))
+    rated = rated.select(*[F.col(n).alias(f"{n}_") for n in names], (F.col("w") / F.col("tokens")).alias("per_token"), "rate")
     on = [F.col(n) == F.col(f"{n}_") for n in names]
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("_id", "_text"))), 1, 8), 16, 10).cast("double") / 2.0**32
     probability = F.when(F.col("_n") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    new = {"n_tokens": F.col("_n"), "weight": F.round(F.coalesce(F.col("_n") * F.col("per_token"), F.lit(0.0)), 15), "probability": probability, "kept": draw < probability}
+    new = {"n_tokens": F.col("_n"), "weight": F.coalesce(F.col("_n") * F.col("per_token"), F.lit(0.0)), "probability": probability, "kept": draw < probability}
     old = [F.col("_row")[c].alias(c) for c in docs.columns if c not in new]
     return d.join(rated, on, "left").select(*old, *[c.alias(n) for n, c in new.items()])

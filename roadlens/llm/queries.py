@@ -30,7 +30,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived_pages(table(spark, sf_dir, "pages")).drop("error")
+    return archived_pages(table(spark, sf_dir, "pages"))
 
 
 def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,18 +119,25 @@ LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) n USING (vec_id)
 """,
     "op2_substrings": r"""
 WITH u AS (
-  SELECT row_number() OVER () AS rid, doc_id,
-         string_split(regexp_replace(coalesce(text, ''), '([^.!?\x20\x09-\x0D][.!?])\x20', '\1' || chr(10), 'g'), chr(10)) AS us
-  FROM documents),
-p AS (SELECT rid, doc_id, unnest(us) AS un, unnest(range(1, len(us) + 1)) AS k FROM u),
-o AS (SELECT doc_id, un, k, sum(length(un) + 1) OVER (PARTITION BY rid ORDER BY k) - length(un) - 1 AS s FROM p),
-w AS (SELECT doc_id, s, s + length(un) AS e, regexp_extract_all(un, '[^\x20\x09-\x0D]+') AS ws FROM o),
-f AS (SELECT doc_id, s, e, len(ws) AS n,
-             translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS form
-      FROM w WHERE len(ws) >= 8),
-r AS (SELECT *, first_value(doc_id) OVER q AS kd, first_value(s) OVER q AS ks FROM f WINDOW q AS (PARTITION BY form ORDER BY doc_id NULLS LAST, s))
+  SELECT row_number() OVER () AS rid, doc_id, CAST(('0x' || substr(md5(text), 1, 15)) AS BIGINT) AS tie,
+         string_split(regexp_replace(text, '([^.!?\x20\x09-\x0D][.!?])\x20', '\1' || chr(10), 'g'), chr(10)) AS us
+  FROM documents WHERE text IS NOT NULL),
+p AS (SELECT rid, unnest(us) AS un, unnest(range(1, len(us) + 1)) AS k FROM u),
+o AS (SELECT rid, un, k, sum(length(un) + 1) OVER (PARTITION BY rid ORDER BY k) - length(un) - 1 AS s FROM p),
+w AS (SELECT rid, s, s + length(un) AS e, regexp_extract_all(un, '[^\x20\x09-\x0D]+') AS ws FROM o),
+g AS (SELECT rid, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, list(len(ws) ORDER BY s) AS ns,
+             list(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY s) AS fs
+      FROM w WHERE len(ws) > 0 GROUP BY rid),
+i AS (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM g),
+r AS (SELECT rid, i AS a, i AS b FROM i WHERE ns[i] >= 8
+      UNION SELECT rid, i, list_filter(range(i, least(i + 8, len(ns) + 1)), lambda j: list_sum(ns[i : j]) >= 8)[1] FROM i WHERE ns[i] < 8
+      UNION SELECT rid, list_filter(range(greatest(1, i - 7), i + 1), lambda j: list_sum(ns[j : i]) >= 8)[-1], i FROM i WHERE ns[i] < 8),
+f AS (SELECT rid, doc_id, tie, ss[a] AS s, es[b] AS e, list_sum(ns[a : b]) AS n, array_to_string(fs[a : b], ' ') AS form
+      FROM r JOIN g USING (rid) JOIN u USING (rid) WHERE a IS NOT NULL AND b IS NOT NULL),
+q AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(rid) OVER o AS kr, first_value(s) OVER o AS ks
+      FROM f WINDOW o AS (PARTITION BY form ORDER BY doc_id NULLS LAST, tie, rid, s))
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(n AS INTEGER) AS n_words,
        kd AS kept_doc_id, CAST(ks AS INTEGER) AS kept_start
-FROM r WHERE doc_id IS DISTINCT FROM kd OR s <> ks
+FROM q WHERE rid <> kr OR s <> ks
 """,
 }

@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and the sentences in them: the earliest ranked occurrence of each unit stays."""
+"""Substring dedup by hashing lines, the sentences in them, and runs of short ones: the earliest ranked occurrence of each unit stays."""
 
 from __future__ import annotations
 
@@ -18,66 +18,82 @@ _SENTENCE = re.compile(r"([^.!?\x20\x09-\x0D][.!?])\x20")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
-UNITS = "doc_id long, start int, end int, n_words int, digest binary"
-
-
 def units(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normal form) of each unit of at least ``least_words`` words; code points, ends exclusive."""
+    """(start, end, words, normal form) of each unit; code points, ends exclusive.
+
+    A line or sentence of at least ``least_words`` words is a unit. A shorter one is read with its neighbours:
+    the shortest run of lines and sentences that begins with it and holds so many words is a unit, and so is
+    the shortest that ends with it. So a repeated passage of so many words is caught, however short its parts.
+    """
     if not text:
         return
-    at = 0
+    at, parts = 0, []
     for unit in _SENTENCE.sub("\\1\n", text).split("\n"):
         w = _WORDS.findall(unit)
-        if len(w) >= least_words:
-            yield at, at + len(unit), len(w), " ".join(w).translate(_TO_LOWER)
+        if w:
+            parts.append((at, at + len(unit), len(w), " ".join(w).translate(_TO_LOWER)))
         at += len(unit) + 1
+    runs = set()
+    for i, (_, _, n, _) in enumerate(parts):
+        if n >= least_words:
+            yield parts[i]
+            continue
+        for step in (1, -1):
+            j, words = i, n
+            while words < least_words and 0 <= j + step < len(parts):
+                j += step
+                words += parts[j][2]
+            if words >= least_words:
+                runs.add((min(i, j), max(i, j)))
+    for i, j in sorted(runs):
+        yield parts[i][0], parts[j][1], sum(x[2] for x in parts[i : j + 1]), " ".join(x[3] for x in parts[i : j + 1])
 
 
 def removed_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
     """A row per unit to remove: doc_id, start, end, n_words, kept_doc_id and kept_start, where its first occurrence stands.
 
     Units are lines, split further at ends of sentences, since a passage may be copied into the midst
-    of a line. Units are equal if their words are, A-Z in either case and white space of any kind and
-    length; those of fewer than ``least_words`` words stay. Occurrences rank by id, then offset; null
-    ids come last, and rows that repeat an id and a text hold one and the same occurrence. Null and
-    empty texts have none; other columns are ignored. Only counts and minima are grouped by digest,
-    pre-aggregated, so a unit that a third of all rows share meets in no task. Repeated digests are
-    broadcast up to ``broadcast_rows`` (some 60 bytes each) and joined by shuffle beyond.
+    of a line, and runs of short ones; see ``units``. Units are equal if their words are, A-Z in either
+    case and white space of any kind and length. A text of fewer than ``least_words`` words in all has
+    none. Occurrences rank by id, then by the MD5 of the whole text, then by row, then by offset: rows that
+    repeat an id, or have none, hold occurrences of their own. Null ids come last. Null and empty texts have
+    no units; other columns are ignored; ids may be of any type that can be sorted. Units that overlap are
+    listed each. Only counts and minima are grouped by digest, pre-aggregated, so a unit that a third of
+    all rows share meets in no task. Repeated digests are broadcast up to ``broadcast_rows`` (some 80 bytes
+    each) and joined by shuffle beyond.
     """
+    columns = ["doc_id", "tie", "row", "start", "end", "n_words", "digest"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, starts, ends, sizes, keys = [], [], [], [], []
-            for i, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                for s, e, n, form in units(text, least_words):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-                    sizes.append(n)
-                    keys.append(digest(form.encode("utf-8", "surrogatepass")))
-                if len(ids) > 100_000:
-                    yield pd.DataFrame({"doc_id": ids, "start": starts, "end": ends, "n_words": sizes, "digest": keys})
-                    ids, starts, ends, sizes, keys = [], [], [], [], []
-            yield pd.DataFrame({"doc_id": ids, "start": starts, "end": ends, "n_words": sizes, "digest": keys})
-
-    nowhere = -(1 << 63)  # stands for a null id, which pandas would turn all ids into doubles for
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(nowhere)).alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(d.mapInPandas(cut, UNITS), "units")
-    rank = F.struct((F.col("doc_id") == nowhere).alias("last"), "doc_id", "start")
+            found = []
+            for doc, tie, row, text in zip(batch["doc_id"].tolist(), batch["tie"].tolist(), batch["row"].tolist(), batch["text"].tolist()):
+                found += [(doc, tie, row, s, e, n, digest(form.encode("utf-8", "surrogatepass"))) for s, e, n, form in units(text, least_words)]
+                if len(found) > 100_000:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
+
+    kind = docs.select(id_col).schema[0].dataType
+    tie = F.conv(F.substring(F.md5(F.col(text_col)), 1, 15), 16, 10).cast("long")
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), tie.alias("tie"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    found = d.mapInPandas(cut, "doc_id string, tie long, row long, start int, end int, n_words int, digest binary")
+    found = written(found.withColumn("doc_id", F.col("doc_id").cast(kind)), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row", "start")
     repeated = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     repeated = written(repeated, "repeated-units")
     side = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
-    rest = found.join(side, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    known = lambda c: F.when(F.col(c) != nowhere, F.col(c))
-    return rest.select(known("doc_id").alias("doc_id"), "start", "end", "n_words", known("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    rest = found.join(side, "digest").where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    return rest.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8) -> DataFrame:
-    """``docs`` with ``text`` less its removed units and ``removed``, an array of their (start, end) in the original; ids must be unique."""
+    """``docs`` with ``text`` less its removed units and ``removed``, in the place of a column of that name: an array of their (start, end) in the original, which may overlap. Ids must be unique."""
     gone = removed_units(docs, id_col=id_col, text_col=text_col, least_words=least_words)
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left").drop("_id")
+    gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"))
+    out = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
 
     @pandas_udf("string")
     def less(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -86,10 +102,11 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 return text
             parts, at = [], 0
             for c in cuts:
-                parts.append(text[at : c["start"]])
-                at = c["end"] + 1  # with the line end or space after it
+                parts.append(text[at : max(at, c["start"])])
+                at = max(at, c["end"] + 1)  # with the line end or space after it
             return "".join([*parts, text[at:]])
 
         return pd.Series([one(t, c) for t, c in zip(texts, spans)], dtype=object)
 
-    return out.withColumn(text_col, less(F.col(text_col), F.col("removed")))
+    kept = [less(F.col("row")[c], F.col("cuts")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "removed"]
+    return out.select(*kept, F.col("cuts").alias("removed"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -11,37 +12,63 @@ from roadlens.llm.substrings import removed_units, without_repeats
 
 def brute(rows, least=8):
     seen, out = {}, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        t2, at = re.sub(r"([^.!?\s][.!?]) ", "\\1\n", t or ""), 0
+    tie = lambda t: hashlib.md5((t or "").encode()).hexdigest()[:15]
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1]))):
+        t2, at, parts = re.sub(r"([^.!?\s][.!?]) ", "\\1\n", t or ""), 0, []
         for u in t2.split("\n"):
             form = " ".join("".join(c.lower() if c < "\x80" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", u))
-            if len(form.split(" ")) >= least:
-                if form in seen:
-                    out.append((i, at, at + len(u), len(form.split(" ")), *seen[form]))
-                else:
-                    seen[form] = (i, at)
+            if form:
+                parts.append((at, at + len(u), len(form.split(" ")), form))
             at += len(u) + 1
+        spans = set()
+        for a in range(len(parts)):
+            for b in range(a, len(parts)):
+                n = sum(p[2] for p in parts[a : b + 1])
+                if n >= least:
+                    inner, outer = n - parts[b][2], n - parts[a][2]  # less the last, less the first
+                    if a == b or (parts[a][2] < least and inner < least) or (parts[b][2] < least and outer < least):
+                        spans.add((parts[a][0], parts[b][1], n, " ".join(p[3] for p in parts[a : b + 1])))
+                    if n > 3 * least + 40:
+                        break
+        for s, e, n, form in sorted(spans):
+            if form in seen:
+                out.append((i, s, e, n, *seen[form]))
+            else:
+                seen[form] = (i, s)
     return sorted(out, key=repr)
 
 
 def test_removed_units_like_brute_force(spark):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(50)] + ["É", "straße"]
-    sentence = lambda: " ".join(rng.choices(vocab, k=rng.randint(3, 14))) + rng.choice([".", "!", "?", "!!", ""])
+    sentence = lambda: " ".join(rng.choices(vocab, k=rng.randint(1, 14))) + rng.choice([".", "!", "?", "!!", ""])
     shared = [" ".join(sentence() for _ in range(8)) for _ in range(3)]
     rows = []
     for i in range(80):
         parts = [sentence() for _ in range(6)] + ([rng.choice(shared).upper() if i % 2 else rng.choice(shared)] if i % 3 else [])
         rng.shuffle(parts)
         rows.append((i, "".join(p + rng.choice([" ", "\n", "  ", "\n\n"]) for p in parts)))
-    rows += [(200, None), (201, ""), (202, " \n "), (203, rows[1][1]), (None, rows[1][1]), (204, (shared[0] + " ") * 2000)]
+    rows += [(200, None), (201, ""), (202, " \n "), (203, rows[1][1]), (None, rows[1][1]), (None, rows[1][1]), (204, (shared[0] + " ") * 300)]
+    rows += [(1, rows[1][1]), (2, rows[4][1]), (None, rows[2][1] + " a text of its own at the end of it.")]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, start int, digest int")
     want = brute(rows)
-    assert len(want) > 500
+    assert len(want) > 500 and sum(r[0] is None for r in want) > 10
     assert sorted((tuple(r) for r in removed_units(df).collect()), key=repr) == want
     assert sorted((tuple(r) for r in removed_units(df, broadcast_rows=0).collect()), key=repr) == want
-    texts = {r["doc_id"]: r["text"] for r in without_repeats(df).collect()}
-    assert texts[200] is None and texts[0] == rows[0][1] and len(texts[204]) < 10 and not removed_units(df.limit(0)).count()
+    named = removed_units(df.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert len(named) == len(want)  # of other documents, since ids sort as text here
+    unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("removed", F.lit(1)).withColumn("cuts", F.lit(2))
+    less = without_repeats(unique)
+    texts = {r["doc_id"]: r["text"] for r in less.collect()}
+    assert less.columns == ["doc_id", "text", "start", "digest", "cuts", "removed"] and texts[200] is None and texts[0] == rows[0][1] and len(texts[204]) < 200
+    assert not removed_units(df.limit(0)).count() and not without_repeats(df.limit(0)).count()
+
+
+def test_passages_of_short_lines_are_found(spark):
+    passage = "One two.\nThree.\nFour five six.\nSeven eight nine.\nTen.\nEleven twelve.\nThirteen."
+    rows = [(1, f"First words of one text here. {passage} Then something else of its own follows."), (2, f"Other words stand before it in this. {passage} And others come after it."), (3, "Yes. No.")]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "Other words stand before it in this. And others come after it.", 3: "Yes. No."}
 
 
 def test_rake_meets_marginals():
@@ -92,3 +119,44 @@ def test_values_without_a_target_keep_their_smoothed_share(spark):
         got = mixed(df, targets={"lang": {"en": 0.8, "de": 0.2}}, collect_rows=limit).collect()
         for k, share in want.items():
             assert abs(sum(r["weight"] for r in got if r["lang"] == k) - share) < 1e-6 and any(r["kept"] for r in got if r["lang"] == k)
+
+
+def test_mixed_like_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "word " * rng.randint(0, 30) + rng.choice(["", "under a license", "x = {1};"]), rng.choice(["a", "a", "b", None]), rng.choice(["en", "en", "de", "it"])) for i in range(400)]
+    rows += [(None, "x y", "b", "de"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sorted(((r["doc_id"], r["n_tokens"], r["weight"], r["probability"], r["kept"]) for r in mixed(df, targets={"lang": {"en": 0.7, "de": 0.3}}).collect()), key=repr)
+    kind = lambda t: "licence" if "license" in t else "technical" if "{" in t else "prose"
+    cells = [(s, g, kind(t)) for _, t, s, g in rows]
+    n = [len(t.split()) for _, t, _, _ in rows]
+    total, mass = sum(n), {}
+    for c, k in zip(cells, n):
+        mass[c] = mass.get(c, 0) + k
+    mass = {c: v for c, v in mass.items() if v}
+    goals = []
+    for axis in range(3):
+        own = {}
+        for c, v in mass.items():
+            own[c[axis]] = own.get(c[axis], 0) + v / total
+        own = {x: v**0.7 for x, v in own.items()}
+        own = {x: v / sum(own.values()) for x, v in own.items()}
+        if axis == 1:
+            own = {"it": own["it"], "en": 0.7 * (1 - own["it"]), "de": 0.3 * (1 - own["it"])}
+        goals.append(own)
+    w = {c: v / total for c, v in mass.items()}
+    for _ in range(200):
+        for axis, goal in enumerate(goals):
+            have = {x: sum(v for c, v in w.items() if c[axis] == x) for x in goal}
+            w = {c: v * goal[c[axis]] / have[c[axis]] for c, v in w.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mass[c], w[c] * mid) for c in mass) < total / 2 else (low, mid)
+    want = []
+    for (i, t, _, _), c, k in zip(rows, cells, n):
+        p = min(1.0, w[c] * low / mass[c]) if k else 0.0
+        draw = int(hashlib.md5(f"mix:{t if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+        want.append((i, k, k * w[c] / mass[c] if k else 0.0, p, draw < p))
+    for x, y in zip(got, sorted(want, key=repr)):
+        assert x[:2] == y[:2] and np.allclose(x[2:4], y[2:4], rtol=1e-5, atol=1e-9) and x[4] == y[4]
