@@ -52,6 +52,17 @@ ticks AS (SELECT {_select()} FROM cut)"""
 IRREGULAR_SQL = """irregular AS (SELECT event_id, printf('trip_%04d', user_id) AS trip_id, ts, epoch_us(ts) AS us, event_type, CAST(value AS DOUBLE) AS value, props FROM events)"""
 
 
+#: Raw recordings, one file a supplier: local times that repeat, gaps, texts that are no numbers and values out of bounds.
+RECORDINGS_SQL = f"""raws AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_ORDER}) AS tick FROM lineitem),
+timed AS (SELECT *, CAST('2018-03-01' AS DATE) + CAST(l_suppkey % 200 AS INTEGER) AS day,
+  CAST(8 * 3600000 + (tick - (CASE WHEN l_orderkey % 41 = 0 THEN 1 ELSE 0 END) + 10 * CAST(floor(tick / 150) AS BIGINT) + CAST(floor(tick / 50) AS BIGINT) * 2) * 1000 + (l_linenumber % 4) * 200 AS BIGINT) AS ms FROM raws),
+recordings AS (SELECT concat(CAST(day AS STRING), '_Seat_Leon_RT_S_', CAST(l_suppkey AS STRING), CASE l_suppkey % 3 WHEN 0 THEN '_Frei' WHEN 1 THEN '_Normal' ELSE '_Stau' END, '.csv') AS file, CAST(tick AS BIGINT) AS row, day, ms,
+  printf('%02d:%02d:%02d.%03d', CAST(floor(ms / 3600000) AS BIGINT), CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60, ms % 1000) AS time,
+  CASE WHEN l_orderkey % 23 = 0 THEN NULL WHEN l_orderkey % 97 = 0 THEN 'n/a' WHEN l_orderkey % 101 = 0 THEN '300' ELSE CAST(20 + CAST(l_quantity AS INTEGER) * 2 AS STRING) END AS coolant_temp,
+  CASE WHEN l_orderkey % 29 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '-5' ELSE CAST(800 + CAST(l_quantity AS INTEGER) * 110 AS STRING) END AS rpm,
+  CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) * 5 AS STRING) END AS speed FROM timed)"""
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     sql = f"WITH {TICKS_SQL.replace('FROM lineitem', 'FROM {rows}').replace('printf(', 'format_string(')} SELECT * FROM ticks"
@@ -66,3 +77,9 @@ def irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sql = RECORDINGS_SQL.replace("FROM lineitem", "FROM {rows}").replace("printf(", "format_string(")
+    return spark.sql(f"WITH {sql} SELECT * FROM recordings", rows=rows)
