@@ -187,3 +187,11 @@ def first_window(df: DataFrame, condition: Column, length: int, block: str = "bl
     runs = runs.groupBy("trip_id", "segment_id", block, "run").agg(F.min("row_in_segment").alias("first_row"), F.min("t").alias("first_t"), F.count("*").alias("n"))
     found = runs.where(F.col("n") >= length)
     return found.groupBy("trip_id").agg(F.min_by(F.struct("segment_id", "first_row", "n"), F.struct("first_t", "segment_id")).alias("w")).select("trip_id", "w.*")
+
+
+def step_of(df: DataFrame) -> DataFrame:
+    """(trip_id, segment_id, first_row, gap_seconds): a row a segment, with the seconds from the end of the segment before it in time; null for the first and where negative."""
+    w = Window.orderBy("start", "trip_id", "segment_id")  # a row a segment
+    s = df.groupBy("trip_id", "segment_id").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.min("row_in_segment").alias("first_row"))
+    gap = F.col("start") - F.lag("end").over(w)
+    return s.select("trip_id", "segment_id", "first_row", F.when(gap >= 0, gap).cast("double").alias("gap_seconds"))

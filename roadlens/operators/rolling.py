@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.operators.continuity import back, depth, segment_window
+from roadlens.operators.continuity import back, depth, segment_window, step_of
 
 
 def _full(n: int, block: str, value: Column) -> Column:
@@ -73,10 +73,7 @@ def interpolate_both(col: str) -> Column:
 
 def segment_gaps(df: DataFrame) -> DataFrame:
     """One row a segment: its start less the end of the segment before it in time; null for the first and where negative."""
-    w = Window.orderBy("start", "trip_id", "segment_id")  # a row a segment
-    s = df.groupBy("trip_id", "segment_id").agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    gap = F.col("start") - F.lag("end").over(w)
-    return s.select("trip_id", "segment_id", F.when(gap >= 0, gap).cast("double").alias("gap_seconds"))
+    return step_of(df).drop("first_row")
 
 
 def null_runs(df: DataFrame, col: str) -> DataFrame:

@@ -74,21 +74,21 @@ rk AS (SELECT a.trip_id, a.segment_id, a.window_no, a.start_t, a.end_t, a.ty AS
  concat_ws('; ', CASE WHEN a.v_accel_pedal_channel_delta IS NULL THEN 'no pair of pedal readings in the window: its score is 0' END,
   CASE WHEN (a.i = 3 AND a.sc > 0) OR (b.i = 3 AND b.sc > 0) THEN 'intake_air_temperature_sensor_fault: decided by ' || a.c4 END, CASE WHEN (a.i = 4 AND a.sc > 0) OR (b.i = 4 AND b.sc > 0) THEN 'map_load_signal_plausibility_fault: decided by ' || a.c5 END) AS notes
  FROM r2 a JOIN r2 b ON a.trip_id = b.trip_id AND a.segment_id = b.segment_id AND a.window_no = b.window_no AND a.o = 1 AND b.o = 2)"""
-_SCORED = (DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE, _WIN, _RISK)
+SCORED = (DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE, _WIN, _RISK)
 
 
-def _risks(spark, sf_dir):
+def risks(spark, sf_dir):
     samples = written(prod(spark, sf_dir), "samples")
     return s.risk_records(s.component_scores(s.with_forwarded(written(_windows(samples), "windows"), _forwarded(samples))))
 
 
 @query(
-    with_ticks(*_SCORED)
+    with_ticks(*SCORED)
     + """SELECT trip_id, segment_id, window_no, start_t, end_t, anomaly_type, risk_score, risk_level, confidence, secondary_type, secondary_score, secondary_confidence, array_to_string(top, ',') AS top_signals,
  array_to_string(keyed, ',') AS key_signals, list_transform(keyed, lambda x: CAST(round(CAST(map_extract(vs, x)[1] AS DECIMAL(32, 9)), 4) AS DOUBLE)) AS key_values, array_to_string(keyed2, ',') AS secondary_key_signals, notes FROM rk"""
 )
 def m01_to_m06_window_risk(spark, sf_dir):
-    r = _risks(spark, sf_dir)
+    r = risks(spark, sf_dir)
     two = F.col("secondary_risk")
     names = lambda x: F.array_join(F.transform(x, lambda y: y["feature"]), ",")
     return r.select(
@@ -113,7 +113,7 @@ def a15_window_values(spark, sf_dir):
 
 
 @query(
-    with_ticks(*_SCORED, "q AS (SELECT trip_id, segment_id, window_no, unnest(keyed) AS feature, vs FROM rk)")
+    with_ticks(*SCORED, "q AS (SELECT trip_id, segment_id, window_no, unnest(keyed) AS feature, vs FROM rk)")
     + """SELECT trip_id, segment_id, window_no, feature, CAST(round(CAST(map_extract(vs, feature)[1] AS DECIMAL(32, 9)), 4) AS DOUBLE) AS value,
  CASE feature WHEN 'rpm' THEN 'RPM' WHEN 'speed' THEN 'km/h' WHEN 'coolant_temp' THEN '°C' WHEN 'map' THEN 'kPa' WHEN 'maf' THEN 'g/s' WHEN 'tps' THEN '%' WHEN 'accel_pedal_d' THEN '%' WHEN 'accel_pedal_e' THEN '%' WHEN 'accel_pedal_channel_delta' THEN 'pp'
   WHEN 'ect_rate_180s' THEN '°C/min' WHEN 'intake_temp' THEN '°C' WHEN 'ambient_temp' THEN '°C' WHEN 'intake_ambient_delta' THEN '°C' WHEN 'speed_density_maf_residual' THEN 'g/s' WHEN 'rpm_slope' THEN 'RPM/s' WHEN 'maf_integral_180s' THEN 'g'
@@ -123,25 +123,25 @@ def a15_window_values(spark, sf_dir):
  ('maf_integral_180s', 0, 2500), ('intake_temp_stability', 0, 5), ('map_range_60s', 0, 80), ('pedal_slope', -2.4, 2.4)) AS g(feature, lo, hi)) g USING (feature)"""
 )
 def x21_x22_s14_p14_key_signals(spark, sf_dir):
-    each = _risks(spark, sf_dir).select(*s.WINDOW, F.explode("key_signals").alias("k"))
+    each = risks(spark, sf_dir).select(*s.WINDOW, F.explode("key_signals").alias("k"))
     return each.select(*s.WINDOW, "k.feature", "k.value", "k.unit", signal_status(F.col("k.value"), F.col("k.reference_range")).alias("status"))
 
 
 @query(
-    with_ticks(*_SCORED)
+    with_ticks(*SCORED)
     + """SELECT anomaly_type, risk_level, CASE WHEN risk_level IN ('Medium', 'High') THEN TRUE ELSE FALSE END AS affected, count(*) AS windows, count(DISTINCT trip_id) AS trips, count(DISTINCT segment_id) AS segments, max(risk_score) AS worst FROM rk GROUP BY ALL"""
 )
 def m06_p15_batch_summary(spark, sf_dir):
-    r = _risks(spark, sf_dir).withColumn("affected", s.is_affected(F.col("risk_level"), F.col("risk_score")))
+    r = risks(spark, sf_dir).withColumn("affected", s.is_affected(F.col("risk_level"), F.col("risk_score")))
     return r.groupBy("anomaly_type", "risk_level", "affected").agg(F.count("*").alias("windows"), F.count_distinct("trip_id").alias("trips"), F.count_distinct("segment_id").alias("segments"), F.max("risk_score").alias("worst"))
 
 
 @query(
-    with_ticks(*_SCORED, "c AS (SELECT anomaly_type AS component, trip_id, start_t, risk_score FROM rk UNION ALL SELECT secondary_type, trip_id, start_t, secondary_score FROM rk)")
+    with_ticks(*SCORED, "c AS (SELECT anomaly_type AS component, trip_id, start_t, risk_score FROM rk UNION ALL SELECT secondary_type, trip_id, start_t, secondary_score FROM rk)")
     + "SELECT component, count(*) AS windows, max(risk_score) AS worst, arg_max(trip_id, (risk_score, -start_t, trip_id)) AS worst_trip, CAST(sum(CAST(round(risk_score * 10000) AS HUGEINT)) AS DOUBLE) / (count(*) * 10000.0) AS mean FROM c GROUP BY component"
 )
 def m07_m16_t05_t06_component_rollup(spark, sf_dir):
-    r = _risks(spark, sf_dir)
+    r = risks(spark, sf_dir)
     both = r.select(F.explode(F.array(F.struct("anomaly_type", "risk_score"), F.struct("secondary_risk.anomaly_type", "secondary_risk.risk_score"))).alias("c"), "trip_id", "start_t")
     return both.groupBy(F.col("c.anomaly_type").alias("component")).agg(
         F.count("*").alias("windows"), F.max("c.risk_score").alias("worst"), F.max_by("trip_id", F.struct("c.risk_score", -F.col("start_t"), "trip_id")).alias("worst_trip"), steady_mean(F.col("c.risk_score"), 4).alias("mean")

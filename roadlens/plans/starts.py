@@ -7,7 +7,7 @@ from roadlens.plans.registry import query
 from roadlens.plans.sql import BLK, KEYS, SEG, blocks, named_blocks, runs, valid_sql, with_ticks
 from roadlens.sources.adapters import ticks
 
-_EP = ",\n".join(
+EP = ",\n".join(
     [
         blocks("rpm"),
         runs("rpm >= 50"),
@@ -25,11 +25,11 @@ _EP = ",\n".join(
  ect_start, aat_start, iat_start FROM ep)""",
     ]
 )
-_CTX = f"""cx AS (SELECT {", ".join("k." + x for x in KEYS.split(", "))}, e.episode_id, CAST(k.t - e.start_t AS DOUBLE) AS elapsed_since_start, e.ect_start, e.aat_start, e.iat_start FROM ticks k
+CTX = f"""cx AS (SELECT {", ".join("k." + x for x in KEYS.split(", "))}, e.episode_id, CAST(k.t - e.start_t AS DOUBLE) AS elapsed_since_start, e.ect_start, e.aat_start, e.iat_start FROM ticks k
  LEFT JOIN ept e ON e.trip_id = k.trip_id AND e.segment_id = k.segment_id AND k.row_in_segment BETWEEN e.start_row AND e.end_row)"""
 
 
-@query(with_ticks(_EP) + "SELECT * FROM ept")
+@query(with_ticks(EP) + "SELECT * FROM ept")
 def d07_w17_start_episodes(spark, sf_dir):
     return st.start_episodes(ticks(spark, sf_dir))
 
@@ -39,7 +39,7 @@ def _context(spark, sf_dir):
     return st.with_start_context(df, st.start_episodes(df))
 
 
-@query(with_ticks(_EP, _CTX) + "SELECT * FROM cx")
+@query(with_ticks(EP, CTX) + "SELECT * FROM cx")
 def d07_j03_start_context(spark, sf_dir):
     return _context(spark, sf_dir)
 
@@ -52,7 +52,7 @@ we AS (SELECT *, coalesce(ect_start <= 50 AND aat_start >= -7, FALSE) AS guards,
 
 
 @query(
-    with_ticks(_EP, _CTX, _WE)
+    with_ticks(EP, CTX, _WE)
     + """SELECT trip_id, episode_id, '1-S1' AS sub_check_id, CASE decision_reason WHEN 'target_reached_in_time' THEN 'pass' WHEN 'target_not_reached_in_budget' THEN 'triggered' ELSE 'not_evaluable' END AS result_state, decision_reason,
  round(CASE decision_reason WHEN 'target_reached_in_time' THEN reached_s - bs WHEN 'target_not_reached_in_budget' THEN observed_s - bs END, 6) AS decision_margin
 FROM (SELECT *, CASE WHEN ect_start IS NULL THEN 'start_temperature_unknown' WHEN NOT guards THEN 'start_conditions_not_met' WHEN reached_s <= bs THEN 'target_reached_in_time' WHEN observed_s < bs THEN 'right_censored' ELSE 'target_not_reached_in_budget' END AS decision_reason FROM we)"""
