@@ -20,7 +20,7 @@ def _feed(spark, sf_dir):
     "SELECT CAST(user_id AS VARCHAR) AS trip_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, arg_max(value, (ts, event_id)) FILTER (value IS NOT NULL) AS value, count(*) AS samples FROM events GROUP BY ALL"
 )
 def st01_stream_resample(spark, sf_dir):
-    out = live.run_now(live.stream_resample(_feed(spark, sf_dir), "3650 days", "1 hour"))
+    out = live.run_now(live.stream_resample(_feed(spark, sf_dir), "1 hour", "1 hour"))
     return out.select("trip_id", F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01', CAST(bin.start AS TIMESTAMP_NTZ))").alias("hour"), "value", "samples")
 
 
@@ -30,7 +30,7 @@ s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg
 SELECT CAST(user_id AS VARCHAR) AS trip_id, count(*) AS samples, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM s GROUP BY user_id, seg"""
 )
 def st02_stream_segments(spark, sf_dir):
-    out = live.run_now(live.stream_segments(_feed(spark, sf_dir), "6 hours", "3650 days"))
+    out = live.run_now(live.stream_segments(_feed(spark, sf_dir), "6 hours", "1 hour"))
     return out.select("trip_id", "samples", *[F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST({c} AS TIMESTAMP_NTZ))").alias(f"{c}_us") for c in ("first", "last")])
 
 

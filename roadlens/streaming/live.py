@@ -9,8 +9,9 @@ from pyspark.sql.types import StructType
 from roadlens.sources.scratch import scratch
 
 
-def read_feed(spark: SparkSession, folder: str, schema: StructType, glob: str = "*") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def read_feed(spark: SparkSession, folder: str, schema: StructType, glob: str = "*", files: int = 1000) -> DataFrame:
+    """The Parquet files of a folder as they arrive, oldest first, ``files`` at a time."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_resample(feed: DataFrame, delay: str = "10 seconds", width: str = "1 second") -> DataFrame:

@@ -1,11 +1,20 @@
 """Boundary cases with results worked out by hand."""
 
+import datetime as dt
+import os
+import random
+import statistics
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from roadlens.functions.physics import norm_cdf, parse_bool, round_significant
-from roadlens.operators import cleaning, continuity, scoring
+from roadlens.operators import cleaning, continuity, gates, ingest, ranks, rolling, scoring
 from roadlens.operators.conditions import smooth_states
+from roadlens.plans.rules import state
 from roadlens.sources import sinks
+from roadlens.streaming import live
 
 FLAGS = ("is_imputed", "is_suspicious", "had_hard_invalid_source")
 
@@ -80,3 +89,72 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "many.json").write_text('{"windows": [{"trip_id": "b", "score": 0.1}, {"trip_id": "c", "score": 0.2}]}')
     got = sinks.read_model_output(spark, f"{tmp_path}/*.json", "trip_id string, score double").orderBy("trip_id").collect()
     assert [tuple(r) for r in got] == [("a", 0.5), ("b", 0.1), ("c", 0.2)]
+
+
+def test_one_key_of_many_rows_takes_linear_time(spark):
+    n = 300_000
+    left = spark.range(n).selectExpr("'k' AS by", "id", "id * 2 AS t")
+    right = spark.range(n).selectExpr("'k' AS by", "id AS r_id", "id * 2 + 1 AS r_t")
+    began = time.time()
+    got = gates.asof_nearest(left, right, "by", 5).agg(F.sum("distance"), F.count("*")).first()
+    assert tuple(got) == (n, n)
+    rows = spark.range(n).selectExpr("'t' AS trip_id", "'s' AS segment_id", "CAST(id + 1 AS INT) AS row_in_segment", "CASE WHEN id % 10 = 0 THEN CAST(id AS DOUBLE) END AS v")
+    assert rows.select((rolling.interpolate_both("v") - F.least(F.col("row_in_segment") - 1, F.lit(n - 10))).alias("d")).agg(F.max(F.abs("d"))).first()[0] < 1e-6
+    bins = spark.range(n).selectExpr("'t' AS trip_id", "1 AS segment", "id AS bin", "CASE WHEN id % 3 = 0 THEN CAST(id AS DOUBLE) END AS v")
+    assert cleaning.fill_short(bins, "v").where("v_filled = bin").count() >= n - 2
+    assert time.time() - began < 120
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_features_and_rules_share_one_sort(spark):
+    df = state(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sorts, exchanges = plan.count("+- Sort [") + plan.count("- *(1) Sort ["), plan.count("Exchange hashpartitioning")
+    assert plan.count("Sort [") <= 3 and exchanges <= 2, (sorts, exchanges)
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, *range(40)])) for _ in range(3000)] + [("c", None), ("d", 5)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    got = {r["k"]: r["q"] for r in ranks.exact_quantiles(df, ("k",), "v", (0.0, 0.25, 0.5, 1.0)).collect()}
+    for k in "ab":
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        q = statistics.quantiles(own, n=4, method="inclusive")
+        assert got[k] == [own[0], q[0], q[1], own[-1]]
+    assert got["d"] == [5, 5, 5, 5] and set(got) == set("abd")
+    many = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"))
+    assert ranks.numbered(many, ("x",), "n").where("n = x + 1").count() == 5000
+
+
+def test_late_rows_and_repeated_events_of_a_feed(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "trip_id string, ts timestamp, event_id long, value double"
+    batches = [[("a", at(0), 1, 1.0), ("a", at(0.5), 2, None), ("a", at(100), 3, 3.0)], [("a", at(101), 5, 5.0)], [("a", at(0.7), 4, 9.0), ("a", at(100), 3, 3.0), ("a", at(300), 6, 6.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        (tmp_path / "feed").mkdir(exist_ok=True)
+        part = next((tmp_path / str(i)).glob("part-*.parquet"))
+        os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+        part.rename(tmp_path / "feed" / f"{i}.parquet")
+    feed = live.read_feed(spark, f"{tmp_path}/feed", spark.createDataFrame([], schema).schema, files=1)
+    got = {(r["bin"]["start"] - at(0)).total_seconds(): (r["value"], r["samples"]) for r in live.run_now(live.stream_resample(feed), "append").collect()}
+    assert got == {0.0: (1.0, 2), 100.0: (3.0, 1), 101.0: (5.0, 1)}  # the row of 0.7 s came late; the window of 300 s is open
+
+
+def test_headers_and_malformed_recordings(spark, tmp_path):
+    raw = spark.createDataFrame([("f", "10:00:00", "1")], ["file", "\ufeffTime", " Engine  Coolant Temperature [Â°C]"])
+    assert ingest.canonical(raw).columns == ["file", "time", "coolant_temp"]
+    with pytest.raises(ValueError):
+        ingest.canonical(raw.withColumn("TIME", F.lit("x")))
+    good = tmp_path / "in" / "file=2018-03-01_Seat_Leon_RT_S_Normal.csv"
+    good.mkdir(parents=True)
+    (good / "a.csv").write_text("Time,Engine RPM [RPM]\n10:00:00,800\n10:00:00,900\n10:00:01,\n10:00:04.100,bad\n25:00:00,1\n")
+    df = ingest.with_times(ingest.canonical(ingest.read_recordings(spark, f"{tmp_path}/in", ["Time", "Engine RPM [RPM]"])).withColumn("row", F.monotonically_increasing_id()))
+    trips = ingest.trips_of(df)
+    assert [tuple(r)[2:] for r in trips.collect()] == [(5, 1, "trip_0001")]
+    got = [(r["segment_id"][-3:], r["row_in_segment"], r["rpm"], r["rpm_is_imputed"]) for r in ingest.clean(df, trips, ("rpm",)).orderBy("t").collect()]
+    assert got == [("001", 1, 900.0, False), ("001", 2, 900.0, True), ("002", 1, None, False)]
+    (good / "b.csv").write_text("Time,Engine RPM [RPM]\n10:00:00,800,7\n")
+    with pytest.raises(Exception):
+        ingest.read_recordings(spark, f"{tmp_path}/in", ["Time", "Engine RPM [RPM]"]).collect()
