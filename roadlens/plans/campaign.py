@@ -91,9 +91,20 @@ def m14_compare_forecasts(spark, sf_dir):
     return out.withColumns({"before": F.round("before", 6), "after": F.round("after", 6), "improvement_pct": F.round("improvement_pct", 5)})
 
 
-@query()
+def _corr_sql(x: str, y: str, known: str) -> str:
+    spread = f"stddev_pop({x}) FILTER ({known}) * stddev_pop({y}) FILTER ({known})"
+    return f"CASE WHEN {spread} > 1e-12 THEN covar_pop({x}, {y}) FILTER ({known}) / ({spread}) END"
+
+
+_PAIRS = [(x, y) for i, x in enumerate(_S) for y in _S[i + 1 :]]
+_CORR = "cw AS (SELECT " + ", ".join(
+    f"abs({_corr_sql(f'{x}_b', f'{y}_b', f'{x} IS NOT NULL AND {y} IS NOT NULL AND {x}_b IS NOT NULL AND {y}_b IS NOT NULL')} - {_corr_sql(x, y, f'{x} IS NOT NULL AND {y} IS NOT NULL')}) AS e{i}" for i, (x, y) in enumerate(_PAIRS)
+) + " FROM fw GROUP BY trip_id, segment_id, window_no)"
+
+
+@query(with_ticks(_FC, _CORR, "ce AS (" + " UNION ALL ".join(f"SELECT e{i} AS e FROM cw" for i in range(len(_PAIRS))) + ")") + "SELECT count(e) AS pairs, round(avg(e), 6) AS error FROM ce")
 def a17_correlation_error(spark, sf_dir):
-    return fc.correlation_error(_forecasts(spark, sf_dir), _S, "_b", ("trip_id", "segment_id", "window_no"))
+    return fc.correlation_error(_forecasts(spark, sf_dir), _S, "_b", ("trip_id", "segment_id", "window_no")).withColumn("error", F.round("error", 6))
 
 
 @query(

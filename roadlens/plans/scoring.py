@@ -174,7 +174,22 @@ def m08_trend_projection(spark, sf_dir):
     return s.project(s.trip_risk(_history(spark, sf_dir), "component"), "component").drop("probability")
 
 
-@query()
+def _cdf_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.3275911 * (abs({z}) / sqrt(2.0))))"
+    tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({z}) * ({z}) / 2))"
+    return f"CASE WHEN {z} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END"
+
+
+@query(
+    with_irregular(
+        _HIST, _TRIP,
+        "rg AS (SELECT component, count(*) AS n, regr_slope(risk, cycle) AS slope, regr_intercept(risk, cycle) AS icpt, regr_sxx(risk, cycle) AS sxx, regr_syy(risk, cycle) AS syy, regr_sxy(risk, cycle) AS sxy, avg(cycle) AS mx, arg_max(risk, cycle) AS last, max(cycle) AS lx FROM tc GROUP BY component)",
+        "pr AS (SELECT *, icpt + slope * (lx + 10) AS mean, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1 + 1 / n + (lx + 10 - mx) * (lx + 10 - mx) / sxx) AS se FROM rg)", "pz AS (SELECT *, (0.9 - mean) / nullif(se, 0) AS z FROM pr)",
+    )
+    + f"""SELECT component, n AS trips, CASE WHEN n >= 5 THEN round(slope, 8) END AS slope, CASE WHEN n >= 5 THEN round(icpt, 8) END AS intercept,
+ CASE WHEN n < 5 THEN NULL WHEN last >= 0.9 THEN 1.0 WHEN se < 1e-12 THEN CASE WHEN mean >= 0.9 THEN 1.0 ELSE 0.0 END ELSE round(least(greatest(1 - ({_cdf_sql("z")}), 0), 1), 4) END AS probability,
+ CAST(CASE WHEN n < 5 THEN NULL WHEN last >= 0.9 THEN 0 WHEN slope > 0 AND ceil((0.9 - last) / slope - 1e-12) <= 50 THEN ceil((0.9 - last) / slope - 1e-12) END AS INTEGER) AS cycles FROM pz"""
+)
 def m08_trend_probability(spark, sf_dir):
     return s.project(s.trip_risk(_history(spark, sf_dir), "component"), "component")
 
@@ -404,7 +419,7 @@ def x17_x18_rounding(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(round_significant(F.col("o_totalprice"), 6), 4).alias("sig6"), percent_text(p).alias("pct"))
 
 
-@query()
+@query(f"SELECT o_orderkey, round({_cdf_sql('z')}, 4) AS cdf FROM (SELECT o_orderkey, (o_orderkey % 8001) / 1000 - 4 AS z FROM orders)")
 def x16_norm_cdf(spark, sf_dir):
     z = (F.col("o_orderkey") % 8001) / 1000 - 4
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(norm_cdf(z), 4).alias("cdf"))
