@@ -221,7 +221,7 @@ class Toxicity:
 class Reader(dict):
     """Numbers of words, from 1, and a growing table of their inputs; started anew when it holds ``most`` words."""
 
-    def __init__(self, model: Toxicity, most: int = 150_000):
+    def __init__(self, model: Toxicity, most: int = 60_000):
         super().__init__()
         self.model, self.most, self.rows = model, most, np.zeros((1, 2 * DIMS), np.float32)
 

@@ -109,3 +109,19 @@ def test_edited_copies_leave(spark):
     df = spark.createDataFrame([(*r, "en", "s", 0) for r in docs], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
     assert got >= set(range(150)) | far and len(got & near) <= 0.02 * len(near) and {i for i in got if i >= 2000} == {2000}
+
+
+def test_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (1, "one two three", None, "s", 13), (1, "one two three", None, "s", 13), (2, " \n ", "en", "s", 3), (3, "x" * 5000 + " y" * 3000, "en", "s", 11000)]
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    kept = {"toxicity": 6, "simhash near-dedup": 3, "benchmark decontamination": 6, "pii": 6}
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, sf)
+            assert got.columns == COLUMNS and got.count() == (kept[name] if rows else 0), name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert last.columns == [*COLUMNS, "n_tokens", "weight", "probability"] and {r["doc_id"] for r in last.collect()} <= {1, 3}
