@@ -45,14 +45,14 @@ def d07_j03_start_context(spark, sf_dir):
 
 
 _BUD = "least((greatest(0, 30 - greatest(ect_start, -273)) / 9 + greatest(0, 50 - greatest(ect_start, 30)) / 7 + greatest(0, 65 - greatest(ect_start, 50)) / 5 + greatest(0, 79 - greatest(ect_start, 65)) / 4) * 60 * 1.3, 1800)"
-_WE = f"""wj AS (SELECT cx.trip_id, episode_id, elapsed_since_start AS el, ect_start, aat_start, CASE WHEN coalesce({valid_sql('coolant_temp')}, FALSE) AND coolant_temp >= 79 THEN elapsed_since_start END AS hit
+WE = f"""wj AS (SELECT cx.trip_id, episode_id, elapsed_since_start AS el, ect_start, aat_start, CASE WHEN coalesce({valid_sql('coolant_temp')}, FALSE) AND coolant_temp >= 79 THEN elapsed_since_start END AS hit
  FROM cx JOIN ticks USING (trip_id, segment_id, row_in_segment) WHERE episode_id IS NOT NULL),
 wa AS (SELECT trip_id, episode_id, any_value(ect_start) AS ect_start, any_value(aat_start) AS aat_start, max(el) AS observed_s, min(hit) AS reached_s FROM wj GROUP BY ALL),
 we AS (SELECT *, coalesce(ect_start <= 50 AND aat_start >= -7, FALSE) AS guards, CASE WHEN ect_start IS NOT NULL THEN round({_BUD}, 6) END AS bs FROM wa)"""
 
 
 @query(
-    with_ticks(EP, CTX, _WE)
+    with_ticks(EP, CTX, WE)
     + """SELECT trip_id, episode_id, '1-S1' AS sub_check_id, CASE decision_reason WHEN 'target_reached_in_time' THEN 'pass' WHEN 'target_not_reached_in_budget' THEN 'triggered' ELSE 'not_evaluable' END AS result_state, decision_reason,
  round(CASE decision_reason WHEN 'target_reached_in_time' THEN reached_s - bs WHEN 'target_not_reached_in_budget' THEN observed_s - bs END, 6) AS decision_margin
 FROM (SELECT *, CASE WHEN ect_start IS NULL THEN 'start_temperature_unknown' WHEN NOT guards THEN 'start_conditions_not_met' WHEN reached_s <= bs THEN 'target_reached_in_time' WHEN observed_s < bs THEN 'right_censored' ELSE 'target_not_reached_in_budget' END AS decision_reason FROM we)"""
