@@ -49,7 +49,7 @@ def units(text: str | None, least_words: int) -> Iterator[tuple[int, int, int, s
         yield parts[i][0], parts[j][1], sum(x[2] for x in parts[i : j + 1]), " ".join(x[3] for x in parts[i : j + 1])
 
 
-def removed_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
+def removed_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, frequent: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """A row per unit to remove: doc_id, start, end, n_words, kept_doc_id and kept_start, where its first occurrence stands.
 
     Units are lines, split further at ends of sentences, since a passage may be copied into the midst
@@ -59,8 +59,8 @@ def removed_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     repeat an id, or have none, hold occurrences of their own. Null ids come last. Null and empty texts have
     no units; other columns are ignored; ids may be of any type that can be sorted. Units that overlap are
     listed each. Only counts and minima are grouped by digest, pre-aggregated, so a unit that a third of
-    all rows share meets in no task. Repeated digests are broadcast up to ``broadcast_rows`` (some 80 bytes
-    each) and joined by shuffle beyond.
+    all rows share meets in no task. Units that stand more than ``frequent`` times are joined by broadcast, as
+    many times more in large tables as keep them to ``broadcast_rows`` (some 80 bytes each); all others by shuffle.
     """
     columns = ["doc_id", "tie", "row", "start", "end", "n_words", "digest"]
 
@@ -81,10 +81,12 @@ def removed_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = d.mapInPandas(cut, "doc_id string, tie long, row long, start int, end int, n_words int, digest binary")
     found = written(found.withColumn("doc_id", F.col("doc_id").cast(kind)), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row", "start")
-    repeated = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    repeated = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = written(repeated, "repeated-units")
-    side = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
-    rest = found.join(side, "digest").where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    often = max(frequent, found.count() // max(1, broadcast_rows))  # so at most ``broadcast_rows`` units stand more often
+    hot, rare = F.broadcast(repeated.where(F.col("n") > often)), repeated.where(F.col("n") <= often)
+    rest = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(rare, "digest"))
+    rest = rest.where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     return rest.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 

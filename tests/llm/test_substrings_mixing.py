@@ -54,7 +54,7 @@ def test_removed_units_like_brute_force(spark):
     want = brute(rows)
     assert len(want) > 500 and sum(r[0] is None for r in want) > 10
     assert sorted((tuple(r) for r in removed_units(df).collect()), key=repr) == want
-    assert sorted((tuple(r) for r in removed_units(df, broadcast_rows=0).collect()), key=repr) == want
+    assert sorted((tuple(r) for r in removed_units(df, frequent=5).collect()), key=repr) == want
     named = removed_units(df.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
     assert len(named) == len(want)  # of other documents, since ids sort as text here
     unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("removed", F.lit(1)).withColumn("cuts", F.lit(2))
