@@ -100,10 +100,10 @@ def m01_to_m06_window_risk(spark, sf_dir):
 
 @query(
     with_ticks(PROD, _WIN, "u AS (" + " UNION ALL ".join(f"SELECT trip_id, segment_id, window_no, '{c}' AS signal, mean_{c} AS mean_error, max_{c} AS max_error FROM ws" for c in s.FORECAST) + ")")
-    + "SELECT trip_id, segment_id, window_no, signal, round(mean_error, 6) AS mean_error, round(max_error, 6) AS max_error FROM u"
+    + "SELECT trip_id, segment_id, window_no, signal, CAST(round(CAST(mean_error AS DECIMAL(32, 9)), 6) AS DOUBLE) AS mean_error, CAST(round(CAST(max_error AS DECIMAL(32, 9)), 6) AS DOUBLE) AS max_error FROM u"
 )
 def a14_m01_j13_residual_summary(spark, sf_dir):
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.round(f"mean_{c}", 6).alias("mean_error"), F.round(f"max_{c}", 6).alias("max_error")) for c in s.FORECAST]))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), tidy(F.col(f"mean_{c}"), 6).alias("mean_error"), tidy(F.col(f"max_{c}"), 6).alias("max_error")) for c in s.FORECAST]))
     return _windows(prod(spark, sf_dir)).select(*s.WINDOW, cells.alias("c")).select(*s.WINDOW, "c.*")
 
 
