@@ -9,12 +9,15 @@ from roadlens.llm.decontaminate import contamination
 from roadlens.llm.embeddings import embedding_duplicates
 from roadlens.llm.langid import identify_languages
 from roadlens.llm.mixing import mixed
+from roadlens.llm.neighbours import nearest_neighbours
 from roadlens.llm.pages import extracted
 from roadlens.llm.pii import personal_data
 from roadlens.llm.simhash import near_duplicates
+from roadlens.llm.spelling import spelling_variants
 from roadlens.llm.substrings import removed_units
 from roadlens.llm.toxicity import toxicity
 from roadlens.llm.warc import archived_pages
+from roadlens.llm.whitening import whitened_vectors
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "weight", "probability", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
@@ -69,6 +84,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_embeddings": op10_embeddings,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES = {
