@@ -14,16 +14,25 @@ LIMITS = {
 }
 #: rule -> (kinds as (name, direction, seconds), opportunity, seconds of it, role, candidate code)
 DURATION_RULES = {
-    "1-S2": ((("critical", "high", 30), ("high", "high", 180)), "run_meets", 180, "verdict", "P0217"),
-    "1-S3": ((("precursor", "high", 180),), "total_eligible", 360, "pending_precursor", None),
+    "1-S2": ((("high", "high", 180), ("critical", "high", 30)), "total_eligible", 180, "verdict", "P0217"),
+    "1-S3": ((("precursor", "high", 180),), "run_meets", 360, "pending_precursor", None),
     "2-S2": ((("low", "low", 10),), "run_meets", 10, "verdict", "P0101"),
     "2-S3b": ((("zero_maf", "low", 10),), "run_meets", 10, "verdict", "P0102"),
     "3-S1a": ((("low", "low", 30), ("high", "high", 30)), "run_meets", 30, "verdict", "P2138"),
     "3-S1b": ((("extreme", "high", 2),), "run_meets", 2, "verdict", "P2138"),
-    "4-S1": ((("flat", "flat", 120),), "run_meets_and_context", 240, "verdict", "P0111"),
-    "5-S2": ((("low", "low", 30), ("high", "high", 30)), "run_meets", 30, "arbitration_evidence", "P0106"),
-    "5-S3": ((("flat", "flat", 120),), "run_meets_and_context", 240, "verdict", "P0106"),
+    "4-S1": ((("flat", None, 120),), "run_meets_and_context", 240, "verdict", "P0111"),
+    "5-S2": ((("low", "low", 30), ("high", "high", 30)), "run_meets", 30, "arbitration_evidence", None),
+    "5-S3": ((("flat", None, 120),), "run_meets_and_context", 240, "verdict", "P0106"),
 }
+#: Why a rule without an opportunity was not evaluable; the other rules say no_qualifying_opportunity.
+NO_OPPORTUNITY = {
+    "1-S2": "insufficient_evaluable_time", "1-S3": "below_minimum_evaluable_window", "3-S1a": "no_qualifying_masked_opportunity", "4-S1": "no_context_opportunity",
+    "5-S2": "outside_steady_domain", "5-S3": "no_context_opportunity",
+}
+#: The fault that the checks of each family belong to.
+PROXIES = {
+    "1": "cooling_degradation", "2": "air_intake_maf_anomaly", "3": "accelerator_pedal_sensor", "4": "intake_air_temperature_sensor_fault", "5": "map_load_signal_plausibility_fault",
+}
 PEDAL_STEPS = {"idle": 9.2, "steady_driving": 11.4, "acceleration": 18.6, "high_load": 26.5}
 NO_RESPONSE = {"idle": (8.0, 4.0), "steady_driving": (None, 3.0), "acceleration": (4.0, 9.0), "high_load": (13.4, 1.0)}
 CONDITIONS = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlens.functions import constants as k
 from roadlens.functions.physics import draw
 
 # Pairs of signals that are out of range together, and the pattern that they tell.
@@ -60,16 +61,34 @@ def label_crosscheck(samples: DataFrame, label: Column, states: tuple[str, ...])
     return t.groupBy("label").agg(F.count("*").alias("trips"), *[F.avg(F.col(s) / F.col("n")).alias(f"{s}_share") for s in states])
 
 
-def first_steps(events: DataFrame, each: int = 2) -> DataFrame:
-    """The first ``each`` complete pedal steps of every segment: where a step fault can be put in."""
-    w = Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
-    return events.where("complete").withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).drop("k")
-
+def first_steps(samples: DataFrame, needed: int = 4, split: dict | None = None, steps: dict | None = None) -> DataFrame:
+    """The first ``needed`` pedal steps, row by row, of every segment that has as many, with the span of the rows that 5-S1 reads about them.
 
-def warmup_episodes(evidence: DataFrame) -> DataFrame:
-    """One episode a trip in which a warm-up fault can be put: guards met and the longest observed, then the first."""
-    good = evidence.where("guards")
-    return good.groupBy("trip_id").agg(F.max_by(F.struct("episode_id", "observed_s", "budget_s"), F.struct("observed_s", F.col("budget_s") * -1, "episode_id")).alias("e")).select("trip_id", "e.*")
+    A step is warmed up, confident, as steep as its state asks, and has a pressure; in steady driving it must reach the split
+    of magnitude too, below which no limit tells a response. ``split`` and ``steps`` are by the state after the thermal one.
+    """
+    steps, split = dict(steps or k.PEDAL_STEPS), split or {}
+    steps["steady_driving"] = max(steps["steady_driving"], split.get("steady_driving", 0.0))
+    least = F.element_at(F.create_map(*[F.lit(x) for s, v in steps.items() for x in (f"post_warmup__{s}", v)]), F.col("operating_state"))
+    w = Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
+    around = samples.withColumns({"from": F.coalesce(F.lag("t").over(w), F.col("t")), "to": F.coalesce(F.lead("t", 2).over(w), F.lead("t").over(w), F.col("t"))})
+    hit = (F.col("thermal_state") == "post_warmup") & (F.col("condition_confidence") == "high") & (F.col("pedal_slope") >= least) & F.col("map").isNotNull()
+    found = around.where(hit).withColumn("k", F.row_number().over(w)).where(F.col("k") <= needed)
+    whole = Window.partitionBy("trip_id", "segment_id")  # ``needed`` rows at most
+    found = found.withColumns({"n": F.count("*").over(whole), "start_t": F.min("from").over(whole), "end_t": F.max("to").over(whole)})
+    return found.where(F.col("n") == needed).select("trip_id", "segment_id", "row_in_segment", "k", "start_t", "end_t")
+
+
+def warmup_episodes(samples: DataFrame, context: DataFrame, followup_s: int = 900, start_max: float = 50.0, frost: float = -7.0) -> DataFrame:
+    """Of each trip the first observed start in which a warm-up fault can be put in: cold, not frosty, and observed for ``followup_s`` seconds with a sample for each."""
+    c = context.where("episode_id is not null").join(samples.select("trip_id", "segment_id", "row_in_segment", "t"), ["trip_id", "segment_id", "row_in_segment"])
+    early = F.col("elapsed_since_start") <= followup_s
+    e = c.groupBy("trip_id", "episode_id", "segment_id").agg(
+        F.min(F.when(early, F.col("t"))).alias("start_t"), F.max(F.when(early, F.col("t"))).alias("end_t"), F.count_if(early).alias("samples"), F.max("elapsed_since_start").alias("longest"), F.first("ect_start").alias("ect"), F.first("aat_start").alias("aat")
+    )
+    e = e.where((F.col("ect") <= start_max) & (F.col("aat") >= frost) & (F.col("longest") >= followup_s) & (F.col("samples") >= followup_s))
+    kept = F.struct("episode_id", "segment_id", "start_t", "end_t", "samples")
+    return e.groupBy("trip_id").agg(F.min_by(kept, F.struct("start_t", "segment_id")).alias("e")).select("trip_id", "e.*")
 
 
 def relative_change(before: Column, after: Column) -> Column:

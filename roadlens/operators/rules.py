@@ -138,11 +138,11 @@ def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = No
     df = grid.join(found, ["trip_id", "rule_id"], "left")
     chosen = []
     for rule, (kinds, opportunity, seconds, role, code) in rules.items():
-        met = [F.when(F.col(f"{n}_met").isNotNull(), F.struct(F.lit(d).alias("direction"), F.col(f"{n}_met").alias("margin"), F.col(f"{n}_start").alias("s"), F.col(f"{n}_end").alias("e"), F.when(F.col(f"{n}_seg") == F.col(f"{n}_seg2"), F.col(f"{n}_seg")).alias("seg"))) for n, d, _ in kinds]
+        met = [F.when(F.col(f"{n}_met").isNotNull(), F.struct(F.lit(d).cast("string").alias("direction"), F.col(f"{n}_met").alias("margin"), F.col(f"{n}_start").alias("s"), F.col(f"{n}_end").alias("e"), F.when(F.col(f"{n}_seg") == F.col(f"{n}_seg2"), F.col(f"{n}_seg")).alias("seg"))) for n, d, _ in kinds]
         best, direction = F.lit(None).cast("double"), F.lit(None).cast("string")
         for n, d, _ in kinds:
             better = F.col(f"{n}_margin").isNotNull() & (best.isNull() | (F.col(f"{n}_margin") > best))
-            best, direction = F.when(better, F.col(f"{n}_margin")).otherwise(best), F.when(better, F.lit(d)).otherwise(direction)
+            best, direction = F.when(better, F.col(f"{n}_margin")).otherwise(best), F.when(better, F.lit(d).cast("string")).otherwise(direction)
         chance = (F.col("total") if opportunity == "total_eligible" else F.col("longest")) >= seconds
         if opportunity.endswith("context"):
             chance = chance & (F.col("contexts") > 0)
@@ -160,6 +160,7 @@ def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = No
     e_seg = F.when(F.col("e_seg") == F.col("e_seg2"), F.col("e_seg"))
     active = F.when(F.col("d.role") == "pending_precursor", "pending").otherwise("triggered")
     pick = lambda trig, none, ok: F.when(met.isNotNull(), trig).when(~chance, none).otherwise(ok)
+    reasons = F.create_map(*[F.lit(x) for r in rules for x in (r, k.NO_OPPORTUNITY.get(r, "no_qualifying_opportunity"))])
     return df.select(
         "trip_id",
         F.col("rule_id").alias("sub_check_id"),
@@ -169,7 +170,7 @@ def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = No
         pick(met["direction"], F.lit(None), F.col("d.direction")).alias("direction"),
         F.col("d.role").alias("decision_role"),
         pick(active, F.lit("not_evaluable"), F.lit("pass")).alias("result_state"),
-        pick(F.lit("condition_persistence_met"), F.lit("no_qualifying_opportunity"), F.lit("no_trigger_with_opportunity")).alias("decision_reason"),
+        pick(F.lit("condition_persistence_met"), F.element_at(reasons, F.col("rule_id")), F.lit("no_trigger_with_opportunity")).alias("decision_reason"),
         pick(met["margin"], F.lit(None), F.col("d.best")).alias("decision_margin"),
         F.col("d.code").alias("dtc_candidate"),
         F.coalesce("evidence_count", F.lit(0)).cast("long").alias("evidence_count"),
@@ -178,71 +179,84 @@ def duration_decisions(eps: DataFrame, trips: DataFrame, rules: dict | None = No
 
 
 def range_decisions(state: DataFrame, limits: dict | None = None) -> DataFrame:
-    """4-S3: one row a trip; below the range goes before above; the margin is the worst excess."""
+    """4-S3: one row a trip; below the range goes before above; the margin is the worst excess, and evidence the violations, or else the samples that could be told."""
     m = k.LIMITS | (limits or {})
     low, high = F.coalesce("s4s3_below", F.lit(False)), F.coalesce("s4s3_above", F.lit(False))
+    told, hit = F.col("s4s3_below").isNotNull(), low | high
+    ends = lambda when, n: [F.min(F.when(when, F.col("t"))).alias(f"{n}_start"), F.max(F.when(when, F.col("t"))).alias(f"{n}_end"), F.min(F.when(when, F.col("segment_id"))).alias(f"{n}_seg"), F.max(F.when(when, F.col("segment_id"))).alias(f"{n}_seg2"), F.count(F.when(when, 1)).alias(f"{n}_n")]
     a = state.groupBy("trip_id").agg(
-        F.max(F.when(low, m["s4s3_low"] - F.col("intake_temp"))).alias("low"),
-        F.max(F.when(high, F.col("intake_temp") - m["s4s3_high"])).alias("high"),
-        F.count("s4s3_below").alias("n"),
-        F.count(F.when(low | high, 1)).alias("evidence_count"),
-    )
-    state_ = F.when(F.col("low").isNotNull() | F.col("high").isNotNull(), "triggered").when(F.col("n") == 0, "not_evaluable").otherwise("pass")
+        F.max(F.when(low, m["s4s3_low"] - F.col("intake_temp"))).alias("low"), F.max(F.when(high, F.col("intake_temp") - m["s4s3_high"])).alias("high"),
+        *ends(F.lit(True), "trip"), *ends(told, "told"), *ends(hit, "hit"),
+    )
+    fired, known = F.col("hit_n") > 0, F.col("told_n") > 0
+    pick = lambda x: F.when(fired, F.col(f"hit_{x}")).when(known, F.col(f"told_{x}")).otherwise(F.col(f"trip_{x}"))
     direction = F.when(F.col("low").isNotNull(), "low").when(F.col("high").isNotNull(), "high")
-    return a.select("trip_id", F.lit("4-S3").alias("sub_check_id"), direction.alias("direction"), state_.alias("result_state"), F.coalesce("low", "high").alias("decision_margin"), "evidence_count")
+    return a.select(
+        "trip_id", F.lit("4-S3").alias("sub_check_id"), F.when(known & (pick("seg") == pick("seg2")), pick("seg")).alias("segment_id"), pick("start").alias("start_t"), pick("end").alias("end_t"), direction.alias("direction"),
+        F.lit("verdict").alias("decision_role"), F.when(fired, "triggered").when(known, "pass").otherwise("not_evaluable").alias("result_state"),
+        F.when(fired, "range_violation").when(known, "no_trigger_with_opportunity").otherwise("signal_unavailable").alias("decision_reason"), F.coalesce("low", "high").alias("decision_margin"),
+        F.when(direction == "low", "P0112").when(direction == "high", "P0113").alias("dtc_candidate"), F.when(fired, F.col("hit_n")).otherwise(F.col("told_n")).alias("evidence_count"), known.alias("opportunity_present"),
+    )
 
 
 def pedal_events(df: DataFrame, steps: dict | None = None, no_response: dict | None = None, split: dict | None = None) -> DataFrame:
-    """5-S1: a row per sample whose pedal slope reaches its state's step; consecutive ones are events of their own.
+    """5-S1: a row per sample of the domain whose pedal slope reaches its state's step upwards; consecutive ones are events of their own.
 
-    An event is complete if its block holds the row before and two after; it is evaluable if pressure is
-    known there. Three of the last four complete events of a trip without a response trigger; events that
-    cannot be evaluated take a slot. A state without a magnitude split falls into ``lo``.
+    The domain is warmed up, confident, and quality valid in pressure and both pedals. A window is complete
+    if the block holds the row before and two after, all of them quality valid; an event is evaluable if
+    its state and magnitude have a limit besides. Less response than the limit is none. Of a trip's last
+    four complete events three without a response trigger; those that have no limit take a slot. States are
+    operating states, keyed here by what follows the thermal one; a state without a magnitude split falls into ``lo``.
     """
-    steps, no_response = steps or k.PEDAL_STEPS, no_response or k.NO_RESPONSE
+    steps, no_response, split = steps or k.PEDAL_STEPS, no_response or k.NO_RESPONSE, split or {}
     c = F.col
-    look = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c("child_state"))
+    known = {f"post_warmup__{s}": v for s, v in steps.items()}
+    look = lambda d: F.element_at(F.create_map(*[x for s in known for x in (F.lit(s), F.lit(d.get(s.removeprefix("post_warmup__"))).cast("double"))]), c("operating_state"))
     df = local_blocks(df, F.lit(True), "block")
-    press = F.when(ok(["map"]), c("map"))
-    base = back(press)
-    response = F.greatest(*[F.abs((press if o == 0 else ahead(press, o)) - base) for o in range(3)])
-    df = df.withColumns({"complete": (depth() >= 1) & ahead("t", 2).isNotNull(), "baseline_map": base, "response": response, "step": look(steps)})
-    df = df.where("child_state is not null and step is not null").where(F.abs(c("pedal_slope")) >= c("step"))
-    df = df.withColumn("bin", F.when(F.abs(c("pedal_slope")) >= (look(split) if split else F.lit(None).cast("double")), "hi").otherwise("lo"))
-    limit = F.when(c("bin") == "lo", look({s: float("nan") if a is None else a for s, (a, _) in no_response.items()})).otherwise(look({s: b for s, (_, b) in no_response.items()}))
-    limit = F.when(~F.isnan(limit), limit)
-    df = df.withColumn("limit", limit)
-    result = F.when(~c("complete") | c("response").isNull() | c("limit").isNull(), "not_evaluable").when(c("response") <= c("limit"), "no_response").otherwise("response")
-    df = df.withColumn("event_result", result)
+    sound = F.coalesce(ok(["map", "accel_pedal_d", "accel_pedal_e"]), F.lit(False))
+    df = df.withColumn("sound", sound)
+    base = back("map")
+    response = F.greatest(*[F.abs((c("map") if o == 0 else ahead("map", o)) - base) for o in range(3)])
+    inside = F.coalesce(depth() >= 1, F.lit(False)) & ahead("t", 2).isNotNull()
+    around = F.coalesce(back("sound") & ahead("sound", 1) & ahead("sound", 2), F.lit(False))
+    df = df.withColumns({"inside": inside, "around": around, "base": base, "response": response, "step": look(steps), "split": look(split)})
+    domain = (c("thermal_state") == "post_warmup") & (c("condition_confidence") == "high") & c("sound")
+    df = df.where(domain & (c("pedal_slope") >= c("step")))
+    big = F.coalesce(c("pedal_slope") >= c("split"), F.lit(False))
+    limit = F.when(big, look({s: b for s, (_, b) in no_response.items()})).otherwise(look({s: a for s, (a, _) in no_response.items()}))
+    df = df.withColumns({"complete": c("inside") & c("around"), "limit": limit})
+    told = c("complete") & c("limit").isNotNull()
+    result = F.when(c("complete") & ~told, "not_evaluable").when(told & (c("response") < c("limit")), "no_response").when(told, "response")
+    df = df.withColumn("result", result)
     trip = Window.partitionBy("trip_id").orderBy("t", "segment_id", "row_in_segment")
     done = Window.partitionBy("trip_id", "complete").orderBy("t", "segment_id", "row_in_segment")
     last = done.rowsBetween(-3, 0)
-    missed = F.sum((c("event_result") == "no_response").cast("int")).over(last)
+    whole = lambda x: F.when(c("complete"), x)
+    missed = whole(F.sum(F.coalesce((c("result") == "no_response").cast("int"), F.lit(0))).over(last))
     return df.select(
-        *KEYS, "child_state", "bin", "complete", "event_result", F.row_number().over(trip).alias("event_index"),
-        F.when(c("complete"), F.row_number().over(done)).alias("complete_ordinal"), F.when(c("complete"), missed).alias("no_response_recent"),
-        F.when(c("complete"), (F.count(F.lit(1)).over(last) == 4) & (missed >= 3)).alias("m_of_n_triggered"),
+        *KEYS, "t", c("block").alias("continuity_block_id"), "operating_state", "pedal_slope", c("step").alias("pedal_step_threshold"), F.when(big, "hi").otherwise("lo").alias("magnitude_bin"), c("split").alias("magnitude_split_threshold"),
+        c("complete").alias("window_complete"), F.when(~c("inside"), "neighborhood_outside_block").when(~c("around"), "neighborhood_quality").alias("window_incomplete_reason"), whole(c("base")).alias("baseline_map"),
+        whole(c("response")).alias("response_kpa"), c("limit").alias("no_response_threshold_kpa"), told.alias("evaluable"), c("result").alias("event_result"), F.row_number().over(trip).alias("event_index_in_trip"),
+        whole(F.row_number().over(done)).alias("complete_event_ordinal"), whole(F.count(F.lit(1)).over(last)).cast("int").alias("recent_window_size"), missed.cast("int").alias("no_response_count_recent_n"),
+        (missed >= 3).alias("m_of_n_triggered"), (missed - 3).cast("int").alias("decision_margin"),
     )
 
 
-def route(decisions: DataFrame) -> DataFrame:
-    """Trip-level routing of air-flow and pressure verdicts: a witness of the other sensor in the same trip decides, if it could be evaluated.
-
-    2-S3b is direct; an abnormal pressure witness points to P0106, a normal one to P0101; none leaves P006A.
-    Codes are emitted for verdicts only, so never for 5-S2.
-    """
-    state = lambda sub: F.max(F.when((F.col("sub_check_id") == sub) & F.col("result_state").isin("pass", "triggered"), F.col("result_state")))
-    witness = decisions.groupBy("trip_id").agg(state("5-S3").alias("map_flat"), state("5-S1").alias("map_step"))
-    df = decisions.join(witness, "trip_id", "left")
-    abnormal = (F.col("map_flat") == "triggered") | (F.col("map_step") == "triggered")
-    known = F.col("map_flat").isNotNull() | F.col("map_step").isNotNull()
-    fired = F.col("result_state") == "triggered"
-    air = F.col("sub_check_id").isin("2-S2", "5-S2")
-    routed = F.when(fired & (F.col("sub_check_id") == "2-S3b"), "P0102").when(fired & air & F.coalesce(abnormal, F.lit(False)), "P0106").when(fired & air & known, "P0101").when(fired & air, "P006A")
-    routed = F.coalesce(routed, F.when(fired, F.col("dtc_candidate")))
-    return df.select(
-        "trip_id", "sub_check_id", "result_state", "decision_role", routed.alias("routed_dtc"),
-        (fired & (F.col("decision_role") == "verdict") & routed.isNotNull()).alias("dtc_emitted"),
+def step_decisions(events: DataFrame, trips: DataFrame) -> DataFrame:
+    """5-S1: one row for each of ``trips`` (trip_id, start_t, end_t). One evaluable event is an opportunity; without one the trip is not evaluable."""
+    told = F.col("evaluable")
+    a = events.groupBy("trip_id").agg(
+        F.count_if(told).alias("n"), F.bool_or("m_of_n_triggered").alias("fired"), F.max("no_response_count_recent_n").alias("most"), F.min(F.when(told, F.col("t"))).alias("s"), F.max(F.when(told, F.col("t"))).alias("e"),
+        F.min(F.when(told, F.col("segment_id"))).alias("seg"), F.max(F.when(told, F.col("segment_id"))).alias("seg2"),
+    )
+    j = trips.select("trip_id", "start_t", "end_t").join(a, "trip_id", "left")
+    chance, fired = F.coalesce(F.col("n") > 0, F.lit(False)), F.coalesce("fired", F.lit(False))
+    pick = lambda trig, ok_, none: F.when(~chance, none).when(fired, trig).otherwise(ok_)
+    return j.select(
+        "trip_id", F.lit("5-S1").alias("sub_check_id"), F.when(chance & (F.col("seg") == F.col("seg2")), F.col("seg")).alias("segment_id"), F.when(chance, F.col("s")).otherwise(F.col("start_t")).alias("start_t"),
+        F.when(chance, F.col("e")).otherwise(F.col("end_t")).alias("end_t"), F.lit(None).cast("string").alias("direction"), F.lit("verdict").alias("decision_role"), pick(F.lit("triggered"), F.lit("pass"), F.lit("not_evaluable")).alias("result_state"),
+        pick(F.lit("m_of_n_met"), F.lit("no_trigger_with_opportunity"), F.lit("no_valid_events")).alias("decision_reason"), F.when(chance, F.coalesce("most", F.lit(0)) - 3).cast("double").alias("decision_margin"),
+        F.lit("P0106").alias("dtc_candidate"), F.coalesce("n", F.lit(0)).cast("long").alias("evidence_count"), chance.alias("opportunity_present"),
     )
 
 

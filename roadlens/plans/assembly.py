@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from roadlens.operators import assembly as a
 from roadlens.operators import features as f
 from roadlens.operators import gates as g
-from roadlens.operators.rules import route
 from roadlens.operators.starts import start_episodes
 from roadlens.plans.registry import query
-from roadlens.plans.rules import ALL, DECISIONS, EVENTS, LENGTHS, PROD, RANGE, ROUTE, STEP, all_decisions, prod
+from roadlens.plans.rules import DECIDED, LENGTHS, PROD, all_decisions, prod
 from roadlens.plans.scoring import SCORED, risks
 from roadlens.plans.sql import tidy_sql, with_ticks
 from roadlens.plans.starts import CTX, EP
@@ -88,12 +87,12 @@ def v17_output_contract(spark, sf_dir):
 
 
 @query(
-    with_ticks(DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE, "rr AS (SELECT *, result_state = 'triggered' AND decision_role = 'verdict' AND routed_dtc IS NOT NULL AS e FROM rt)", "n AS (SELECT count(*) AS rows, count(*) FILTER (sub_check_id = '4-S3') AS bad, count(*) FILTER ((sub_check_id = '5-S1' AND NOT (decision_role = 'verdict' AND result_state = 'triggered')) OR (sub_check_id = '4-S3' AND e)) AS em, count(*) FILTER (sub_check_id = '5-S1' AND routed_dtc IS NULL) AS code FROM rr)")
+    with_ticks(*DECIDED, "rr AS (SELECT *, dtc_emitted AS e FROM rt)", "n AS (SELECT count(*) AS rows, count(*) FILTER (sub_check_id = '4-S3') AS bad, count(*) FILTER ((sub_check_id = '5-S1' AND NOT (decision_role = 'verdict' AND result_state = 'triggered')) OR (sub_check_id = '4-S3' AND e)) AS em, count(*) FILTER (sub_check_id = '5-S1' AND routed_dtc IS NULL) AS code FROM rr)")
     + "SELECT 'result_state' AS rule, rows, bad AS broken FROM n UNION ALL SELECT 'decision_role', rows, 0 FROM n UNION ALL SELECT 'emitted_is_verdict', rows, em FROM n UNION ALL SELECT 'emitted_has_code', rows, code FROM n UNION ALL SELECT 'trip', rows, 0 FROM n"
 )
 def v18_decision_contract(spark, sf_dir):
     """Decisions of which some are spoilt: an unknown state, codes emitted without a verdict."""
-    d = route(all_decisions(written(prod(spark, sf_dir), "samples")))
+    d = all_decisions(written(prod(spark, sf_dir), "samples"))
     sub = F.col("sub_check_id")
     d = d.withColumns({"result_state": F.when(sub == "4-S3", "unknown").otherwise(F.col("result_state")), "dtc_emitted": F.when(sub == "5-S1", True).otherwise(F.col("dtc_emitted"))})
     return g.violations(d, a.decision_faults())

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadlens.operators import records as r
-from roadlens.operators.rules import pedal_events, route
-from roadlens.operators.starts import start_episodes, warmup_evidence, with_start_context
+from roadlens.operators.starts import start_episodes, with_start_context
 from roadlens.plans.registry import query
-from roadlens.plans.rules import ALL, DECISIONS, EVENTS, PROD, RANGE, ROUTE, STEP, all_decisions, prod
+from roadlens.plans.rules import DECIDED, PROD, SPLITS, all_decisions, prod
 from roadlens.plans.scoring import SCORED, risks
 from roadlens.plans.sql import tidy_sql, with_ticks
-from roadlens.plans.starts import CTX, EP, WE
+from roadlens.plans.starts import CTX, EP
 from roadlens.sources.adapters import table, ticks
 from roadlens.sources.scratch import scratch, written
 from roadlens.sources.sinks import read_model_output, signal_status
@@ -66,11 +65,11 @@ def u05_known_correlations(spark, sf_dir):
 
 
 @query(
-    with_ticks(DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE)
-    + "SELECT sub_check_id, count(*) AS rows, count(*) FILTER (result_state = 'triggered') AS triggered, count(*) FILTER (result_state = 'triggered' AND decision_role = 'verdict' AND routed_dtc IS NOT NULL) AS emitted, count(DISTINCT trip_id) AS trips, coalesce(string_agg(DISTINCT routed_dtc, ',' ORDER BY routed_dtc), '') AS codes FROM rt GROUP BY sub_check_id"
+    with_ticks(*DECIDED)
+    + "SELECT sub_check_id, count(*) AS rows, count(*) FILTER (result_state = 'triggered') AS triggered, count(*) FILTER (dtc_emitted) AS emitted, count(DISTINCT trip_id) AS trips, coalesce(string_agg(DISTINCT routed_dtc, ',' ORDER BY routed_dtc), '') AS codes FROM rt GROUP BY sub_check_id"
 )
 def a28_decision_audit(spark, sf_dir):
-    return r.audit_decisions(route(all_decisions(written(prod(spark, sf_dir), "samples"))))
+    return r.audit_decisions(all_decisions(written(prod(spark, sf_dir), "samples")))
 
 
 @query(
@@ -93,15 +92,25 @@ def d31_x03_label_crosscheck(spark, sf_dir):
     return df.withColumns({c: F.round(F.round(c, 9), 6) for c in df.columns if c.endswith("_share")})
 
 
-@query(with_ticks(PROD, EVENTS, "f AS (SELECT *, row_number() OVER (PARTITION BY trip_id, segment_id ORDER BY row_in_segment) AS k FROM pe WHERE complete)") + "SELECT trip_id, segment_id, row_in_segment, child_state, event_result FROM f WHERE k <= 2")
+_STEPS = """fs AS (SELECT *, row_number() OVER (PARTITION BY trip_id, segment_id ORDER BY row_in_segment) AS k, count(*) OVER (PARTITION BY trip_id, segment_id) AS n FROM prod WHERE condition_confidence = 'high' AND map IS NOT NULL AND pedal_slope >=
+ CASE operating_state WHEN 'post_warmup__idle' THEN 9.2 WHEN 'post_warmup__steady_driving' THEN 20.0 WHEN 'post_warmup__acceleration' THEN 18.6 WHEN 'post_warmup__high_load' THEN 26.5 END)"""
+
+
+@query(with_ticks(PROD, _STEPS, "f4 AS (SELECT trip_id, segment_id, row_in_segment, t, k FROM fs WHERE n >= 4 AND k <= 4)", "tw AS (SELECT f4.trip_id, f4.segment_id, min(p.t) AS start_t, max(p.t) AS end_t FROM f4 JOIN prod p ON p.trip_id = f4.trip_id AND p.segment_id = f4.segment_id AND p.row_in_segment BETWEEN f4.row_in_segment - 1 AND f4.row_in_segment + 2 GROUP BY ALL)")
+       + "SELECT f4.trip_id, f4.segment_id, row_in_segment, CAST(k AS INTEGER) AS k, start_t, end_t FROM f4 JOIN tw USING (trip_id, segment_id)")
 def i04_t11_first_steps(spark, sf_dir):
-    return r.first_steps(pedal_events(prod(spark, sf_dir))).select("trip_id", "segment_id", "row_in_segment", "child_state", "event_result")
+    """Four steps of the 5-S1 domain in each segment that has as many; small steps of steady driving, which no limit tells apart, are left out."""
+    return r.first_steps(prod(spark, sf_dir), split=SPLITS)
+
+
+_WARM = "g AS (SELECT trip_id, episode_id, segment_id, min(k.t) FILTER (elapsed_since_start <= 12) AS start_t, max(k.t) FILTER (elapsed_since_start <= 12) AS end_t, max(elapsed_since_start) AS longest, count(*) FILTER (elapsed_since_start <= 12) AS samples, any_value(ect_start) AS e, any_value(aat_start) AS a FROM cx JOIN ticks k USING (trip_id, segment_id, row_in_segment) WHERE episode_id IS NOT NULL GROUP BY ALL)"
 
 
-@query(with_ticks(EP, CTX, WE, "o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY observed_s DESC, bs, episode_id DESC) AS k FROM we WHERE guards)") + "SELECT trip_id, episode_id, observed_s, bs AS budget_s FROM o WHERE k = 1")
+@query(with_ticks(EP, CTX, _WARM, "o AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY start_t) AS n FROM g WHERE e <= 50 AND a >= -7 AND longest >= 12 AND samples >= 12)") + "SELECT trip_id, episode_id, segment_id, start_t, end_t, samples FROM o WHERE n = 1")
 def i03_warmup_episodes(spark, sf_dir):
+    """Twelve seconds to follow, where production asks for 900."""
     df = ticks(spark, sf_dir)
-    return r.warmup_episodes(warmup_evidence(df, with_start_context(df, start_episodes(df))))
+    return r.warmup_episodes(df, with_start_context(df, start_episodes(df)), 12)
 
 
 @query(

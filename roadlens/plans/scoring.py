@@ -13,8 +13,7 @@ from roadlens.operators.continuity import longest_runs, segment_window
 from roadlens.operators.ranks import exact_quantiles, numbered
 from roadlens.operators.rolling import tumble_rows
 from roadlens.plans.registry import query
-from roadlens.operators.rules import route
-from roadlens.plans.rules import ALL, DECISIONS, EVENTS, PROD, RANGE, ROUTE, STEP, all_decisions, prod
+from roadlens.plans.rules import DECIDED, PROD, all_decisions, prod
 from roadlens.plans.sql import KEYS, SEG, tidy_sql, with_irregular, with_ticks
 from roadlens.sources.adapters import irregular, table, ticks
 from roadlens.sources.scratch import written
@@ -43,10 +42,8 @@ def _windows(samples):
 
 
 def _forwarded(samples):
-    """The trips' routed decisions: checks 4-* are of the intake temperature, 5-* of the pressure sensor."""
-    d = written(route(written(all_decisions(samples), "decisions")), "routed")
-    proxy = F.when(F.startswith("sub_check_id", F.lit("4-")), s.FORWARDED[0]).when(F.startswith("sub_check_id", F.lit("5-")), s.FORWARDED[1])
-    return d.withColumns({"proxy_id": proxy, "unit_scope": F.lit("trip"), "segment_id": F.lit(None).cast("string"), "confidence": F.lit("provisional"), "confidence_capped_low": F.lit(False)})
+    """The decisions of every scope, reduced to the triggered ones of the two forwarded faults."""
+    return written(all_decisions(samples).where((F.col("result_state") == "triggered") & F.col("proxy_id").isin(*s.FORWARDED)), "forwarded")
 
 
 _SC = "least(greatest(({x} - {lo}) / {d}, 0), 1)"
@@ -57,24 +54,26 @@ _FIRST = """CASE {t} WHEN 'cooling_degradation' THEN ['coolant_temp', 'ect_rate_
  ELSE ['map', 'pedal_slope', 'speed_density_maf_residual', 'map_range_60s', 'rpm_slope'] END"""
 _KEYED = "list_filter(list_concat({f}, list_filter(top, lambda x: NOT list_contains({f}, x))), lambda x: map_extract(vs, x)[1] IS NOT NULL)[1:5]"
 _keyed = lambda t: _KEYED.format(f=_FIRST.format(t=t))
-_FWD = """fw AS (SELECT trip_id, p, max(lv) AS score, string_agg(DISTINCT c, ', ' ORDER BY c) AS checks FROM (SELECT *, max(lv) OVER (PARTITION BY trip_id, p) AS best FROM (SELECT trip_id, substr(sub_check_id, 1, 1) AS p, sub_check_id AS c,
- CASE WHEN decision_role = 'verdict' THEN CASE WHEN routed_dtc IS NOT NULL THEN 0.9 ELSE 0.6 END ELSE 0.5 END AS lv FROM rt WHERE result_state = 'triggered' AND NOT (sub_check_id = '5-S2' AND coalesce(routed_dtc, 'P0106') <> 'P0106'))) WHERE lv = best GROUP BY ALL)"""
+_FWD = """fd AS (SELECT trip_id, CASE WHEN unit_scope = 'segment_first_row' THEN segment_id END AS seg, substr(sub_check_id, 1, 1) AS p, sub_check_id AS c, CASE WHEN decision_role = 'verdict' THEN CASE WHEN dtc_emitted THEN 0.9 ELSE 0.6 END ELSE 0.5 END AS lv,
+ CASE WHEN confidence_capped_low OR confidence = 'low' THEN 0.35 WHEN confidence = 'high' THEN 0.9 ELSE 0.6 END AS how FROM rt WHERE result_state = 'triggered' AND NOT (sub_check_id = '5-S2' AND coalesce(routed_dtc, 'P0106') <> 'P0106')),
+fj AS (SELECT w.trip_id, w.segment_id, w.window_no, p, c, lv, how FROM ws w JOIN fd ON fd.trip_id = w.trip_id AND (seg IS NULL OR seg = w.segment_id)),
+fw AS (SELECT trip_id, segment_id, window_no, p, lv AS score, min(how) AS how, string_agg(DISTINCT c, ', ' ORDER BY c) AS checks FROM (SELECT *, max(lv) OVER (PARTITION BY trip_id, segment_id, window_no, p) AS best FROM fj) WHERE lv = best GROUP BY ALL)"""
 _RISK = f"""{_FWD},
 r0 AS (SELECT ws.*, greatest(coalesce(s_coolant_temp, 0), {_sc("coalesce(max_ect, 0)", 95, 110)}, CASE WHEN coalesce(max_ect, 0) > 85 THEN {_sc("coalesce(v_ect_rate_180s, 0)", 2, 8)} ELSE 0 END) AS cool,
  greatest(coalesce(s_maf, 0), coalesce(s_map, 0), {_sc("abs(coalesce(v_speed_density_maf_residual, 0))", 18, 35)}) AS intake, CASE WHEN v_accel_pedal_channel_delta IS NULL THEN 0 ELSE {_sc("v_accel_pedal_channel_delta", 2, 10)} END AS pedal,
- CAST(coalesce(f4.score, 0) AS DOUBLE) AS iat, CAST(coalesce(f5.score, 0) AS DOUBLE) AS mapf, f4.checks AS c4, f5.checks AS c5,
+ CAST(coalesce(f4.score, 0) AS DOUBLE) AS iat, CAST(coalesce(f5.score, 0) AS DOUBLE) AS mapf, f4.checks AS c4, f5.checks AS c5, f4.how AS h4, f5.how AS h5,
  [{", ".join(f"coalesce(s_{c}, 0)" for c in s.FORECAST)}] AS rs, MAP {{{", ".join(f"'{v}': v_{v}" for v in _V)}}} AS vs
- FROM ws LEFT JOIN fw f4 ON f4.trip_id = ws.trip_id AND f4.p = '4' LEFT JOIN fw f5 ON f5.trip_id = ws.trip_id AND f5.p = '5'),
+ FROM ws LEFT JOIN fw f4 ON f4.trip_id = ws.trip_id AND f4.segment_id = ws.segment_id AND f4.window_no = ws.window_no AND f4.p = '4' LEFT JOIN fw f5 ON f5.trip_id = ws.trip_id AND f5.segment_id = ws.segment_id AND f5.window_no = ws.window_no AND f5.p = '5'),
 rt0 AS (SELECT trip_id, segment_id, window_no, list(sig ORDER BY x DESC, i)[1:3] AS top FROM (SELECT trip_id, segment_id, window_no, unnest(['rpm', 'speed', 'coolant_temp', 'map', 'maf', 'tps']) AS sig, unnest(rs) AS x, unnest([1, 2, 3, 4, 5, 6]) AS i FROM r0) GROUP BY ALL),
 r1 AS (SELECT r0.*, top, greatest(0.35, least(0.95, 1 - sqrt(greatest(list_var_pop(rs), 0)))) AS sure, unnest([0, 1, 2, 3, 4]) AS i,
  unnest(['cooling_degradation', 'air_intake_maf_anomaly', 'accelerator_pedal_sensor', 'intake_air_temperature_sensor_fault', 'map_load_signal_plausibility_fault']) AS ty, unnest([cool, intake, pedal, iat, mapf]) AS sc FROM r0 JOIN rt0 USING (trip_id, segment_id, window_no)),
-r2 AS (SELECT *, CASE WHEN i >= 3 AND sc > 0 THEN 0.6 ELSE sure END AS conf, row_number() OVER (PARTITION BY trip_id, segment_id, window_no ORDER BY sc DESC, i) AS o FROM r1),
+r2 AS (SELECT *, CASE WHEN i = 3 AND sc > 0 THEN h4 WHEN i = 4 AND sc > 0 THEN h5 ELSE sure END AS conf, row_number() OVER (PARTITION BY trip_id, segment_id, window_no ORDER BY sc DESC, i) AS o FROM r1),
 rk AS (SELECT a.trip_id, a.segment_id, a.window_no, a.start_t, a.end_t, a.ty AS anomaly_type, {tidy_sql("a.sc", 4)} AS risk_score, CASE WHEN a.sc >= 0.9 THEN 'High' WHEN a.sc >= 0.4129 THEN 'Medium' ELSE 'Low' END AS risk_level, {tidy_sql("a.conf", 4)} AS confidence,
  b.ty AS secondary_type, {tidy_sql("b.sc", 4)} AS secondary_score, {tidy_sql("b.conf", 4)} AS secondary_confidence, a.top, {_keyed("a.ty").replace("top", "a.top").replace("(vs,", "(a.vs,")} AS keyed, {_keyed("b.ty").replace("top", "a.top").replace("(vs,", "(a.vs,")} AS keyed2, a.vs,
  concat_ws('; ', CASE WHEN a.v_accel_pedal_channel_delta IS NULL THEN 'no pair of pedal readings in the window: its score is 0' END,
   CASE WHEN (a.i = 3 AND a.sc > 0) OR (b.i = 3 AND b.sc > 0) THEN 'intake_air_temperature_sensor_fault: decided by ' || a.c4 END, CASE WHEN (a.i = 4 AND a.sc > 0) OR (b.i = 4 AND b.sc > 0) THEN 'map_load_signal_plausibility_fault: decided by ' || a.c5 END) AS notes
  FROM r2 a JOIN r2 b ON a.trip_id = b.trip_id AND a.segment_id = b.segment_id AND a.window_no = b.window_no AND a.o = 1 AND b.o = 2)"""
-SCORED = (DECISIONS, RANGE, EVENTS, STEP, ALL, ROUTE, _WIN, _RISK)
+SCORED = (*DECIDED, _WIN, _RISK)
 
 
 def risks(spark, sf_dir):
