@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
+from roadlens.functions.physics import parse_bool
 from roadlens.operators import features as f
 from roadlens.operators.continuity import KEYS, step_of
 from roadlens.operators.starts import start_episodes, with_start_context
@@ -47,6 +49,74 @@ def production_table(df: DataFrame, episodes: DataFrame | None = None, **lengths
     return made.select(*[named.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
+@dataclass(frozen=True)
+class Field:
+    """What a column of the table must be: its type, whether it may be null, the values it may take, or the one it must have."""
+
+    name: str
+    kind: str
+    nullable: bool = True
+    domain: tuple[str, ...] | None = None
+    constant: object = None
+
+
+# What each column may hold.
+THERMAL, CHILD, CONFIDENCE = ("warmup", "post_warmup"), ("idle", "steady_driving", "acceleration", "high_load"), ("high", "medium", "low")
+_REQUIRED = {
+    "timestamp": "bigint", "trip_id": "string", "segment_id": "string", "row_in_segment": "int", "dt_seconds": "double", "condition_quality_flags": "string", "engine_start_observed": "boolean",
+}
+_NAMED = {
+    "thermal_state": Field("thermal_state", "string", False, THERMAL), "child_state": Field("child_state", "string", False, CHILD), "condition_confidence": Field("condition_confidence", "string", False, CONFIDENCE),
+    "operating_state": Field("operating_state", "string", False, tuple(f"{t}__{c}" for t in THERMAL for c in CHILD)), "dt_seconds": Field("dt_seconds", "double", False, None, 1.0), "engine_on_flag": Field("engine_on_flag", "boolean"),
+    "engine_start_episode_id": Field("engine_start_episode_id", "string"), "schema_version": Field("schema_version", "string", False, None, SCHEMA_VERSION), "calibration_version": Field("calibration_version", "string", False, None, CALIBRATION_VERSION),
+}
+CONTRACT = tuple(_NAMED.get(c) or Field(c, _REQUIRED.get(c, "double"), c not in _REQUIRED) for c in COLUMNS)
+
+
+def contract_faults(df: DataFrame, contract: tuple[Field, ...] = CONTRACT) -> DataFrame:
+    """(rule, column, faults): a row for every rule of ``contract`` that the table breaks, none for a sound one.
+
+    Rules of the schema, told without reading: ``missing``, ``unexpected``, ``order`` (position of the first column out
+    of place) and ``type`` where the column's type is not the contract's and does not hold its values as text. Rules of rows,
+    one aggregate for all: ``type`` (values that do not parse), ``null``, ``domain``, ``constant``; and ``key_null`` and
+    ``key_twice``, rows whose key repeats. A text column may stand for another type: its values are parsed.
+    """
+    spark, held = df.sparkSession, dict(df.dtypes)
+    names, have = [f.name for f in contract], df.columns
+    schema = [("missing", n, 1) for n in names if n not in held] + [("unexpected", n, 1) for n in have if n not in names]
+    common, expected = [n for n in have if n in names], [n for n in names if n in held]
+    schema += [("order", n, have.index(n) + 1) for n, want in zip(common, expected) if n != want][:1]
+    rows: dict[tuple[str, str], Column] = {}
+    for f in contract:
+        if f.name not in held:
+            continue
+        raw = F.col(f"`{f.name}`")
+        if held[f.name] != f.kind and held[f.name] != "string":
+            schema.append(("type", f.name, 1))
+            continue
+        value = raw
+        if held[f.name] != f.kind:
+            value = parse_bool(raw) if f.kind == "boolean" else raw.try_cast(f.kind)
+            if f.kind in ("int", "bigint"):
+                value = F.when(raw.try_cast("double") % 1 == 0, raw.try_cast("double").try_cast(f.kind))
+            rows["type", f.name] = raw.isNotNull() & value.isNull()
+        if not f.nullable:
+            rows["null", f.name] = raw.isNull()
+        if f.domain is not None:
+            rows["domain", f.name] = raw.isNotNull() & ~value.isin(*f.domain)
+        if f.constant is not None:
+            rows["constant", f.name] = ~value.eqNullSafe(F.lit(f.constant))
+    told = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"r{i}") for i, c in enumerate(rows.values())]
+    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("column"), F.col(f"r{i}").alias("faults")) for i, (rule, name) in enumerate(rows)])
+    out = spark.createDataFrame(schema, "rule string, column string, faults long")
+    if told:
+        out = out.unionByName(df.agg(*told).select(F.explode(cells).alias("c")).select("c.*"))
+    if all(c in held for c in KEYS):
+        twice = df.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("faults"))
+        out = out.unionByName(twice.select(F.lit("key_twice").alias("rule"), F.lit(",".join(KEYS)).alias("column"), "faults"))
+    return out.where("faults > 0")
+
+
 def episode_key_faults(context: DataFrame, episodes: DataFrame) -> DataFrame:
     """(rule, faults): episode keys that repeat, samples of unknown episodes, samples whose start values differ from their episode's, episodes without exactly one observed start, observed starts of no episode."""
     drifted = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in ("ect_start", "aat_start", "iat_start")])

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.functions.physics import wilson
-from roadlens.operators.continuity import first_window, local_blocks
+from roadlens.functions.physics import maf_residual, pedal_residual, wilson
+from roadlens.operators.continuity import first_window, local_blocks, runs_of
 from roadlens.operators.evaluation import inject
+from roadlens.sources.scratch import written
 
 
 def selectors(limits: dict | None = None) -> dict[str, Column]:
@@ -73,3 +74,99 @@ def curve(results: DataFrame, order: list[str], least_rate: float = 0.8, least_t
     w = Window.orderBy("rank")  # a row a severity
     before = F.lag("rate").over(w)
     return a.withColumns({"not_falling": F.coalesce(F.col("rate") >= before, F.lit(True)), "accepted": (F.col("rate") >= least_rate) & (F.col("trips") >= least_trips)})
+
+
+def capable(limits: dict | None = None) -> dict[str, Column]:
+    """The nine selectors of a campaign over samples with features, ``segment_gap_seconds`` and ``later_start`` (the segment has an observed start)."""
+    m, c = k.LIMITS | {"soak_gap_s": 21_600.0, "iat_witness": 7.0, "ect_witness": 15.0} | (limits or {}), F.col
+    own = selectors(limits)
+    soaked = (c("row_in_segment") == 1) & (c("segment_gap_seconds") >= m["soak_gap_s"]) & (c("rpm") < k.ENGINE_ON_RPM) & c("later_start")
+    soaked = soaked & c("coolant_temp").isNotNull() & c("intake_temp").isNotNull() & c("ambient_temp").isNotNull()
+    names = ("post_warmup", "post_warmup_high_load", "steady_driving", "engine_firing", "pedal_lowmotion", "iat_context_change", "map_context_change")
+    return {n: own[n] for n in names} | {
+        "cold_start_ect": soaked & (F.abs(c("intake_temp") - c("ambient_temp")) <= m["iat_witness"]),
+        "cold_start_iat": soaked & (F.abs(c("coolant_temp") - c("ambient_temp")) <= m["ect_witness"]),
+    }
+
+
+def all_windows(df: DataFrame, seconds: dict[str, int], limits: dict | None = None) -> DataFrame:
+    """(selector, trip_id, segment_id, first_row, first_t): for each selector and trip the first stretch of ``seconds[selector]`` samples in which it holds.
+
+    All selectors are read in one pass: each sample knows where its run of each began, and a run is named by the sample that makes it
+    long enough. Selectors without such a stretch in a trip have no row.
+    """
+    asked = {n: c for n, c in capable(limits).items() if n in seconds}
+    df = local_blocks(df, F.lit(True), "block")
+    df = runs_of(df, {f"_{n}": F.coalesce(c, F.lit(False)) for n, c in asked.items()})
+    row = F.col("row_in_segment")
+    found = [
+        F.when(row - F.col(f"_{n}_start") == seconds[n] - 1, F.struct(F.lit(n).alias("selector"), F.col(f"_{n}_start").alias("first_row"), F.col(f"_{n}_start_t").alias("first_t"))) for n in asked
+    ]
+    hits = df.select("trip_id", "segment_id", F.explode(F.array_compact(F.array(*found))).alias("w"))
+    first = F.struct("w.first_t", "segment_id", "w.first_row")
+    best = hits.groupBy(F.col("w.selector").alias("selector"), "trip_id").agg(F.min(first).alias("b"))
+    return best.select("selector", "trip_id", "b.segment_id", "b.first_row", "b.first_t")
+
+
+#: Features that are worked out anew after a fault is put in, and how far back each looks, in rows at the published lengths.
+RECOMPUTED = (
+    "coolant_ambient_delta", "intake_ambient_delta", "accel_pedal_mean", "accel_pedal_channel_delta", "pedal_mapping_residual", "speed_density_maf_residual", "pedal_slope", "rpm_slope",
+    "ect_rate", "intake_temp_stability", "speed_std", "maf_std", "rpm_std", "accel_pedal_mean_std", "map_range", "maf_integral",
+)
+
+
+def recomputed(df: DataFrame, *, span: int = 180, long: int = 120, short: int = 60, position: str | None = None) -> DataFrame:
+    """``df`` with ``RECOMPUTED`` from its signals alone, over rows of a segment: what is put in counts as measured, so neither quality nor continuity is asked.
+
+    A window that is not full, or holds a null, is null. ``position`` names a column with the place of a row in its
+    segment; without it the rows of the table are counted, which must then be whole segments. An intake temperature
+    that is not above absolute zero ends the job.
+    """
+    c, w = F.col, Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
+    pedal = (c("accel_pedal_d") + c("accel_pedal_e")) / 2
+    cold = c("intake_temp").isNotNull() & ~((c("intake_temp") > -273.15) & (c("intake_temp") < float("inf")))
+    df = df.withColumns(
+        {
+            "coolant_ambient_delta": c("coolant_temp") - c("ambient_temp"), "intake_ambient_delta": c("intake_temp") - c("ambient_temp"), "accel_pedal_mean": pedal, "accel_pedal_channel_delta": F.abs(c("accel_pedal_d") - c("accel_pedal_e")),
+            "pedal_mapping_residual": pedal_residual(c("accel_pedal_d"), c("accel_pedal_e")),
+            "speed_density_maf_residual": F.when(cold, F.raise_error(F.lit("intake_temp must be finite and above absolute zero"))).otherwise(maf_residual(c("maf"), c("map"), c("rpm"), c("intake_temp"))),
+        }
+    )
+    place = c(position) if position else F.row_number().over(w)
+    df = df.withColumn("_place", place)
+
+    def full(n: int, name: str, value) -> Column:
+        frame = w.rowsBetween(-(n - 1), 0)
+        return F.when((c("_place") >= n) & (F.count(name).over(frame) == n), value(c(name), frame))
+
+    std = lambda n, name: full(n, name, lambda x, frame: F.stddev_samp(x).over(frame))
+    made = {
+        "pedal_slope": c("accel_pedal_mean") - F.lag("accel_pedal_mean").over(w), "rpm_slope": c("rpm") - F.lag("rpm").over(w), "ect_rate": F.when(c("_place") > span, (c("coolant_temp") - F.lag("coolant_temp", span).over(w)) / (span / 60)),
+        "intake_temp_stability": std(short, "intake_temp"), "speed_std": std(long, "speed"), "maf_std": std(long, "maf"), "rpm_std": std(long, "rpm"), "accel_pedal_mean_std": std(long, "accel_pedal_mean"),
+        "map_range": full(short, "map", lambda x, frame: F.max(x).over(frame) - F.min(x).over(frame)),
+        "maf_integral": full(span + 1, "maf", lambda x, frame: F.sum(x).over(frame) - (x + F.lag(x, span).over(w)) / 2),
+    }
+    return df.withColumns(made).drop("_place")
+
+
+def recomputed_about(features: DataFrame, changed: DataFrame, *, span: int = 180, long: int = 120, short: int = 60) -> DataFrame:
+    """``features`` (a table of ``recomputed``) after the signals of ``changed`` (whole rows, by key) have replaced its own: equal to all of it worked out anew.
+
+    Only rows that a changed one can reach, and what those look back on, are read by the windows; all others keep what
+    they had. Reach is told by segment from the first and last changed row of each stretch no longer than the reach apart.
+    """
+    keys, reach = ["trip_id", "segment_id", "row_in_segment"], max(span, long - 1, short - 1)
+    w = Window.partitionBy("trip_id", "segment_id").orderBy("row_in_segment")
+    signals = [c for c in changed.columns if c not in keys]
+    new = changed.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in signals], F.lit(True).alias("_changed"))
+    place = features.withColumn("_at", F.row_number().over(w)).join(new, keys, "left").withColumn("_changed", F.col("_changed").isNotNull())
+    place = place.withColumns({c: F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in signals})
+    back = Window.partitionBy("trip_id", "segment_id").orderBy(F.desc("row_in_segment"))
+    last = F.max(F.when(F.col("_changed"), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    coming = F.min(F.when(F.col("_changed"), F.col("_at"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    place = written(place.withColumns({"_touched": F.coalesce(F.col("_at") - last <= reach, F.lit(False)), "_coming": coming}), "touched")
+    # what a touched row looks back on: rows up to the reach before a changed one, and those between
+    ahead = F.coalesce(F.col("_coming") - F.col("_at") <= reach, F.lit(False))
+    part = place.where(F.col("_touched") | ahead).select(*features.columns, "_at", "_touched")
+    redone = recomputed(part, span=span, long=long, short=short, position="_at").where("_touched")
+    return place.where("not _touched").select(*features.columns).unionByName(redone.select(*features.columns))

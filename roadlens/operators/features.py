@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.functions.physics import maf_residual, pedal_residual
-from roadlens.operators.continuity import KEYS, blocks_of, ok, with_quality
+from roadlens.operators.continuity import KEYS, blocks_of, ok, runs_of, with_quality
 from roadlens.operators.rolling import rolling_range, rolling_std, slope, span_rate, trapezoid
 
 
@@ -25,7 +25,11 @@ def atomic(df: DataFrame) -> DataFrame:
         }
     )
     df = blocks_of(df, {"pedal_block": F.col("accel_pedal_mean").isNotNull()} | {f"{s}_block": ok([s]) for s in ("rpm", "maf", "coolant_temp", "intake_temp", "speed", "map")})
-    return df.withColumns({"pedal_slope": slope("accel_pedal_mean", "pedal_block"), "rpm_slope": slope("rpm", "rpm_block")})
+    df = df.withColumns({"pedal_slope": slope("accel_pedal_mean", "pedal_block"), "rpm_slope": slope("rpm", "rpm_block")})
+    old = df.columns
+    df = runs_of(df, {"_on": F.col("rpm") >= k.ENGINE_ON_RPM}, "rpm_block")
+    started = F.col("_on_start") > F.col("rpm_block_start")  # the engine was seen to turn on inside the block: an episode
+    return blocks_of(df, {"maf_start_block": ok(["maf"]) & started}).select(*old, "maf_start_block", "maf_start_block_start")
 
 
 def calibrated(df: DataFrame) -> DataFrame:
@@ -41,10 +45,10 @@ def calibrated(df: DataFrame) -> DataFrame:
 
 
 def window_features(df: DataFrame, *, span: int = 180, long: int = 120, short: int = 60) -> DataFrame:
-    """``df`` (of ``atomic``) with the strict-window features, each on blocks of its own signal; lengths are parameters."""
+    """``df`` (of ``atomic``) with the strict-window features, each on blocks of its own signal, the integral inside one engine start besides; lengths are parameters."""
     return df.withColumns(
         {
-            "maf_integral": trapezoid("maf", span, "maf_block"),
+            "maf_integral": trapezoid("maf", span, "maf_start_block"),
             "ect_rate": span_rate("coolant_temp", span, "coolant_temp_block"),
             "intake_temp_stability": rolling_std("intake_temp", short, "intake_temp_block"),
             "speed_std": rolling_std("speed", long, "speed_block"),

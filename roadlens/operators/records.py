@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.functions.physics import draw
+from roadlens.operators.ranks import running_totals
 
 # Pairs of signals that are out of range together, and the pattern that they tell.
 CORRELATIONS = (
@@ -32,11 +33,17 @@ def representatives(records: DataFrame) -> DataFrame:
     return r.groupBy("anomaly_type", "risk_level").agg(F.max_by(keep, F.struct(best, "trip_id", "segment_id", "window_no")).alias("r")).select("anomaly_type", "risk_level", "r.*")
 
 
-def component_history(records: DataFrame, most: int = 50) -> DataFrame:
-    """Per component its ``most`` last records in time: a bounded list, oldest first."""
-    w = Window.partitionBy("anomaly_type").orderBy(F.desc("end_t"), "trip_id", "segment_id")
-    last = records.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
-    return last.groupBy("anomaly_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("at"), "end_t", "trip_id", "risk_score"))).alias("history"))
+def component_history(records: DataFrame) -> DataFrame:
+    """(anomaly_type, place, end_t, trip_id, segment_id, window_no, risk_score, secondary): all risks of each component in time, first and second ones alike, numbered from 1.
+
+    A row a risk: no component's history is gathered in one place, and places are counted by ranges of time.
+    """
+    risk = lambda x, second: F.struct(x("anomaly_type").alias("anomaly_type"), x("risk_score").alias("risk_score"), F.lit(second).alias("secondary"))
+    two = F.col("secondary_risk")
+    both = records.select("end_t", "trip_id", "segment_id", "window_no", F.explode(F.array(risk(F.col, False), risk(lambda c: two[c], True))).alias("r"))
+    both = both.select("r.*", "end_t", "trip_id", "segment_id", "window_no").where("anomaly_type is not null and risk_score is not null")
+    order = ("end_t", "trip_id", "segment_id", "window_no", "secondary", "anomaly_type")
+    return running_totals(both, order, {"place": F.lit(1).cast("long")}, by=("anomaly_type",))
 
 
 def audit_decisions(decisions: DataFrame) -> DataFrame:

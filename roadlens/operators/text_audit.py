@@ -47,7 +47,8 @@ def shared_shingle(a: Column, b: Column, n: int = 12) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)
+    """Numbers as they are written, signs included."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), 0)
 
 
 def unsupported_numbers(claim: Column, context: Column) -> Column:

@@ -35,6 +35,38 @@ def j04_x02_production_table(spark, sf_dir):
     return _table(spark, sf_dir).withColumns({c: F.round(F.round(c, 9), n) for c, n in _ROUNDED.items()})
 
 
+_BREAKS = {
+    "null/trip_id": "timestamp % 211 = 0", "domain/thermal_state": "timestamp % 53 = 1", "domain/operating_state": "timestamp % 53 = 1", "null/condition_confidence": "timestamp % 101 = 2", "constant/dt_seconds": "timestamp % 67 = 3",
+    "constant/calibration_version": "timestamp % 59 = 4", "type/row_in_segment": "timestamp % 73 = 5", "type/engine_on_flag": "timestamp % 79 = 6", "null/engine_start_observed": "timestamp % 83 = 7",
+}
+
+
+@query(
+    with_ticks("tk AS (SELECT t AS timestamp FROM ticks)", "ta AS (SELECT timestamp FROM tk UNION ALL SELECT timestamp FROM tk WHERE timestamp % 97 = 8)")
+    + "SELECT 'missing' AS rule, 'map_range_60s' AS \"column\", 1 AS faults UNION ALL SELECT 'unexpected', 'remark', 1 UNION ALL SELECT 'order', 'rpm', 12 UNION ALL SELECT 'type', 'speed', 1 UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{n.split('/')[0]}', '{n.split('/')[1]}', count(*) FROM ta WHERE {w} HAVING count(*) > 0" for n, w in _BREAKS.items())
+    + " UNION ALL SELECT 'key_twice', 'trip_id,segment_id,row_in_segment', sum(n) FROM (SELECT count(*) AS n FROM ta JOIN ticks ON t = timestamp GROUP BY CASE WHEN timestamp % 211 = 0 THEN NULL ELSE trip_id END, segment_id, CASE WHEN timestamp % 73 = 5 THEN '1.5' ELSE CAST(row_in_segment AS VARCHAR) END) WHERE n > 1 HAVING count(*) > 0"
+)
+def v02_contract_faults(spark, sf_dir):
+    """The 46-column contract over a table that has been spoilt in every way that it names."""
+    df = written(_table(spark, sf_dir), "production")
+    df = df.unionByName(df.where("timestamp % 97 = 8"))
+    when = lambda rule, value, otherwise: F.when(F.expr(_BREAKS[rule]), value).otherwise(otherwise)
+    c = F.col
+    df = df.withColumns(
+        {
+            "trip_id": when("null/trip_id", None, c("trip_id")), "thermal_state": when("domain/thermal_state", "lukewarm", c("thermal_state")), "operating_state": when("domain/operating_state", "lukewarm__idle", c("operating_state")),
+            "condition_confidence": when("null/condition_confidence", None, c("condition_confidence")), "dt_seconds": when("constant/dt_seconds", 2.0, c("dt_seconds")), "calibration_version": when("constant/calibration_version", "calibration.v2", c("calibration_version")),
+            "row_in_segment": when("type/row_in_segment", "1.5", c("row_in_segment").cast("string")), "engine_on_flag": when("type/engine_on_flag", "perhaps", c("engine_on_flag").cast("string")),
+            "engine_start_observed": when("null/engine_start_observed", None, c("engine_start_observed")), "speed": c("speed").cast("int"), "remark": F.lit("x"),
+        }
+    )
+    names = [n for n in a.COLUMNS if n != "map_range_60s"]
+    at = names.index("map")
+    names[at], names[at + 1] = names[at + 1], names[at]  # rpm before map
+    return a.contract_faults(df.select(*names, "remark"))
+
+
 _SPOILT = """ex AS (SELECT trip_id, episode_id, ect_start, aat_start, iat_start FROM ept UNION ALL SELECT trip_id, episode_id, ect_start, aat_start, iat_start FROM ept WHERE start_row % 7 = 0),
 cs AS (SELECT trip_id, segment_id, row_in_segment, CASE WHEN row_in_segment % 97 = 0 THEN 'nowhere' ELSE episode_id END AS id, elapsed_since_start = 0 AND row_in_segment % 5 <> 0 AS seen, CASE WHEN row_in_segment % 31 = 0 THEN ect_start + 1 ELSE ect_start END AS ect, aat_start AS aat, iat_start AS iat FROM cx WHERE episode_id IS NOT NULL),
 ee AS (SELECT trip_id, episode_id, count(*) AS n, any_value(ect_start) AS e1, any_value(aat_start) AS e2, any_value(iat_start) AS e3 FROM ex GROUP BY ALL),

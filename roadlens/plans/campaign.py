@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from roadlens.functions.physics import tidy
 from roadlens.operators import campaign as c
 from roadlens.operators import features as f
 from roadlens.operators import forecasts as fc
 from roadlens.operators import rules as r
 from roadlens.operators import text_audit as a
+from roadlens.operators.continuity import step_of
 from roadlens.operators.rolling import tumble_rows
+from roadlens.operators.starts import start_episodes
 from roadlens.plans.registry import query
-from roadlens.plans.rules import LENGTHS, LIMITS, RULES
-from roadlens.plans.sql import SEG, with_ticks
+from roadlens.plans.rules import LENGTHS, LIMITS, RULES, prod
+from roadlens.plans.sql import SEG, named_blocks, production_sql, tidy_sql, with_ticks
+from roadlens.plans.starts import EP
 from roadlens.sources.adapters import table, ticks
+from roadlens.sources.scratch import written
 
 #: The pedal channels are driven apart by so many points, for five seconds.
 _SEVERITIES = [(f"apart_{x}", 5, {"reference": "accel_pedal_d", "offset": float(x)}) for x in (40, 64, 70)]
@@ -59,6 +64,65 @@ def i02_select_windows(spark, sf_dir):
     return c.select_windows(_bare(ticks(spark, sf_dir).withColumn("operating_state", F.concat_ws("__", "thermal_state", "child_state"))), "engine_firing", 30)
 
 
+_SECONDS = {"post_warmup": 20, "post_warmup_high_load": 3, "steady_driving": 2, "engine_firing": 30, "pedal_lowmotion": 6, "iat_context_change": 4, "map_context_change": 4, "cold_start_ect": 1, "cold_start_iat": 1}
+
+
+def _all_selectors_sql() -> str:
+    soaked = "row_in_segment = 1 AND gap >= 60 AND rpm < 50 AND later_start AND coolant_temp IS NOT NULL AND intake_temp IS NOT NULL AND ambient_temp IS NOT NULL"
+    where = {
+        "post_warmup": "thermal_state = 'post_warmup' AND ambient_temp <= 25", "post_warmup_high_load": "operating_state = 'post_warmup__high_load'",
+        "steady_driving": "operating_state = 'post_warmup__steady_driving' AND pedal_slope = 0 AND abs(rpm_slope) <= 2000", "engine_firing": "rpm >= 500", "pedal_lowmotion": "rpm >= 50 AND abs(pedal_slope) <= 2.4 AND pedal_mapping_residual IS NOT NULL",
+        "iat_context_change": "rpm >= 50 AND (coalesce(speed_std >= 12.4, FALSE) OR coalesce(maf_std >= 8.5, FALSE)) AND intake_temp_stability IS NOT NULL",
+        "map_context_change": "rpm >= 50 AND (coalesce(rpm_std >= 241, FALSE) OR coalesce(speed_std >= 12.4, FALSE) OR coalesce(accel_pedal_mean_std >= 9.9, FALSE)) AND map_range IS NOT NULL",
+        "cold_start_ect": f"{soaked} AND abs(intake_temp - ambient_temp) <= 7", "cold_start_iat": f"{soaked} AND abs(coolant_temp - ambient_temp) <= 100",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS selector, {_SECONDS[n]} AS need, trip_id, segment_id, row_in_segment, t, block FROM sel WHERE {w}" for n, w in where.items())
+    return f"""{named_blocks({"block": "TRUE"}, "prod", "sl0")},
+ls AS (SELECT trip_id, segment_id, count(*) > 0 AS later_start FROM ept GROUP BY ALL),
+sel AS (SELECT sl0.*, gap, coalesce(later_start, FALSE) AS later_start FROM sl0 LEFT JOIN ls USING (trip_id, segment_id) JOIN (SELECT trip_id, segment_id, CASE WHEN a - lag(z) OVER (ORDER BY a, trip_id, segment_id) >= 0 THEN a - lag(z) OVER (ORDER BY a, trip_id, segment_id) END AS gap FROM (SELECT trip_id, segment_id, min(t) AS a, max(t) AS z FROM ticks GROUP BY ALL)) g USING (trip_id, segment_id)),
+lo AS ({rows}), isl AS (SELECT *, row_in_segment - row_number() OVER (PARTITION BY selector, trip_id, segment_id, block ORDER BY row_in_segment) AS island FROM lo),
+fi AS (SELECT selector, trip_id, segment_id, min(row_in_segment) AS first_row, min(t) AS first_t FROM isl GROUP BY selector, need, trip_id, segment_id, block, island HAVING count(*) >= need),
+fo AS (SELECT *, row_number() OVER (PARTITION BY selector, trip_id ORDER BY first_t, segment_id, first_row) AS o FROM fi)"""
+
+
+@query(with_ticks(production_sql(**LENGTHS), EP, _all_selectors_sql()) + "SELECT selector, trip_id, segment_id, first_row, first_t FROM fo WHERE o = 1")
+def i02_i08_all_selectors(spark, sf_dir):
+    """The windows of all nine selectors from one pass over samples with features."""
+    df = written(prod(spark, sf_dir), "samples")
+    starts = start_episodes(df).select("trip_id", "segment_id").distinct().withColumn("later_start", F.lit(True))
+    gaps = step_of(df).select("trip_id", "segment_id", F.col("gap_seconds").alias("segment_gap_seconds"))
+    df = df.join(gaps, ["trip_id", "segment_id"]).join(starts, ["trip_id", "segment_id"], "left").withColumn("later_start", F.coalesce("later_start", F.lit(False)))
+    return c.all_windows(df, _SECONDS, {"soak_gap_s": 60.0, "ect_witness": 100.0, "s5s2_rpm_slope": 2000.0})
+
+
+_HIT = "row_in_segment BETWEEN 70 AND 75 OR row_in_segment BETWEEN 120 AND 121"
+
+
+def _recomputed_sql(span: int, long: int, short: int) -> str:
+    w = lambda n: f"(PARTITION BY trip_id, segment_id ORDER BY row_in_segment ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    full = lambda n, x, v: f"CASE WHEN count({x}) OVER {w(n)} = {n} THEN {v} END"
+    std = lambda n, x: full(n, x, f"stddev_samp({x}) OVER {w(n)}")
+    load = "least(greatest(map * rpm / (intake_temp + 273.15), 293.93209175000004), 1516.36693525)"
+    return f"""ij AS (SELECT trip_id, segment_id, row_in_segment, rpm, speed, ambient_temp, accel_pedal_d, map, CASE WHEN {_HIT} THEN coolant_temp + 15 ELSE coolant_temp END AS coolant_temp, CASE WHEN {_HIT} THEN intake_temp + 4 ELSE intake_temp END AS intake_temp,
+ CASE WHEN {_HIT} THEN maf * 0.7 ELSE maf END AS maf, CASE WHEN {_HIT} THEN accel_pedal_d + 20 ELSE accel_pedal_e END AS accel_pedal_e FROM ticks),
+ia AS (SELECT *, coolant_temp - ambient_temp AS coolant_ambient_delta, intake_temp - ambient_temp AS intake_ambient_delta, (accel_pedal_d + accel_pedal_e) / 2 AS accel_pedal_mean, abs(accel_pedal_d - accel_pedal_e) AS accel_pedal_channel_delta, accel_pedal_e - (0.997273 * accel_pedal_d + 0.383103) AS pedal_mapping_residual,
+ CASE WHEN map IS NOT NULL AND rpm IS NOT NULL AND intake_temp IS NOT NULL THEN maf - (-14.688826051927967 + 0.023778032668470294 * {load} + 0.14127609145896305 * least(greatest(map, 94.0), 203.0) + 6.690047685838753e-05 * least(greatest(rpm, 877.0), 2205.0) + 0.07101467711912292 * least(greatest(intake_temp, -8.0), 40.0)) END AS speed_density_maf_residual FROM ij),
+ic AS (SELECT trip_id, segment_id, row_in_segment, coolant_ambient_delta, intake_ambient_delta, accel_pedal_mean, accel_pedal_channel_delta, pedal_mapping_residual, speed_density_maf_residual, accel_pedal_mean - lag(accel_pedal_mean) OVER s AS pedal_slope, rpm - lag(rpm) OVER s AS rpm_slope,
+ (coolant_temp - lag(coolant_temp, {span}) OVER s) / ({span} / 60) AS ect_rate, {std(short, "intake_temp")} AS intake_temp_stability, {std(long, "speed")} AS speed_std, {std(long, "maf")} AS maf_std, {std(long, "rpm")} AS rpm_std, {std(long, "accel_pedal_mean")} AS accel_pedal_mean_std,
+ {full(short, "map", f"max(map) OVER {w(short)} - min(map) OVER {w(short)}")} AS map_range, {full(span + 1, "maf", f"sum(maf) OVER {w(span + 1)} - (maf + lag(maf, {span}) OVER s) / 2")} AS maf_integral FROM ia WINDOW s AS (PARTITION BY trip_id, segment_id ORDER BY row_in_segment))"""
+
+
+@query(with_ticks(_recomputed_sql(18, 12, 6)) + "SELECT trip_id, segment_id, row_in_segment, " + ", ".join(f"{tidy_sql(x, 4)} AS {x}" for x in c.RECOMPUTED) + " FROM ic")
+def i06_recomputed_features(spark, sf_dir):
+    """Features after two faults in each segment, worked out anew about the changed rows only; the oracle works out all of them."""
+    keys = ["trip_id", "segment_id", "row_in_segment"]
+    df = ticks(spark, sf_dir).select(*keys, "rpm", "speed", "ambient_temp", "accel_pedal_d", "map", "coolant_temp", "intake_temp", "maf", "accel_pedal_e")
+    before = written(c.recomputed(df, **LENGTHS), "features")
+    changed = before.where(_HIT).select(*keys, (F.col("coolant_temp") + 15).alias("coolant_temp"), (F.col("intake_temp") + 4).alias("intake_temp"), (F.col("maf") * 0.7).alias("maf"), (F.col("accel_pedal_d") + 20).alias("accel_pedal_e"))
+    out = c.recomputed_about(before, changed, **LENGTHS)
+    return out.select(*keys, *[tidy(F.col(x), 4).alias(x) for x in c.RECOMPUTED])
+
+
 _S = ("rpm", "coolant_temp", "map", "maf")
 _FC = f"""wn AS (SELECT *, CAST(floor((row_number() OVER ({SEG}) - 1) / 60) AS INTEGER) AS window_no FROM ticks),
 wk AS (SELECT *, count(*) OVER (PARTITION BY trip_id, segment_id, window_no) AS k FROM wn),

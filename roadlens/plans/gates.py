@@ -10,7 +10,9 @@ from roadlens.operators import scoring
 from roadlens.operators.continuity import segment_window
 from roadlens.plans.registry import query
 from roadlens.plans.sql import SEG, with_ticks
+from roadlens.sources import sinks
 from roadlens.sources.adapters import table, ticks
+from roadlens.sources.scratch import scratch
 
 _RULES = {
     "dt_is_one": ("t - lag(t) OVER s = 1 OR lag(t) OVER s IS NULL", lambda: (F.col("t") - F.lag("t").over(segment_window()) == 1) | F.lag("t").over(segment_window()).isNull()),
@@ -214,3 +216,28 @@ def a25_state_share(spark, sf_dir):
 
     n = ticks(spark, sf_dir).groupBy("trip_id", "child_state").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("trip_id")), 9))
+
+
+@query("SELECT o_orderstatus, count(*) AS rows, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS total FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_orderstatus")
+def s07_atomic_replace(spark, sf_dir):
+    """A table of orders is published, replaced by its even ones, and replaced again by a job that fails half way: readers see the second version."""
+    path, df = scratch(spark, "published"), table(spark, sf_dir, "orders")
+    sinks.publish(df, path)
+    sinks.publish(df.where("o_orderkey % 2 = 0"), path, by=("o_orderstatus",))
+    spoilt = F.when(F.col("o_orderkey") % 3 == 1, F.raise_error(F.lit("the writer fails"))).otherwise(F.col("o_totalprice"))
+    try:
+        sinks.publish(df.withColumn("o_totalprice", spoilt), path)
+    except Exception as failure:  # noqa: BLE001 - what Spark raises differs by version; any other failure is raised again
+        if "the writer fails" not in str(failure):
+            raise
+    out = sinks.read_published(spark, path)
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
+
+
+@query("SELECT CAST(o_orderpriority AS VARCHAR) AS o_orderpriority, count(*) AS rows, min(o_orderkey) AS least FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') GROUP BY 1")
+def s04_s06_partitioned_table(spark, sf_dir):
+    """A table partitioned by a key, read back for two of its values: only their folders are listed and two columns read."""
+    path = scratch(spark, "partitioned")
+    sinks.write_table(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice"), path, by=("o_orderpriority",))
+    out = spark.read.parquet(path).where(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM"))
+    return out.groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("least"))

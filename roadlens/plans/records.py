@@ -39,13 +39,11 @@ def t07_representatives(spark, sf_dir):
 
 
 @query(
-    with_ticks(*SCORED, "o AS (SELECT *, row_number() OVER (PARTITION BY anomaly_type ORDER BY end_t DESC, trip_id, segment_id) AS k FROM rk)")
-    + "SELECT anomaly_type, count(*) AS records, string_agg(trip_id || '@' || end_t, ' ' ORDER BY k DESC) AS history FROM o WHERE k <= 50 GROUP BY anomaly_type"
+    with_ticks(*SCORED, "hy AS (SELECT anomaly_type, risk_score, FALSE AS secondary, end_t, trip_id, segment_id, window_no FROM rk UNION ALL SELECT secondary_type, secondary_score, TRUE, end_t, trip_id, segment_id, window_no FROM rk)")
+    + "SELECT *, row_number() OVER (PARTITION BY anomaly_type ORDER BY end_t, trip_id, segment_id, window_no, secondary) AS place FROM hy"
 )
 def t09_component_history(spark, sf_dir):
-    h = r.component_history(risks(spark, sf_dir))
-    told = F.array_join(F.transform("history", lambda x: F.concat(x["trip_id"], F.lit("@"), x["end_t"].cast("string"))), " ")
-    return h.select("anomaly_type", F.size("history").cast("long").alias("records"), told.alias("history"))
+    return r.component_history(risks(spark, sf_dir))
 
 
 _BAD = "(CASE {x} WHEN 'rpm' THEN {v} NOT BETWEEN 0 AND 3682 WHEN 'speed' THEN {v} NOT BETWEEN 0 AND 218 WHEN 'coolant_temp' THEN {v} NOT BETWEEN 90 AND 95 WHEN 'map' THEN {v} NOT BETWEEN 36 AND 237 WHEN 'maf' THEN {v} NOT BETWEEN 0 AND 123 WHEN 'tps' THEN {v} NOT BETWEEN 0 AND 89 WHEN 'accel_pedal_d' THEN {v} NOT BETWEEN 0 AND 100 WHEN 'accel_pedal_e' THEN {v} NOT BETWEEN 0 AND 100 WHEN 'accel_pedal_channel_delta' THEN {v} NOT BETWEEN 0 AND 10 WHEN 'ect_rate_180s' THEN {v} NOT BETWEEN 0 AND 2 WHEN 'intake_temp' THEN {v} NOT BETWEEN -3 AND 41 WHEN 'ambient_temp' THEN {v} NOT BETWEEN -7 AND 25 WHEN 'intake_ambient_delta' THEN {v} NOT BETWEEN 0 AND 20 WHEN 'speed_density_maf_residual' THEN {v} NOT BETWEEN -20 AND 20 WHEN 'rpm_slope' THEN {v} NOT BETWEEN -120 AND 135 WHEN 'maf_integral_180s' THEN {v} NOT BETWEEN 0 AND 2500 WHEN 'intake_temp_stability' THEN {v} NOT BETWEEN 0 AND 5 WHEN 'map_range_60s' THEN {v} NOT BETWEEN 0 AND 80 ELSE {v} NOT BETWEEN -2.4 AND 2.4 END)"

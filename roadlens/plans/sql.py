@@ -76,9 +76,11 @@ def production_sql(span: int, long: int, short: int) -> str:
  CASE WHEN {pedal} THEN abs(accel_pedal_d - accel_pedal_e) END AS accel_pedal_channel_delta,
  CASE WHEN {valid_sql("maf", "map", "rpm", "intake_temp")} THEN maf - {sd} END AS speed_density_maf_residual,
  CASE WHEN {pedal} THEN accel_pedal_e - (0.997273 * accel_pedal_d + 0.383103) END AS pedal_mapping_residual FROM ticks),
-{named_blocks(blocks_of, "atom", "fb")},
+{named_blocks(blocks_of, "atom", "fb0")},
+fb1 AS (SELECT *, rpm >= 50 AND max(CASE WHEN rpm < 50 THEN row_in_segment END) OVER (PARTITION BY trip_id, segment_id, rpm_block ORDER BY row_in_segment) IS NOT NULL AND rpm_block IS NOT NULL AS started FROM fb0),
+{named_blocks({"maf_start_block": valid_sql("maf") + " AND started"}, "fb1", "fb")},
 prod AS (SELECT *, {sloped("accel_pedal_mean", "pedal_block")} AS pedal_slope, {sloped("rpm", "rpm_block")} AS rpm_slope,
- {whole("maf_block", f"sum(maf) OVER {by('maf_block', span + 1)} - (maf + lag(maf, {span}) OVER {by('maf_block')}) / 2")} AS maf_integral,
+ {whole("maf_start_block", f"sum(maf) OVER {by('maf_start_block', span + 1)} - (maf + lag(maf, {span}) OVER {by('maf_start_block')}) / 2")} AS maf_integral,
  {whole("coolant_temp_block", f"(coolant_temp - lag(coolant_temp, {span}) OVER {by('coolant_temp_block')}) / ({span} / 60)")} AS ect_rate,
  {std("intake_temp", short, "intake_temp_block")} AS intake_temp_stability, {std("speed", long, "speed_block")} AS speed_std,
  {std("maf", long, "maf_block")} AS maf_std, {std("rpm", long, "rpm_block")} AS rpm_std,

@@ -40,7 +40,7 @@ def r01_unnegated(spark, sf_dir):
     return _reports(spark, sf_dir).select("conv_id", "turn", *[a.has_unnegated(F.col("report"), p).alias(p.replace(" ", "_")) for p in ("confirmed", "has failed", "definitely")])
 
 
-_NUM = lambda c: f"regexp_extract_all({c}, '[0-9]+(?:\\.[0-9]+)?')"
+_NUM = lambda c: f"regexp_extract_all({c}, '-?[0-9]+(?:\\.[0-9]+)?')"
 _TOK = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,3 +54,20 @@ def run_now(stream: DataFrame, mode: str = "complete") -> DataFrame:
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def run_arrivals(arrivals: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` of a feed has given out, in append mode, after ``arrivals`` have come in one after the other.
+
+    Each arrival is written to the feed's folder and worked off by a query that starts anew from the progress and the state of the
+    last one, as after a restart. A window is given out once the watermark has passed its end, and leaves the state then; rows
+    behind the watermark are dropped. What is still open at the end is not in the result.
+    """
+    spark = arrivals[0].sparkSession
+    folder, out, progress = (scratch(spark, n) for n in ("feed", "stream", "progress"))
+    write = lambda df, _: df.write.mode("append").parquet(out)
+    for rows in arrivals:
+        rows.write.mode("append").parquet(folder)
+        q = make(read_feed(spark, folder, arrivals[0].schema, "*.parquet")).writeStream.outputMode("append").option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    return spark.read.parquet(out)
