@@ -43,10 +43,13 @@ RISK_MEDIUM, RISK_HIGH = 0.4129, 0.9
 TREND_TRIPS, TREND_HORIZON, TREND_CAP = 5, 10, 50
 #: raw signal: physical low and high, suspicious low and high, how short gaps are filled
 BOUNDS = {
-    "coolant_temp": (-40.0, 215.0, -20.0, 120.0, "interpolation"), "map": (0.0, 255.0, 20.0, 250.0, "forward_fill"), "rpm": (0.0, 16383.75, 0.0, 6000.0, "forward_fill"),
-    "speed": (0.0, 255.0, 0.0, 200.0, "interpolation"), "intake_temp": (-40.0, 215.0, -20.0, 80.0, "interpolation"), "maf": (0.0, 655.35, 0.0, 300.0, "interpolation"),
-    "tps": (0.0, 100.0, 0.0, 100.0, "interpolation"), "ambient_temp": (-40.0, 215.0, -30.0, 50.0, "retain"),
+    "coolant_temp": (-40.0, 215.0, -20.0, 125.0, "interpolation"), "map": (0.0, 255.0, 20.0, 250.0, "forward_fill"), "rpm": (0.0, 16383.75, 0.0, 7000.0, "forward_fill"),
+    "speed": (0.0, 255.0, 0.0, 220.0, "interpolation"), "intake_temp": (-40.0, 215.0, -30.0, 100.0, "interpolation"), "maf": (0.0, 655.35, 0.0, 200.0, "interpolation"),
+    "tps": (0.0, 100.0, 0.0, 100.0, "interpolation"), "ambient_temp": (-40.0, 215.0, -35.0, 55.0, "retain"), "accel_pedal_d": (0.0, 100.0, 0.0, 100.0, "interpolation"),
+    "accel_pedal_e": (0.0, 100.0, 0.0, 100.0, "interpolation"),
 }
+#: Readings that stand for a broken sensor.
+SENTINELS = {"intake_temp": (-40.0, 150.0)}
 # Healthy range and unit of each signal that a window-risk record can name.
 REFERENCE_RANGES = {
     "coolant_temp": (90.0, 95.0), "map": (36.0, 237.0), "maf": (0.0, 123.0), "tps": (0.0, 89.0), "rpm": (0.0, 3682.0), "speed": (0.0, 218.0),

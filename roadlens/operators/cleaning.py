@@ -28,9 +28,14 @@ def parse_filename(name: Column) -> Column:
     )
 
 
+def local_time(date: Column, time: Column) -> Column:
+    """Local date and HH:MM:SS[.fff] as they are written; null where either is malformed or missing."""
+    return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), time))
+
+
 def to_utc(date: Column, time: Column, zone: str) -> Column:
     """Local date and HH:MM:SS[.fff] to UTC; null where malformed."""
-    return F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", date.cast("string"), time)), zone)
+    return F.to_utc_timestamp(local_time(date, time), zone)
 
 
 def local_time_exists(utc: Column, local: Column, zone: str) -> Column:
@@ -49,18 +54,20 @@ def hard_invalid(col: str, bounds: dict = k.BOUNDS) -> Column:
     return F.coalesce(~F.col(col).between(lo, hi), F.lit(False))
 
 
-def suspicious(col: str, bounds: dict = k.BOUNDS, sentinels: tuple[float, ...] = ()) -> Column:
+def suspicious(col: str, bounds: dict = k.BOUNDS, sentinels: dict = k.SENTINELS) -> Column:
+    """Outside the range of normal work, or a reading that stands for a broken sensor."""
     _, _, lo, hi, _ = bounds[col]
-    return F.coalesce(~F.col(col).between(lo, hi) | F.col(col).isin(*sentinels) if sentinels else ~F.col(col).between(lo, hi), F.lit(False))
+    odd = ~F.col(col).between(lo, hi)
+    return F.coalesce(odd | F.col(col).isin(*sentinels[col]) if sentinels.get(col) else odd, F.lit(False))
 
 
 def cross_field() -> dict[str, Column]:
     c = F.col
     yes = lambda x: F.coalesce(x, F.lit(False))
     return {
-        "rpm_zero_while_moving": yes((c("rpm") == 0) & (c("speed") > 0)),
-        "maf_zero_while_running": yes((c("maf") == 0) & (c("rpm") > 0)),
-        "coolant_below_zero_in_warmth": yes((c("coolant_temp") < 0) & (c("ambient_temp") > 5)),
+        "rpm_zero_while_speed_positive": yes((c("rpm") == 0) & (c("speed") > 0)),
+        "maf_zero_while_rpm_positive": yes((c("maf") == 0) & (c("rpm") > 0)),
+        "coolant_below_zero_in_warm_ambient": yes((c("coolant_temp") < 0) & (c("ambient_temp") > 5)),
     }
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.operators.cleaning import densify, discover, fill_short, hard_invalid, parse_filename, suspicious, to_utc
+from roadlens.operators.cleaning import cross_field, densify, discover, fill_short, hard_invalid, local_time, local_time_ambiguous, local_time_exists, parse_filename, suspicious, to_utc
 from roadlens.operators.continuity import segment_by_gap
 
 ZONE, GAP_S, LONGEST_FILL_S = "Europe/Berlin", 3.0, 2
 #: Header names of each field, without the unit signs that encodings break.
 ALIASES = {
     "time": ("time",), "coolant_temp": ("engine coolant temperature [c]",), "rpm": ("engine rpm [rpm]",), "speed": ("vehicle speed sensor [km/h]",), "map": ("intake manifold absolute pressure [kpa]",),
-    "intake_temp": ("intake air temperature [c]",), "maf": ("air flow rate from mass flow sensor [g/s]",), "tps": ("absolute throttle position [%]",), "ambient_temp": ("ambient air temperature [c]",),
+    "intake_temp": ("intake air temperature [c]",), "maf": ("air flow rate from mass flow sensor [g/s]",), "tps": ("absolute throttle position [%]",), "ambient_temp": ("ambient air temperature [c]",), "accel_pedal_d": ("accelerator pedal position d [%]",), "accel_pedal_e": ("accelerator pedal position e [%]",),
 }
 
 
@@ -39,10 +39,33 @@ def read_recordings(spark: SparkSession, folder: str, columns: list[str]) -> Dat
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
-def with_times(raw: DataFrame, zone: str = ZONE) -> DataFrame:
-    """``raw`` with ``us``, microseconds of UTC from the date in the file's name and the local time; null where either is malformed."""
-    utc = to_utc(parse_filename(F.col("file"))["date"], F.col("time"), zone)
-    return raw.withColumn("us", F.unix_micros(utc))
+def with_times(raw: DataFrame, zone: str = ZONE, *, strict: bool = False) -> DataFrame:
+    """``raw`` with ``us``, microseconds of UTC from the date in the file's name and the local time, and ``time_fault`` where there is none.
+
+    A time is ``malformed``, or ``nonexistent`` where the clock skips it, or ``ambiguous`` where it comes twice: none of these
+    is guessed, ``us`` is null. With ``strict`` the first such row ends the job.
+    """
+    date, utc, local = F.col("_date"), F.col("_utc"), F.col("_local")
+    df = raw.withColumn("_date", parse_filename(F.col("file"))["date"])  # a column of its own: what refers to it does not parse the name again
+    df = df.withColumns({"_utc": to_utc(date, F.col("time"), zone), "_local": local_time(date, F.col("time"))})
+    fault = F.when(utc.isNull() | date.isNull(), "malformed").when(~local_time_exists(utc, local, zone), "nonexistent").when(local_time_ambiguous(utc, local, zone), "ambiguous")
+    df = df.withColumn("time_fault", fault)
+    told = F.concat(F.lit("a local time is "), F.col("time_fault"), F.lit(" in "), F.col("file"))
+    df = df.withColumn("us", F.when(F.col("time_fault").isNull(), F.unix_micros(utc)).when(F.lit(strict), F.raise_error(told).cast("long")))
+    return df.drop("_date", "_utc", "_local")
+
+
+def time_faults(raw: DataFrame) -> DataFrame:
+    """(file, time_fault, rows): what ``with_times`` could not place, by file."""
+    kinds = ("malformed", "nonexistent", "ambiguous")
+    counts = raw.groupBy("file").agg(*[F.count_if(F.col("time_fault") == x).alias(x) for x in kinds])
+    return counts.unpivot(["file"], list(kinds), "time_fault", "rows").where("rows > 0")
+
+
+def coercion_failures(raw: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(file, field, failures): texts that are there and are no numbers, by file and field; a row for each pair that has some."""
+    counts = raw.groupBy("file").agg(*[F.count_if(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull()).alias(f) for f in fields])
+    return counts.unpivot(["file"], list(fields), "field", "failures").where("failures > 0")
 
 
 def trips_of(raw: DataFrame) -> DataFrame:
@@ -52,7 +75,7 @@ def trips_of(raw: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, trips: DataFrame, fields: tuple[str, ...], *, gap_s: float = GAP_S, longest: int = LONGEST_FILL_S, bounds: dict = k.BOUNDS) -> DataFrame:
-    """One row a second of each segment of each trip, with the fields, their flags and the row's ``quality_flags``.
+    """One row a second of each segment of each trip, with the fields, their flags and the row's ``quality_flags``, those of rules across fields last.
 
     Of rows with one time the last of the file counts. Values out of physical bounds are taken out, and
     their second is flagged. A gap of over ``gap_s`` starts a segment. A second holds the last value that is
@@ -66,18 +89,20 @@ def clean(raw: DataFrame, trips: DataFrame, fields: tuple[str, ...], *, gap_s: f
     df = df.withColumns({f: F.when(~F.col(f"{f}_bad"), F.col(f)) for f in fields})
     df = segment_by_gap(df, gap_s, ("us",)).withColumn("bin", F.floor(F.col("us") / 1_000_000).cast("long"))
     cells = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("us"))).alias(f) for f in fields] + [F.bool_or(f"{f}_bad").alias(f"{f}_bad") for f in fields]
-    df = densify(df.groupBy("trip_id", "segment", "bin").agg(*cells, F.count("*").alias("samples")))
+    df = df.groupBy("trip_id", "segment", "bin").agg(*cells, F.count("*").alias("samples"))
+    df = densify(df.withColumn("observed", sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))))
     for f in fields:
         df = fill_short(df, f, longest, bounds[f][4])
         df = df.withColumn(f, F.col(f"{f}_filled")).drop(f"{f}_filled")
     df = df.withColumns({f"{f}_had_hard_invalid_source": F.coalesce(f"{f}_bad", F.lit(False)) for f in fields})
     df = df.withColumns({f"{f}_is_suspicious": suspicious(f, bounds) for f in fields})
     told = [F.when(F.col(f"{f}_{flag}"), f"{f}:{name}") for f in fields for flag, name in (("had_hard_invalid_source", "hard_invalid_source"), ("is_suspicious", "suspicious"))]
+    told += [F.when(rule, name) for name, rule in cross_field().items()] if {"rpm", "speed", "maf", "coolant_temp", "ambient_temp"} <= set(fields) else []
     any_of = lambda flag: F.exists(F.array(*[F.col(f"{f}_{flag}") for f in fields]), lambda x: x)
     first = F.min("bin").over(Window.partitionBy("trip_id", "segment"))
     return df.select(
         "trip_id", F.format_string("%s_seg_%03d", "trip_id", "segment").alias("segment_id"), (F.col("bin") - first + 1).cast("int").alias("row_in_segment"), F.col("bin").alias("t"),
-        F.coalesce("samples", F.lit(0)).cast("long").alias("source_sample_count"), *fields, *[f"{f}_{x}" for f in fields for x in ("is_imputed", "is_suspicious", "had_hard_invalid_source")],
+        F.coalesce("samples", F.lit(0)).cast("long").alias("source_sample_count"), F.coalesce("observed", F.lit(0)).cast("int").alias("observed_sensor_count"), *fields, *[f"{f}_{x}" for f in fields for x in ("is_imputed", "is_suspicious", "had_hard_invalid_source")],
         any_of("is_imputed").alias("is_imputed_any"), any_of("is_suspicious").alias("is_suspicious_any"), any_of("had_hard_invalid_source").alias("had_hard_invalid_source_any"),
         F.array_join(F.array_compact(F.array(*told)), "|").alias("quality_flags"),
     )

@@ -69,14 +69,13 @@ _FLAGGED = ("coolant_temp", "map", "rpm", "speed", "intake_temp", "maf")
 
 
 def _flags_sql() -> str:
-    from roadlens.functions.constants import BOUNDS
-
+    bounds = {"coolant_temp": (-40, 215, -20, 125), "map": (0, 255, 20, 250), "rpm": (0, 16383.75, 0, 7000), "speed": (0, 255, 0, 220), "intake_temp": (-40, 215, -30, 100), "maf": (0, 655.35, 0, 200)}
     parts = []
     for s in _FLAGGED:
-        lo, hi, slo, shi, _ = BOUNDS[s]
+        lo, hi, slo, shi = bounds[s]
         parts.append(f"CASE WHEN {s} NOT BETWEEN {lo} AND {hi} THEN '{s}_hard_invalid' END")
-        parts.append(f"CASE WHEN {s} NOT BETWEEN {slo} AND {shi} AND {s} BETWEEN {lo} AND {hi} THEN '{s}_suspicious' END")
-    parts += ["CASE WHEN rpm = 0 AND speed > 0 THEN 'rpm_zero_while_moving' END", "CASE WHEN maf = 0 AND rpm > 0 THEN 'maf_zero_while_running' END", "CASE WHEN coolant_temp < 0 AND ambient_temp > 5 THEN 'coolant_below_zero_in_warmth' END"]
+        parts.append(f"CASE WHEN ({s} NOT BETWEEN {slo} AND {shi}{" OR intake_temp IN (-40, 150)" if s == "intake_temp" else ""}) AND {s} BETWEEN {lo} AND {hi} THEN '{s}_suspicious' END")
+    parts += ["CASE WHEN rpm = 0 AND speed > 0 THEN 'rpm_zero_while_speed_positive' END", "CASE WHEN maf = 0 AND rpm > 0 THEN 'maf_zero_while_rpm_positive' END", "CASE WHEN coolant_temp < 0 AND ambient_temp > 5 THEN 'coolant_below_zero_in_warm_ambient' END"]
     return f"coalesce(nullif(concat_ws('|', {', '.join(parts)}), ''), 'OK')"
 
 

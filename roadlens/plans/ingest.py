@@ -11,8 +11,11 @@ from roadlens.plans.registry import query
 from roadlens.sources.adapters import RECORDINGS_SQL, recordings
 from roadlens.sources.scratch import scratch, written
 
-FIELDS = ("coolant_temp", "rpm", "speed")
-HEADER = {"Time": "time", "Engine Coolant Temperature [Â°C]": "coolant_temp", "Engine RPM [RPM]": "rpm", "Vehicle Speed Sensor [km/h]": "speed"}
+FIELDS = ("coolant_temp", "map", "rpm", "speed", "intake_temp", "maf", "tps", "ambient_temp", "accel_pedal_d", "accel_pedal_e")
+HEADER = {
+    "Time": "time", "Engine Coolant Temperature [Â°C]": "coolant_temp", "Intake Manifold Absolute Pressure [kPa]": "map", "Engine RPM [RPM]": "rpm", "Vehicle Speed Sensor [km/h]": "speed", "Intake Air Temperature [°C]": "intake_temp",
+    "Air Flow Rate from Mass Flow Sensor [g/s]": "maf", "Absolute Throttle Position [%]": "tps", "Ambient Air Temperature [°C]": "ambient_temp", "Accelerator Pedal Position D [%]": "accel_pedal_d", "Accelerator Pedal Position E [%]": "accel_pedal_e",
+}
 
 
 def _raw(spark, sf_dir):
@@ -40,19 +43,25 @@ def _fill(f: str, src: str, out: str, new: str) -> str:
 
 
 _LINE = "v0 + (v1 - v0) * (bin - t0) / (t1 - t0)"
+# field: physical bounds, range of normal work, how short gaps are filled
+_LIMITS = {
+    "coolant_temp": (-40, 215, -20, 125, _LINE), "map": (0, 255, 20, 250, "v0"), "rpm": (0, 16383.75, 0, 7000, "v0"), "speed": (0, 255, 0, 220, _LINE), "intake_temp": (-40, 215, -30, 100, _LINE), "maf": (0, 655.35, 0, 200, _LINE),
+    "tps": (0, 100, 0, 100, _LINE), "ambient_temp": (-40, 215, -35, 55, "CAST(NULL AS DOUBLE)"), "accel_pedal_d": (0, 100, 0, 100, _LINE), "accel_pedal_e": (0, 100, 0, 100, _LINE),
+}
 _CLEAN = f"""{_FILES},
-dd AS (SELECT trip_id, us, {_num("coolant_temp", -40, 215)}, {_num("rpm", 0, 16383.75)}, {_num("speed", 0, 255)} FROM (SELECT rc.*, trip_id, row_number() OVER (PARTITION BY rc.file, us ORDER BY row DESC) AS n FROM rc JOIN tr USING (file)) WHERE n = 1),
+dd AS (SELECT trip_id, us, {", ".join(_num(f, lo, hi) for f, (lo, hi, *_) in _LIMITS.items())} FROM (SELECT rc.*, trip_id, row_number() OVER (PARTITION BY rc.file, us ORDER BY row DESC) AS n FROM rc JOIN tr USING (file)) WHERE n = 1),
 ga AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY trip_id ORDER BY us) > 3000000 THEN 1 ELSE 0 END AS b FROM dd),
 sg AS (SELECT *, sum(b) OVER (PARTITION BY trip_id ORDER BY us) + 1 AS segment, CAST(floor(us / 1000000) AS BIGINT) AS bin FROM ga),
 bn AS (SELECT trip_id, segment, bin, {", ".join(f"arg_max({f}, us) FILTER ({f} IS NOT NULL) AS {f}, bool_or({f}_bad) AS {f}_bad" for f in FIELDS)}, count(*) AS samples FROM sg GROUP BY ALL),
-dn AS (SELECT w.trip_id, w.segment, w.bin, {", ".join(f"{f}, coalesce({f}_bad, FALSE) AS {f}_had_hard_invalid_source" for f in FIELDS)}, coalesce(samples, 0) AS source_sample_count
+dn AS (SELECT {" + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FIELDS)} AS observed_sensor_count, w.trip_id, w.segment, w.bin, {", ".join(f"{f}, coalesce({f}_bad, FALSE) AS {f}_had_hard_invalid_source" for f in FIELDS)}, coalesce(samples, 0) AS source_sample_count
  FROM (SELECT trip_id, segment, unnest(range(min(bin), max(bin) + 1)) AS bin FROM bn GROUP BY trip_id, segment) w LEFT JOIN bn USING (trip_id, segment, bin)),
-{_fill("coolant_temp", "dn", "f1", _LINE)}, {_fill("rpm", "f1", "f2", "v0")}, {_fill("speed", "f2", "f3", _LINE)},
-su AS (SELECT *, coalesce(coolant_temp NOT BETWEEN -20 AND 120, FALSE) AS coolant_temp_is_suspicious, coalesce(rpm NOT BETWEEN 0 AND 6000, FALSE) AS rpm_is_suspicious, coalesce(speed NOT BETWEEN 0 AND 200, FALSE) AS speed_is_suspicious FROM f3),
-cl AS (SELECT trip_id, printf('%s_seg_%03d', trip_id, CAST(segment AS BIGINT)) AS segment_id, CAST(bin - min(bin) OVER (PARTITION BY trip_id, segment) + 1 AS INTEGER) AS row_in_segment, bin AS t, source_sample_count, {", ".join(FIELDS)},
+{", ".join(_fill(f, f"f{n}" if n else "dn", f"f{n + 1}", _LIMITS[f][4]) for n, f in enumerate(FIELDS))},
+su AS (SELECT *, {", ".join(f"coalesce({f} NOT BETWEEN {a} AND {z}{' OR intake_temp IN (-40, 150)' if f == 'intake_temp' else ''}, FALSE) AS {f}_is_suspicious" for f, (_, _, a, z, _) in _LIMITS.items())} FROM f{len(FIELDS)}),
+cl AS (SELECT trip_id, printf('%s_seg_%03d', trip_id, CAST(segment AS BIGINT)) AS segment_id, CAST(bin - min(bin) OVER (PARTITION BY trip_id, segment) + 1 AS INTEGER) AS row_in_segment, bin AS t, source_sample_count, CAST(observed_sensor_count AS INTEGER) AS observed_sensor_count, {", ".join(FIELDS)},
  {", ".join(f"{f}_is_imputed, {f}_is_suspicious, {f}_had_hard_invalid_source" for f in FIELDS)}, {" OR ".join(f"{f}_is_imputed" for f in FIELDS)} AS is_imputed_any, {" OR ".join(f"{f}_is_suspicious" for f in FIELDS)} AS is_suspicious_any,
  {" OR ".join(f"{f}_had_hard_invalid_source" for f in FIELDS)} AS had_hard_invalid_source_any,
- concat_ws('|', {", ".join(f"CASE WHEN {f}_had_hard_invalid_source THEN '{f}:hard_invalid_source' END, CASE WHEN {f}_is_suspicious THEN '{f}:suspicious' END" for f in FIELDS)}) AS quality_flags FROM su)"""
+ concat_ws('|', {", ".join(f"CASE WHEN {f}_had_hard_invalid_source THEN '{f}:hard_invalid_source' END, CASE WHEN {f}_is_suspicious THEN '{f}:suspicious' END" for f in FIELDS)},
+  CASE WHEN rpm = 0 AND speed > 0 THEN 'rpm_zero_while_speed_positive' END, CASE WHEN maf = 0 AND rpm > 0 THEN 'maf_zero_while_rpm_positive' END, CASE WHEN coolant_temp < 0 AND ambient_temp > 5 THEN 'coolant_below_zero_in_warm_ambient' END) AS quality_flags FROM su)"""
 
 
 @query(f"WITH {RECORDINGS_SQL}, {_FILES} SELECT trip_id, file, start, rows, 0 AS malformed FROM tr")
@@ -89,9 +98,35 @@ def v06_v09_cleaned_contract(spark, sf_dir):
     rules = {
         "any_imputed": F.col("is_imputed_any") == any_of("is_imputed"), "any_suspicious": F.col("is_suspicious_any") == any_of("is_suspicious"),
         "any_hard_invalid": F.col("had_hard_invalid_source_any") == any_of("had_hard_invalid_source"),
-        "flags_told": (F.col("quality_flags") != "") == (F.col("is_suspicious_any") | F.col("had_hard_invalid_source_any")),
+        "flags_told": F.col("quality_flags").contains(":") == (F.col("is_suspicious_any") | F.col("had_hard_invalid_source_any")),
         "one_hertz": F.coalesce(F.col("dt") == 1, F.lit(True)), "rows_from_one": F.col("row_in_segment") == F.col("number"), "segment_owner": F.startswith("segment_id", "trip_id"),
         "sampled_or_filled": (F.col("source_sample_count") > 0) | F.col("is_imputed_any"),
     }
     df = df.select(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in rules.items()])
     return g.violations(df, {n: F.col(n) for n in rules})
+
+
+_DAYS = "CASE WHEN h % 5 = 0 THEN '2018-03-25' WHEN h % 5 = 1 THEN '2018-10-28' ELSE '2018-06-01' END"
+_CLOCK = f"""sx AS (SELECT CAST(split_part(file, '_', 6) AS INTEGER) AS h, file, row, time FROM recordings),
+sy AS (SELECT concat({_DAYS}, substr(file, 11)) AS file, CASE WHEN row % 50 = 7 THEN 'noon' ELSE concat(CASE WHEN row % 3 = 0 THEN '02' ELSE '03' END, substr(time, 3)) END AS time FROM sx)"""
+
+
+@query(
+    f"""WITH {RECORDINGS_SQL}, {_CLOCK}, f AS (SELECT file, CASE WHEN time = 'noon' THEN 'malformed' WHEN starts_with(time, '02') AND starts_with(file, '2018-03-25') THEN 'nonexistent' WHEN starts_with(time, '02') AND starts_with(file, '2018-10-28') THEN 'ambiguous' END AS time_fault FROM sy)
+SELECT file, time_fault, count(*) AS rows FROM f WHERE time_fault IS NOT NULL GROUP BY ALL"""
+)
+def x05_time_faults(spark, sf_dir):
+    """Recordings moved to the hours in which the clock is put forward and back: what cannot be placed is told, by file, and never guessed."""
+    h = F.split("file", "_")[5].cast("int")
+    day = F.when(h % 5 == 0, "2018-03-25").when(h % 5 == 1, "2018-10-28").otherwise("2018-06-01")
+    clock = F.concat(F.when(F.col("row") % 3 == 0, "02").otherwise("03"), F.substring("time", 3, 20))
+    raw = recordings(spark, sf_dir).select(F.concat(day, F.substring("file", 11, 200)).alias("file"), F.when(F.col("row") % 50 == 7, "noon").otherwise(clock).alias("time"))
+    return i.time_faults(i.with_times(raw))
+
+
+@query(
+    f"WITH {RECORDINGS_SQL} "
+    + " UNION ALL ".join(f"SELECT file, '{f}' AS field, count(*) AS failures FROM recordings WHERE {f} IS NOT NULL AND TRY_CAST({f} AS DOUBLE) IS NULL GROUP BY file" for f in FIELDS)
+)
+def d01_coercion_failures(spark, sf_dir):
+    return i.coercion_failures(_raw(spark, sf_dir), FIELDS)

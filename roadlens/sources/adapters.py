@@ -58,9 +58,16 @@ timed AS (SELECT *, CAST('2018-03-01' AS DATE) + CAST(l_suppkey % 200 AS INTEGER
   CAST(8 * 3600000 + (tick - (CASE WHEN l_orderkey % 41 = 0 THEN 1 ELSE 0 END) + 10 * CAST(floor(tick / 150) AS BIGINT) + CAST(floor(tick / 50) AS BIGINT) * 2) * 1000 + (l_linenumber % 4) * 200 AS BIGINT) AS ms FROM raws),
 recordings AS (SELECT concat(CAST(day AS STRING), '_Seat_Leon_RT_S_', CAST(l_suppkey AS STRING), CASE l_suppkey % 3 WHEN 0 THEN '_Frei' WHEN 1 THEN '_Normal' ELSE '_Stau' END, '.csv') AS file, CAST(tick AS BIGINT) AS row, day, ms,
   printf('%02d:%02d:%02d.%03d', CAST(floor(ms / 3600000) AS BIGINT), CAST(floor(ms / 60000) AS BIGINT) % 60, CAST(floor(ms / 1000) AS BIGINT) % 60, ms % 1000) AS time,
-  CASE WHEN l_orderkey % 23 = 0 THEN NULL WHEN l_orderkey % 97 = 0 THEN 'n/a' WHEN l_orderkey % 101 = 0 THEN '300' ELSE CAST(20 + CAST(l_quantity AS INTEGER) * 2 AS STRING) END AS coolant_temp,
-  CASE WHEN l_orderkey % 29 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '-5' ELSE CAST(800 + CAST(l_quantity AS INTEGER) * 110 AS STRING) END AS rpm,
-  CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) * 5 AS STRING) END AS speed FROM timed)"""
+  CASE WHEN l_orderkey % 23 = 0 THEN NULL WHEN l_orderkey % 97 = 0 THEN 'n/a' WHEN l_orderkey % 101 = 0 THEN '300' WHEN l_orderkey % 17 = 0 THEN '-3' ELSE CAST(20 + CAST(l_quantity AS INTEGER) * 2 AS STRING) END AS coolant_temp,
+  CASE WHEN l_orderkey % 29 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '-5' WHEN l_orderkey % 13 = 0 THEN '0' ELSE CAST(800 + CAST(l_quantity AS INTEGER) * 110 AS STRING) END AS rpm,
+  CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) * 5 AS STRING) END AS speed,
+  CASE WHEN l_orderkey % 37 = 0 THEN NULL WHEN l_orderkey % 107 = 0 THEN '300' ELSE CAST(CAST(l_quantity AS INTEGER) * 6 - 40 AS STRING) END AS map,
+  CASE WHEN l_orderkey % 43 = 0 THEN '150' WHEN l_orderkey % 47 = 0 THEN '-40' WHEN l_orderkey % 109 = 0 THEN 'warm' ELSE CAST(CAST(l_quantity AS INTEGER) + 5 AS STRING) END AS intake_temp,
+  CASE WHEN l_orderkey % 53 = 0 THEN NULL WHEN l_orderkey % 11 = 0 THEN '0' ELSE CAST(CAST(l_quantity AS INTEGER) * 5 AS STRING) END AS maf,
+  CASE WHEN l_orderkey % 59 = 0 THEN NULL WHEN l_orderkey % 113 = 0 THEN '101' ELSE CAST(CAST(l_quantity AS INTEGER) * 2 AS STRING) END AS tps,
+  CASE WHEN l_orderkey % 61 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS INTEGER) + 8 AS STRING) END AS ambient_temp,
+  CASE WHEN l_orderkey % 67 = 0 THEN NULL ELSE CAST(CAST(l_discount * 1000 AS INTEGER) AS STRING) END AS accel_pedal_d,
+  CASE WHEN l_orderkey % 71 = 0 THEN NULL WHEN l_orderkey % 127 = 0 THEN '-1' ELSE CAST(CAST(l_discount * 1000 AS INTEGER) AS STRING) END AS accel_pedal_e FROM timed)"""
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,3 +103,25 @@ def test_history_holds_all_risks_of_a_component(spark):
     q = sorted([*q, (7, False)])
     assert [x for x in got if x[0] == "p"] == [("p", i + 1, i, False) for i in range(200)] and len(got) == 401
     assert sorted((t, s) for n, _, t, s in got if n == "q") == q and [p for n, p, *_ in got if n == "q"] == list(range(1, 102))
+
+
+def test_local_times_are_placed_or_told(spark):
+    from roadlens.operators import ingest
+
+    rows = [("2018-03-25", "01:59:59.9"), ("2018-03-25", "02:30:00.0"), ("2018-03-25", "03:00:00.0"), ("2018-10-28", "01:59:59.0"), ("2018-10-28", "02:00:00.0"), ("2018-10-28", "02:59:59.9"), ("2018-10-28", "03:00:00.0"), ("2018-06-01", "noon"), ("2018-06-01", None)]
+    df = spark.createDataFrame([(i, f"{d}_Seat_Leon_A_B_Frei.csv", t) for i, (d, t) in enumerate(rows)] + [(9, "2018-06-01_odd.csv", "08:00:00.0")], "i int, file string, time string")
+    got = {r["i"]: r for r in ingest.with_times(df).collect()}
+    assert [got[i]["time_fault"] for i in range(10)] == [None, "nonexistent", None, None, "ambiguous", "ambiguous", None, "malformed", "malformed", "malformed"]
+    assert all((r["us"] is None) == (r["time_fault"] is not None) for r in got.values()) and got[2]["us"] - got[0]["us"] == 100_000
+    assert {(r["time_fault"], r["rows"]) for r in ingest.time_faults(ingest.with_times(df)).collect()} == {("nonexistent", 1), ("ambiguous", 2), ("malformed", 2), ("malformed", 1)}
+    with pytest.raises(Exception, match="nonexistent"):
+        ingest.with_times(df.where("i = 1"), strict=True).select("us").collect()
+
+
+def test_sentinels_and_rules_across_fields(spark):
+    from roadlens.operators import cleaning
+
+    rows = [(-40.0, 800.0, 0.0, 50.0, 10.0, 5.0), (150.0, 0.0, 3.0, 50.0, 10.0, 5.0), (20.0, 800.0, 0.0, -1.0, 6.0, 0.0), (101.0, 0.0, 0.0, -1.0, 5.0, 0.0), (-41.0, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "intake_temp double, rpm double, speed double, coolant_temp double, ambient_temp double, maf double")
+    got = [r[0] for r in df.select(cleaning.quality_flags(("intake_temp", "rpm"))).collect()]
+    assert got == ["intake_temp_suspicious", "intake_temp_suspicious|rpm_zero_while_speed_positive", "maf_zero_while_rpm_positive|coolant_below_zero_in_warm_ambient", "intake_temp_suspicious", "intake_temp_hard_invalid"]
