@@ -157,5 +157,22 @@ q AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(rid) OVER o AS kr,
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(n AS INTEGER) AS n_words,
        kd AS kept_doc_id, CAST(ks AS INTEGER) AS kept_start
 FROM q WHERE rid <> kr OR s <> ks
+""",
+    "op11_spelling": r"""
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+l AS (SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM u WHERE length(r) >= 6 GROUP BY ALL),
+b AS (SELECT r, c, flatten(list_transform(string_split(d || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195::BIGINT, CAST(unicode(x) - 64 AS BIGINT)] END)) AS bytes FROM l),
+h AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a // 256, t[CAST(xor(a % 256, x) AS BIGINT) + 1])), 4294967295::BIGINT) AS h FROM b, tab),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM h),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+e AS (SELECT word, n, substr(word, 1, i - 1) || '$' || substr(word, i + 1) AS k FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+y AS (SELECT word, n, substr(word, 1, i) || '$' || substr(word, i + 1) AS k FROM (SELECT *, unnest(range(0, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b, b.n FROM e a JOIN e b USING (k) WHERE a.word <> b.word UNION SELECT e.word, y.word, y.n FROM e JOIN y USING (k) UNION SELECT y.word, e.word, e.n FROM e JOIN y USING (k)),
+q AS (SELECT *, count(*) OVER (PARTITION BY a) AS c, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS o FROM p),
+f AS (SELECT w.word, w.n, coalesce(c, 0) AS n_near, CASE WHEN q.n >= 5 * w.n THEN b END AS form, CASE WHEN q.n >= 5 * w.n THEN q.n END AS form_n FROM w LEFT JOIN q ON q.a = w.word AND o = 1),
+g(word, last, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT g.word, f.form, steps + 1 FROM g JOIN f ON f.word = g.last WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(last, steps) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM g JOIN f USING (word) GROUP BY ALL
 """,
 }
