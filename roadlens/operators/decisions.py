@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
+from roadlens.sources.scratch import written
 
 #: Columns of the table, in order.
 COLUMNS = {
@@ -56,6 +57,6 @@ def routed(decisions: DataFrame, capped: DataFrame) -> DataFrame:
 
 
 def decision_table(trip: list[DataFrame], starts: DataFrame, cold: DataFrame, capped: DataFrame) -> DataFrame:
-    """All decisions: of trips, of engine-start episodes and of segments' first rows, routed."""
+    """All decisions: of trips, of engine-start episodes and of segments' first rows, routed. They are written before, since routing reads them twice."""
     parts = [*(of_scope(t, "trip") for t in trip), of_scope(starts, "engine_start_episode"), of_scope(cold, "segment_first_row")]
-    return routed(reduce(DataFrame.unionByName, parts), capped)
+    return routed(written(reduce(DataFrame.unionByName, parts), "decisions"), capped)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.functions.physics import norm_cdf, risk_level, scale01, steady_mean, tidy
+from roadlens.operators.ranks import running_totals
 
 FORECAST = ("rpm", "speed", "coolant_temp", "map", "maf", "tps")
 TYPES = tuple(k.PRIORITY_SIGNALS)
@@ -156,7 +157,8 @@ def with_forwarded(w: DataFrame, decisions: DataFrame) -> DataFrame:
 def trip_risk(history: DataFrame, group: str) -> DataFrame:
     """Per group and trip: first time, mean risk, windows, and the trip's cycle index in time order, from 0."""
     t = history.groupBy(group, "trip_id").agg(F.min("t").alias("t"), steady_mean(F.col("risk_score")).alias("risk"), F.count("*").alias("windows"))
-    return t.withColumn("cycle", (F.row_number().over(Window.partitionBy(group).orderBy("t", "trip_id")) - 1).cast("long"))
+    t = running_totals(t, ("t", "trip_id", group), {"cycle": F.lit(1).cast("long")}, by=(group,))  # by ranges of time: there are few groups, and any number of trips
+    return t.withColumn("cycle", F.col("cycle") - 1)
 
 
 def project(trips: DataFrame, group: str, threshold: float = k.RISK_HIGH, least: int = k.TREND_TRIPS, horizon: int = k.TREND_HORIZON, most: int = k.TREND_CAP) -> DataFrame:

@@ -131,12 +131,12 @@ def lookup_docs(queries: DataFrame, docs: DataFrame, fallback: str, broadcast_ro
     return q.select(*queries.columns, F.coalesce("exact", "loose", F.lit(fallback)).alias("content"))
 
 
-def semantic_top1(queries: DataFrame, docs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+def semantic_top1(queries: DataFrame, docs: DataFrame, broadcast_rows: int = 100_000, cells: int = 4_000_000) -> DataFrame:
     """For each query vector (q_id, q_v), the most similar document (d_id, d_v) by cosine; the smaller id on a tie.
 
     ``queries`` is a stated set, sent to all tasks in blocks of at most ``broadcast_rows``. A task multiplies a batch of
     documents with the queries, norms taken once, and keeps one winner a query; winners are pre-aggregated
-    maxima, so no list of candidates is ever gathered. Vectors without a direction match nothing.
+    maxima, so no list of candidates is ever gathered, and a product holds at most ``cells`` numbers. Vectors without a direction match nothing.
     """
     q = queries.where("q_v is not null").select("q_id", F.col("q_v").cast("array<double>").alias("q_v"))
     blocks = max(1, -(-q.count() // broadcast_rows))
@@ -151,12 +151,16 @@ def semantic_top1(queries: DataFrame, docs: DataFrame, broadcast_rows: int = 100
                 if not len(batch) or not len(ids):
                     continue
                 d_ids = batch["d_id"].to_numpy(dtype=np.int64)
-                cos = np.round(unit @ _units(batch["d_v"], unit.shape[1]).T, 9)
-                cos[(ids[:, None] == d_ids) | np.isnan(cos)] = -9
                 order = np.argsort(d_ids, kind="stable")
-                at = order[cos[:, order].argmax(axis=1)]
-                best = cos[np.arange(len(ids)), at]
-                yield pd.DataFrame({"q_id": ids, "d_id": d_ids[at], "cos": best})[best > -9]
+                d_ids, d_unit = d_ids[order], _units(batch["d_v"], unit.shape[1])[order]
+                step = max(1, cells // len(batch))
+                for s in range(0, len(ids), step):
+                    own = ids[s : s + step]
+                    cos = np.round(unit[s : s + step] @ d_unit.T, 9)
+                    cos[(own[:, None] == d_ids) | np.isnan(cos)] = -9
+                    at = cos.argmax(axis=1)
+                    best = cos[np.arange(len(own)), at]
+                    yield pd.DataFrame({"q_id": own, "d_id": d_ids[at], "cos": best})[best > -9]
 
         found = docs.where("d_v is not null").select("d_id", F.col("d_v").cast("array<double>").alias("d_v")).mapInPandas(search, "q_id long, d_id long, cos double")
         out = found if out is None else out.unionByName(found)
