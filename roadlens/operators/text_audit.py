@@ -219,3 +219,48 @@ def auto_audit(text: Column, context: Column) -> Column:
         )
     )
     return F.array_join(found, ",")
+
+
+# Patterns of the policy on what a report may claim.
+FUTURE_HIGH = (
+    r"\b(?:will|may|could|expected to|projected to)\b.{0,50}\b(?:reach|cross|enter)\b.{0,25}\bhigh(?:-risk| risk)?\b",
+    r"\bhigh(?:-risk| risk)?(?: threshold)?\b.{0,35}\b(?:within|in|after|around)\b.{0,20}\b(?:trip|drive cycle)s?\b",
+    r"\b(?:reach|cross(?:ing)?(?: into)?|enter)\b.{0,30}\bhigh(?:-risk| risk)?\b.{0,35}\b(?:trip|drive cycle)s?\b",
+)
+OVERSTATED = ("prompt", "urgent", "immediate")
+COOLANT_HIGH = r"(?:coolant temperature.{0,45}(?:higher|above|elevated)|(?:high|elevated) coolant temperature)"
+COOLANT_LOW = r"coolant temperature.{0,45}(?:lower|below)"
+ALL_WELL = r"(?:\b(?:system|component|sensor|vehicle)\b.{0,35}\b(?:operat(?:es|ing)|function(?:s|ing))\b.{0,12}\b(?:normally|as expected|within expected limits|correctly|adequately)\b)"
+FAULT_CLAIM = (r"\b(?:high-risk\s+)?fault\b", r"\bstrongly suggest(?:s|ing)?\b.{0,45}\b(?:sensor|mechanical)\b")
+STOP_PREFIX, PEDAL = "stop driving and seek help if:", r"\bpedals?\b|\bpedal response\b"
+PENALTY = 0.4
+
+
+def policy_check(text: Column, risk_level: Column, anomaly_type: Column, signals: Column, proxied: Column, actions: Column | None = None) -> Column:
+    """Struct (score, passed, warnings) of what a report may not claim, given its record.
+
+    ``signals`` is an array of (feature, value, reference_range); ``proxied`` tells that rules, not the forecast, decided;
+    ``actions`` is an array of texts. Warnings, in order: a crossing into high risk that is foretold although it has come,
+    urgency that medium risk does not bear, a coolant temperature on the other side of its range, a whole system that works
+    because the listed signals do, a fault that rules with normal signals cannot prove, and a stopping condition of
+    another component. Each takes 0.4 off the score, and any of them fails the text. A null text claims nothing.
+    """
+    t = F.lower(F.coalesce(text, F.lit("")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    low, high = (lambda s: F.get(s["reference_range"], F.lit(0))), (lambda s: F.get(s["reference_range"], F.lit(1)))
+    coolant = lambda side: yes(F.exists(signals, lambda s: yes((s["feature"] == "coolant_temp") & side(s))))
+    normal = yes(F.size(signals) > 0) & yes(F.forall(signals, lambda s: yes(s["value"].between(low(s), high(s)))))
+    foretold = t.rlike(FUTURE_HIGH[0]) | t.rlike(FUTURE_HIGH[1]) | t.rlike(FUTURE_HIGH[2])
+    urgent = F.size(unnegated(t, OVERSTATED)) > 0
+    found = [
+        ("future_high", yes(F.lower(risk_level) == "high") & foretold),
+        ("urgency", yes(risk_level == "Medium") & urgent),
+        ("reversed_signal", (coolant(lambda s: s["value"] < low(s)) & t.rlike(COOLANT_HIGH)) | (coolant(lambda s: s["value"] > high(s)) & t.rlike(COOLANT_LOW))),
+        ("system_normal", normal & t.rlike(ALL_WELL)),
+        ("unproved_fault", yes(proxied) & normal & (t.rlike(FAULT_CLAIM[0]) | t.rlike(FAULT_CLAIM[1]))),
+    ]
+    if actions is not None:
+        stops = F.exists(actions, lambda x: yes(F.startswith(F.lower(F.trim(x)), F.lit(STOP_PREFIX)) & F.lower(x).rlike(PEDAL)))
+        found.append(("foreign_stop", yes(~anomaly_type.eqNullSafe(F.lit("accelerator_pedal_sensor"))) & yes(stops)))
+    told = F.array_compact(F.array(*[F.when(c, n) for n, c in found]))
+    return F.struct(F.greatest(F.lit(0.0), F.round(1 - PENALTY * F.size(told), 4)).alias("score"), (F.size(told) == 0).alias("passed"), told.alias("warnings"))

@@ -196,3 +196,39 @@ def r05_check_actions(spark, sf_dir):
 )
 def r09_auto_audit(spark, sf_dir):
     return _reports(spark, sf_dir).select("conv_id", "turn", a.auto_audit(F.col("report"), F.col("context")).alias("findings"))
+
+
+_CLAIMS = (
+    "It is projected to reach high risk soon.", "Have it checked; this is urgent.", "The coolant temperature is well above its range.", "The coolant temperature stays below its range.", "The system is operating normally.",
+    "This strongly suggests a sensor problem.", "Not urgent at all.", "High risk within 12 trips.", "Crossing into high risk after some trips.",
+)
+_LEVELS, _KINDS, _COOLANT = ("High", "Medium", "Low"), ("cooling_degradation", "accelerator_pedal_sensor"), (80.0, 92.0, 99.0)
+_POLICY = (
+    "pc AS (SELECT conv_id, turn, lower(concat_ws(' ', text, ([" + ", ".join(f"'{x}'" for x in _CLAIMS) + f"])[1 + (conv_id + turn) % {len(_CLAIMS)}])) AS t, ([" + ", ".join(f"'{x}'" for x in _LEVELS)
+    + "])[1 + conv_id % 3] AS level, (conv_id // 3) % 2 = 1 AS pedal, ([80.0, 92.0, 99.0])[1 + (conv_id // 2) % 3] AS coolant, turn % 2 = 0 AS proxied FROM conversations)"
+)
+
+
+@query(
+    f"""WITH {_POLICY}, f AS (SELECT conv_id, turn,
+ level = 'High' AND (regexp_matches(t, '\\b(?:will|may|could|expected to|projected to)\\b.{{0,50}}\\b(?:reach|cross|enter)\\b.{{0,25}}\\bhigh(?:-risk| risk)?\\b') OR regexp_matches(t, '\\bhigh(?:-risk| risk)?(?: threshold)?\\b.{{0,35}}\\b(?:within|in|after|around)\\b.{{0,20}}\\b(?:trip|drive cycle)s?\\b')
+  OR regexp_matches(t, '\\b(?:reach|cross(?:ing)?(?: into)?|enter)\\b.{{0,30}}\\bhigh(?:-risk| risk)?\\b.{{0,35}}\\b(?:trip|drive cycle)s?\\b')) AS a,
+ level = 'Medium' AND ({" OR ".join(f"({_unneg_sql(p).replace('report', 't')})" for p in ("prompt", "urgent", "immediate"))}) AS b,
+ (coolant < 90 AND regexp_matches(t, '(?:coolant temperature.{{0,45}}(?:higher|above|elevated)|(?:high|elevated) coolant temperature)')) OR (coolant > 95 AND regexp_matches(t, 'coolant temperature.{{0,45}}(?:lower|below)')) AS c,
+ coolant BETWEEN 90 AND 95 AND regexp_matches(t, '\\b(?:system|component|sensor|vehicle)\\b.{{0,35}}\\b(?:operat(?:es|ing)|function(?:s|ing))\\b.{{0,12}}\\b(?:normally|as expected|within expected limits|correctly|adequately)\\b') AS d,
+ proxied AND coolant BETWEEN 90 AND 95 AND (regexp_matches(t, '\\b(?:high-risk\\s+)?fault\\b') OR regexp_matches(t, '\\bstrongly suggest(?:s|ing)?\\b.{{0,45}}\\b(?:sensor|mechanical)\\b')) AS e, NOT pedal AND turn % 3 = 1 AS g FROM pc)
+SELECT conv_id, turn, CAST(round(greatest(0, 1 - 0.4 * (CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(c AS INTEGER) + CAST(d AS INTEGER) + CAST(e AS INTEGER) + CAST(g AS INTEGER))), 4) AS DOUBLE) AS score, NOT (a OR b OR c OR d OR e OR g) AS passed,
+ concat_ws(',', CASE WHEN a THEN 'future_high' END, CASE WHEN b THEN 'urgency' END, CASE WHEN c THEN 'reversed_signal' END, CASE WHEN d THEN 'system_normal' END, CASE WHEN e THEN 'unproved_fault' END, CASE WHEN g THEN 'foreign_stop' END) AS warnings FROM f"""
+)
+def r06_r07_policy_check(spark, sf_dir):
+    """Whole texts of conversations with a claim after each, against records whose level, type, coolant and provenance vary."""
+    c = F.col
+    pick = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), (at + 1).cast("int"))
+    third, half = F.floor(c("conv_id") / 3) % 2, F.floor(c("conv_id") / 2) % 3
+    df = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat_ws(" ", "text", pick(_CLAIMS, (c("conv_id") + c("turn")) % len(_CLAIMS))).alias("t"), pick(_LEVELS, c("conv_id") % 3).alias("level"), pick(_KINDS, third).alias("kind"),
+        F.array(F.struct(F.lit("coolant_temp").alias("feature"), pick(_COOLANT, half).alias("value"), F.array(F.lit(90.0), F.lit(95.0)).alias("reference_range"))).alias("signals"),
+        F.array(F.when(c("turn") % 3 == 1, "Stop driving and seek help if: the pedals stick.").otherwise("Check the pedals.")).alias("actions"), (c("turn") % 2 == 0).alias("proxied"),
+    )
+    v = a.policy_check(c("t"), c("level"), c("kind"), c("signals"), c("proxied"), c("actions"))
+    return df.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.score", "v.passed", F.array_join("v.warnings", ",").alias("warnings"))
