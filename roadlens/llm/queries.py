@@ -149,14 +149,18 @@ g AS (SELECT rid, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, list(len(w
 i AS (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM g),
 r AS (SELECT rid, i AS a, i AS b FROM i WHERE ns[i] >= 8
       UNION SELECT rid, i, list_filter(range(i, least(i + 8, len(ns) + 1)), lambda j: list_sum(ns[i : j]) >= 8)[1] FROM i WHERE ns[i] < 8
-      UNION SELECT rid, list_filter(range(greatest(1, i - 7), i + 1), lambda j: list_sum(ns[j : i]) >= 8)[-1], i FROM i WHERE ns[i] < 8),
-f AS (SELECT rid, doc_id, tie, ss[a] AS s, es[b] AS e, list_sum(ns[a : b]) AS n, array_to_string(fs[a : b], ' ') AS form
+      UNION SELECT rid, list_filter(range(greatest(1, i - 7), i + 1), lambda j: list_sum(ns[j : i]) >= 8)[-1], i FROM i WHERE ns[i] < 8
+      UNION SELECT rid, 1, len(ns) FROM g WHERE list_sum(ns) < 8),
+f AS (SELECT rid, doc_id, tie, a < b AS run, ss[a] AS s, es[b] AS e, list_sum(ns[a : b]) AS n, array_to_string(fs[a : b], ' ') AS form
       FROM r JOIN g USING (rid) JOIN u USING (rid) WHERE a IS NOT NULL AND b IS NOT NULL),
-q AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(rid) OVER o AS kr, first_value(s) OVER o AS ks
-      FROM f WINDOW o AS (PARTITION BY form ORDER BY doc_id NULLS LAST, tie, rid, s))
+q AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(rid) OVER o AS kr, first_value(s) OVER o AS ks, first_value(e) OVER o AS ke, count(*) OVER (PARTITION BY form) AS c, max(run) OVER (PARTITION BY form) AS runs
+      FROM f WINDOW o AS (PARTITION BY form ORDER BY doc_id NULLS LAST, tie, rid, s)),
+m AS (SELECT *, rid = kr AND s = ks AS stays FROM q WHERE c > 1),
+bad AS (SELECT form FROM m WHERE runs AND stays AND EXISTS (SELECT 1 FROM m t WHERE NOT t.runs AND NOT t.stays AND t.rid = m.rid AND t.s < m.e AND t.e > m.s)),
+v AS (SELECT * FROM m WHERE form NOT IN (SELECT form FROM bad))
 SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(n AS INTEGER) AS n_words,
-       kd AS kept_doc_id, CAST(ks AS INTEGER) AS kept_start
-FROM q WHERE rid <> kr OR s <> ks
+       kd AS kept_doc_id, CAST(ks AS INTEGER) AS kept_start, CAST(ke AS INTEGER) AS kept_end
+FROM v WHERE NOT stays AND (NOT runs OR NOT EXISTS (SELECT 1 FROM v k WHERE k.stays AND k.rid = v.rid AND k.s < v.e AND k.e > v.s))
 """,
     "op11_spelling": r"""
 WITH RECURSIVE

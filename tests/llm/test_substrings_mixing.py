@@ -11,9 +11,9 @@ from roadlens.llm.substrings import removed_units, without_repeats
 
 
 def brute(rows, least=8):
-    seen, out = {}, []
+    seen, spans_of, several = {}, [], set()
     tie = lambda t: hashlib.md5((t or "").encode()).hexdigest()[:15]
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1]))):
+    for row, (i, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1])))):
         t2, at, parts = re.sub(r"([^.!?\s][.!?]) ", "\\1\n", t or ""), 0, []
         for u in t2.split("\n"):
             form = " ".join("".join(c.lower() if c < "\x80" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", u))
@@ -21,6 +21,10 @@ def brute(rows, least=8):
                 parts.append((at, at + len(u), len(form.split(" ")), form))
             at += len(u) + 1
         spans = set()
+        if parts and sum(p[2] for p in parts) < least:
+            spans.add((parts[0][0], parts[-1][1], sum(p[2] for p in parts), " ".join(p[3] for p in parts)))
+            if len(parts) > 1:
+                several.add((row, parts[0][0], parts[-1][1]))
         for a in range(len(parts)):
             for b in range(a, len(parts)):
                 n = sum(p[2] for p in parts[a : b + 1])
@@ -28,13 +32,34 @@ def brute(rows, least=8):
                     inner, outer = n - parts[b][2], n - parts[a][2]  # less the last, less the first
                     if a == b or (parts[a][2] < least and inner < least) or (parts[b][2] < least and outer < least):
                         spans.add((parts[a][0], parts[b][1], n, " ".join(p[3] for p in parts[a : b + 1])))
+                        if a < b:
+                            several.add((row, parts[a][0], parts[b][1]))
                     if n > 3 * least + 40:
                         break
         for s, e, n, form in sorted(spans):
-            if form in seen:
-                out.append((i, s, e, n, *seen[form]))
-            else:
-                seen[form] = (i, s)
+            seen.setdefault(form, (i, s, e, row))
+            spans_of.append((row, i, s, e, n, form))
+    # a unit is a run somewhere if its words are those of several lines or sentences in one of its places
+    units, first = {}, {}
+    for row, i, s, e, n, form in spans_of:
+        units.setdefault(form, []).append((row, i, s, e, n))
+        first.setdefault(form, (row, s, e))
+    meet = lambda one, other: one[0] == other[0] and one[1] < other[2] and other[1] < one[2]
+    places = {f: [(x[0], x[2], x[3]) for x in u] for f, u in units.items() if len(u) > 1}
+    runs = {f for f, u in places.items() if any(x in several for x in u)}
+    by_row = {}
+    for f, u in places.items():
+        for x in u[1:] if f not in runs else ():
+            by_row.setdefault(x[0], []).append(x)
+    stay = {f: first[f] for f in places if f not in runs or not any(meet(first[f], g) for g in by_row.get(first[f][0], ()))}
+    kept_in = {}
+    for x in stay.values():
+        kept_in.setdefault(x[0], []).append(x)
+    out = []
+    for f, k in stay.items():
+        for row, i, s, e, n in units[f][1:]:
+            if f not in runs or not any(meet((row, s, e), x) for x in kept_in.get(row, ())):
+                out.append((i, s, e, n, *seen[f][:3]))
     return sorted(out, key=repr)
 
 
@@ -55,8 +80,8 @@ def test_removed_units_like_brute_force(spark):
     assert len(want) > 500 and sum(r[0] is None for r in want) > 10
     assert sorted((tuple(r) for r in removed_units(df).collect()), key=repr) == want
     assert sorted((tuple(r) for r in removed_units(df, frequent=5).collect()), key=repr) == want
-    named = removed_units(df.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
-    assert len(named) == len(want)  # of other documents, since ids sort as text here
+    named = removed_units(df.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()  # ids sort as text here
+    assert sorted((tuple(r) for r in named), key=repr) == brute([(None if i is None else f"d{i}", t) for i, t in rows])
     unique = df.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("removed", F.lit(1)).withColumn("cuts", F.lit(2))
     less = without_repeats(unique)
     texts = {r["doc_id"]: r["text"] for r in less.collect()}
@@ -64,6 +89,42 @@ def test_removed_units_like_brute_force(spark):
     assert not removed_units(df.limit(0)).count() and not without_repeats(df.limit(0)).count()
 
 
+def kept_places_stand(spark, rows):
+    """Takes the repeats out of ``rows`` (of unlike ids) and asserts that all that was to be kept is there; returns the texts."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in without_repeats(df).collect()}
+    before = dict(rows)
+    for r in removed_units(df).collect():
+        assert before[r["kept_doc_id"]][r["kept_start"] : r["kept_end"]] in texts[r["kept_doc_id"]]
+    return texts
+
+
+def test_what_is_kept_is_never_cut(spark):
+    rng = random.Random(12)
+    lines = ["yes", "la la", "da da", "oh no", "one two three", "so it goes on and on"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    rows += [(i + 60, t + "\nand more") for i, t in rows[::3]]
+    got = kept_places_stand(spark, rows)
+    assert sum(len(t) for t in got.values()) < sum(len(t) for _, t in rows)
+    twelve, song, long = "\n".join(["yes"] * 12), "\n".join(["la la", "da da"] * 8), "\n".join(["no"] * 40)
+    got = kept_places_stand(spark, [(1, twelve), (2, song), (3, long)])
+    assert got[1] == twelve and got[2].startswith("la la\nda da\nla la\nda da\nla la\n") and got[3].split() == ["no"] * 8
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_offsets(spark):
+    a = "one two three four five six seven eight nine ten."
+    got = without_repeats(spark.createDataFrame([(1, a), (1, "zero. " + a), (None, a), (None, None), (None, "zero. " + a)], "doc_id long, text string")).collect()
+    texts = sorted((r["text"] for r in got if r["text"] is not None), key=len)
+    assert len(got) == 5 and sum("nine ten." in t for t in texts) == 1 and sum(len(t) for t in texts) <= len("zero. " + a) + 2 * len("zero. ")
+
+
+def test_short_texts_are_units_as_a_whole(spark):
+    rows = [(1, "A short text, said twice."), (2, "a short  text, said TWICE.\n"), (3, "A short text."), (4, "Said twice."), (5, "  "), (6, "A short text, said twice. And more words follow it here now.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["doc_id"], r["kept_doc_id"], r["n_words"]) for r in removed_units(df).collect()] == [(2, 1, 5)]
+    assert without_repeats(df).where("doc_id = 2").first()["text"] == ""
+
+
 def test_passages_of_short_lines_are_found(spark):
     passage = "One two.\nThree.\nFour five six.\nSeven eight nine.\nTen.\nEleven twelve.\nThirteen."
     rows = [(1, f"First words of one text here. {passage} Then something else of its own follows."), (2, f"Other words stand before it in this. {passage} And others come after it."), (3, "Yes. No.")]
