@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,10 +40,10 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), "")
 
 
-def shared_shingle(a: Column, b: Column, n: int = 12) -> Column:
-    """The texts share n words in a row."""
+def shared_shingle(a: Column, b: Column, n: int = 12, words: Callable[[Column], Column] = word_list) -> Column:
+    """The texts share n words in a row; ``words`` tells those of a text."""
     shingles = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.arrays_overlap(shingles(word_list(a)), shingles(word_list(b)))
+    return F.arrays_overlap(shingles(words(a)), shingles(words(b)))
 
 
 def numbers(text: Column) -> Column:
