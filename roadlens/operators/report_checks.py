@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.operators.ranks import numbered
 from roadlens.operators.records import known_correlations
-from roadlens.operators.text_audit import shared_shingle, text_stats, unnegated
+from roadlens.operators.text_audit import sentences, shared_shingle, text_stats, unnegated, unsupported_numbers
 
 # Fields with the wordings that explain them, phrases, patterns and bounds in words.
 RAW_FIELDS = {
@@ -140,3 +140,47 @@ def primary_records(records: DataFrame) -> DataFrame:
     segments = numbered(primary.select("segment_id").distinct(), ("segment_id",), "place")
     part = F.when(F.col("place") % 3 == 0, "hold_out").otherwise("calibration")
     return primary.join(segments.select(F.col("segment_id").alias("_segment"), part.alias("part")), F.col("segment_id").eqNullSafe(F.col("_segment"))).drop("_segment")
+
+
+# Words and phrases of the four scores of a whole report.
+SIGNAL_WORDS = ("signal", "reading", "sensor", "temperature", "pressure", "value", "measurement")
+UNREADABLE = ("coolant_temp", "maf", "map", "accel_pedal_d", "accel_pedal_e", "tps", "throttle_pos")
+ACRONYMS = ("OBD", "ECM", "PCM", "DTC", "MAF", "MAP", "TPS", "IAT")
+HEDGED_REPORT = ("may indicate", "could suggest", "could be related to", "might", "possibly", "may be", "could be", "suggests", "possible explanation")
+CONFIRMED_REPORT = ("confirmed", "is definitely", "has failed", "is broken", "is faulty", "has malfunctioned", "is damaged")
+FAULT_CLAIMS = ("the fault is", "the problem is", "has failed", "is broken", "is faulty")
+CUES = {"high": ("soon", "prompt", "immediately", "avoid", "urgent"), "medium": ("soon", "check", "inspect", "schedule"), "low": ("monitor", "next service", "when convenient", "observe")}
+
+
+def report_quality(description: Column, cause: Column, actions: Column, context: Column, risk_level: Column) -> Column:
+    """Struct of grounding, readability, hedging and actionability, each from 1 down by published deductions, and their mean.
+
+    Grounding: numbers of the description stand in the context, the cause speaks of signals. Readability: no field names, no
+    acronym without an explanation in brackets, at most 30 words a sentence. Hedging: the cause is hedged, nothing is told as
+    certain. Actionability: two to four actions of ten words or more, with a cue that fits the risk. Null texts are empty, null actions none.
+    """
+    none = F.lit("")
+    description, cause, context = F.coalesce(description, none), F.coalesce(cause, none), F.coalesce(context, none)
+    actions = F.transform(F.coalesce(actions, F.array().cast("array<string>")), lambda x: F.coalesce(x, none))
+    count = lambda x: F.size(F.array_remove(F.split(x, r"\s+"), ""))
+    has = lambda text, phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p))
+    said, both = F.lower(cause), F.concat_ws(" ", description, cause)
+    bare = F.lit(False)
+    for a in ACRONYMS:
+        bare = bare | (both.rlike(rf"\b{a}\b") & ~both.rlike(rf"{a}\s*\([^)]+\)|\([^)]*{a}[^)]*\)"))
+    parts = sentences(description)
+    long = F.aggregate(parts, F.lit(0), lambda n, x: n + count(x)) > 30 * F.size(parts)
+    hedged = has(said, HEDGED_REPORT) | (has(said, CERTAINTY) & (F.size(unnegated(cause, CERTAINTY)) == 0))
+    certain = (F.size(unnegated(cause, CONFIRMED_REPORT)) > 0) | (F.size(unnegated(description, CONFIRMED_REPORT)) > 0)
+    told = F.lower(F.array_join(actions, " "))
+    cued = F.lit(False)
+    for level, cues in CUES.items():
+        cued = cued | (_yes(F.lower(risk_level) == level) & has(told, cues))
+    lost = {
+        "grounding": [(F.size(unsupported_numbers(description, context)) > 0, 4), (~has(said, SIGNAL_WORDS), 3)],
+        "readability": [(has(F.lower(both), UNREADABLE), 3), (bare, 3), (long, 2)],
+        "hedging": [(~hedged, 4), (certain, 4), (F.size(unnegated(description, FAULT_CLAIMS)) > 0, 2)],
+        "actionability": [(F.size(actions) < 2, 3), (F.size(actions) > 4, 2), (F.exists(actions, lambda x: count(x) < 10), 3), (~cued, 3)],
+    }
+    left = {n: F.lit(10) - sum((F.when(c, t).otherwise(0) for c, t in tests), F.lit(0)) for n, tests in lost.items()}
+    return F.struct(*[(v / 10).alias(n) for n, v in left.items()], (sum(left.values(), F.lit(0)) / 40).alias("mean"))

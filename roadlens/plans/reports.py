@@ -17,13 +17,13 @@ _LONG = "The coolant of this car stays well below the range that one would expec
 _pick = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), (at + 1).cast("int"))
 
 
-def _sections(spark, sf_dir):
+def _sections(spark, sf_dir, *more):
     """A description and a cause a turn: whole texts of conversations with phrases after them, bare phrases, blanks and error messages."""
     c, k = F.col("conv_id"), F.col("conv_id") + F.col("turn")
     body = F.when(k % 5 != 0, F.col("text"))
     description = F.when(c % 23 == 0, F.lit(None)).when(c % 23 == 1, " ").when(c % 23 == 2, F.concat(F.lit("Error: "), F.col("text"))).otherwise(F.concat_ws(" ", body, _pick(_ADDED, k % len(_ADDED)), F.when(c % 2 == 0, F.lit(_LONG))))
     cause = F.concat_ws(" ", F.when(k % 3 == 0, F.lit(_LONG)).when(k % 3 == 1, F.col("text")), _pick(_ADDED, (k + 3) % len(_ADDED)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", description.alias("description"), cause.alias("cause"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", description.alias("description"), cause.alias("cause"), *more)
 
 
 _LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ADDED) + "]"
@@ -140,3 +140,39 @@ def p13_primary_records(spark, sf_dir):
         "event_id", F.concat_ws("-", "event_type", "user_id").alias("segment_id"), F.when(F.col("value").isNull(), "no value").alias("error"), F.when(F.col("event_id") % 10 == 0, "secondary").otherwise("primary").alias("evaluation_role")
     )
     return r.primary_records(records).select("event_id", "segment_id", "part")
+
+
+_ACTS = ("Have the cooling system checked soon by a garage that you trust.", "Monitor the gauge.", "Avoid long drives in the heat until the car has been seen.", "Schedule a visit at the next service, when convenient for you and them.", "Watch out for steam, smells and lamps on the way to work.")
+_ACT_SQL = "[" + ", ".join(f"'{x}'" for x in _ACTS) + "]"
+_any = lambda x, phrases: "(" + " OR ".join(f"contains({x}, '{p}')" for p in phrases) + ")"
+_unneg = lambda x, phrases: "(" + " OR ".join(f"({_unneg_sql(p).replace('report', x)})" for p in phrases) + ")"
+_SURELY = ("confirmed", "is definitely", "has failed", "is broken", "is faulty", "has malfunctioned", "is damaged")
+_NUMS = lambda x: f"regexp_extract_all({x}, '-?[0-9]+(?:\\.[0-9]+)?')"
+_BARE = " OR ".join(
+    f"(regexp_matches(both_, '\\b{x}\\b') AND NOT regexp_matches(both_, '{x}\\s*\\([^)]+\\)|\\([^)]*{x}[^)]*\\)'))" for x in ("OBD", "ECM", "PCM", "DTC", "MAF", "MAP", "TPS", "IAT")
+)
+
+
+@query(
+    f"""WITH {_SEC}, q AS (SELECT s.conv_id, s.turn, coalesce(description, '') AS d, cause || CASE (s.conv_id + s.turn) % 4 WHEN 0 THEN ' The sensor (MAF) reads low.' WHEN 1 THEN ' The IAT reading is low: it is damaged.' ELSE '' END AS c, 'Mean 12.345 and 3 of 40 at 7 ' || text AS ctx,
+ [NULL, 'High', 'Medium', 'low'][1 + s.conv_id % 4] AS level, list_slice({_ACT_SQL}, 1 + s.turn % 2, CAST((s.conv_id + s.turn) % 7 AS INTEGER)) AS acts FROM sec s JOIN conversations USING (conv_id, turn)),
+p AS (SELECT *, d || ' ' || c AS both_, lower(c) AS lc, lower(array_to_string(acts, ' ')) AS told, list_filter(list_transform(string_split_regex(d, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS st FROM q),
+f AS (SELECT conv_id, turn, 10 - CASE WHEN len(list_filter({_NUMS('d')}, lambda x: NOT list_contains({_NUMS('ctx')}, x))) > 0 THEN 4 ELSE 0 END - CASE WHEN {_any('lc', ('signal', 'reading', 'sensor', 'temperature', 'pressure', 'value', 'measurement'))} THEN 0 ELSE 3 END AS g,
+ 10 - CASE WHEN {_any('lower(both_)', ('coolant_temp', 'maf', 'map', 'accel_pedal_d', 'accel_pedal_e', 'tps', 'throttle_pos'))} THEN 3 ELSE 0 END - CASE WHEN {_BARE} THEN 3 ELSE 0 END
+  - CASE WHEN coalesce(list_sum(list_transform(st, lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '')))), 0) > 30 * len(st) THEN 2 ELSE 0 END AS r,
+ 10 - CASE WHEN {_any('lc', ('may indicate', 'could suggest', 'could be related to', 'might', 'possibly', 'may be', 'could be', 'suggests', 'possible explanation'))} OR ({_any('lc', ('confirmed', 'definite', 'certain'))} AND NOT {_unneg('c', ('confirmed', 'definite', 'certain'))}) THEN 0 ELSE 4 END
+  - CASE WHEN {_unneg('c', _SURELY)} OR {_unneg('d', _SURELY)} THEN 4 ELSE 0 END - CASE WHEN {_unneg('d', ('the fault is', 'the problem is', 'has failed', 'is broken', 'is faulty'))} THEN 2 ELSE 0 END AS h,
+ 10 - CASE WHEN len(acts) < 2 THEN 3 WHEN len(acts) > 4 THEN 2 ELSE 0 END - CASE WHEN len(list_filter(acts, lambda x: len(string_split(x, ' ')) < 10)) > 0 THEN 3 ELSE 0 END
+  - CASE WHEN coalesce(CASE lower(level) WHEN 'high' THEN {_any('told', ('soon', 'prompt', 'immediately', 'avoid', 'urgent'))} WHEN 'medium' THEN {_any('told', ('soon', 'check', 'inspect', 'schedule'))} WHEN 'low' THEN {_any('told', ('monitor', 'next service', 'when convenient', 'observe'))} END, FALSE) THEN 0 ELSE 3 END AS a FROM p)
+SELECT conv_id, turn, CAST(g / 10 AS DOUBLE) AS grounding, CAST(r / 10 AS DOUBLE) AS readability, CAST(h / 10 AS DOUBLE) AS hedging, CAST(a / 10 AS DOUBLE) AS actionability, CAST((g + r + h + a) / 40 AS DOUBLE) AS mean FROM f"""
+)
+def r08_report_quality(spark, sf_dir):
+    """Sections of a turn, with actions and risk that vary, against its text."""
+    k = F.col("conv_id") + F.col("turn")
+    more = F.when(k % 4 == 0, " The sensor (MAF) reads low.").when(k % 4 == 1, " The IAT reading is low: it is damaged.").otherwise("")
+    first, last = F.col("turn") % 2, k % 7
+    acts = F.slice(F.array(*[F.lit(x) for x in _ACTS]), (first + 1).cast("int"), F.greatest(F.lit(0), last - first).cast("int"))
+    level = F.when(F.col("conv_id") % 4 == 1, "High").when(F.col("conv_id") % 4 == 2, "Medium").when(F.col("conv_id") % 4 == 3, "low")
+    context = F.concat(F.lit("Mean 12.345 and 3 of 40 at 7 "), "text")
+    v = _sections(spark, sf_dir, "text").select("conv_id", "turn", r.report_quality(F.col("description"), F.concat("cause", more), acts, context, level).alias("v"))
+    return v.select("conv_id", "turn", "v.*")

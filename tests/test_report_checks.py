@@ -76,3 +76,16 @@ def test_primary_records(spark):
     assert {x["i"] for x in got} == want and len(got) == len(want)
     assert all((x["part"] == "hold_out") == (order.index(x["segment_id"]) % 3 == 2) for x in got)
     assert not r.primary_records(df.limit(0)).count()
+
+
+def test_report_quality(spark):
+    long, hedge = "Have the cooling system checked soon by a garage that you trust.", "The reading may be low."
+    rows = [
+        ("All is well at 3.", hedge, [long, long], "3 of 4", "High", (1.0, 1.0, 1.0, 1.0)), ("All is well at -3.", hedge, [long, long], "3 of 4", "High", (0.6, 1.0, 1.0, 1.0)), (None, None, None, None, None, (0.7, 1.0, 0.6, 0.4)),
+        ("It has failed.", "It is broken.", ["Monitor it."], "", "High", (0.7, 1.0, 0.0, 0.1)), ("See the MAF.", hedge, [long] * 5, "", "medium", (1.0, 0.4, 1.0, 0.8)), ("See the IAT (intake air).", hedge, [long, None], "", "low", (1.0, 1.0, 1.0, 0.4)),
+        (words(31), "The fault is not confirmed. The value is low.", [long, long], "", "Low", (1.0, 0.8, 1.0, 0.7)), ("See the IAT.", "The value is not certain.", [long, long], "", "HIGH", (1.0, 0.7, 1.0, 1.0)),
+    ]
+    df = spark.createDataFrame([(i, *x[:5]) for i, x in enumerate(rows)], "i int, d string, c string, a array<string>, x string, l string")
+    got = df.orderBy("i").select(r.report_quality(*map(F.col, "dcaxl")).alias("v")).collect()
+    for (*_, want), g in zip(rows, got):
+        assert tuple(g["v"][:4]) == pytest.approx(want) and g["v"]["mean"] == pytest.approx(sum(want) / 4)
