@@ -18,7 +18,7 @@ HEADER = {
 }
 
 
-def _raw(spark, sf_dir):
+def raw_recordings(spark, sf_dir):
     """The recordings written as CSV files, one folder a file, and read back as text."""
     folder = scratch(spark, "recordings")
     out = recordings(spark, sf_dir)
@@ -44,19 +44,19 @@ def _fill(f: str, src: str, out: str, new: str) -> str:
 
 _LINE = "v0 + (v1 - v0) * (bin - t0) / (t1 - t0)"
 # field: physical bounds, range of normal work, how short gaps are filled
-_LIMITS = {
+LIMITS = {
     "coolant_temp": (-40, 215, -20, 125, _LINE), "map": (0, 255, 20, 250, "v0"), "rpm": (0, 16383.75, 0, 7000, "v0"), "speed": (0, 255, 0, 220, _LINE), "intake_temp": (-40, 215, -30, 100, _LINE), "maf": (0, 655.35, 0, 200, _LINE),
     "tps": (0, 100, 0, 100, _LINE), "ambient_temp": (-40, 215, -35, 55, "CAST(NULL AS DOUBLE)"), "accel_pedal_d": (0, 100, 0, 100, _LINE), "accel_pedal_e": (0, 100, 0, 100, _LINE),
 }
-_CLEAN = f"""{_FILES},
-dd AS (SELECT trip_id, us, {", ".join(_num(f, lo, hi) for f, (lo, hi, *_) in _LIMITS.items())} FROM (SELECT rc.*, trip_id, row_number() OVER (PARTITION BY rc.file, us ORDER BY row DESC) AS n FROM rc JOIN tr USING (file)) WHERE n = 1),
+CLEAN = f"""{_FILES},
+dd AS (SELECT trip_id, us, {", ".join(_num(f, lo, hi) for f, (lo, hi, *_) in LIMITS.items())} FROM (SELECT rc.*, trip_id, row_number() OVER (PARTITION BY rc.file, us ORDER BY row DESC) AS n FROM rc JOIN tr USING (file)) WHERE n = 1),
 ga AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY trip_id ORDER BY us) > 3000000 THEN 1 ELSE 0 END AS b FROM dd),
 sg AS (SELECT *, sum(b) OVER (PARTITION BY trip_id ORDER BY us) + 1 AS segment, CAST(floor(us / 1000000) AS BIGINT) AS bin FROM ga),
 bn AS (SELECT trip_id, segment, bin, {", ".join(f"arg_max({f}, us) FILTER ({f} IS NOT NULL) AS {f}, bool_or({f}_bad) AS {f}_bad" for f in FIELDS)}, count(*) AS samples FROM sg GROUP BY ALL),
 dn AS (SELECT {" + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FIELDS)} AS observed_sensor_count, w.trip_id, w.segment, w.bin, {", ".join(f"{f}, coalesce({f}_bad, FALSE) AS {f}_had_hard_invalid_source" for f in FIELDS)}, coalesce(samples, 0) AS source_sample_count
  FROM (SELECT trip_id, segment, unnest(range(min(bin), max(bin) + 1)) AS bin FROM bn GROUP BY trip_id, segment) w LEFT JOIN bn USING (trip_id, segment, bin)),
-{", ".join(_fill(f, f"f{n}" if n else "dn", f"f{n + 1}", _LIMITS[f][4]) for n, f in enumerate(FIELDS))},
-su AS (SELECT *, {", ".join(f"coalesce({f} NOT BETWEEN {a} AND {z}{' OR intake_temp IN (-40, 150)' if f == 'intake_temp' else ''}, FALSE) AS {f}_is_suspicious" for f, (_, _, a, z, _) in _LIMITS.items())} FROM f{len(FIELDS)}),
+{", ".join(_fill(f, f"f{n}" if n else "dn", f"f{n + 1}", LIMITS[f][4]) for n, f in enumerate(FIELDS))},
+su AS (SELECT *, {", ".join(f"coalesce({f} NOT BETWEEN {a} AND {z}{' OR intake_temp IN (-40, 150)' if f == 'intake_temp' else ''}, FALSE) AS {f}_is_suspicious" for f, (_, _, a, z, _) in LIMITS.items())} FROM f{len(FIELDS)}),
 cl AS (SELECT trip_id, printf('%s_seg_%03d', trip_id, CAST(segment AS BIGINT)) AS segment_id, CAST(bin - min(bin) OVER (PARTITION BY trip_id, segment) + 1 AS INTEGER) AS row_in_segment, bin AS t, source_sample_count, CAST(observed_sensor_count AS INTEGER) AS observed_sensor_count, {", ".join(FIELDS)},
  {", ".join(f"{f}_is_imputed, {f}_is_suspicious, {f}_had_hard_invalid_source" for f in FIELDS)}, {" OR ".join(f"{f}_is_imputed" for f in FIELDS)} AS is_imputed_any, {" OR ".join(f"{f}_is_suspicious" for f in FIELDS)} AS is_suspicious_any,
  {" OR ".join(f"{f}_had_hard_invalid_source" for f in FIELDS)} AS had_hard_invalid_source_any,
@@ -66,27 +66,27 @@ cl AS (SELECT trip_id, printf('%s_seg_%03d', trip_id, CAST(segment AS BIGINT)) A
 
 @query(f"WITH {RECORDINGS_SQL}, {_FILES} SELECT trip_id, file, start, rows, 0 AS malformed FROM tr")
 def s01_s02_s03_p01_x01_x04_discover(spark, sf_dir):
-    return i.trips_of(_raw(spark, sf_dir)).select("trip_id", "file", "start", "rows", "malformed")
+    return i.trips_of(raw_recordings(spark, sf_dir)).select("trip_id", "file", "start", "rows", "malformed")
 
 
 def _cleaned(spark, sf_dir):
-    raw = written(_raw(spark, sf_dir), "raw")
+    raw = written(raw_recordings(spark, sf_dir), "raw")
     return i.clean(raw, i.trips_of(raw), FIELDS)
 
 
-@query(f"WITH {RECORDINGS_SQL}, {_CLEAN} SELECT * REPLACE ({', '.join(f'CAST(round(CAST({f} AS DECIMAL(32, 9)), 6) AS DOUBLE) AS {f}' for f in FIELDS)}) FROM cl")
+@query(f"WITH {RECORDINGS_SQL}, {CLEAN} SELECT * REPLACE ({', '.join(f'CAST(round(CAST({f} AS DECIMAL(32, 9)), 6) AS DOUBLE) AS {f}' for f in FIELDS)}) FROM cl")
 def d01_p09_clean_recordings(spark, sf_dir):
     df = _cleaned(spark, sf_dir)
     return df.withColumns({f: F.round(F.round(f, 9), 6) for f in FIELDS})
 
 
-@query(f"WITH {RECORDINGS_SQL}, {_CLEAN}, e AS (SELECT unnest(string_split(quality_flags, '|')) AS flag FROM cl) SELECT flag, count(*) AS rows FROM e WHERE flag <> '' GROUP BY flag")
+@query(f"WITH {RECORDINGS_SQL}, {CLEAN}, e AS (SELECT unnest(string_split(quality_flags, '|')) AS flag FROM cl) SELECT flag, count(*) AS rows FROM e WHERE flag <> '' GROUP BY flag")
 def x25_flag_counts(spark, sf_dir):
     return i.flag_counts(_cleaned(spark, sf_dir))
 
 
 @query(
-    f"""WITH {RECORDINGS_SQL}, {_CLEAN}, o AS (SELECT count(DISTINCT trip_id) AS trips, count(*) AS rows, count(DISTINCT segment_id) AS segments FROM cl)
+    f"""WITH {RECORDINGS_SQL}, {CLEAN}, o AS (SELECT count(DISTINCT trip_id) AS trips, count(*) AS rows, count(DISTINCT segment_id) AS segments FROM cl)
 SELECT 'any_imputed' AS rule, rows, 0 AS broken FROM o UNION ALL SELECT 'any_suspicious', rows, 0 FROM o UNION ALL SELECT 'any_hard_invalid', rows, 0 FROM o UNION ALL SELECT 'flags_told', rows, 0 FROM o
 UNION ALL SELECT 'one_hertz', rows, 0 FROM o UNION ALL SELECT 'rows_from_one', rows, 0 FROM o UNION ALL SELECT 'segment_owner', rows, 0 FROM o UNION ALL SELECT 'sampled_or_filled', rows, (SELECT count(*) FROM cl WHERE source_sample_count = 0 AND NOT is_imputed_any) FROM o"""
 )
@@ -129,4 +129,4 @@ def x05_time_faults(spark, sf_dir):
     + " UNION ALL ".join(f"SELECT file, '{f}' AS field, count(*) AS failures FROM recordings WHERE {f} IS NOT NULL AND TRY_CAST({f} AS DOUBLE) IS NULL GROUP BY file" for f in FIELDS)
 )
 def d01_coercion_failures(spark, sf_dir):
-    return i.coercion_failures(_raw(spark, sf_dir), FIELDS)
+    return i.coercion_failures(raw_recordings(spark, sf_dir), FIELDS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("continuity", "rules", "cleaning", "scoring", "gates", "texts", "starts", "live", "campaign", "ingest", "assembly", "records", "calibration", "reports")
+MODULES = ("continuity", "rules", "cleaning", "scoring", "gates", "texts", "starts", "live", "campaign", "ingest", "assembly", "records", "calibration", "reports", "quality")
 
 
 def query(oracle: str | None = None):
