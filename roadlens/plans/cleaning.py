@@ -137,7 +137,26 @@ def d02_d03_d04_conditions(spark, sf_dir):
     return df.select(*KEY, "thermal", "child_raw", o.operating_state("thermal", "child_raw").alias("operating"), F.round("vsp_kw_per_t", 4).alias("vsp"))
 
 
-@query()
+def _smoothing_sql(passes: int) -> str:
+    """A pass goes through the runs of a segment one by one, since each sees what the one before has become."""
+    free = lambda x: f"CASE WHEN {x} NOT IN ('inactive_engine_off', 'unknown') THEN {x} END"
+    new = lambda left: f"CASE WHEN n < 3 AND s NOT IN ('inactive_engine_off', 'unknown') THEN coalesce({free(left)}, {free('nx')}, s) ELSE s END"
+    parts = ["sm0 AS (SELECT trip_id, segment_id, row_in_segment, thermal, child_raw AS s FROM c2)"]
+    for p in range(passes):
+        parts += [
+            f"cu{p} AS (SELECT *, CASE WHEN s = lag(s) OVER ({SEG}) THEN 0 ELSE 1 END AS b FROM sm{p})",
+            f"gr{p} AS (SELECT *, sum(b) OVER ({SEG}) AS g FROM cu{p})",
+            f"ru{p} AS (SELECT *, lead(s) OVER (PARTITION BY trip_id, segment_id ORDER BY g) AS nx FROM (SELECT trip_id, segment_id, g, any_value(s) AS s, count(*) AS n FROM gr{p} GROUP BY ALL))",
+            f"fo{p} AS (SELECT *, {new('CAST(NULL AS VARCHAR)')} AS v FROM ru{p} WHERE g = 1 UNION ALL SELECT r.*, {new('v')} FROM (SELECT trip_id, segment_id, g + 1 AS g, v FROM fo{p}) f JOIN ru{p} r USING (trip_id, segment_id, g))",
+            f"sm{p + 1} AS (SELECT trip_id, segment_id, row_in_segment, thermal, v AS s FROM gr{p} JOIN (SELECT trip_id, segment_id, g, v FROM fo{p}) USING (trip_id, segment_id, g))",
+        ]
+    return ",\n".join(parts)
+
+
+@query(
+    with_ticks(_MOTION, _THERMAL, _smoothing_sql(5)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT trip_id, segment_id, row_in_segment, thermal, CASE WHEN thermal <> 'engine_off' AND s = 'inactive_engine_off' THEN 'unknown' ELSE s END AS child FROM sm5"
+)
 def w23_smoothed_states(spark, sf_dir):
     return o.smoothed(_conditions(spark, sf_dir))
 
