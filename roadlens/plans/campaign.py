@@ -15,10 +15,10 @@ from roadlens.operators.continuity import step_of
 from roadlens.operators.rolling import tumble_rows
 from roadlens.operators.starts import start_episodes
 from roadlens.plans.registry import query
-from roadlens.plans.rules import LENGTHS, LIMITS, RULES, prod
+from roadlens.plans.rules import DECISIONS, LENGTHS, LIMITS, RULES, prod
 from roadlens.plans.sql import SEG, named_blocks, production_sql, tidy_sql, with_ticks
 from roadlens.plans.starts import EP
-from roadlens.sources.adapters import table, ticks
+from roadlens.sources.adapters import TICKS_SQL, table, ticks
 from roadlens.sources.scratch import written
 
 #: The pedal channels are driven apart by so many points, for five seconds.
@@ -40,12 +40,36 @@ def _campaign(spark, sf_dir):
     return c.evaluate(r.duration_decisions(r.episodes(state, rules), trips, rules), "3-S1b")
 
 
-@query()
+def _campaign_sql() -> str:
+    """Each scenario's samples under a trip id of their own, then the decisions as of any other trip; only the check's limit is another."""
+    held = "segment_id = w_segment AND row_in_segment BETWEEN first_row AND first_row + 4"
+    flags = ("is_imputed", "is_suspicious", "had_hard_invalid_source")
+    put = [("baseline", "accel_pedal_e", "FALSE"), *((n, f"accel_pedal_d + {x['offset']}", held) for n, _, x in _SEVERITIES)]
+    cells = lambda n, v, h: f"concat('{n}|', trip_id) AS trip_id, CASE WHEN {h} THEN {v} ELSE accel_pedal_e END AS accel_pedal_e, " + ", ".join(f"CASE WHEN {h} THEN FALSE ELSE accel_pedal_e_{x} END AS accel_pedal_e_{x}" for x in flags)
+    scenarios = " UNION ALL ".join(f"SELECT * EXCLUDE (w_segment, first_row) REPLACE ({cells(*x)}) FROM bw" for x in put)
+    return f"""WITH {TICKS_SQL.replace("ticks AS (", "base AS (")},
+bb AS (SELECT *, CASE WHEN t - lag(t) OVER ({SEG}) = 1 AND row_in_segment - lag(row_in_segment) OVER ({SEG}) = 1 THEN 0 ELSE 1 END AS b FROM base), bk AS (SELECT *, sum(b) OVER ({SEG}) AS blk FROM bb),
+wi AS (SELECT trip_id, segment_id, min(row_in_segment) AS first_row, min(t) AS ft FROM (SELECT *, row_in_segment - row_number() OVER (PARTITION BY trip_id, segment_id, blk ORDER BY row_in_segment) AS island FROM bk WHERE accel_pedal_d IS NOT NULL AND accel_pedal_e IS NOT NULL)
+ GROUP BY trip_id, segment_id, blk, island HAVING count(*) >= 5),
+wf AS (SELECT trip_id, segment_id AS w_segment, first_row FROM (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY ft, segment_id, first_row) AS k FROM wi) WHERE k = 1),
+bw AS (SELECT base.*, w_segment, first_row FROM base JOIN wf USING (trip_id)), ticks AS ({scenarios}),
+{DECISIONS.replace("accel_pedal_channel_delta >= 3.0", "accel_pedal_channel_delta >= 65.0")},
+sc AS (SELECT split_part(trip_id, '|', 1) AS scenario, split_part(trip_id, '|', 2) AS trip, result_state AS state FROM dec WHERE sub_check_id = '3-S1b'),
+rs_ AS (SELECT s.*, b.state AS baseline_state, s.state = 'triggered' AND b.state <> 'triggered' AS detected FROM sc s LEFT JOIN (SELECT trip, state FROM sc WHERE scenario = 'baseline') b USING (trip) WHERE scenario <> 'baseline')"""
+
+
+@query(_campaign_sql() + " SELECT scenario, trip, state, baseline_state, detected FROM rs_")
 def i02_i09_j12_campaign_results(spark, sf_dir):
     return _campaign(spark, sf_dir)
 
 
-@query()
+@query(
+    _campaign_sql()
+    + """, cv AS (SELECT scenario, CAST(split_part(scenario, '_', 2) AS INTEGER) AS severity, count(*) AS trips, count(*) FILTER (detected) AS detected FROM rs_ WHERE baseline_state <> 'triggered' GROUP BY ALL),
+cz AS (SELECT *, detected / trips AS rate, 1.959963984540054 AS z FROM cv)
+SELECT scenario, trips, detected, row_number() OVER (ORDER BY severity) AS rank, rate, greatest((rate + z * z / (2 * trips) - z * sqrt(rate * (1 - rate) / trips + z * z / (4 * trips * trips))) / (1 + z * z / trips), 0) AS lo,
+ least((rate + z * z / (2 * trips) + z * sqrt(rate * (1 - rate) / trips + z * z / (4 * trips * trips))) / (1 + z * z / trips), 1) AS hi, coalesce(rate >= lag(rate) OVER (ORDER BY severity), TRUE) AS not_falling, rate >= 0.8 AND trips >= 1 AS accepted FROM cz"""
+)
 def a23_detection_curve(spark, sf_dir):
     return c.curve(_campaign(spark, sf_dir), [x[0] for x in _SEVERITIES], 0.8, 1)
 
