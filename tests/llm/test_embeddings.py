@@ -42,6 +42,34 @@ def test_recall_and_precision(spark):
     assert len(got) == len(rows)
 
 
+def test_recall_near_the_threshold(spark):
+    """Partners at exact cosines from the threshold on, in pairs and in crowds about one vector, among vectors of their own."""
+    rng, rows, d = np.random.default_rng(8), [], 64
+    unit = lambda x: x / np.linalg.norm(x)
+    add = lambda x: rows.append((len(rows), [float(a) for a in np.float32(x)], 1))
+    for _ in range(600):
+        add(unit(rng.standard_normal(d)))
+    starts = {}
+    for cosine, each, groups in ((0.9802, 1, 400), (0.985, 1, 300), (0.985, 12, 25)):
+        starts[cosine, each] = len(rows)
+        for _ in range(groups):
+            x = unit(rng.standard_normal(d))
+            add(x)
+            for _ in range(each):
+                side = rng.standard_normal(d)
+                add(cosine * x + np.sqrt(1 - cosine**2) * unit(side - (side @ x) * x))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_duplicates(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)).collect()}
+    v = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = (v @ v.T >= 0.98).sum(axis=1) - 1
+    edges = [*starts.values(), len(rows)]
+    for (cosine, each), a, z in zip(starts, edges, edges[1:]):
+        total = want[a:z].sum()
+        found = sum(got[i] for i in range(a, z))
+        assert total >= 600 and all(got[i] <= want[i] for i in range(a, z)) and found >= 0.98 * total, (cosine, each, found, total)
+    assert all(got[i] == 0 for i in range(600))
+
+
 def test_hot_group_in_blocks_and_odd_rows(spark):
     rows = planted(5, 1, 300, 0.01)
     rows += [(500, rows[0][1], 0), (501, None, 0), (502, [0.0] * 64, 0), (503, [float("nan")] + [1.0] * 63, 0), (504, [None] + [1.0] * 63, 0)]
