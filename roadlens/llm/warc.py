@@ -162,8 +162,8 @@ def write_archives(
     several rows are found from hashes, pre-aggregated; they are broadcast up to ``broadcast_rows``
     (some 60 bytes each) and joined by shuffle beyond. The dictionary is trained on the ``sample``
     rows of smallest hash among payloads of up to ``longest`` bytes. A task's archive holds about
-    ``archive_bytes`` of payload at most, or else one record: where the table's partitions hold more,
-    rows are dealt out anew.
+    ``archive_bytes`` of payload at most, or else one record: where any of the table's partitions holds more,
+    all rows are dealt out anew into archives of half of it on average.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
@@ -188,9 +188,11 @@ def write_archives(
                 frames.append(encoder.compress(record(page_id, url, payload, refers, refers is not None, date)))
             yield pd.DataFrame({"frame": frames})
 
-    needed = -(-(rows.agg(F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))).first()[0]) // archive_bytes)
-    if needed > rows.rdd.getNumPartitions():
-        typed = typed.repartition(2 * needed)
+    size = F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0))
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(size.alias("bytes")).agg(F.max("bytes").alias("most"), F.sum("bytes").alias("total")).first()
+    # a broadcast join keeps the table's partitions; a shuffle brings the copies of a payload together, so they are dealt out again
+    if not few or (parts["most"] or 0) > archive_bytes:
+        typed = typed.repartition(2 * -(-(parts["total"] or 0) // archive_bytes) or 1)
     as_text = typed.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # ids stay exact beside nulls
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     frames = as_text.mapInPandas(pack, "frame binary").select(F.col("frame").cast("string").alias("value"))

@@ -29,6 +29,17 @@ def test_round_trip(spark):
     assert 10 < spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).count() and read_archives(spark, folder).where("error is not null").count() == 0
 
 
+def test_one_large_partition_among_small_ones(spark):
+    """The large one holds more than an archive may, all others together far less: what counts is the largest, not the average."""
+    html = lambda i: " ".join(str((i * 7919 + j * j) % 10007) for j in range(250))
+    df = spark.createDataFrame([(i, "u", html(i), "k", 0) for i in range(60)], SCHEMA).coalesce(1)
+    for i in range(30):
+        df = df.unionByName(spark.createDataFrame([(1000 + i, "u", "small", "k", 0)], SCHEMA).coalesce(1))
+    folder = write_archives(df, archive_bytes=20_000, longest=10)
+    by = read_archives(spark, folder).groupBy("archive").agg({"payload_bytes": "sum", "page_id": "count"}).collect()
+    assert sum(r["count(page_id)"] for r in by) == 90 and max(r["sum(payload_bytes)"] for r in by) <= 40_000
+
+
 def test_a_broken_archive_ends_the_job(spark, tmp_path, monkeypatch):
     from roadlens.llm import warc
 
