@@ -1,6 +1,7 @@
 """Boundary cases with results worked out by hand."""
 
 import datetime as dt
+import glob
 import os
 import random
 import statistics
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from roadlens.functions.physics import norm_cdf, parse_bool, round_significant
 from roadlens.operators import cleaning, continuity, gates, ingest, ranks, rolling, scoring
 from roadlens.operators.conditions import smooth_states
+from roadlens.plans.registry import queries
 from roadlens.plans.rules import state
 from roadlens.sources import sinks
 from roadlens.streaming import live
@@ -91,6 +93,16 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in got] == [("a", 0.5), ("b", 0.1), ("c", 0.2)]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_records_as_json_take_no_file_each(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/records-*"))
+    n = queries()["s12_x23_x24_record_json"](spark, "/root/testdata/sf0.001").count()
+    (made,) = set(glob.glob(f"{folder}/records-*")) - before
+    files = glob.glob(f"{made}/**/*.txt", recursive=True)
+    assert n > 50 and 0 < len(files) <= 10 and not glob.glob(f"{made}/*/")
+
+
 def test_one_key_of_many_rows_takes_linear_time(spark):
     n = 300_000
     left = spark.range(n).selectExpr("'k' AS by", "id", "id * 2 AS t")
