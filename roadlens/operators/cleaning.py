@@ -96,29 +96,49 @@ def resample(df: DataFrame, value: str, seconds: int = 1) -> DataFrame:
 
 
 def densify(bins: DataFrame, keys: tuple[str, ...] = ("trip_id", "segment")) -> DataFrame:
-    """A row for each bin between a segment's first and last; bins without a sample have nulls."""
-    whole = bins.groupBy(*keys).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).select(*keys, F.explode(F.sequence("lo", "hi")).alias("bin"))
-    return whole.join(bins, [*keys, "bin"], "left")
+    """A row for each bin between a segment's first and last; bins without a sample have nulls.
 
+    Each row brings the empty bins up to the next one with it, so nothing is joined, and rows come up where the segment's own rows are.
+    """
+    rest, at = [c for c in bins.columns if c not in (*keys, "bin")], F.col("bin")
+    after = F.lead("bin").over(Window.partitionBy(*keys).orderBy("bin")) - 1
+    df = bins.withColumn("_to", F.greatest(at, after)).select("*", F.explode(F.sequence("bin", "_to")).alias("_bin"))
+    return df.select(*keys, F.col("_bin").alias("bin"), *[F.when(F.col("_bin") == at, F.col(c)).alias(c) for c in rest])
 
-def fill_short(df: DataFrame, col: str, longest: int = 2, strategy: str = "interpolation", keys: tuple[str, ...] = ("trip_id", "segment"), at: str = "bin") -> DataFrame:
-    """``df`` with ``<col>_filled`` and ``<col>_is_imputed``. Only whole runs of at most ``longest`` nulls are filled.
 
-    Interpolation in time needs a value on both sides; forward fill one before; ``retain`` fills nothing.
+def fill_all_short(df: DataFrame, strategies: dict[str, str], longest: int = 2, keys: tuple[str, ...] = ("trip_id", "segment"), at: str = "bin") -> DataFrame:
+    """``df`` with ``<col>_filled`` and ``<col>_is_imputed`` for each column of ``strategies``. Only whole runs of at most ``longest`` nulls are filled.
+
+    Interpolation in time needs a value on both sides; forward fill one before; ``retain`` fills nothing. One sort serves all columns:
+    what comes next is looked for in the row and the ``longest`` after it, since the end of a run that is filled lies no further.
     """
-    # the next value is the last one in backward order: a growing frame, where one that shrinks would be read anew for each row
-    back, on = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(at), F.desc(at)))
-    v = F.col(col)
-    where = F.when(v.isNotNull(), F.col(at))
-    df = df.withColumns({"_v0": F.last(v, True).over(back), "_t0": F.last(where, True).over(back), "_v1": F.last(v, True).over(on), "_t1": F.last(where, True).over(on), "_no": F.count(v).over(back)})
-    run = F.sum(F.when(v.isNull(), 1).otherwise(0)).over(Window.partitionBy(*keys, "_no"))
-    short = v.isNull() & (run <= longest)
-    if strategy == "interpolation":
-        new = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-    else:
-        new = F.col("_v0") if strategy == "forward_fill" else F.lit(None).cast("double")
-    df = df.withColumn("_new", F.when(short, new))
-    return df.withColumns({f"{col}_filled": F.coalesce(v, F.col("_new")), f"{col}_is_imputed": v.isNull() & F.col("_new").isNotNull()}).drop("_v0", "_t0", "_v1", "_t1", "_no", "_new")
+    back = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(*keys).orderBy(at).rowsBetween(0, longest)
+    place, mark = F.col("_place"), lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), place.alias("place"), F.col(c).alias("v")))
+    df = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
+    made = {"_rows_on": F.count(F.lit(1)).over(on)}
+    for c in strategies:
+        made |= {f"_{c}_0": F.last(mark(c), True).over(back), f"_{c}_1": F.first(mark(c), True).over(on)}
+    old = [c for c in df.columns if c != "_place"]
+    df = df.withColumns(made)
+    out = []
+    for c, strategy in strategies.items():
+        v, before, after = F.col(c), F.col(f"_{c}_0"), F.col(f"_{c}_1")
+        # the place after the run: that of the next value, or the one after the last row, if either is in reach
+        end = F.coalesce(after["place"], F.when(F.col("_rows_on") <= longest, place + F.col("_rows_on")))
+        short = v.isNull() & (end - F.coalesce(before["place"], F.lit(0)) - 1 <= longest)
+        if strategy == "interpolation":
+            new = before["v"] + (after["v"] - before["v"]) * (F.col(at) - before["at"]) / (after["at"] - before["at"])
+        else:
+            new = before["v"] if strategy == "forward_fill" else F.lit(None).cast("double")
+        filled = F.coalesce(v, F.when(short, new))
+        out += [filled.alias(f"{c}_filled"), (v.isNull() & filled.isNotNull()).alias(f"{c}_is_imputed")]
+    return df.select(*old, *out)
+
+
+def fill_short(df: DataFrame, col: str, longest: int = 2, strategy: str = "interpolation", keys: tuple[str, ...] = ("trip_id", "segment"), at: str = "bin") -> DataFrame:
+    """``fill_all_short`` of one column."""
+    return fill_all_short(df, {col: strategy}, longest, keys, at)
 
 
 def discover(files: DataFrame) -> DataFrame:

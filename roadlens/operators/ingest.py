@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
-from roadlens.operators.cleaning import cross_field, densify, discover, fill_short, hard_invalid, local_time, local_time_ambiguous, local_time_exists, parse_filename, suspicious, to_utc
+from roadlens.operators.cleaning import cross_field, densify, discover, fill_all_short, hard_invalid, local_time, local_time_ambiguous, local_time_exists, parse_filename, suspicious, to_utc
 from roadlens.operators.continuity import segment_by_gap
 
 ZONE, GAP_S, LONGEST_FILL_S = "Europe/Berlin", 3.0, 2
@@ -74,26 +74,28 @@ def trips_of(raw: DataFrame) -> DataFrame:
     return discover(files)
 
 
-def clean(raw: DataFrame, trips: DataFrame, fields: tuple[str, ...], *, gap_s: float = GAP_S, longest: int = LONGEST_FILL_S, bounds: dict = k.BOUNDS) -> DataFrame:
+def clean(raw: DataFrame, trips: DataFrame, fields: tuple[str, ...], *, gap_s: float = GAP_S, longest: int = LONGEST_FILL_S, bounds: dict = k.BOUNDS, rows_a_task: int = 400_000) -> DataFrame:
     """One row a second of each segment of each trip, with the fields, their flags and the row's ``quality_flags``, those of rules across fields last.
 
     Of rows with one time the last of the file counts. Values out of physical bounds are taken out, and
     their second is flagged. A gap of over ``gap_s`` starts a segment. A second holds the last value that is
     there; a whole run of at most ``longest`` empty seconds is filled, by the field's own rule. Rows without
-    a time are left out, texts that are no numbers are empty. Every step is partitioned by trip and segment.
+    a time are left out, texts that are no numbers are empty. Every step is partitioned by trip and segment: one exchange by
+    trip serves segments, seconds and fills, with a task for so many raw rows, since each keeps a few sorts of its rows in memory.
     """
+    spark = raw.sparkSession
     df = raw.where("us is not null").join(trips.select("file", "trip_id"), "file")
     last = df.groupBy("trip_id", "us").agg(F.max_by(F.struct(*fields), F.col("row")).alias("r"))
     df = last.select("trip_id", "us", *[F.col("r")[f].try_cast("double").alias(f) for f in fields])
     df = df.withColumns({f"{f}_bad": hard_invalid(f, bounds) for f in fields})
     df = df.withColumns({f: F.when(~F.col(f"{f}_bad"), F.col(f)) for f in fields})
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, raw.count() // rows_a_task + 1), "trip_id")
     df = segment_by_gap(df, gap_s, ("us",)).withColumn("bin", F.floor(F.col("us") / 1_000_000).cast("long"))
     cells = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("us"))).alias(f) for f in fields] + [F.bool_or(f"{f}_bad").alias(f"{f}_bad") for f in fields]
     df = df.groupBy("trip_id", "segment", "bin").agg(*cells, F.count("*").alias("samples"))
     df = densify(df.withColumn("observed", sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))))
-    for f in fields:
-        df = fill_short(df, f, longest, bounds[f][4])
-        df = df.withColumn(f, F.col(f"{f}_filled")).drop(f"{f}_filled")
+    df = fill_all_short(df, {f: bounds[f][4] for f in fields}, longest)
+    df = df.withColumns({f: F.col(f"{f}_filled") for f in fields}).drop(*[f"{f}_filled" for f in fields])
     df = df.withColumns({f"{f}_had_hard_invalid_source": F.coalesce(f"{f}_bad", F.lit(False)) for f in fields})
     df = df.withColumns({f"{f}_is_suspicious": suspicious(f, bounds) for f in fields})
     told = [F.when(F.col(f"{f}_{flag}"), f"{f}:{name}") for f in fields for flag, name in (("had_hard_invalid_source", "hard_invalid_source"), ("is_suspicious", "suspicious"))]

@@ -103,6 +103,42 @@ def test_records_as_json_take_no_file_each(spark):
     assert n > 50 and 0 < len(files) <= 10 and not glob.glob(f"{made}/*/")
 
 
+def test_fills_of_all_columns_against_brute_force(spark):
+    rng, columns = random.Random(5), ("a", "b", "c")
+    cells = {s: [[rng.choice([None, None, float(i), float(i * i)]) for _ in columns] for i in range(rng.choice([1, 2, 3, 40]))] for s in range(30)}
+    df = spark.createDataFrame([("t", s, i * 3 + i % 3, *row) for s, rows in cells.items() for i, row in enumerate(rows)], "trip_id string, segment int, bin long, a double, b double, c double")
+    for longest in (1, 2, 4):
+        got = {(r["segment"], r["bin"]): r for r in cleaning.fill_all_short(df, dict(zip(columns, ("interpolation", "forward_fill", "retain"))), longest).collect()}
+        assert len(got) == sum(map(len, cells.values()))
+        for s, rows in cells.items():
+            at = [i * 3 + i % 3 for i in range(len(rows))]
+            for j, c in enumerate(columns):
+                v = [r[j] for r in rows]
+                want = list(v)
+                for i in range(len(v)):
+                    if v[i] is None:
+                        lo = max((k for k in range(i) if v[k] is not None), default=-1)
+                        hi = min((k for k in range(i + 1, len(v)) if v[k] is not None), default=len(v))
+                        if hi - lo - 1 <= longest and lo >= 0 and c == "b":
+                            want[i] = v[lo]
+                        if hi - lo - 1 <= longest and lo >= 0 and hi < len(v) and c == "a":
+                            want[i] = v[lo] + (v[hi] - v[lo]) * (at[i] - at[lo]) / (at[hi] - at[lo])
+                assert [got[s, x][f"{c}_filled"] for x in at] == want
+                assert [got[s, x][f"{c}_is_imputed"] for x in at] == [w is not None and x is None for w, x in zip(want, v)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_cleaning_sorts_a_task_a_few_times_only(spark):
+    plan = queries()["d01_p09_clean_recordings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") + plan.count("Window[") <= 8 and "SortMergeJoin" not in plan and plan.count("bin#") > 0
+
+
+def test_densify_brings_each_empty_bin_once(spark):
+    bins = spark.createDataFrame([("t", 1, 5, 1.0), ("t", 1, 6, None), ("t", 1, 9, 2.0), ("t", 2, 3, 4.0)], "trip_id string, segment int, bin long, v double")
+    got = [tuple(r) for r in cleaning.densify(bins).collect()]
+    assert sorted(got, key=str) == sorted([("t", 1, 5, 1.0), ("t", 1, 6, None), ("t", 1, 7, None), ("t", 1, 8, None), ("t", 1, 9, 2.0), ("t", 2, 3, 4.0)], key=str)
+
+
 def test_one_key_of_many_rows_takes_linear_time(spark):
     n = 300_000
     left = spark.range(n).selectExpr("'k' AS by", "id", "id * 2 AS t")
