@@ -15,7 +15,7 @@ from roadlens.operators.continuity import step_of
 from roadlens.operators.rolling import tumble_rows
 from roadlens.operators.starts import start_episodes
 from roadlens.plans.registry import query
-from roadlens.plans.rules import DECISIONS, LENGTHS, LIMITS, RULES, prod
+from roadlens.plans.rules import DECISIONS, LENGTHS, LIMITS, RULES, samples
 from roadlens.plans.sql import SEG, named_blocks, production_sql, tidy_sql, with_ticks
 from roadlens.plans.starts import EP
 from roadlens.sources.adapters import TICKS_SQL, table, ticks
@@ -112,7 +112,7 @@ fo AS (SELECT *, row_number() OVER (PARTITION BY selector, trip_id ORDER BY firs
 @query(with_ticks(production_sql(**LENGTHS), EP, _all_selectors_sql()) + "SELECT selector, trip_id, segment_id, first_row, first_t FROM fo WHERE o = 1")
 def i02_i08_all_selectors(spark, sf_dir):
     """The windows of all nine selectors from one pass over samples with features."""
-    df = written(prod(spark, sf_dir), "samples")
+    df = samples(spark, sf_dir)
     starts = start_episodes(df).select("trip_id", "segment_id").distinct().withColumn("later_start", F.lit(True))
     gaps = step_of(df).select("trip_id", "segment_id", F.col("gap_seconds").alias("segment_gap_seconds"))
     df = df.join(gaps, ["trip_id", "segment_id"]).join(starts, ["trip_id", "segment_id"], "left").withColumn("later_start", F.coalesce("later_start", F.lit(False)))

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlens.functions.physics import norm_cdf, parse_bool, round_significant
-from roadlens.operators import cleaning, continuity, gates, ingest, ranks, rolling, scoring
+from roadlens.operators import cleaning, continuity, gates, ingest, ranks, rolling, rules, scoring
 from roadlens.operators.conditions import smooth_states
 from roadlens.plans.registry import queries
+from roadlens.plans.rules import samples as samples_of
 from roadlens.plans.rules import state
 from roadlens.sources import sinks
 from roadlens.streaming import live
@@ -133,6 +134,14 @@ def test_cleaning_sorts_a_task_a_few_times_only(spark):
     assert plan.count("Window ") + plan.count("Window[") <= 8 and "SortMergeJoin" not in plan and plan.count("bin#") > 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_samples_are_dealt_out_once(spark):
+    df = samples_of(spark, "/root/testdata/sf0.001")
+    for made in (rules.rule_state(df), continuity.local_blocks(df, F.lit(True)).groupBy("trip_id", "segment_id", "block").count()):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rules.rule_state(df).count() == df.count() > 0
+
+
 def test_densify_brings_each_empty_bin_once(spark):
     bins = spark.createDataFrame([("t", 1, 5, 1.0), ("t", 1, 6, None), ("t", 1, 9, 2.0), ("t", 2, 3, 4.0)], "trip_id string, segment int, bin long, v double")
     got = [tuple(r) for r in cleaning.densify(bins).collect()]
