@@ -10,6 +10,7 @@ to those later ones that the upper nodes do not rule out.
 
 Texts of a given shingle similarity, which differ in too many of 64 bits, are found by ``deduplicated``:
 longer fingerprints, many narrow masked blocks as uppermost nodes, and an exact comparison of shingles.
+Links that those miss are found by the shingles themselves: texts similar enough share one of their first ones.
 """
 
 from __future__ import annotations
@@ -235,18 +236,35 @@ def long_print(hashes: np.ndarray, block: int = 20_000) -> np.ndarray:
     return np.packbits((counts.reshape(-1, 256) @ _BITS).ravel() * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bit for each place that an odd number of the ``hashes`` fall on; as many places as hashes or more, a power of two of 64 at least."""
+    places = 64 << max(0, (len(hashes) - 1 >> 6).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At most as many as the members that only one of two sets has, told from their ``parity_bits``."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_print(text: Column, shingle: int) -> Column:
-    """(sh, w0, w1, ...): a hash of the text's shingle set, zero where it is empty, and the words of its ``long_print``."""
+    """(sh, n, bits, w0, w1, ...): a hash of the text's shingle set, zero where it is empty, its size, ``parity_bits`` and the words of its ``long_print``."""
 
-    @pandas_udf("sh long, " + ", ".join(f"w{i} long" for i in range(PRINT_WORDS)))
+    @pandas_udf("sh long, n long, bits binary, " + ", ".join(f"w{i} long" for i in range(PRINT_WORDS)))
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             keys, words = np.zeros(len(s), np.uint64), np.zeros((len(s), PRINT_WORDS), np.uint64)
+            size, bits = np.zeros(len(s), np.int64), [b""] * len(s)
             for i, t in enumerate(s):
                 own = shingle_set(t, shingle)
                 if len(own):
                     keys[i], words[i] = xxhash.xxh64_intdigest(own.tobytes(), 42), long_print(own)
-            yield pd.DataFrame({"sh": keys.view(np.int64)} | {f"w{i}": words[:, i].view(np.int64) for i in range(PRINT_WORDS)})
+                    size[i], bits[i] = len(own), parity_bits(own)
+            yield pd.DataFrame({"sh": keys.view(np.int64), "n": size, "bits": bits} | {f"w{i}": words[:, i].view(np.int64) for i in range(PRINT_WORDS)})
 
     return of(text)
 
@@ -436,28 +454,119 @@ def alike_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text_col:
     return both.where(alike("t_a", "t_b")).select("a", "b")
 
 
-def similar_texts(docs: DataFrame, classes: DataFrame, text_col: str, shingle: int, similarity: float, radius: int = 64) -> DataFrame:
-    """(a, b): links that connect texts of ``classes`` (sh, least, w0, ...) of a Jaccard similarity of ``similarity`` or more.
+def first_shingles(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of a set's ``hashes`` the first, seldom ones first: as many that a set of that ``similarity`` or more has one of them among its own first.
+
+    ``often`` are sorted hashes that come last, by ``counts``. Any order gives the same links; this one keeps what many sets hold out of it.
+    """
+    weight = np.zeros(len(hashes), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        weight = np.where(often[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def prefix_pairs(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, members: int = 2048, sampled: int = 8, least: int = 8, most: int = 500_000) -> DataFrame:
+    """(a, b): every pair of ``sh`` of different groups that can have a Jaccard similarity of ``similarity``, from ``grouped`` (sh, g, n, bits, least).
+
+    Two such sets share one of their first shingles in any order that holds for all; a pair that does is
+    left out only where sizes or parity bits rule the similarity out, so no link is missed. Shingles that many texts hold are put last
+    in the order. They are told from one text in ``sampled``, ``most`` of them at most, which bears on the work alone. A
+    shingle that is held by over ``members`` texts all the same is dealt out as pairs of blocks.
+    """
+    spark = docs.sparkSession
+    text = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    named = grouped.select("sh", "g", F.col("least.doc_id").alias("d_"), F.col("least.th").alias("th_"))
+
+    def texts(classes: DataFrame) -> DataFrame:
+        return text.join(classes, F.col("th").eqNullSafe(F.col("th_")) & F.col("d").eqNullSafe(F.col("d_"))).select("sh", "g", "t")
+
+    def all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t in batch["t"]:
+                yield pd.DataFrame({"token": shingle_set(t, shingle).view(np.int64)})
+
+    counted = texts(named.where(F.pmod("sh", F.lit(sampled)) == 0)).mapInPandas(all_shingles, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    told = counted.orderBy(F.desc("n"), "token").limit(most).toPandas()
+    order = np.argsort(told["token"].to_numpy(dtype=np.int64).view(np.uint64))
+    known = spark.sparkContext.broadcast((told["token"].to_numpy(dtype=np.int64).view(np.uint64)[order], told["n"].to_numpy(dtype=np.int64)[order]))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, counts = known.value
+        many = often[counts * sampled > members]
+        for batch in batches:
+            for sh, g, t in zip(batch["sh"], batch["g"], batch["t"]):
+                own = shingle_set(t, shingle)
+                first = first_shingles(own, similarity, often, counts)
+                unit, block = [first], [np.full(len(first), -1)]
+                for i in np.flatnonzero(np.isin(first, many)) if len(many) else []:
+                    blocks = -(-int(counts[np.searchsorted(often, first[i])]) * sampled // members)
+                    b, other = sh % blocks, np.arange(blocks)
+                    cell = np.minimum(b, other) * blocks + np.maximum(b, other) + 1
+                    unit.append(first[i] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    block.append(np.where(other == b, -1, b))
+                    block[0][i] = -2
+                unit, block = np.concatenate(unit).view(np.int64), np.concatenate(block)
+                yield pd.DataFrame({"unit": unit[block > -2], "sh": sh, "g": g, "n": len(own), "block": block[block > -2]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts, ends in whole_keys(batches, "unit"):
+            sh, g, n, block = (frame[c].to_numpy() for c in ("sh", "g", "n", "block"))
+            last, at, step, held, size = np.repeat(ends, ends - starts), np.arange(len(sh)), 0, [], 0
+            while len(at):
+                step += 1
+                at = at[at + step < last[at]]
+                at = at[n[at] >= similarity * n[at + step] - 1e-9]  # sizes rise
+                i = at[(g[at] != g[at + step]) & ((block[at] != block[at + step]) | (block[at] < 0))]
+                held.append(np.stack([np.minimum(sh[i], sh[i + step]), np.maximum(sh[i], sh[i + step])]))
+                size += len(i)
+                if held and (size > 200_000 or not len(at)):
+                    a, b = np.unique(np.concatenate(held, axis=1), axis=1) if size else held[0]
+                    yield pd.DataFrame({"a": a, "b": b})
+                    held, size = [], 0
+
+    dealt = texts(named).mapInPandas(deal, "unit long, sh long, g long, n long, block long")
+    pairs = dealt.repartition("unit").sortWithinPartitions("unit", "n").mapInPandas(meet, "a long, b long").distinct()
+
+    @pandas_udf("boolean")
+    def may_be_alike(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        bound = (1 - similarity) / (1 + similarity) * n + 1e-6
+        return pd.Series([least_difference(x, y) for x, y in zip(a, b)], dtype="int64", index=n.index) <= bound
+
+    left, right = (grouped.select(F.col("sh").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").where(may_be_alike("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int = 64) -> DataFrame:
+    """(a, b): links that connect texts of ``classes`` (sh, least, n, bits, w0, ...) of a Jaccard similarity of ``similarity`` or more: just those that all such pairs connect.
 
     Dense nodes first give stars: their members against one leader each, compared exactly. What they
-    link is one group from then on, and the search proper looks for links between groups only.
+    link is one group from then on. The nodes of the fingerprints then give the near links between groups at
+    little cost, and the first shingles all that are left between the groups that those make.
     """
     worded = classes.where("sh <> 0")
-    stars = written(alike_pairs(star_pairs(worded, radius), docs, classes, text_col, shingle, similarity), "simhash-stars")
-    grouped = worded.withColumn("g", F.col("sh"))
-    if not stars.isEmpty():
-        grouped = worded.join(components(stars), F.col("sh") == F.col("node"), "left").withColumn("g", F.coalesce("root", "sh")).drop("node", "root")
-        grouped = written(grouped, "simhash-grouped")
-    found = alike_pairs(candidate_pairs(grouped, radius), docs, classes, text_col, shingle, similarity)
-    return stars.unionByName(found)
+
+    def grouped(links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return worded.withColumn("g", F.col("sh"))
+        of = worded.join(components(links), F.col("sh") == F.col("node"), "left").withColumn("g", F.coalesce("root", "sh")).drop("node", "root")
+        return written(of, "simhash-grouped")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        return written(alike_pairs(pairs, docs, classes, text_col, shingle, similarity), name)
+
+    stars = alike(star_pairs(worded, radius), "simhash-stars")
+    links = stars.unionByName(alike(candidate_pairs(grouped(stars), radius), "simhash-near"))
+    return links.unionByName(alike(prefix_pairs(grouped(links), docs, id_col, text_col, shingle, similarity), "simhash-rest"))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with one row of each component of near duplicates: that of the smallest id, then of the smallest hash of its text.
 
     Texts are linked if the sets of their word shingles have a Jaccard similarity of ``similarity`` or more;
-    those without words are alike. Candidates come from long fingerprints and each is compared shingle by
-    shingle. Null ids come last. Of rows that repeat the kept id and text one stays. The keys to remove are
+    those without words are alike. Candidates come from long fingerprints, then, between the groups that these
+    make, from shared first shingles, which leave none out; each is compared shingle by shingle. Null ids come last. Of rows that repeat the kept id and text one stays. The keys to remove are
     broadcast up to ``broadcast_rows`` (16 bytes each) and joined by shuffle beyond.
     """
     text = F.col(text_col)
@@ -465,12 +574,12 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     words = [f"w{i}" for i in range(PRINT_WORDS)]
     prints = written(prints.select("doc_id", "th", "p.*"), "simhash")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    classes = written(prints.groupBy("sh").agg(F.min(rank).alias("least"), *[F.min(w).alias(w) for w in words]), "simhash-classes")
-    roots = components(similar_texts(docs, classes, text_col, shingle, similarity)).withColumnRenamed("node", "sh")
-    linked = classes.drop(*words).join(roots, "sh", "left").withColumn("root", F.coalesce("root", "sh"))
+    classes = written(prints.groupBy("sh").agg(F.min(rank).alias("least"), *[F.min(c).alias(c) for c in ("n", "bits", *words)]), "simhash-classes")
+    roots = components(similar_texts(docs, classes, id_col, text_col, shingle, similarity)).withColumnRenamed("node", "sh")
+    linked = classes.select("sh", "least").join(roots, "sh", "left").withColumn("root", F.coalesce("root", "sh"))
     best = linked.groupBy("root").agg(F.min("least").alias("best"))
     of = linked.join(best, "root").select(F.col("sh").alias("f"), "best")
-    keys = prints.drop(*words).join(of, F.col("sh") == F.col("f")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("th").eqNullSafe(F.col("best.th")))
+    keys = prints.select("doc_id", "th", "sh").join(of, F.col("sh") == F.col("f")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("th").eqNullSafe(F.col("best.th")))
     keys = keys.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     keys = written(keys.where("not stays or n > 1"), "simhash-keys")
     side = F.broadcast if keys.count() <= broadcast_rows else lambda df: df

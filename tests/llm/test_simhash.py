@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from roadlens.llm.common import roots_of
-from roadlens.llm.simhash import deduplicated, gray_links, near_duplicates, nearest_forest, similar_fingerprints, simhash
+from roadlens.llm.simhash import deduplicated, gray_links, near_duplicates, nearest_forest, parity_bits, prefix_pairs, shingle_set, similar_fingerprints, simhash
 
 
 def brute_print(text):
@@ -97,6 +97,49 @@ def test_one_large_group_of_near_copies(spark):
     assert got.columns == ["doc_id", "text", "_d", "_t"] and {r["doc_id"] for r in got.collect()} == {0} | set(range(1000, 1200))
 
 
+def test_all_links_at_the_threshold(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    alike = lambda v, w: len(sets(v) & sets(w)) / len(sets(v) | sets(w))
+    rows, near = [], set()
+    while len(near) < 1500:
+        w = rng.choices(vocab, k=rng.randint(20, 120))
+        e = list(w)
+        for _ in range(rng.randint(1, 3)):
+            e[rng.randrange(len(e))] = rng.choice(vocab)
+        cut = rng.randint(0, 20)
+        e = e[: len(e) - cut]
+        if len(e) > 5 and 0.8 <= alike(w, e) < 0.83:
+            i = len(near)
+            near.add(10_000 + i)
+            rows += [(i, " ".join(w)), (10_000 + i, " ".join(e))]
+    got = {r["doc_id"] for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(1500))
+
+
+def test_links_by_first_shingles(spark):
+    rng = random.Random(9)
+    vocab, common = [f"w{i}" for i in range(400)], " ".join(f"c{i}" for i in range(60))
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(1, 40))) for _ in range(80)] + [f"{common} {rng.choice(vocab)}" + f" {rng.choice(vocab)}" * rng.randint(1, 14) for _ in range(120)]
+    for t in rng.choices(texts, k=150):
+        w = t.split(" ")
+        w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append(" ".join(w[: len(w) - rng.randint(0, 3)]))
+    sets = {t: shingle_set(t) for t in texts}
+    keys = {t: int(np.int64(i + 1)) * 7_919 - 1_000_000 for i, t in enumerate(sets)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sets)], "doc_id long, text string")
+    group = {t: keys[t] for t in sets} | {t: -5 for t in list(sets)[90:100]}
+    rows = [(keys[t], group[t], i, len(s), bytearray(parity_bits(s)), t) for i, (t, s) in enumerate(sets.items())]
+    grouped = spark.createDataFrame(rows, "sh long, g long, i long, n long, bits binary, t string").selectExpr("sh", "g", "n", "bits", "named_struct('doc_id', i, 'th', xxhash64(t)) as least")
+    similar = lambda s, t: len(np.intersect1d(s, t)) >= 0.8 * len(np.union1d(s, t)) - 1e-9
+    want = {tuple(sorted((keys[s], keys[t]))) for s in sets for t in sets if keys[s] < keys[t] and group[s] != group[t] and similar(sets[s], sets[t])}
+    assert len(want) > 150
+    for members, least in ((2048, 8), (16, 1)):  # with one unit for a shingle, with blocks of it
+        got = [(r["a"], r["b"]) for r in prefix_pairs(grouped, docs, "doc_id", "text", 5, 0.8, members=members, sampled=1, least=least).collect()]
+        assert len(got) == len(set(got)) and set(got) >= want and all(a < b for a, b in got)
+
+
 def test_empty_table(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
