@@ -158,7 +158,7 @@ def rederived(samples: DataFrame, checks: list[Check]) -> DataFrame:
     """
     names = {f"{c.sub_check}/{c.param}": c for c in checks}
     cells = [F.when(F.coalesce(c.mask, F.lit(False)) & c.value.isNotNull(), F.struct(F.lit(n).alias("measure"), c.value.cast("double").alias("v"))) for n, c in names.items()]
-    long = samples.select("trip_id", F.explode(F.array_compact(F.array(*cells))).alias("m")).select("trip_id", "m.measure", "m.v")
+    long = samples.select("trip_id", F.explode(F.array(*cells)).alias("m")).where("m is not null").select("trip_id", "m.measure", "m.v")
     folded = written(long.groupBy("measure", "trip_id", "v").agg(F.count("*").alias("c")), "measures")
     of = lambda *kinds: [n for n, c in names.items() if c.statistic.rstrip("0123456789.") in kinds]
     share = lambda n: float(names[n].statistic.lstrip("qtrips"))
