@@ -470,9 +470,9 @@ def first_shingles(hashes: np.ndarray, similarity: float, often: np.ndarray, cou
 def prefix_pairs(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, members: int = 2048, sampled: int = 8, least: int = 8, most: int = 500_000) -> DataFrame:
     """(a, b): every pair of ``sh`` of different groups that can have a Jaccard similarity of ``similarity``, from ``grouped`` (sh, g, n, bits, least).
 
-    Two such sets share one of their first shingles in any order that holds for all; a pair that does is
-    left out only where sizes or parity bits rule the similarity out, so no link is missed. Shingles that many texts hold are put last
-    in the order. They are told from one text in ``sampled``, ``most`` of them at most, which bears on the work alone. A
+    Two such sets share one of their first shingles in any order that holds for all. What stands before the first one shared is in one
+    set only, so a pair is formed only where sizes and places in the order leave enough to share; of those, parity bits
+    rule out more. No link is missed. Shingles that many texts hold are put last in the order. They are told from one text in ``sampled``, ``most`` of them at most, which bears on the work alone. A
     shingle that is held by over ``members`` texts all the same is dealt out as pairs of blocks.
     """
     spark = docs.sparkSession
@@ -495,30 +495,43 @@ def prefix_pairs(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, counts = known.value
         many = often[counts * sampled > members]
+        names, held, size = ("unit", "sh", "apart", "block", "size_place"), [], 0
         for batch in batches:
             for sh, g, t in zip(batch["sh"], batch["g"], batch["t"]):
                 own = shingle_set(t, shingle)
                 first = first_shingles(own, similarity, often, counts)
-                unit, block = [first], [np.full(len(first), -1)]
+                unit, block, place = [first], [np.full(len(first), -1)], [np.arange(len(first))]
                 for i in np.flatnonzero(np.isin(first, many)) if len(many) else []:
                     blocks = -(-int(counts[np.searchsorted(often, first[i])]) * sampled // members)
                     b, other = sh % blocks, np.arange(blocks)
                     cell = np.minimum(b, other) * blocks + np.maximum(b, other) + 1
                     unit.append(first[i] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                     block.append(np.where(other == b, -1, b))
+                    place.append(np.full(blocks, i))
                     block[0][i] = -2
-                unit, block = np.concatenate(unit).view(np.int64), np.concatenate(block)
-                yield pd.DataFrame({"unit": unit[block > -2], "sh": sh, "g": g, "n": len(own), "block": block[block > -2]})
+                unit, block, place = (np.concatenate(x) for x in (unit, block, place))
+                # what is zero for most rows, or small, takes no room in a shuffle: 48 bits tell units well enough, ``g`` is mostly ``sh``
+                rows = np.stack([(unit >> np.uint64(16)).view(np.int64), np.full(len(unit), sh), np.full(len(unit), sh ^ g), block + 1, (len(own) << 32) + place])
+                held.append(rows[:, block > -2])
+                size += len(unit)
+                if size > 50_000:
+                    yield pd.DataFrame(dict(zip(names, np.concatenate(held, axis=1))))
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip(names, np.concatenate(held, axis=1))))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts, ends in whole_keys(batches, "unit"):
-            sh, g, n, block = (frame[c].to_numpy() for c in ("sh", "g", "n", "block"))
+            sh, apart, block, size_place = (frame[c].to_numpy() for c in ("sh", "apart", "block", "size_place"))
+            g, n = sh ^ apart, size_place >> 32
+            most = (n - (size_place & 0xFFFFFFFF)) * (1 + similarity) + 1e-6  # what a set can share from here on, against what two must
             last, at, step, held, size = np.repeat(ends, ends - starts), np.arange(len(sh)), 0, [], 0
             while len(at):
                 step += 1
                 at = at[at + step < last[at]]
-                at = at[n[at] >= similarity * n[at + step] - 1e-9]  # sizes rise
-                i = at[(g[at] != g[at + step]) & ((block[at] != block[at + step]) | (block[at] < 0))]
+                at = at[most[at] >= similarity * (n[at] + n[at + step])]  # sizes rise
+                i = at[most[at + step] >= similarity * (n[at] + n[at + step])]
+                i = i[(g[i] != g[i + step]) & ((block[i] != block[i + step]) | (block[i] == 0))]
                 held.append(np.stack([np.minimum(sh[i], sh[i + step]), np.maximum(sh[i], sh[i + step])]))
                 size += len(i)
                 if held and (size > 200_000 or not len(at)):
@@ -526,8 +539,8 @@ def prefix_pairs(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str
                     yield pd.DataFrame({"a": a, "b": b})
                     held, size = [], 0
 
-    dealt = texts(named).mapInPandas(deal, "unit long, sh long, g long, n long, block long")
-    pairs = dealt.repartition("unit").sortWithinPartitions("unit", "n").mapInPandas(meet, "a long, b long").distinct()
+    dealt = texts(named).mapInPandas(deal, "unit long, sh long, apart long, block long, size_place long")
+    pairs = dealt.repartition("unit").sortWithinPartitions("unit", "size_place").mapInPandas(meet, "a long, b long").distinct()
 
     @pandas_udf("boolean")
     def may_be_alike(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:

@@ -140,6 +140,25 @@ def test_links_by_first_shingles(spark):
         assert len(got) == len(set(got)) and set(got) >= want and all(a < b for a, b in got)
 
 
+def test_near_copies_below_the_threshold_make_few_pairs(spark):
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(5000)]
+    base, texts = rng.choices(vocab, k=150), []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(5, 145), 4 if i < 280 else 1):
+            w[at] = rng.choice(vocab)
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, len(s), bytearray(8), t) for i, (s, t) in enumerate(zip(sets, texts))]  # bits that rule nothing out
+    grouped = spark.createDataFrame(rows, "i long, n long, bits binary, t string").selectExpr("i + 1 as sh", "i + 1 as g", "n", "bits", "named_struct('doc_id', i, 'th', xxhash64(t)) as least")
+    want = {(i + 1, j + 1) for i in range(300) for j in range(i + 1, 300) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    for members, least in ((2048, 8), (16, 1)):
+        got = {(r["a"], r["b"]) for r in prefix_pairs(grouped, docs, "doc_id", "text", 5, 0.8, members=members, sampled=1, least=least).collect()}
+        assert want and got >= want and len(got) < 2 * len(want) + 1000, (len(got), len(want))
+
+
 def test_empty_table(spark):
     assert deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
