@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.operators.ranks import numbered
 from roadlens.operators.records import known_correlations
-from roadlens.operators.text_audit import sentences, shared_shingle, text_stats, unnegated, unsupported_numbers
+from roadlens.operators.text_audit import let, sentences, shared_shingle, text_stats, unnegated, unsupported_numbers
 
 # Fields with the wordings that explain them, phrases, patterns and bounds in words.
 RAW_FIELDS = {
@@ -33,10 +33,10 @@ _bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "
 def _verdict(text: Column, tests: list[tuple[Column, Column, int]]) -> Column:
     """Struct (score, passed, warnings): of each test (name, condition, tenths) that holds, the tenths are taken off. Blank texts and error messages score nothing."""
     useless = F.when(_bare(text) == "", F.lit("empty")).when(F.startswith(_bare(text), F.lit("Error:")), F.lit("error"))
-    left = F.greatest(F.lit(0), F.lit(10) - sum((F.when(_yes(c), t).otherwise(0) for _, c, t in tests), F.lit(0)))
-    left = F.when(useless.isNotNull(), 0).otherwise(left)
-    told = F.array_compact(F.array(*[F.when(_yes(c), n) for n, c, _ in tests]))
-    return F.struct((left / 10).alias("score"), (left >= LEAST_PASS).alias("passed"), F.when(useless.isNotNull(), F.array(useless)).otherwise(told).alias("warnings"))
+    held = F.array_compact(F.array(*[F.when(_yes(c), F.struct(n.alias("name"), F.lit(t).alias("tenths"))) for n, c, t in tests]))
+    none = F.struct(F.array(useless).alias("told"), F.lit(0).alias("left"))
+    told = let(held, lambda h: F.struct(F.transform(h, lambda x: x["name"]).alias("told"), F.greatest(F.lit(0), F.lit(10) - F.aggregate(h, F.lit(0), lambda n, x: n + x["tenths"])).alias("left")))
+    return let(F.when(useless.isNotNull(), none).otherwise(told), lambda v: F.struct((v["left"] / 10).alias("score"), (v["left"] >= LEAST_PASS).alias("passed"), v["told"].alias("warnings")))
 
 
 def _certain(text: Column) -> tuple[Column, Column, int]:

@@ -22,18 +22,31 @@ def _escape(phrase: str) -> str:
     return "".join(f"\\{c}" if c in ".^$*+?()[]{}|\\" else c for c in phrase)
 
 
-def has_unnegated(text: Column, phrase: str) -> Column:
-    """The phrase stands in a clause without a negation word before it; phrases such as "no doubt" are no negations."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds ``value`` once: where it stands in a lambda, or several times, it would be worked out for each element or place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _clauses(text: Column) -> Column:
     t = F.lower(text)
     for p in PSEUDO:
         t = F.regexp_replace(t, _escape(p), " " * len(p))
+    return F.split(t, CLAUSE)
+
+
+def _unnegated_in(clauses: Column, phrase: str) -> Column:
     negated = rf"\b({'|'.join(NEGATIONS)})\b|n['’]t\b"
     before = lambda clause: F.substring_index(F.regexp_replace(clause, rf"\b{_escape(phrase)}\b", "\x01"), "\x01", 1)
-    return F.coalesce(F.exists(F.split(t, CLAUSE), lambda c: c.rlike(rf"\b{_escape(phrase)}\b") & ~before(c).rlike(negated)), F.lit(False))
+    return F.coalesce(F.exists(clauses, lambda c: F.contains(c, F.lit(phrase)) & c.rlike(rf"\b{_escape(phrase)}\b") & ~before(c).rlike(negated)), F.lit(False))
+
+
+def has_unnegated(text: Column, phrase: str) -> Column:
+    """The phrase stands in a clause without a negation word before it; phrases such as "no doubt" are no negations."""
+    return _unnegated_in(_clauses(text), phrase)
 
 
 def unnegated(text: Column, phrases: tuple[str, ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(has_unnegated(text, p), p) for p in phrases]))
+    return let(_clauses(text), lambda clauses: F.array_compact(F.array(*[F.when(_unnegated_in(clauses, p), p) for p in phrases])))
 
 
 def word_list(text: Column) -> Column:
@@ -43,7 +56,7 @@ def word_list(text: Column) -> Column:
 def shared_shingle(a: Column, b: Column, n: int = 12, words: Callable[[Column], Column] = word_list) -> Column:
     """The texts share n words in a row; ``words`` tells those of a text."""
     shingles = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.arrays_overlap(shingles(words(a)), shingles(words(b)))
+    return F.arrays_overlap(let(words(a), shingles), let(words(b), shingles))
 
 
 def numbers(text: Column) -> Column:

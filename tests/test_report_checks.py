@@ -1,5 +1,7 @@
 """Sections of a report, their evidence, retrieved texts and the parts of primary records."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,11 @@ def test_report_quality(spark):
     got = df.orderBy("i").select(r.report_quality(*map(F.col, "dcaxl")).alias("v")).collect()
     for (*_, want), g in zip(rows, got):
         assert tuple(g["v"][:4]) == pytest.approx(want) and g["v"]["mean"] == pytest.approx(sum(want) / 4)
+
+
+def test_cause_of_many_words_takes_linear_time(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(f"might {text}", f"v {text}"), (f"might {text}", " ".join(f"v{i}" for i in range(20_000)))], "cause string, description string")
+    began = time.monotonic()
+    got = [r["v"]["warnings"] for r in df.select(r.check_cause(F.col("cause"), F.col("description")).alias("v")).collect()]
+    assert got == [["repetition", "long"], ["long"]] and time.monotonic() - began < 30
