@@ -19,7 +19,7 @@ from roadlens.plans.rules import DECISIONS, LENGTHS, LIMITS, RULES, samples
 from roadlens.plans.sql import SEG, named_blocks, production_sql, tidy_sql, with_ticks
 from roadlens.plans.starts import EP
 from roadlens.sources.adapters import TICKS_SQL, table, ticks
-from roadlens.sources.scratch import written
+from roadlens.sources.scratch import written_by
 
 #: The pedal channels are driven apart by so many points, for five seconds.
 _SEVERITIES = [(f"apart_{x}", 5, {"reference": "accel_pedal_d", "offset": float(x)}) for x in (40, 64, 70)]
@@ -137,11 +137,12 @@ ic AS (SELECT trip_id, segment_id, row_in_segment, coolant_ambient_delta, intake
 
 
 @query(with_ticks(_recomputed_sql(18, 12, 6)) + "SELECT trip_id, segment_id, row_in_segment, " + ", ".join(f"{tidy_sql(x, 4)} AS {x}" for x in c.RECOMPUTED) + " FROM ic")
-def i06_recomputed_features(spark, sf_dir):
+def i06_recomputed_features(spark, sf_dir, rows_a_task: int = 400_000):
     """Features after two faults in each segment, worked out anew about the changed rows only; the oracle works out all of them."""
-    keys = ["trip_id", "segment_id", "row_in_segment"]
+    keys, segment = ["trip_id", "segment_id", "row_in_segment"], ("trip_id", "segment_id")
+    parts = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // rows_a_task + 1)
     df = ticks(spark, sf_dir).select(*keys, "rpm", "speed", "ambient_temp", "accel_pedal_d", "map", "coolant_temp", "intake_temp", "maf", "accel_pedal_e")
-    before = written(c.recomputed(df, **LENGTHS), "features")
+    before = written_by(c.recomputed(df.repartition(parts, *segment), **LENGTHS), "features", segment, parts)
     changed = before.where(_HIT).select(*keys, (F.col("coolant_temp") + 15).alias("coolant_temp"), (F.col("intake_temp") + 4).alias("intake_temp"), (F.col("maf") * 0.7).alias("maf"), (F.col("accel_pedal_d") + 20).alias("accel_pedal_e"))
     out = c.recomputed_about(before, changed, **LENGTHS)
     return out.select(*keys, *[tidy(F.col(x), 4).alias(x) for x in c.RECOMPUTED])

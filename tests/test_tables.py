@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.operators import assembly, campaign, records
 from roadlens.sources import sinks
+from roadlens.sources.scratch import written_by
 
 
 def test_publish_replaces_as_a_whole(spark, tmp_path):
@@ -125,3 +126,21 @@ def test_sentinels_and_rules_across_fields(spark):
     df = spark.createDataFrame(rows, "intake_temp double, rpm double, speed double, coolant_temp double, ambient_temp double, maf double")
     got = [r[0] for r in df.select(cleaning.quality_flags(("intake_temp", "rpm"))).collect()]
     assert got == ["intake_temp_suspicious", "intake_temp_suspicious|rpm_zero_while_speed_positive", "maf_zero_while_rpm_positive|coolant_below_zero_in_warm_ambient", "intake_temp_suspicious", "intake_temp_hard_invalid"]
+
+
+def test_features_dealt_out_by_segment_are_not_dealt_out_again(spark):
+    signals = ("rpm", "speed", "ambient_temp", "accel_pedal_d", "map", "coolant_temp", "intake_temp", "maf", "accel_pedal_e")
+    rows = spark.range(400).select(F.format_string("t%d", F.col("id") % 2).alias("trip_id"), F.format_string("s%d", F.col("id") % 4).alias("segment_id"), (F.floor(F.col("id") / 4) + 1).cast("int").alias("row_in_segment"), *[(F.col("id") * (i + 3) % 97).cast("double").alias(s) for i, s in enumerate(signals)])
+    lengths, keys = {"span": 9, "long": 6, "short": 3}, ("trip_id", "segment_id")
+    features = written_by(campaign.recomputed(rows.repartition(4, *keys), **lengths), "features", keys, 4)
+    changed = features.where("row_in_segment between 40 and 44").select(*keys, "row_in_segment", (F.col("maf") * 2).alias("maf"))
+    got = campaign.recomputed_about(features, changed, **lengths)
+    whole = campaign.recomputed(rows.withColumn("maf", F.when(F.col("row_in_segment").between(40, 44), F.col("maf") * 2).otherwise(F.col("maf"))), **lengths)
+    told = lambda df: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.select(*rows.columns, *campaign.RECOMPUTED).collect())
+    assert told(got) == told(whole)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = campaign.recomputed_about(features, changed, **lengths)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
