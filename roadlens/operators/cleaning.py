@@ -28,6 +28,11 @@ def parse_filename(name: Column) -> Column:
     )
 
 
+def date_of(name: Column) -> Column:
+    """``parse_filename(name)["date"]`` by one pattern: rows by the million ask for nothing else."""
+    return F.try_to_date(F.regexp_extract(name, rf"(?s)^([^_]*)(?:_[^_]*){{4}}_(?:[^_]*_)*?(?:{'|'.join(CONDITIONS)})(?:_.*)?(?:\.[A-Za-z0-9]+)?$", 1))
+
+
 def local_time(date: Column, time: Column) -> Column:
     """Local date and HH:MM:SS[.fff] as they are written; null where either is malformed or missing."""
     return F.try_to_timestamp(F.concat(date.cast("string"), F.lit(" "), time))
@@ -141,9 +146,38 @@ def fill_short(df: DataFrame, col: str, longest: int = 2, strategy: str = "inter
     return fill_all_short(df, {col: strategy}, longest, keys, at)
 
 
+def dense_filled(bins: DataFrame, strategies: dict[str, str], longest: int = 2, keys: tuple[str, ...] = ("trip_id", "segment"), at: str = "bin", also: dict[str, Column] | None = None) -> DataFrame:
+    """``densify`` and ``fill_all_short`` in one sort: the columns of ``strategies`` filled in place, with ``<col>_is_imputed``; other columns are null in empty bins.
+    ``also`` are columns, or windows over the keys in order of the bins, that the empty bins after a row share with it.
+
+    A run that is filled ends no further than ``longest`` bins away, so no more rows than that before and after a bin are looked at, and
+    each row brings them to the empty bins that follow it.
+    """
+    w, back, on, also = Window.partitionBy(*keys).orderBy(at), range(1, longest + 1), range(1, longest + 1), also or {}
+    row, here = F.struct(at, *strategies), F.col("_bin") == F.col(at)
+    df = bins.withColumns({f"_b{i}": F.lag(row, i).over(w) for i in back} | {f"_a{i}": F.lead(row, i).over(w) for i in on} | also)
+    df = df.select("*", F.explode(F.sequence(F.col(at), F.greatest(F.col(at), F.col(f"_a1.{at}") - 1))).alias("_bin"))
+    last = F.coalesce(*[F.col(f"_a{i}.{at}") for i in reversed(on)], F.col(at))  # beyond reach where it is not the segment's last bin
+    out = []
+    for c, strategy in strategies.items():
+        own = F.when(here, F.col(c))
+        before = F.coalesce(F.when(~here, F.col(c)), *[F.col(f"_b{i}.{c}") for i in back])
+        before_at = F.coalesce(F.when(~here & F.col(c).isNotNull(), F.col(at)), *[F.when(F.col(f"_b{i}.{c}").isNotNull(), F.col(f"_b{i}.{at}")) for i in back])
+        after = F.coalesce(*[F.col(f"_a{i}.{c}") for i in on])
+        after_at = F.coalesce(*[F.when(F.col(f"_a{i}.{c}").isNotNull(), F.col(f"_a{i}.{at}")) for i in on])
+        short = F.coalesce(after_at, last + 1) - before_at - 1 <= longest
+        if strategy == "interpolation":
+            new = before + (after - before) * (F.col("_bin") - before_at) / (after_at - before_at)
+        else:
+            new = before if strategy == "forward_fill" else F.lit(None).cast("double")
+        out += [F.coalesce(own, F.when(short, new)).alias(c), (own.isNull() & F.when(short, new).isNotNull()).alias(f"{c}_is_imputed")]
+    rest = [c for c in bins.columns if c not in (*keys, at, *strategies, *also)]
+    return df.select(*keys, *also, F.col("_bin").alias(at), *[F.when(here, F.col(c)).alias(c) for c in rest], *out)
+
+
 def discover(files: DataFrame) -> DataFrame:
     """``files`` (file, start) with ``trip_id``, numbered by (start, name); generated outputs are left out. A row a file, so one sort is fine."""
-    kept = files.where(~F.col("file").rlike(r"(?i)(_clean|_report|_quality)\.csv$"))
+    kept = files.where(~F.col("file").rlike(r"(?i)_(?:clean|report|quality)\.csv$"))
     return kept.withColumn("trip_id", F.format_string("trip_%04d", F.row_number().over(Window.orderBy("start", "file"))))
 
 

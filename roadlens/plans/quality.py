@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roadlens.operators import ingest as i
 from roadlens.operators import quality as q
-from roadlens.plans.ingest import CLEAN, FIELDS, LIMITS, raw_recordings
+from roadlens.plans.ingest import CLEAN, FIELDS, LIMITS, dealt_recordings
 from roadlens.plans.registry import query
 from roadlens.plans.sql import SEG, with_ticks
 from roadlens.sources.adapters import RECORDINGS_SQL, ticks
@@ -21,7 +21,7 @@ _SQL = f"WITH {RECORDINGS_SQL}, {CLEAN}, {_FILES}"
 
 
 def _inputs(spark, sf_dir):
-    raw = written(raw_recordings(spark, sf_dir), "raw")
+    raw = dealt_recordings(spark, sf_dir)
     trips = i.trips_of(raw)
     return written(q.raw_files(raw, FIELDS), "files"), trips, written(i.clean(raw, trips, FIELDS), "cleaned")
 
@@ -59,7 +59,7 @@ _each = lambda flag: " + ".join(f"CAST({f}_{flag} AS BIGINT)" for f in FIELDS)
 FROM cl GROUP BY trip_id, segment_id"""
 )
 def a02_segment_report(spark, sf_dir):
-    raw = written(raw_recordings(spark, sf_dir), "raw")
+    raw = dealt_recordings(spark, sf_dir)
     return q.segment_report(i.clean(raw, i.trips_of(raw), FIELDS), FIELDS)
 
 
