@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import constants as k
 from roadlens.operators.cleaning import cross_field, hard_invalid
+from roadlens.operators.continuity import bit, bits
 
 FLAGS = ("is_imputed", "is_suspicious", "had_hard_invalid_source")
 
@@ -22,34 +23,33 @@ def raw_files(raw: DataFrame, fields: tuple[str, ...], *, bounds: dict = k.BOUND
     ``input_rows``; ``deduplicated_rows``, distinct times; ``duplicate_rows``, rows whose time comes more than once;
     ``max_gap_seconds`` between distinct times (0 if there is one only); ``monotonic``, whether no row is earlier than
     the row before it in the file; and by field ``<field>_failures``, texts that are no numbers, of all rows, and ``<field>_invalid``,
-    values out of physical bounds, of the last row of each time. One exchange by file and time for the counts and one by file for
-    the order; a file's rows are never in one task but for that order.
+    values out of physical bounds, of the last row of each time. One sort by time and row serves all, rows being in order of time if their numbers rise
+    in it; where ``raw`` is dealt out by file, no row is dealt out again.
     """
-    rows = raw.where("us is not null")
     number = lambda f: F.col(f).try_cast("double")
-    failed = [F.count_if(F.col(f).isNotNull() & number(f).isNull()).alias(f"{f}_failures") for f in fields]
-    times = rows.groupBy("file", "us").agg(F.count("*").alias("n"), F.max_by(F.struct(*[number(f).alias(f) for f in fields]), F.col("row")).alias("kept"), *failed)
-    times = times.select("file", "us", "n", "kept.*", *[f"{f}_failures" for f in fields])
-    times = times.withColumn("gap", (F.col("us") - F.lag("us").over(Window.partitionBy("file").orderBy("us"))) / 1_000_000)
-    out = times.groupBy("file").agg(
-        F.sum("n").alias("input_rows"), F.count("*").alias("deduplicated_rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.max("gap"), F.lit(0.0)).alias("max_gap_seconds"), *[F.sum(f"{f}_failures").alias(f"{f}_failures") for f in fields], *[F.count_if(hard_invalid(f, bounds)).alias(f"{f}_invalid") for f in fields],
+    df = raw.where("us is not null").select("file", "us", "row", *[number(f).alias(f) for f in fields], bits([F.col(f).isNotNull() & number(f).isNull() for f in fields]).alias("_failed"))
+    df = df.select("file", "us", "row", "_failed", bits([hard_invalid(f, bounds) for f in fields]).alias("_invalid"))
+    w = Window.partitionBy("file").orderBy("us", "row")
+    df = df.withColumns({"_us": F.lag("us").over(w), "_row": F.lag("row").over(w), "_next": F.lead("us").over(w)})
+    again, last = F.coalesce(F.col("_us") == F.col("us"), F.lit(False)), F.coalesce(F.col("_next") != F.col("us"), F.lit(True))
+    return df.groupBy("file").agg(
+        F.count("*").alias("input_rows"), F.count_if(last).alias("deduplicated_rows"), F.count_if(again | ~last).alias("duplicate_rows"), F.coalesce(F.max((F.col("us") - F.col("_us")) / 1_000_000), F.lit(0.0)).alias("max_gap_seconds"),
+        (~F.bool_or(F.coalesce(F.col("row") < F.col("_row"), F.lit(False)))).alias("monotonic"), *[F.count_if(bit("_failed", i)).alias(f"{f}_failures") for i, f in enumerate(fields)], *[F.count_if(last & bit("_invalid", i)).alias(f"{f}_invalid") for i, f in enumerate(fields)],
     )
-    back = F.col("us") < F.lag("us").over(Window.partitionBy("file").orderBy("row"))
-    order = rows.select("file", F.coalesce(back, F.lit(False)).alias("back")).groupBy("file").agg((~F.bool_or("back")).alias("monotonic"))
-    return out.join(order, "file")
 
 
 def missing_runs(cleaned: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """(trip_id, field, missing, runs, longest): empty cells of a trip and their unbroken runs in order of time, across its segments.
 
-    A run is told by the number of values before it, so one window serves all fields.
+    A cell's place in its run is told by the last row that holds a value, so one window serves all fields. One bit a field is dealt out and sorted.
     """
     w = Window.partitionBy("trip_id").orderBy("t", "segment_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = cleaned.select("trip_id", *[F.count(f).over(w).alias(f"_{f}") for f in fields], *[F.col(f).isNull().alias(f) for f in fields])
-    cells = seen.select("trip_id", _long(fields, {"gone": F.col, "run": lambda f: F.col(f"_{f}")}).alias("c")).select("trip_id", "c.*")
-    runs = cells.groupBy("trip_id", "field", "run").agg(F.count_if("gone").alias("n"))
-    return runs.groupBy("trip_id", "field").agg(F.sum("n").alias("missing"), F.count_if(F.col("n") > 0).alias("runs"), F.max("n").alias("longest"))
+    held = cleaned.select("trip_id", "t", "segment_id", bits([F.col(f).isNotNull() for f in fields]).alias("held")).withColumn("n", F.row_number().over(w))
+    place = {f: F.col("n") - F.coalesce(F.max(F.when(bit("held", i), F.col("n"))).over(w), F.lit(0)) for i, f in enumerate(fields)}
+    places = held.select("trip_id", *[x.alias(f) for f, x in place.items()])
+    runs = {"missing": lambda f: F.count_if(F.col(f) > 0), "runs": lambda f: F.count_if(F.col(f) == 1), "longest": lambda f: F.max(F.col(f).cast("long"))}
+    wide = places.groupBy("trip_id").agg(*[c(f).alias(f"{f}_{n}") for f in fields for n, c in runs.items()])
+    return wide.select("trip_id", _long(fields, {n: lambda f, n=n: F.col(f"{f}_{n}") for n in runs}).alias("c")).select("trip_id", "c.*")
 
 
 def file_report(files: DataFrame, trips: DataFrame, cleaned: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -85,21 +85,24 @@ def global_report(files: DataFrame, cleaned: DataFrame, fields: tuple[str, ...])
     their keys: both are 0 after a sound run.
     """
     of_files = files.agg(F.count("*").alias("files"), F.sum("input_rows").alias("input_rows"), *[F.sum(f"{f}_invalid").alias(f"physical_invalid_removed:{f}") for f in fields])
-    keys = ("trip_id", "segment_id", "t")
-    sums = {f"{flag}:{f}": F.count_if(f"{f}_{flag}") for flag in FLAGS for f in fields} | {f"missing:{f}": F.count_if(F.col(f).isNull()) for f in fields}
-    rows = {f"rows:{x}": F.count_if(x) for x in ("is_imputed_any", "is_suspicious_any", "had_hard_invalid_source_any")}
-    of_rows = cleaned.agg(F.count("*").alias("output_rows"), *[c.alias(n) for n, c in (sums | rows).items()])
-    w = Window.partitionBy("trip_id", "segment_id").orderBy("t")
-    spread = cleaned.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("off", F.coalesce(F.col("t") - F.lag("t").over(w) != 1, F.lit(False)))
-    # a segment's first row stands for it, so that trips and segments need no distinct
-    by_segment = spread.groupBy("trip_id", "segment_id").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("twice"), (F.count_if("off") + F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0))).alias("off"))
+    # flags of one kind as one number a row: rows are counted by it, and cells from the few numbers there are
+    kinds = {flag: [(f"{flag}:{f}", F.col(f"{f}_{flag}")) for f in fields] + [(f"rows:{flag}_any", F.col(f"{flag}_any"))] for flag in FLAGS} | {"missing": [(f"missing:{f}", F.col(f).isNull()) for f in fields]}
+    cells = F.array(*[F.struct(F.lit(i).alias("kind"), bits([c for _, c in of]).alias("mask")) for i, of in enumerate(kinds.values())])
+    masks = cleaned.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.mask").agg(F.count("*").alias("n"))
+    hits = [F.struct(F.lit(name).alias("m"), F.when((F.col("kind") == i) & bit("mask", j), F.col("n")).otherwise(0).alias("value")) for i, of in enumerate(kinds.values()) for j, (name, _) in enumerate(of)]
+    hits += [F.struct(F.lit("output_rows").alias("m"), F.when(F.col("kind") == 0, F.col("n")).otherwise(0).alias("value"))]
+    none = masks.sparkSession.sql("SELECT 0 AS kind, 0L AS mask, 0L AS n")  # so that nothing is missing from the report of an empty run
+    of_rows = masks.unionByName(none).select(F.explode(F.array(*hits)).alias("c")).groupBy("c.m").agg(F.sum("c.value").alias("value"))
+    w, t = Window.partitionBy("trip_id", "segment_id").orderBy("t"), F.col("t")
+    steps = cleaned.select("trip_id", "segment_id", "t").withColumns({"_before": F.lag("t").over(w), "_after": F.lead("t").over(w)})
+    by_segment = steps.groupBy("trip_id", "segment_id").agg(F.count_if((t == F.col("_before")) | F.coalesce(t == F.col("_after"), F.lit(False))).alias("twice"), F.count_if(t - F.col("_before") != 1).alias("off"))
     by_trip = by_segment.groupBy("trip_id").agg(F.count("*").alias("segments"), F.sum("twice").alias("twice"), F.sum("off").alias("off"))
     of_keys = by_trip.agg(F.count("*").alias("trips"), F.sum("segments").alias("segments"), F.sum("twice").alias("duplicate_key_rows"), F.sum("off").alias("steps_not_one_second"))
     parts = []
-    for df in (of_files, of_rows, of_keys):
+    for df in (of_files, of_keys):
         df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c) for c in df.columns])
         parts.append(df.unpivot([], [F.col(f"`{c}`") for c in df.columns], "m", "value"))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0].unionByName(parts[1]).unionByName(of_rows)
     name = F.split("m", ":")
     is_field = F.get(name, F.lit(1)).isin(*fields)
     return out.select(F.when(is_field, name[0]).otherwise(F.regexp_replace("m", "^rows:", "rows_")).alias("measure"), F.when(is_field, F.get(name, F.lit(1))).alias("field"), "value")

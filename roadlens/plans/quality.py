@@ -78,7 +78,8 @@ def _global_sql() -> str:
 def a03_global_report(spark, sf_dir):
     """The report of a run whose output has been spoilt: some seconds taken out, some written twice."""
     files, _, cleaned = _inputs(spark, sf_dir)
-    spoilt = cleaned.where("row_in_segment % 37 <> 11").unionByName(cleaned.where("row_in_segment % 41 = 5"))
+    copies = F.when(F.expr("row_in_segment % 37 <> 11"), 1).otherwise(0) + F.when(F.expr("row_in_segment % 41 = 5"), 1).otherwise(0)
+    spoilt = cleaned.select("*", F.explode(F.array_repeat(F.lit(True), copies)).alias("_copy")).drop("_copy")  # read once
     return q.global_report(files, spoilt, FIELDS)
 
 
