@@ -19,7 +19,7 @@ from roadlens.plans.rules import DECISIONS, LENGTHS, LIMITS, RULES, samples
 from roadlens.plans.sql import SEG, named_blocks, production_sql, tidy_sql, with_ticks
 from roadlens.plans.starts import EP
 from roadlens.sources.adapters import TICKS_SQL, table, ticks
-from roadlens.sources.scratch import written_by
+from roadlens.sources.scratch import written, written_by
 
 #: The pedal channels are driven apart by so many points, for five seconds.
 _SEVERITIES = [(f"apart_{x}", 5, {"reference": "accel_pedal_d", "offset": float(x)}) for x in (40, 64, 70)]
@@ -30,13 +30,17 @@ def _bare(df):
     return df.withColumns({x: F.lit(None).cast("double") for x in f.FEATURES if x != "engine_on_flag"})
 
 
-def _campaign(spark, sf_dir):
+def _campaign(spark, sf_dir, rows_a_task=400_000):
     base = ticks(spark, sf_dir).withColumn("operating_state", F.concat_ws("__", "thermal_state", "child_state"))
-    windows = c.select_windows(_bare(base), "pedal_valid", 5)
+    parts = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // rows_a_task + 1)
+    base = written_by(f.with_quality(base).repartition(parts, "segment_id"), "campaign", ("segment_id",), parts)
+    windows = written(c.select_windows(_bare(base), "pedal_valid", 5), "windows")
     df = c.expand(base, windows, "accel_pedal_e", "relative_offset", _SEVERITIES)
     rules = {"3-S1b": RULES["3-S1b"]}
     state = r.rule_state(f.production(df, **LENGTHS), LIMITS | {"s3s1b_delta": 65.0})
-    trips = df.groupBy("trip_id").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"))
+    trips = base.groupBy("trip_id").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")).join(windows.select("trip_id"), "trip_id")
+    scenarios = F.explode(F.array(*[F.lit(x) for x in ("baseline", *[x[0] for x in _SEVERITIES])]))
+    trips = trips.withColumn("scenario", scenarios).select(F.concat("scenario", F.lit("|"), "trip_id").alias("trip_id"), "start_t", "end_t")
     return c.evaluate(r.duration_decisions(r.episodes(state, rules), trips, rules), "3-S1b")
 
 
