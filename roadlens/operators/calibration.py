@@ -133,10 +133,12 @@ def published_checks(limits: dict | None = None, steps: dict | None = None, wind
 
 
 def trip_weighted_quantiles(folded: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
-    """(measure, q): quantiles in which each trip weighs the same, of a table (measure, trip_id, v, c) of counts; linear between neighbouring distinct values."""
-    trips = folded.groupBy("measure", "trip_id").agg(F.sum("c").alias("n"))
-    count = trips.groupBy("measure").agg(F.count("*").alias("trips"))
-    w = folded.join(trips, ["measure", "trip_id"]).groupBy("measure", "v").agg(F.sum(F.col("c") / F.col("n")).alias("w"))
+    """(measure, q): quantiles in which each trip weighs the same, of a table (measure, trip_id, v, c, n, first) of counts; linear between neighbouring distinct values.
+
+    ``n`` counts all of the trip's values, ``first`` is true in one row a measure and trip: no row is dealt out by trip.
+    """
+    count = folded.groupBy("measure").agg(F.count_if("first").alias("trips"))
+    w = folded.groupBy("measure", "v").agg(F.sum(F.col("c") / F.col("n")).alias("w"))
     w = running_totals(w.join(F.broadcast(count), "measure").withColumn("w", F.col("w") / F.col("trips")), ("measure", "v"), {"to": F.col("w")}, by=("measure",))  # a row a measure
     near = w.groupBy("measure").agg(
         F.max("v").alias("top"),
@@ -154,16 +156,22 @@ def trip_weighted_quantiles(folded: DataFrame, quantiles: tuple[float, ...]) ->
 def rederived(samples: DataFrame, checks: list[Check]) -> DataFrame:
     """Audit rows of ``checks`` in one pass over the samples: each gives a count by check, trip and distinct value, from which all statistics come, those of ranks by ranges.
 
-    A check that no sample meets is INCOMPLETE.
+    Checks of extremes give a row a trip. Where ``samples`` are dealt out by trip, counts are taken where they are. A check that no sample meets is INCOMPLETE.
     """
-    names = {f"{c.sub_check}/{c.param}": c for c in checks}
-    cells = [F.when(F.coalesce(c.mask, F.lit(False)) & c.value.isNotNull(), F.struct(F.lit(n).alias("measure"), c.value.cast("double").alias("v"))) for n, c in names.items()]
-    long = samples.select("trip_id", F.explode(F.array(*cells)).alias("m")).where("m is not null").select("trip_id", "m.measure", "m.v")
-    folded = written(long.groupBy("measure", "trip_id", "v").agg(F.count("*").alias("c")), "measures")
+    names = dict(enumerate(checks))  # a number each: texts would be most of what is dealt out
+    ends_only = ("min", "max", "above")
+    value, none = lambda c: c.value.cast("double"), F.lit(None).cast("double")
+    cells = [
+        F.when(F.coalesce(c.mask, F.lit(False)) & c.value.isNotNull(), F.struct(F.lit(n).alias("measure"), (none if c.statistic in ends_only else value(c)).alias("v"), (value(c) if c.statistic in ends_only else none).alias("x"))) for n, c in names.items()
+    ]
+    long = samples.select("trip_id", F.explode(F.array(*cells)).alias("m")).where("m is not null").select("trip_id", "m.*")
+    folded = long.groupBy("measure", "trip_id", "v").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.max("x").alias("high"))
+    own = Window.partitionBy("measure", "trip_id").orderBy("v")
+    folded = written(folded.withColumns({"n": F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "first": F.row_number().over(own) == 1}), "measures")
     of = lambda *kinds: [n for n, c in names.items() if c.statistic.rstrip("0123456789.") in kinds]
     share = lambda n: float(names[n].statistic.lstrip("qtrips"))
     pick = lambda df, chosen, shares: df.select("measure", F.element_at(F.create_map(*[F.lit(x) for n in chosen for x in (n, shares.index(share(n)))]), F.col("measure")).alias("i"), "q").select("measure", F.get("q", F.col("i")).alias("now"))
-    ends = folded.groupBy("measure").agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = folded.groupBy("measure").agg(F.sum("c").alias("n"), F.min(F.coalesce("v", "low")).alias("low"), F.max(F.coalesce("v", "high")).alias("high"))
     parts = [ends.where(F.col("measure").isin(of("min"))).select("measure", F.col("low").alias("now")), ends.where(F.col("measure").isin(of("max", "above"))).select("measure", F.col("high").alias("now"))]
     if chosen := of("q"):
         shares = sorted({share(n) for n in chosen})
@@ -177,7 +185,7 @@ def rederived(samples: DataFrame, checks: list[Check]) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    rows = samples.sparkSession.createDataFrame([(n, c.sub_check, c.param, float(c.frozen), float(c.tolerance), c.unit, c.statistic == "above", c.least) for n, c in names.items()], "measure string, sub_check string, param string, frozen double, tolerance double, unit string, above boolean, least long")
+    rows = samples.sparkSession.createDataFrame([(n, c.sub_check, c.param, float(c.frozen), float(c.tolerance), c.unit, c.statistic == "above", c.least) for n, c in names.items()], "measure int, sub_check string, param string, frozen double, tolerance double, unit string, above boolean, least long")
     j = rows.join(found, "measure", "left").join(ends.select("measure", "n"), "measure", "left")  # a row a check
     n = F.coalesce("n", F.lit(0))
     now = F.when(n >= F.col("least"), F.col("now"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions.physics import round_significant
 from roadlens.operators import calibration as c
+from roadlens.operators import features as f
 from roadlens.operators.continuity import step_of
 from roadlens.plans.registry import query
 from roadlens.plans.rules import LENGTHS, prod
@@ -103,9 +104,12 @@ def _checks_sql() -> str:
     + """SELECT sub_check, param, CAST(frozen AS DOUBLE) AS frozen, CASE WHEN n >= least THEN round(now, 5) END AS rederived, CAST(tolerance AS DOUBLE) AS tolerance, unit,
  CASE WHEN n < least OR now IS NULL THEN 'INCOMPLETE' WHEN above THEN CASE WHEN frozen > now THEN 'PASS' ELSE 'FAIL' END WHEN abs(now - frozen) <= tolerance THEN 'PASS' ELSE 'FAIL' END AS status, CAST(n AS BIGINT) AS n FROM ck"""
 )
-def c03_rederived_thresholds(spark, sf_dir):
+def c03_rederived_thresholds(spark, sf_dir, rows_a_task=400_000):
     """All data-derived checks over the samples with features; a soak of a minute, and fewer samples for a band, since the driver's tables are short."""
-    df = prod(spark, sf_dir)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    parts = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // rows_a_task + 1)
+    df = ticks(spark, sf_dir).withColumn("operating_state", F.concat_ws("__", "thermal_state", "child_state"))
+    df = f.production(f.with_quality(df).repartition(parts, "trip_id"), **LENGTHS)  # whole trips: segments are in one place too
     gaps = step_of(ticks(spark, sf_dir)).select("trip_id", "segment_id", F.col("gap_seconds").alias("segment_gap_seconds"))
     checks = c.published_checks({"soak_gap_s": 60.0, "s1s2_critical": 115.0})
     checks = [c.Check(**(x.__dict__ | {"least": 101})) if x.least > 101 else x for x in checks]
